@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding, simhash, suffix_dedup
+from . import decontam, kneser_ney, quality, sharding, simhash, suffix_dedup
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -34,7 +38,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op5_simhash": op5_simhash, "op8_suffix_dedup": op8_suffix_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
+    return {"op1_decontaminate": op1_decontaminate, "op4_lm_score": op4_lm_score, "op5_simhash": op5_simhash, "op8_suffix_dedup": op8_suffix_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict:
