@@ -45,7 +45,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, keys: list[str], order: Column, ties: list, n_rows: int, rank: str = "rank", weight: Column | None = None, rows_per_task: int = 4000) -> DataFrame:
-    """Row number from 0 within ``keys``, in an order dealt by the 64-bit hash ``order``.
+    """Row number from 0 within ``keys``, in an order of the 64-bit hash ``order`` taken as unsigned.
 
     No task holds more than about ``rows_per_task`` rows of a key: rows are dealt into slices of
     the hash's range, slices are counted, and ranks are counted within a slice. ``n_rows`` bounds
@@ -63,7 +63,7 @@ def ranked(df: DataFrame, keys: list[str], order: Column, ties: list, n_rows: in
     on = F.col("__slice") == F.col("__s")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    within = Window.partitionBy(*keys, "__slice").orderBy("__h", *ties)
+    within = Window.partitionBy(*keys, "__slice").orderBy(F.col("__h").bitwiseXOR(F.lit(-(1 << 63))), *ties)
     out = df.join(sums, on).withColumn(rank, (F.col("__n0") + F.row_number().over(within) - 1).cast("bigint"))
     if weight is not None:
         earlier = within.rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, kneser_ney, quality, sharding, simhash, suffix_dedup
+from . import chat, decontam, kneser_ney, mixing, quality, sharding, simhash, suffix_dedup
 from .common import table
 
 
@@ -14,6 +14,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.document_levels(), mixing.document_weights())
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_format(table(spark, sf_dir, "conversations"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(table(spark, sf_dir, "documents"))
 
@@ -38,8 +46,8 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op4_lm_score": op4_lm_score, "op5_simhash": op5_simhash, "op8_suffix_dedup": op8_suffix_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix_sources": op2_mix_sources, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_simhash": op5_simhash, "op8_suffix_dedup": op8_suffix_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_mix_sources": mixing.oracle(), "op3_chat_format": chat.oracle()}
