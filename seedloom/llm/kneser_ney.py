@@ -84,8 +84,8 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, counts + 1
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, hashes, counts) of pieces of the batches, by bytes of text."""
+def pieces(batches: Iterator[pa.RecordBatch], text_at: int, raw: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, hashes, counts) of pieces of the batches, by bytes of text; raw: (rows, bytes, offsets)."""
     for batch in batches:
         sizes = np.array(pc.binary_length(batch.column(text_at)).fill_null(0), np.int64)
         cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PIECE)) + 1
@@ -93,7 +93,8 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa
             if b > a:
                 rows = batch.slice(a, b - a)
                 data = np.frombuffer(b"".join(x.as_buffer() if x.is_valid else b"" for x in rows.column(text_at)), np.uint8)
-                yield rows, *tokens(data, np.concatenate(([0], np.cumsum(sizes[a:b]))))
+                offsets = np.concatenate(([0], np.cumsum(sizes[a:b])))
+                yield rows, *((data, offsets) if raw else tokens(data, offsets))
 
 
 class Tally:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, kneser_ney, mixing, quality, sharding, simhash, suffix_dedup
+from . import chat, decontam, kneser_ney, line_dedup, mixing, quality, sharding, simhash, suffix_dedup
 from .common import table
 
 
@@ -45,8 +45,13 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {"op1_decontaminate": op1_decontaminate, "op2_mix_sources": op2_mix_sources, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_simhash": op5_simhash, "op8_suffix_dedup": op8_suffix_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix_sources": op2_mix_sources, "op3_chat_format": op3_chat_format, "op4_lm_score": op4_lm_score, "op5_simhash": op5_simhash, "op8_suffix_dedup": op8_suffix_dedup, "op9_line_dedup": op9_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict:
