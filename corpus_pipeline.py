@@ -1,0 +1,53 @@
+"""A corpus pipeline of five operators: filter, deduplicate, decontaminate, mix, shard.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` applies them in order to
+``documents``, each to what the one before kept, through a written table. All but the last return
+the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from seedloom.llm import decontam, mixing, quality, sharding, simhash
+from seedloom.llm.common import table, written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned decision list reject go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of words with a benchmark item go."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut to their target weights, in one pass over three quarters of the tokens."""
+    return mixing.mixed(docs, budget=(3, 4))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets its shard and slot."""
+    return sharding.shard(docs).drop("text_group")
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
+
+#: SQL can express neither the learned rules nor the components.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for n, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if n < len(STAGES) - 1:
+            docs = written(docs, name)
+    return docs
