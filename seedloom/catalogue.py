@@ -1,11 +1,305 @@
-"""Queries of the mapping engine over the driver tables, with their DuckDB SQL."""
+"""Queries of the mapping engine over the driver tables, with their DuckDB SQL.
+
+Texts become bases by a fixed rule (``functions.sequence.bases``); ``documents`` are the targets,
+``benchmark`` items, ``conversations`` or ``documents`` the reads.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle as o
+from .functions import sequence as fn
+from .operators import evaluate
+from .operators.anchors import anchors
+from .operators.index import bucket_map, build_index, index_stats
+from .operators.minimizers import kmers, minimizers, minimizers_sql
+from .operators.vote import covered, decided, top_records, vote_groups
+from .params import IndexParams, MapParams, preset
+from .plans.mapping import map_reads, paf
+from .sources.batches import batches
+from .sources.fasta import from_text, hex_names, read_fasta, to_fasta
+from .streaming.mapping import map_stream
+
+DEFAULT = IndexParams()
+RARE = IndexParams(max_occ=10)
+LOOSE = MapParams(reject_ties=False)
+READS = o.sequences("reads", "benchmark", "item_id", "item")
+SELF = o.sequences("reads", "documents", "doc_id", "doc")
+TURNS = o.sequences("reads", "conversations", "conv_id * 1000 + turn", "turn")
+CAPACITY = 10_000
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def targets(spark: SparkSession, sf_dir: str, breaks: str = "") -> DataFrame:
+    return from_text(load(spark, sf_dir, "documents"), "doc_id", "text", "chrom_id", "doc", breaks)
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_text(load(spark, sf_dir, "benchmark"), "item_id", "text", "read_id", "item")
+
+
+def documents_as_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_text(load(spark, sf_dir, "documents"), "doc_id", "text", "read_id", "doc")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    return from_text(rows, "id", "text", "read_id", "turn")
+
+
+def big(df: DataFrame) -> DataFrame:
+    """Whole numbers as 64-bit ones, as the SQL gives them."""
+    return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "tinyint") else F.col(c) for c, t in df.dtypes])
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def q_seq_len(spark, d):
+    return big(targets(spark, d).select("chrom_id", "name", "len"))
+
+
+def q_encode(spark, d):
+    rows = targets(spark, d, ".").select("chrom_id", F.explode(F.split("seq", "")).alias("base")).filter("base <> ''")
+    return big(rows.groupBy("chrom_id", fn.encode(F.col("base")).alias("code")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_kmers(spark, d):
+    rows = kmers(targets(spark, d).select("chrom_id", "seq"), IndexParams(w=1), "chrom_id", 4096).filter("(lead = 0 or i > 0) and hash is not null")
+    return rows.groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n"), F.sum("str").cast("bigint").alias("n_reverse"), F.min("hash").alias("least"), F.max("hash").alias("most"), F.sum("hash").alias("total"))
+
+
+def q_hash64(spark, d):
+    key = F.col("o_orderkey").cast("bigint")
+    return load(spark, d, "orders").select(key.alias("o_orderkey"), fn.hash64(key, 15).alias("h15"), fn.hash64(key, 19).alias("h19"), fn.hash64(key, 21).alias("h21"))
+
+
+def q_bucket_split(spark, d):
+    h = fn.hash64(F.col("l_orderkey").cast("bigint"), 21)
+    rows = load(spark, d, "lineitem").select(h.alias("hash")).distinct()
+    return rows.select("hash", fn.bucket_id(F.col("hash"), 30).alias("bucket_id"), fn.seed_id(F.col("hash"), 30).alias("seed_id"))
+
+
+def seeds_of(p: IndexParams, breaks: str = "", of=minimizers):
+    return lambda spark, d: big(of(targets(spark, d, breaks).select("chrom_id", "seq"), p, "chrom_id"))
+
+
+def q_index_keys(spark, d):
+    return big(build_index(targets(spark, d), RARE).keys)
+
+
+def q_index_map(spark, d):
+    return bucket_map(build_index(targets(spark, d), RARE))
+
+
+def q_index_stats(spark, d):
+    return big(index_stats(targets(spark, d), RARE))
+
+
+def q_key_pack(spark, d):
+    keys = build_index(targets(spark, d), RARE).keys.filter("chrom_id < 1024")
+    word = fn.pack_key(F.col("loc"), F.col("chrom_id"), F.col("str"), fn.seed_id(F.col("hash"), 30))
+    rows = keys.select("chrom_id", "loc", "str", "hash", word.alias("word"))
+    back = fn.unpack_key(F.col("word"))
+    same = (back["loc"] == F.col("loc")) & (back["chrom_id"] == F.col("chrom_id")) & (back["str"] == F.col("str"))
+    return big(rows.select("chrom_id", "loc", "hash", "word", same.alias("same")))
+
+
+def q_anchor_pack(spark, d):
+    rows = anchors_of(items, DEFAULT)(spark, d).filter("chrom_id < 1024")
+    word = fn.pack_anchor(F.col("chrom_id"), F.col("diag"), F.col("q_loc"), F.col("str"))
+    back = fn.unpack_anchor(word)
+    return big(rows.select("read_id", word.alias("word"), back["target"].alias("target"), back["q_loc"].alias("q_loc"), back["str"].alias("str")))
+
+
+def anchors_of(reads, p: IndexParams):
+    def run(spark, d):
+        seeds = minimizers(reads(spark, d).select("read_id", "len", "seq"), p, "read_id", ("len",))
+        return big(anchors(seeds, build_index(targets(spark, d), p).keys).drop("len"))
+
+    return run
+
+
+def groups_of(spark, d, m: MapParams):
+    seeds = minimizers(documents_as_reads(spark, d).select("read_id", "len", "seq"), RARE, "read_id", ("len",))
+    return vote_groups(anchors(seeds, build_index(targets(spark, d), RARE).keys), m)
+
+
+GROUP = ["read_id", "str", "grp", "vt_score", "q_start", "q_end", "t_start", "t_end"]
+RECORD = ["read_id", "rank", "vt_score", "q_start", "q_end", "t_start", "t_end", "str"]
+
+
+def q_vote_groups(spark, d):
+    return big(groups_of(spark, d, LOOSE).select(*GROUP))
+
+
+def q_vote_groups_no_origin(spark, d):
+    return big(groups_of(spark, d, MapParams(compat_origin=False)).select(*GROUP))
+
+
+def q_coverage(spark, d):
+    return big(covered(groups_of(spark, d, LOOSE), LOOSE).select(*GROUP))
+
+
+def q_topk(spark, d):
+    return big(top_records(covered(groups_of(spark, d, LOOSE), LOOSE), LOOSE).select(*RECORD))
+
+
+def q_fraction(spark, d):
+    return big(decided(top_records(covered(groups_of(spark, d, LOOSE), LOOSE), LOOSE), LOOSE).select(*RECORD))
+
+
+def q_tie_reject(spark, d):
+    m = MapParams()
+    return big(decided(top_records(covered(groups_of(spark, d, m), m), m), m).select(*RECORD))
+
+
+def mapped(reads, p: IndexParams, m: MapParams):
+    def run(spark, d):
+        index, own = build_index(targets(spark, d), p), reads(spark, d)
+        return big(paf(map_reads(own, index, m), own, index))
+
+    return run
+
+
+def q_mapq(spark, d):
+    rows = mapped(documents_as_reads, RARE, LOOSE)(spark, d)
+    return rows.filter("rank = 0").groupBy("mapq").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_mapq_zero(spark, d):
+    return evaluate.mapq_zero(mapped(documents_as_reads, RARE, LOOSE)(spark, d)).select("read_id", "qname", "tname", "nmatch")
+
+
+def q_batches(spark, d):
+    rows = load(spark, d, "conversations").select(F.col("conv_id"), F.col("turn").alias("read_id"), F.length("text").alias("len"))
+    return big(batches(rows, CAPACITY, F.col("conv_id")))
+
+
+def q_hash_diff_hist(spark, d):
+    keys = minimizers(targets(spark, d).select("chrom_id", "seq"), DEFAULT, "chrom_id")
+    return evaluate.histogram(evaluate.successive_differences(keys, "hash", 1024, 30), "d", 1000)
+
+
+def q_mean_sd(spark, d):
+    keys = minimizers(targets(spark, d).select("chrom_id", "seq"), DEFAULT, "chrom_id")
+    per = keys.groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return evaluate.mean_sd(per, "n_seeds").select("n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
+
+
+SIM_LEN, SIM_STEP = 400, 5_000
+
+
+def q_simulated_reads(spark, d):
+    return big(evaluate.simulated(targets(spark, d), SIM_LEN, SIM_STEP))
+
+
+def q_accuracy_curve(spark, d):
+    reads = evaluate.simulated(targets(spark, d), SIM_LEN, SIM_STEP)
+    index = build_index(targets(spark, d), DEFAULT)
+    primary = map_reads(reads, index, LOOSE).filter("rank = 0").join(reads.select("read_id", "origin", "start"), "read_id")
+    wrong = (F.col("chrom_id") != F.col("origin")) | (F.col("t_start") > F.col("start") + SIM_LEN) | (F.col("t_end") < F.col("start"))
+    return evaluate.accuracy_curve(primary.select(fn.mapq(F.col("best"), F.col("second")).alias("mapq"), wrong.alias("wrong")), reads.count())
+
+
+def q_profile_avg(spark, d):
+    return evaluate.phase_averages(load(spark, d, "events"), "event_type", F.round(F.col("value") * 1_000_000).cast("bigint")).select("label", "n", F.round("avg_ms", 6).alias("avg_ms"))
+
+
+def q_fastq_to_fasta(spark, d):
+    return to_fasta(documents_as_reads(spark, d))
+
+
+def q_hex_headers(spark, d):
+    return hex_names(documents_as_reads(spark, d)).select("read_id", "name")
+
+
+def q_fasta_scan(spark, d):
+    """Targets written as FASTA text, read again, and counted."""
+    path = scratch(spark, "fasta")
+    lines = targets(spark, d).orderBy("chrom_id").select(F.concat(F.lit(">"), F.col("name"), F.lit(" x\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value"))
+    lines.write.text(path)
+    return big(read_fasta(spark, path, "ordinal").select("ordinal", "name", "len", F.md5("seq").alias("seq_md5")))
+
+
+def q_stream_map(spark, d):
+    """Benchmark items arrive as files and are mapped batch by batch."""
+    base = scratch(spark, "stream")
+    own = items(spark, d)
+    own.repartition(4, "read_id").write.parquet(f"{base}/in")
+    index = build_index(targets(spark, d), DEFAULT)
+    reads = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    map_stream(reads, index, LOOSE, f"{base}/out", f"{base}/state").awaitTermination()
+    return big(spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/*").drop("batch"))
+
 
 def queries() -> dict:
-    return {}
+    own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_mapq, q_mapq_zero,
+           q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map]
+    return {f.__name__: f for f in own} | {
+        "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
+        "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE), "q_near_dup_docs": mapped(documents_as_reads, RARE, LOOSE), "q_dialogue_hits": mapped(turns, DEFAULT, LOOSE),
+        **{f"q_preset_{n}": mapped(items, *preset(n)) for n in ("ont", "hifi", "illumina")},
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    docs, dotted = o.sequences("targets", "documents", "doc_id", "doc"), o.sequences("targets", "documents", "doc_id", "doc", ".")
+    seeds = lambda p, t=docs: o.query([t, *o.seeds("s", "targets", p)], "SELECT id AS chrom_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s")
+    keys = [docs, *o.seeds("target_seeds", "targets", RARE), o.index("keys", "target_seeds", RARE.max_occ)]
+    group = "SELECT read_id, CAST(str AS BIGINT) AS str, grp, vt_score, q_start, q_end, t_start, t_end FROM {}"
+    record = "SELECT read_id, CAST(rank AS BIGINT) AS rank, vt_score, q_start, q_end, t_start, t_end, CAST(str AS BIGINT) AS str FROM {}"
+    self_map = lambda m: o.mapping(SELF, RARE, m)
+    out = lambda reads, p, m: o.query(o.mapping(reads, p, m), "SELECT * FROM paf")
+    word = "loc | (CAST(id AS BIGINT) << 32) | (CAST(str AS BIGINT) << 42) | ((hash >> 30) << 43)"
+    anchor = "(CAST(chrom_id AS BIGINT) << 53) | (CAST(diag AS BIGINT) << 23) | (CAST(q_loc AS BIGINT) << 1) | str"
+    hashes = {k: f"h{k} AS ({o.hashed('orders', 'CAST(o_orderkey AS BIGINT)', k, 'o_orderkey')})" for k in (15, 19, 21)}
+    sim = f"""sim AS (SELECT id, seq, i, substr(seq, i * {SIM_STEP} + 1, {SIM_LEN}) AS piece FROM (SELECT id, seq, unnest(range(0, (len - {SIM_LEN}) // {SIM_STEP} + 1)) AS i FROM targets WHERE len >= {SIM_LEN})),
+    noise AS (SELECT *, list_aggregate(list_transform(range(0, {SIM_LEN}), lambda j: CASE WHEN (j * 7 + i) % 40 = 0 THEN translate(substr(piece, j + 1, 1), 'ACGT', 'CGTA') ELSE substr(piece, j + 1, 1) END), 'string_agg', '') AS n FROM sim),
+    simulated AS (SELECT id * 1000000 + i AS id, 'sim' || (id * 1000000 + i) AS name, CAST({SIM_LEN} AS BIGINT) AS len, CASE WHEN i % 2 = 1 THEN reverse(translate(n, 'ACGT', 'TGCA')) ELSE n END AS seq, id AS origin, i * {SIM_STEP} AS start FROM noise)"""
+    primary = [docs, sim, "reads AS (SELECT id, name, len, seq FROM simulated)", *o.anchors(DEFAULT), *o.groups(LOOSE), *o.records(LOOSE), *o.paf(DEFAULT.k)]
+    wrong = f"(t_start >> 30) <> s.origin OR (t_start & 1073741823) > s.start + {SIM_LEN} OR (t_end & 1073741823) < s.start"
+    by = f"""quality AS (SELECT p.mapq, CAST({wrong} AS BIGINT) AS wrong FROM records r JOIN paf p ON p.read_id = r.read_id AND p.rank = r.rank JOIN simulated s ON s.id = r.read_id WHERE r.rank = 0),
+    curve AS (SELECT mapq, count(*) AS n_mapped, CAST(sum(wrong) AS BIGINT) AS n_wrong FROM quality GROUP BY mapq),
+    down AS (SELECT *, CAST(sum(n_mapped) OVER (ORDER BY mapq DESC) AS BIGINT) AS cum_mapped, CAST(sum(n_wrong) OVER (ORDER BY mapq DESC) AS BIGINT) AS cum_wrong FROM curve)"""
+    pack = f"""turns AS (SELECT conv_id, turn, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS n FROM conversations),
+    pack(conv_id, read_id, len, n, batch, used) AS (SELECT conv_id, turn, CAST(len AS BIGINT), n, CAST(0 AS BIGINT), CAST(len + 1 AS BIGINT) FROM turns WHERE n = 1 UNION ALL
+    SELECT t.conv_id, t.turn, CAST(t.len AS BIGINT), t.n, CASE WHEN p.used + t.len + 1 > {CAPACITY} THEN p.batch + 1 ELSE p.batch END, CASE WHEN p.used + t.len + 1 > {CAPACITY} THEN t.len + 1 ELSE p.used + t.len + 1 END FROM pack p JOIN turns t ON t.conv_id = p.conv_id AND t.n = p.n + 1)"""
+    return {
+        "q_seq_len": o.query([docs], "SELECT id AS chrom_id, name, CAST(len AS BIGINT) AS len FROM targets"),
+        "q_encode": o.query([dotted], "SELECT id AS chrom_id, CAST((ascii(b) & 15) >> 1 AS BIGINT) AS code, count(*) AS n FROM (SELECT id, unnest(string_split(seq, '')) AS b FROM targets WHERE len > 0) GROUP BY ALL"),
+        "q_kmers": o.query([docs, *o.kmers("s", "targets", 15)], "SELECT id AS chrom_id, count(*) AS n, CAST(sum(z) AS BIGINT) AS n_reverse, min(h) AS least, max(h) AS most, CAST(sum(h) AS BIGINT) AS total FROM s_k WHERE clear AND NOT pal GROUP BY id"),
+        "q_hash64": o.query(list(hashes.values()), "SELECT h15.o_orderkey, h15.h AS h15, h19.h AS h19, h21.h AS h21 FROM h15 JOIN h19 USING (o_orderkey) JOIN h21 USING (o_orderkey)"),
+        "q_bucket_split": o.query([f"s AS ({o.hashed('lineitem', 'CAST(l_orderkey AS BIGINT)', 21, 'l_orderkey')})"], "SELECT DISTINCT h AS hash, h & 1073741823 AS bucket_id, h >> 30 AS seed_id FROM s"),
+        "q_minimizers": seeds(DEFAULT), "q_minimizers_sql": seeds(DEFAULT), "q_minimizers_n": seeds(DEFAULT, dotted), "q_minimizers_right": seeds(IndexParams(ties="right")), "q_minimizers_even": seeds(IndexParams(w=3, k=4)),
+        "q_index_keys": o.query(keys, "SELECT hash, id AS chrom_id, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM keys"),
+        "q_index_map": o.query(keys, 'SELECT bucket_id, CAST(sum(n) OVER (ORDER BY bucket_id) AS BIGINT) AS "end" FROM (SELECT hash & 1073741823 AS bucket_id, count(*) AS n FROM keys GROUP BY 1)'),
+        "q_index_stats": o.query(keys, "SELECT (SELECT count(*) FROM targets) AS n_targets, (SELECT CAST(sum(len) AS BIGINT) FROM targets) AS n_bases, (SELECT count(*) FROM target_seeds) AS n_minimizers, (SELECT count(DISTINCT hash) FROM target_seeds) AS n_hashes, (SELECT count(*) FROM keys) AS n_keys, (SELECT count(DISTINCT hash) FROM keys) AS n_kept, (SELECT CAST(ceil(count(*) / 67108864) AS BIGINT) FROM keys) AS key_sections"),
+        "q_key_pack": o.query(keys, f"SELECT id AS chrom_id, CAST(loc AS BIGINT) AS loc, hash, {word} AS word, true AS same FROM keys WHERE id < 1024"),
+        "q_anchor_pack": o.query([docs, READS, *o.anchors(DEFAULT)], f"SELECT read_id, {anchor} AS word, CAST(chrom_id AS BIGINT) * 1073741824 + diag AS target, CAST(q_loc AS BIGINT) AS q_loc, CAST(str AS BIGINT) AS str FROM anchors WHERE chrom_id < 1024"),
+        "q_anchors": o.query([docs, READS, *o.anchors(DEFAULT)], "SELECT read_id, chrom_id, CAST(diag AS BIGINT) AS diag, CAST(q_loc AS BIGINT) AS q_loc, CAST(str AS BIGINT) AS str FROM anchors"),
+        "q_vote_groups": o.query(self_map(LOOSE), group.format("groups")), "q_vote_groups_no_origin": o.query(self_map(MapParams(compat_origin=False)), group.format("groups")),
+        "q_coverage": o.query(self_map(LOOSE), group.format("covered")), "q_topk": o.query(self_map(LOOSE), record.format("top")), "q_fraction": o.query(self_map(LOOSE), record.format("records")), "q_tie_reject": o.query(self_map(MapParams()), record.format("records")),
+        "q_mapq": o.query(self_map(LOOSE), "SELECT mapq, count(*) AS n FROM paf WHERE rank = 0 GROUP BY mapq"),
+        "q_mapq_zero": o.query(self_map(LOOSE), "SELECT read_id, qname, tname, nmatch FROM paf WHERE rank = 0 AND mapq = 0"),
+        "q_paf": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_near_dup_docs": out(SELF, RARE, LOOSE), "q_dialogue_hits": out(TURNS, DEFAULT, LOOSE),
+        **{f"q_preset_{n}": out(READS, *preset(n)) for n in ("ont", "hifi", "illumina")},
+        "q_batches": o.query([pack], "SELECT conv_id AS stream, read_id, len, batch FROM pack"),
+        "q_hash_diff_hist": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT CAST((d // 1000) * 1000 + 500 AS BIGINT) AS bin, count(*) AS n FROM (SELECT hash - lag(hash) OVER (ORDER BY hash) AS d FROM (SELECT DISTINCT hash FROM s)) WHERE d IS NOT NULL GROUP BY 1"),
+        "q_mean_sd": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd FROM (SELECT id, count(*) AS c FROM s GROUP BY id)"),
+        "q_simulated_reads": o.query([docs, sim], "SELECT id AS read_id, name, len, seq, origin, CAST(start AS BIGINT) AS start FROM simulated"),
+        "q_accuracy_curve": o.query([*primary, by], "SELECT mapq, n_mapped, n_wrong, cum_mapped, cum_wrong / cum_mapped AS cum_err, cum_mapped / (SELECT count(*) FROM simulated) AS mapped_share FROM down"),
+        "q_profile_avg": "SELECT event_type AS label, count(*) AS n, round(avg(CAST(round(value * 1000000) AS BIGINT)) / 1000000, 6) AS avg_ms FROM events GROUP BY event_type",
+        "q_fastq_to_fasta": o.query([SELF], "SELECT id AS read_id, '>' || name || chr(10) || seq AS value FROM reads"),
+        "q_hex_headers": "SELECT doc_id AS read_id, lower(to_hex(doc_id)) AS name FROM documents",
+        "q_fasta_scan": o.query([docs], "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM targets"),
+    }

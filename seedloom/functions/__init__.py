@@ -1 +1 @@
-"""."""
+"""Column functions on bases, seeds and mapping records."""

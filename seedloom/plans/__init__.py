@@ -1 +1 @@
-"""."""
+"""Plans composed of the operators."""

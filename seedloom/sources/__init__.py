@@ -1 +1 @@
-"""."""
+"""Readers of sequences, writers of mappings."""

@@ -1 +1 @@
-"""."""
+"""Mapping of arriving reads."""
