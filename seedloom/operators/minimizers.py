@@ -116,12 +116,15 @@ def kmers(seqs: DataFrame, p: IndexParams, id_col: str, block: int = 256) -> Dat
     cut = blocks(seqs, p, block, (id_col,)).withColumn("digits", F.translate("piece", "AaCcTtUuGg", "0011222233"))
     cut = cut.select(id_col, "start", "lead", "digits", F.explode(F.sequence(F.lit(0), F.length("digits") - F.lit(p.k))).alias("i"))
     part = F.substr("digits", F.col("i") + 1, F.lit(p.k))
-    rows = cut.select(id_col, "start", "lead", "i", part.alias("part")).withColumn("clear", ~F.rlike("part", F.lit("[^0-3]")))
+    # inline() keeps filters from being moved below and so from repeating what they test
+    rows = cut.select(id_col, "start", "lead", "i", F.inline(F.array(F.struct(part.alias("part")))))
+    rows = rows.select(id_col, "start", "lead", "i", "part", F.inline(F.array(F.struct((~F.rlike("part", F.lit("[^0-3]"))).alias("clear")))))
     forward = fn.kmer(F.when(F.col("clear"), F.col("part")))
     reverse = fn.kmer(F.when(F.col("clear"), F.reverse(F.translate("part", "0123", "2301"))))
-    rows = rows.select(id_col, "start", "lead", "i", "clear", forward.alias("f"), reverse.alias("r"))
+    rows = rows.select(id_col, "start", "lead", "i", "clear", F.inline(F.array(F.struct(forward.alias("f"), reverse.alias("r")))))
     value, strand = fn.canonical(F.col("f"), F.col("r"))
-    return rows.select(id_col, "start", "lead", "i", "clear", fn.hash64(value, p.k).alias("hash"), strand.alias("str"))
+    rows = fn.with_hash(rows.select(id_col, "start", "lead", "i", "clear", value.alias("hash"), strand.alias("str")), "hash", p.k)
+    return rows.select(id_col, "start", "lead", "i", "clear", F.inline(F.array(F.struct("hash", "str"))))
 
 
 def minimizers_sql(seqs: DataFrame, p: IndexParams, id_col: str) -> DataFrame:

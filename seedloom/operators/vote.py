@@ -73,7 +73,7 @@ def vote_groups(anchors: DataFrame, p: MapParams) -> DataFrame:
             F.count(F.when(origin & (F.col("str") == s), 1)).alias(f"n{s}"), F.coalesce(F.max(F.when(origin & (F.col("str") == s), F.col("q"))), zero).alias(f"q{s}"), F.coalesce(F.max(F.when(origin & (F.col("str") == s), F.col("L"))), zero).alias(f"t{s}"))])
         both = F.array(*[F.struct(F.lit(s).alias("str"), F.col(f"n{s}").alias("n"), F.col(f"q{s}").alias("q_end"), F.col(f"t{s}").alias("t_end")) for s in (0, 1)])
         near = near.select("read_id", "len", F.explode(both).alias("g")).select(
-            "read_id", "len", "g.str", F.lit(-1).cast("bigint").alias("T"), zero.alias("q"), "g.n", zero.alias("q_start"), "g.q_end", F.least(zero, F.col("g.t_end")).alias("t_start"), "g.t_end", F.lit(0).alias("grp"))
+            "read_id", "len", "g.str", F.lit(-1).cast("bigint").alias("T"), zero.alias("q"), "g.n", zero.alias("q_start"), "g.q_end", zero.alias("t_start"), "g.t_end", F.lit(0).alias("grp"))
         groups = groups.unionByName(near)
     in_order = Window.partitionBy("read_id", "str").orderBy("grp")
     first = F.struct("T", "q", "str")
