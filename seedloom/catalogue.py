@@ -29,7 +29,7 @@ RARE = IndexParams(max_occ=10)
 LOOSE = MapParams(reject_ties=False)
 READS = o.sequences("reads", "benchmark", "item_id", "item")
 SELF = o.sequences("reads", "documents", "doc_id", "doc")
-TURNS = o.sequences("reads", "conversations", "conv_id * 1000 + turn", "turn")
+TURN = "conv_id * 1000 + turn"
 CAPACITY = 10_000
 
 
@@ -49,9 +49,9 @@ def documents_as_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_text(load(spark, sf_dir, "documents"), "doc_id", "text", "read_id", "doc")
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    return from_text(rows, "id", "text", "read_id", "turn")
+def turns(spark: SparkSession, sf_dir: str, id_name: str = "read_id") -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").withColumn("id", F.expr(TURN))
+    return from_text(rows, "id", "text", id_name, "turn")
 
 
 def big(df: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def q_encode(spark, d):
 
 
 def q_kmers(spark, d):
-    rows = kmers(targets(spark, d).select("chrom_id", "seq"), IndexParams(w=1), "chrom_id", 4096).filter("(lead = 0 or i > 0) and hash is not null")
+    rows = kmers(targets(spark, d).select("chrom_id", "seq"), IndexParams(w=1), "chrom_id").filter("(lead = 0 or i > 0) and hash is not null")
     return rows.groupBy("chrom_id").agg(F.count(F.lit(1)).alias("n"), F.sum("str").cast("bigint").alias("n_reverse"), F.min("hash").alias("least"), F.max("hash").alias("most"), F.sum("hash").alias("total"))
 
 
@@ -171,6 +171,12 @@ def mapped(reads, p: IndexParams, m: MapParams):
     return run
 
 
+def q_dialogue_hits(spark, d):
+    """Turns of conversations mapped onto turns of conversations."""
+    index, own = build_index(turns(spark, d, "chrom_id"), RARE), turns(spark, d)
+    return big(paf(map_reads(own, index, LOOSE), own, index))
+
+
 def q_mapq(spark, d):
     rows = mapped(documents_as_reads, RARE, LOOSE)(spark, d)
     return rows.filter("rank = 0").groupBy("mapq").agg(F.count(F.lit(1)).alias("n"))
@@ -243,11 +249,11 @@ def q_stream_map(spark, d):
 
 
 def queries() -> dict:
-    own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_mapq, q_mapq_zero,
+    own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_mapq, q_mapq_zero,
            q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map]
     return {f.__name__: f for f in own} | {
         "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
-        "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE), "q_near_dup_docs": mapped(documents_as_reads, RARE, LOOSE), "q_dialogue_hits": mapped(turns, DEFAULT, LOOSE),
+        "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE), "q_near_dup_docs": mapped(documents_as_reads, RARE, LOOSE),
         **{f"q_preset_{n}": mapped(items, *preset(n)) for n in ("ont", "hifi", "illumina")},
     }
 
@@ -291,7 +297,7 @@ def oracle_sql() -> dict:
         "q_coverage": o.query(self_map(LOOSE), group.format("covered")), "q_topk": o.query(self_map(LOOSE), record.format("top")), "q_fraction": o.query(self_map(LOOSE), record.format("records")), "q_tie_reject": o.query(self_map(MapParams()), record.format("records")),
         "q_mapq": o.query(self_map(LOOSE), "SELECT mapq, count(*) AS n FROM paf WHERE rank = 0 GROUP BY mapq"),
         "q_mapq_zero": o.query(self_map(LOOSE), "SELECT read_id, qname, tname, nmatch FROM paf WHERE rank = 0 AND mapq = 0"),
-        "q_paf": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_near_dup_docs": out(SELF, RARE, LOOSE), "q_dialogue_hits": out(TURNS, DEFAULT, LOOSE),
+        "q_paf": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_near_dup_docs": out(SELF, RARE, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, RARE, LOOSE)[2:]], "SELECT * FROM paf"),
         **{f"q_preset_{n}": out(READS, *preset(n)) for n in ("ont", "hifi", "illumina")},
         "q_batches": o.query([pack], "SELECT conv_id AS stream, read_id, len, batch FROM pack"),
         "q_hash_diff_hist": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT CAST((d // 1000) * 1000 + 500 AS BIGINT) AS bin, count(*) AS n FROM (SELECT hash - lag(hash) OVER (ORDER BY hash) AS d FROM (SELECT DISTINCT hash FROM s)) WHERE d IS NOT NULL GROUP BY 1"),

@@ -15,7 +15,7 @@ def bases(text: str, breaks: str = "") -> str:
 
 def sequences(name: str, table: str, id_col: str, prefix: str, breaks: str = "", text: str = "text") -> str:
     """CTE ``name`` (id, name, len, seq)."""
-    return f"{name} AS (SELECT id, name, length(seq) AS len, seq FROM (SELECT {id_col} AS id, '{prefix}' || {id_col} AS name, {bases(text, breaks)} AS seq FROM {table}))"
+    return f"{name} AS (SELECT id, name, length(seq) AS len, seq FROM (SELECT {id_col} AS id, '{prefix}' || ({id_col}) AS name, {bases(text, breaks)} AS seq FROM {table}))"
 
 
 def code(part: str, j: int) -> str:
