@@ -13,7 +13,7 @@ SYMBOLS = r"[#*$%&|<>]"
 #: Words in a repeated window; share of a text's words, in percent, that may lie in one; fewest words.
 WINDOW, MAX_REPEAT_PERCENT, MIN_WORDS = 8, 30, 20
 #: Statistics that rules may test, each a share or a mean of the base counts.
-FEATURES = ("word_length", "symbol_share", "bang_share", "upper_share", "repeat_share", "dup_line_share")
+FEATURES = ("word_length", "symbol_share", "stutter_share", "upper_share", "repeat_share", "dup_line_share")
 #: Thresholds a statistic is tested at: these quantiles among rejected and among accepted labelled rows.
 REJECTED_AT, ACCEPTED_AT = (0.05, 0.25, 0.5), (0.02, 0.5, 0.98, 0.998)
 #: A rule must be so precise on the rows held back for pruning, cover so many rows, and test so few statistics.
@@ -48,20 +48,20 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
 
     def counts(w: Column) -> Column:
-        return F.struct(F.size(w).cast("bigint").alias("n_words"), F.aggregate(w, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("word_chars"), repeated_words(w).cast("bigint").alias("n_repeat_words"))
+        return F.struct(F.size(w).cast("bigint").alias("n_words"), F.aggregate(w, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x)).alias("word_chars"), F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))).alias("n_stutter"), repeated_words(w).cast("bigint").alias("n_repeat_words"))
 
     dup = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"), F.size(x).alias("n")))
     out = docs.select(
         F.col(id_col).alias("id"), let(words, counts).alias("w"), dup.alias("l"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("n_upper"), F.regexp_count(text, F.lit("!")).alias("n_bang"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("n_upper"),
     )
-    return out.select("id", "w.n_words", "w.word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").alias("n_lines"), "n_upper", "n_bang")
+    return out.select("id", "w.n_words", "w.word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").alias("n_lines"), "n_upper", "w.n_stutter")
 
 
 def features(stats: DataFrame) -> DataFrame:
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     return stats.withColumns({
-        "word_length": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / chars, "bang_share": F.col("n_bang") / words,
+        "word_length": F.col("word_chars") / words, "symbol_share": F.col("n_symbols") / chars, "stutter_share": F.col("n_stutter") / words,
         "upper_share": F.col("n_upper") / chars, "repeat_share": F.col("n_repeat_words") / words, "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
     })
 
