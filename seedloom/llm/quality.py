@@ -17,7 +17,7 @@ FEATURES = ("word_length", "symbol_share", "stutter_share", "upper_share", "repe
 #: Thresholds a statistic is tested at: these quantiles among rejected and among accepted labelled rows.
 REJECTED_AT, ACCEPTED_AT = (0.05, 0.25, 0.5), (0.02, 0.5, 0.98, 0.998)
 #: A rule must be so precise on the rows held back for pruning, cover so many rows, and test so few statistics.
-MIN_PRECISION, MIN_COVER, MAX_TESTS, MAX_RULES = 0.9, 3, 4, 8
+MIN_PRECISION, MIN_COVER, MAX_TESTS, MAX_RULES = 0.97, 3, 4, 8
 
 
 def repeated_words(words: Column) -> Column:

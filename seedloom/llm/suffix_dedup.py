@@ -311,7 +311,8 @@ def merged(lists: DataFrame, n_shards: int) -> DataFrame:
 def cover(docs: DataFrame) -> DataFrame:
     """(doc, a, b): bytes a to b of a document lie in strings that also start earlier; runs may overlap."""
     found = stretches(docs)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # a table of its own, so that the join below may split a frequent anchor's rows
+    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "often")
     again = written(found.join(often, "h", "left_semi"), "stretches")
     kinds = written(again.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
     # stretches equal as a whole: all but the first are covered, and the first stands for them
