@@ -36,7 +36,7 @@ PIECE = 2 << 20
 #: Entries a task gathers before it hands them on.
 GATHER = 1_000_000
 #: Pairs aimed at in a file; entries of the vocabulary in a file; share of a file that one context may take before it is spread.
-FILE_PAIRS, FILE_VOCAB, SPREAD = 2_000_000, 1_000_000, 0.1
+FILE_PAIRS, FILE_VOCAB, SPREAD = 2_000_000, 250_000, 0.1
 END, BEGIN = np.uint64(0x1D8E4E27C47D124F), (1 << 32) - 1
 LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
