@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import sequence as fn
+from .functions.registry import register
 from .operators import evaluate
 from .operators.anchors import anchors
 from .operators.index import bucket_map, build_index, index_stats
@@ -177,6 +178,35 @@ def q_dialogue_hits(spark, d):
     return big(paf(map_reads(own, index, LOOSE), own, index))
 
 
+def q_sql_hash64(spark, d):
+    register(spark)
+    return load(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("o_orderkey"), *[F.expr(f"hash64_{k}(cast(o_orderkey as bigint))").alias(f"h{k}") for k in (15, 19, 21)])
+
+
+def q_minimizers_table(spark, d):
+    """The table function, called for each benchmark item."""
+    register(spark)
+    items(spark, d).createOrReplaceTempView("seedloom_items")
+    return big(spark.sql("SELECT read_id, m.hash, m.loc, m.str FROM seedloom_items, LATERAL minimizers(seq, 10, 15) m"))
+
+
+def q_long_reads(spark, d):
+    return big(documents_as_reads(spark, d).filter("len >= 1000").select("read_id", "name", "len"))
+
+
+def q_seeds_per_read(spark, d):
+    """Query positions of each read that meet the index."""
+    return anchors_of(documents_as_reads, RARE)(spark, d).groupBy("read_id").agg(F.count_distinct("q_loc").alias("n_seeds"))
+
+
+def q_speedup(spark, d):
+    """Average of each event type against that of views."""
+    rows = evaluate.phase_averages(load(spark, d, "events"), "event_type", F.round(F.col("value") * 1_000_000).cast("bigint"))
+    base = rows.filter("label = 'view'").select(F.col("avg_ms").alias("base"))
+    # the right side is one row
+    return rows.crossJoin(base).select("label", F.round(F.col("base") / F.col("avg_ms"), 6).alias("speedup"))
+
+
 def q_mapq(spark, d):
     rows = mapped(documents_as_reads, RARE, LOOSE)(spark, d)
     return rows.filter("rank = 0").groupBy("mapq").agg(F.count(F.lit(1)).alias("n"))
@@ -249,7 +279,7 @@ def q_stream_map(spark, d):
 
 
 def queries() -> dict:
-    own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_mapq, q_mapq_zero,
+    own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_sql_hash64, q_minimizers_table, q_long_reads, q_seeds_per_read, q_speedup, q_mapq, q_mapq_zero,
            q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map]
     return {f.__name__: f for f in own} | {
         "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
@@ -285,6 +315,11 @@ def oracle_sql() -> dict:
         "q_encode": o.query([dotted], "SELECT id AS chrom_id, CAST((ascii(b) & 15) >> 1 AS BIGINT) AS code, count(*) AS n FROM (SELECT id, unnest(string_split(seq, '')) AS b FROM targets WHERE len > 0) GROUP BY ALL"),
         "q_kmers": o.query([docs, *o.kmers("s", "targets", 15)], "SELECT id AS chrom_id, count(*) AS n, CAST(sum(z) AS BIGINT) AS n_reverse, min(h) AS least, max(h) AS most, CAST(sum(h) AS BIGINT) AS total FROM s_k WHERE clear AND NOT pal GROUP BY id"),
         "q_hash64": o.query(list(hashes.values()), "SELECT h15.o_orderkey, h15.h AS h15, h19.h AS h19, h21.h AS h21 FROM h15 JOIN h19 USING (o_orderkey) JOIN h21 USING (o_orderkey)"),
+        "q_sql_hash64": o.query(list(hashes.values()), "SELECT h15.o_orderkey, h15.h AS h15, h19.h AS h19, h21.h AS h21 FROM h15 JOIN h19 USING (o_orderkey) JOIN h21 USING (o_orderkey)"),
+        "q_minimizers_table": o.query([READS, *o.seeds("s", "reads", DEFAULT)], "SELECT id AS read_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
+        "q_long_reads": o.query([SELF], "SELECT id AS read_id, name, CAST(len AS BIGINT) AS len FROM reads WHERE len >= 1000"),
+        "q_seeds_per_read": o.query([docs, SELF, *o.anchors(RARE)], "SELECT read_id, count(DISTINCT q_loc) AS n_seeds FROM anchors GROUP BY read_id"),
+        "q_speedup": "WITH a AS (SELECT event_type AS label, avg(CAST(round(value * 1000000) AS BIGINT)) / 1000000 AS ms FROM events GROUP BY event_type) SELECT label, round((SELECT ms FROM a WHERE label = 'view') / ms, 6) AS speedup FROM a",
         "q_bucket_split": o.query([f"s AS ({o.hashed('lineitem', 'CAST(l_orderkey AS BIGINT)', 21, 'l_orderkey')})"], "SELECT DISTINCT h AS hash, h & 1073741823 AS bucket_id, h >> 30 AS seed_id FROM s"),
         "q_minimizers": seeds(DEFAULT), "q_minimizers_sql": seeds(DEFAULT), "q_minimizers_n": seeds(DEFAULT, dotted), "q_minimizers_right": seeds(IndexParams(ties="right")), "q_minimizers_even": seeds(IndexParams(w=3, k=4)),
         "q_index_keys": o.query(keys, "SELECT hash, id AS chrom_id, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM keys"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
@@ -42,17 +42,28 @@ def canonical(forward: Column, reverse: Column) -> tuple[Column, Column]:
     return F.when(~same, F.least(forward, reverse)), F.when(~same, (forward > reverse).cast("int"))
 
 
-def hash64(x: Column, k: int) -> Column:
-    """Invertible mix of a 2k-bit number. Left shifts are masked first, so that nothing overflows."""
+def hash_steps(k: int) -> list:
+    """Steps of an invertible mix of a 2k-bit number. Left shifts are masked first, so that nothing overflows."""
     mask = (1 << 2 * k) - 1
     left = lambda y, n: F.shiftleft(y.bitwiseAND(mask >> n), n)
-    x = (x.bitwiseXOR(mask) + left(x, 21)).bitwiseAND(mask)
-    x = x.bitwiseXOR(F.shiftright(x, 24))
-    x = (x * 265).bitwiseAND(mask)
-    x = x.bitwiseXOR(F.shiftright(x, 14))
-    x = (x * 21).bitwiseAND(mask)
-    x = x.bitwiseXOR(F.shiftright(x, 28))
-    return (x + left(x, 31)).bitwiseAND(mask)
+    return [
+        lambda x: (x.bitwiseXOR(mask) + left(x, 21)).bitwiseAND(mask), lambda x: x.bitwiseXOR(F.shiftright(x, 24)), lambda x: (x * 265).bitwiseAND(mask), lambda x: x.bitwiseXOR(F.shiftright(x, 14)),
+        lambda x: (x * 21).bitwiseAND(mask), lambda x: x.bitwiseXOR(F.shiftright(x, 28)), lambda x: (x + left(x, 31)).bitwiseAND(mask),
+    ]
+
+
+def hash64(x: Column, k: int) -> Column:
+    """Mix of a 2k-bit number as one expression, for plain columns: ``x`` is written out many times in it."""
+    for step in hash_steps(k):
+        x = step(x)
+    return x
+
+
+def with_hash(df: DataFrame, col: str, k: int) -> DataFrame:
+    """``df`` with the column mixed, a projection for each step, so that whatever made the column is evaluated once."""
+    for step in hash_steps(k):
+        df = df.withColumn(col, step(F.col(col)))
+    return df
 
 
 def bucket_id(h: Column, bits: int) -> Column:

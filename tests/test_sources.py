@@ -1,6 +1,6 @@
 import random
 
-from models import minimizers  # noqa: F401
+from models import minimizers
 from pyspark.sql import functions as F
 
 from seedloom.operators.index import build_index
@@ -68,3 +68,42 @@ def test_stream_and_paf(spark, tmp_path):
     write_paf(want, f"file://{tmp_path}/paf", 3)
     lines = "".join(p.read_text() for p in sorted((tmp_path / "paf").glob("part-*"))).splitlines()
     assert [x.split("\t")[0] for x in lines] == [f"r{i}" for i in range(12)]
+
+
+def test_sfi(spark, tmp_path):
+    """A file written by the layout, by hand, gives the index it was written from."""
+    import struct
+
+    rnd = random.Random(5)
+    targets = [(i, f"t{i}", 500, "".join(rnd.choice("ACGT") for _ in range(500))) for i in range(3)]
+    p = IndexParams(5, 9, 16, 20)
+    index = build_index(spark.createDataFrame(targets, "chrom_id int, name string, len int, seq string"), p)
+    keys = sorted((r.hash & 0xFFFF, r.hash >> 16, r.chrom_id, r.loc, r.str) for r in index.keys.collect())
+    ends, n = [], 0
+    for b in range(1 << 16):
+        while n < len(keys) and keys[n][0] <= b:
+            n += 1
+        ends.append(n)
+    data = b"ALOHA" + struct.pack("<5I", 5, 9, 16, 20, len(keys)) + struct.pack(f"<{1 << 16}I", *ends)
+    data += struct.pack(f"<{len(keys)}Q", *[loc | c << 32 | z << 42 | s << 43 for _, s, c, loc, z in keys])
+    data += struct.pack("<I", 3) + b"".join(bytes([len(name)]) + name.encode() + struct.pack("<I", size) for _, name, size, _ in targets)
+    (tmp_path / "x.sfi").write_bytes(data)
+    from seedloom.sources import sfi
+
+    for buckets in (1 << 22, 1000):
+        sfi.BUCKETS = buckets
+        got = sfi.read_sfi(spark, f"file://{tmp_path}/x.sfi")
+        assert got.params == p and sorted(map(tuple, got.keys.collect())) == sorted(map(tuple, index.keys.collect()))
+        assert sorted(map(tuple, got.targets.collect())) == [t[:3] for t in targets]
+
+
+def test_sql_functions(spark):
+    from seedloom.functions.registry import register
+    from seedloom.functions.sequence import hash64
+
+    register(spark)
+    rows = spark.range(50).withColumn("x", F.col("id") * 12345677)
+    assert rows.filter(F.expr("hash64_15(x)") != hash64(F.col("x"), 15)).count() == 0
+    seq = "".join(random.Random(6).choice("ACGTN") if i % 30 == 0 else random.Random(i).choice("ACGT") for i in range(300))
+    got = [tuple(r) for r in spark.sql(f"SELECT * FROM minimizers('{seq}', 4, 7)").collect()]
+    assert got == minimizers(seq, 4, 7)
