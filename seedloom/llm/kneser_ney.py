@@ -77,10 +77,9 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         h[live] = mixed(h[live] * np.uint64(0x9E3779B97F4A7C15) ^ bits)
     for i in np.flatnonzero(lengths > LONG_WORD):
         h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    counts = np.bincount(text, minlength=n)
+    counts = np.diff(np.searchsorted(starts, offsets))
     out = np.full(len(starts) + n, END, np.uint64)
-    out[np.arange(len(starts)) + text] = h
+    out[np.arange(len(starts)) + np.repeat(np.arange(n), counts)] = h
     return out, counts + 1
 
 

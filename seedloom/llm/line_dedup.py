@@ -33,10 +33,11 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
 class Lines:
     """Word sets of the lines of a piece of texts; lines without words are left out.
 
-    doc, line: place of each line; n, s: size and hash of its set; of, h: the words of all sets, by line.
+    doc, line: place of each line; n, s: size and hash of its set; of, h: the words of all sets, by
+    line and there by hash, or with a rarity table by code and hash.
     """
 
-    def __init__(self, docs: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+    def __init__(self, docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, table: np.ndarray | None = None) -> None:
         breaks = np.flatnonzero(data == 10) + 1
         full = offsets[:-1] < offsets[1:]
         starts = np.union1d(offsets[:-1][full], np.setdiff1d(breaks, offsets, assume_unique=False))
@@ -44,24 +45,37 @@ class Lines:
         of = np.repeat(np.arange(len(starts)), counts) if len(starts) else np.zeros(0, np.int64)
         word = hashes != END
         hashes, of = hashes[word], of[word]
-        order = np.lexsort((hashes, of))
-        hashes, of = hashes[order], of[order]
+        code = np.zeros(len(of), np.uint8) if table is None else table[hashes >> np.uint64(64 - COUNTER_BITS)]
+        order = self.sorted(of, code, hashes)
+        hashes, of, code = hashes[order], of[order], code[order]
         fresh = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.zeros(0, bool)
-        hashes, of = hashes[fresh], of[fresh]
-        kept, self.of, self.n = np.unique(of, return_inverse=True, return_counts=True)
-        self.h = hashes
-        self.first = np.cumsum(self.n) - self.n
-        self.s = mixed(np.add.reduceat(mixed(hashes), self.first) + self.n.astype(np.uint64)).view(np.int64) if len(kept) else np.zeros(0, np.int64)
+        self.h, of, self.code = hashes[fresh], of[fresh], code[fresh]
+        begins = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else np.zeros(0, np.int64)
+        kept, self.first = of[begins], begins
+        self.n = np.diff(np.concatenate((begins, [len(of)])))
+        self.of = np.repeat(np.arange(len(kept)), self.n)
+        self.s = mixed(np.add.reduceat(mixed(self.h), self.first) + self.n.astype(np.uint64)).view(np.int64) if len(kept) else np.zeros(0, np.int64)
         text = np.searchsorted(offsets, starts, side="right") - 1
         begin = np.searchsorted(starts, offsets[:-1])
         self.doc = docs[text[kept]]
         self.line = kept - begin[text[kept]]
 
+    @staticmethod
+    def sorted(of: np.ndarray, code: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Order by (of, code, h): by one 64-bit key, and by all three where that leaves a tie of different words or has no room."""
+        if len(of) and of[-1] < 1 << 24:
+            key = of.astype(np.uint64) << np.uint64(40) | code.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+            order = np.argsort(key)
+            key, own = key[order], h[order]
+            if not ((key[1:] == key[:-1]) & (own[1:] != own[:-1])).any():
+                return order
+        return np.lexsort((h, code, of))
 
-def line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[Lines]:
+
+def line_sets(batches: Iterator[pa.RecordBatch], table: np.ndarray | None = None) -> Iterator[Lines]:
     """Of batches of (doc, text)."""
     for rows, data, offsets in pieces(batches, 1, raw=True):
-        yield Lines(rows.column(0).to_numpy(), data, offsets)
+        yield Lines(rows.column(0).to_numpy(), data, offsets, table)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -107,7 +121,7 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for x in line_sets(batches):
+        for x in line_sets(batches, shared.value):
             if not len(x.s):
                 continue
             _, once = np.unique(x.s, return_index=True)
@@ -116,9 +130,7 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
             if len(seen) > REMEMBER:
                 seen.clear()
             seen.update(x.s[fresh].tolist())
-            code = shared.value[x.h >> np.uint64(64 - COUNTER_BITS)]
-            order = np.lexsort((x.h, code, x.of))
-            of, h, code = x.of[order], x.h[order], code[order]
+            of, h, code = x.of, x.h, x.code
             pos = np.arange(len(of)) - x.first[of]
             n = x.n[of]
             keep = fresh[of] & (code > 0) & (pos <= n - least_overlap(n))
