@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .kneser_ney import END, mixed, pieces, tokens
-from .suffix_dedup import among, numbered
+from .suffix_dedup import MAP_BITS, among, bit_map, numbered
 
 #: Jaccard similarity 4/5: overlap o of sizes a, b satisfies 9 o >= 4 (a + b).
 COUNTER_BITS = 24
@@ -78,27 +78,18 @@ def line_sets(batches: Iterator[pa.RecordBatch], table: np.ndarray | None = None
         yield Lines(rows.column(0).to_numpy(), data, offsets, table)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(s, doc, line) of every line with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in line_sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x.s), pa.array(x.doc), pa.array(x.line)], names=["s", "doc", "line"])
-
-    return docs.mapInArrow(run, "s bigint, doc bigint, line bigint")
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """By counter: 0 if one line counted into it, else 1 to 255 growing with the count's logarithm. 2^24 bytes, whatever the input."""
+def counted(docs: DataFrame) -> DataFrame:
+    """(line, a, b): for every line with a word (hash of its set, document, line); with line null, (counter, number of lines counted into it), once or more for a counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(n)], names=["line", "a", "b"])
 
         for x in line_sets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x.line), pa.array(x.s), pa.array(x.doc)], names=["line", "a", "b"])
             held.append((x.h >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
             size += len(x.h)
             if size > 4_000_000:
@@ -107,9 +98,14 @@ def rarity(docs: DataFrame) -> np.ndarray:
         if size:
             yield out()
 
-    counted = docs.mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    code = F.when(F.col("n") > 1, F.least(F.lit(255), F.greatest(F.lit(1), F.floor(F.log2("n") * 8)))).otherwise(0)
-    got = counted.filter("n > 1").select("k", code.cast("int").alias("code")).toArrow()
+    return docs.mapInArrow(run, "line bigint, a bigint, b bigint")
+
+
+def rarity(counters: DataFrame) -> np.ndarray:
+    """By counter: 0 if one line counted into it, else 1 to 255 growing with the count's logarithm. 2^24 bytes, whatever the input."""
+    sums = counters.groupBy(F.col("a").alias("k")).agg(F.sum("b").alias("n"))
+    code = F.least(F.lit(255), F.greatest(F.lit(1), F.floor(F.log2("n") * 8)))
+    got = sums.filter("n > 1").select(F.col("k").cast("int").alias("k"), code.cast("int").alias("code")).toArrow()
     table = np.zeros(1 << COUNTER_BITS, np.uint8)
     table[got["k"].to_numpy()] = got["code"].to_numpy()
     return table
@@ -146,40 +142,45 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """(s1, s2) of sets that may be similar: the smaller shares one of its shortest prefix with the prefix of the larger."""
     rows = rows.repartition("word").distinct()
-    left = rows.filter(F.col("pos") <= F.col("n") - F.floor((8 * F.col("n") + 8) / 9)).select("word", *[F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "bits0", "bits1")])
+    left = rows.select("word", *[F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "bits0", "bits1")])
     right = rows.select("word", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "pos", "bits0", "bits1")])
     both = F.col("n1") + F.col("n2")
     overlap = F.floor((4 * both + 8) / 9)
+    # part of the join's condition, so that both sides are one exchange and read the texts once
+    short = F.col("pos1") + F.least("n2", F.lit(0)) <= F.col("n1") - F.floor((8 * F.col("n1") + 8) / 9)
     near = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     near &= 5 * F.col("n1") >= 4 * F.col("n2")
     near &= 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 >= overlap
     near &= F.bit_count(F.col("bits01").bitwiseXOR(F.col("bits02"))) + F.bit_count(F.col("bits11").bitwiseXOR(F.col("bits12"))) <= both - 2 * overlap
-    return left.join(right, (left["word"] == right["word"]) & near).select("s1", "s2").distinct()
+    return left.join(right, (left["word"] == right["word"]) & short & near).select("s1", "s2").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, words) of the sets in ``wanted`` (doc: a set's hash), and maybe of some others; a set may come more than once."""
+    """(s, words) of the sets in ``wanted`` (s), and maybe of some others; a set may come more than once. A bit map of fixed size picks them."""
+    table = docs.sparkSession.sparkContext.broadcast(bit_map(wanted, F.pmod("s", F.lit(MAP_BITS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for x in line_sets(batches):
-            pick = [i for i, s in enumerate(x.s.tolist()) if s not in seen]
+            bit = x.s & (MAP_BITS - 1)
+            pick = [i for i in np.flatnonzero(table.value[bit >> 6] >> (bit & 63) & 1).tolist() if int(x.s[i]) not in seen]
             if len(seen) > REMEMBER:
                 seen.clear()
             seen.update(x.s[pick].tolist())
             words = [x.h[x.first[i] : x.first[i] + x.n[i]].view(np.int64) for i in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(x.s[pick]), pa.array(words, pa.list_(pa.int64()))], names=["doc", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(x.s[pick]), pa.array(words, pa.list_(pa.int64()))], names=["s", "words"])
 
-    return among(docs.mapInArrow(run, "doc bigint, words array<bigint>").select("words", "doc"), wanted)[0].select(F.col("doc").alias("s"), "words")
+    return docs.mapInArrow(run, "s bigint, words array<bigint>")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines to remove, of documents (doc, text)."""
     docs = docs.select("doc", F.col("text").cast("binary").alias("text"))
-    lines = written(occurrences(docs), "lines")
+    seen = written(counted(docs), "lines")
+    lines = seen.filter("line is not null").select(F.col("a").alias("s"), F.col("b").alias("doc"), "line")
     kinds = written(lines.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first")), "kinds")
-    links = written(candidates(prefixes(docs, rarity(docs))), "links")
-    ends = links.select(F.col("s1").alias("doc")).union(links.select("s2"))
+    links = written(candidates(prefixes(docs, rarity(seen.filter("line is null")))), "links")
+    ends = links.select(F.col("s1").alias("s")).union(links.select("s2"))
     sets = written(sets_of(docs, ends).dropDuplicates(["s"]), "sets")
     pairs = links.join(sets.select(F.col("s").alias("a"), F.col("words").alias("words1")), F.col("s1") == F.col("a"))
     pairs = pairs.join(sets.select(F.col("s").alias("b"), F.col("words").alias("words2")), F.col("s2") == F.col("b"))

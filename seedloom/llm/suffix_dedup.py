@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -226,13 +226,18 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.join(numbers, F.col("id").eqNullSafe(F.col("nid")) & (F.col("m") == F.col("nm"))).select("id", "doc", "text")
 
 
+def bit_map(rows: DataFrame, bit: Column) -> np.ndarray:
+    """Words of a map of ``MAP_BITS`` bits, with those set that the rows name."""
+    words = rows.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(MAP_BITS // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table
+
+
 def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` in two: the rows whose doc is in ``ids`` with some others, and rows that are not in it for certain. A bit map of fixed size parts them, so that fewer texts are shuffled by the join that follows."""
     bit = F.pmod(F.xxhash64("doc"), F.lit(MAP_BITS))
-    words = ids.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
-    table = np.zeros(MAP_BITS // 64, np.int64)
-    table[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, bit))
 
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
