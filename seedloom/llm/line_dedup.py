@@ -21,6 +21,8 @@ from .suffix_dedup import MAP_BITS, among, bit_map, numbered
 
 #: Jaccard similarity 4/5: overlap o of sizes a, b satisfies 9 o >= 4 (a + b).
 COUNTER_BITS = 24
+#: Groups of more sets than this, which share a smallest word hash, are drained before the join.
+CROWD, KEYS = 50, 3
 #: Sets that a task remembers having handed on.
 REMEMBER = 500_000
 
@@ -78,18 +80,31 @@ def line_sets(batches: Iterator[pa.RecordBatch], table: np.ndarray | None = None
         yield Lines(rows.column(0).to_numpy(), data, offsets, table)
 
 
+def flagged(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[tuple[Lines, np.ndarray]]:
+    """Lines of batches of (doc, text, done), and which of them are in their document's list."""
+    for rows, data, offsets in pieces(batches, 1, raw=True):
+        x = Lines(rows.column(0).to_numpy(), data, offsets, table)
+        flag = np.zeros(len(x.s), bool)
+        for doc, done in zip(rows.column(0).to_pylist(), rows.column(2), strict=True):
+            if done.is_valid:
+                flag |= (x.doc == doc) & np.isin(x.line, done.values.to_numpy())
+        yield x, flag
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """(line, a, b): for every line with a word (hash of its set, document, line); with line null, (counter, number of lines counted into it), once or more for a counter."""
+    """(line, a, b, keys): for every line with a word (hash of its set, document, line) and the smallest of its words under ``KEYS`` hashes; with line null, (counter, number of lines counted into it), once or more for a counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(n)], names=["line", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(n), pa.nulls(len(k), pa.list_(pa.int64()))], names=["line", "a", "b", "keys"])
 
         for x in line_sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(x.line), pa.array(x.s), pa.array(x.doc)], names=["line", "a", "b"])
+            least = [np.minimum.reduceat(mixed(x.h + np.uint64(j)), x.first).view(np.int64) if len(x.s) else x.s for j in range(1, KEYS + 1)]
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(least, axis=1).ravel()), KEYS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x.line), pa.array(x.s), pa.array(x.doc), keys], names=["line", "a", "b", "keys"])
             held.append((x.h >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
             size += len(x.h)
             if size > 4_000_000:
@@ -98,7 +113,7 @@ def counted(docs: DataFrame) -> DataFrame:
         if size:
             yield out()
 
-    return docs.mapInArrow(run, "line bigint, a bigint, b bigint")
+    return docs.mapInArrow(run, "line bigint, a bigint, b bigint, keys array<bigint>")
 
 
 def rarity(counters: DataFrame) -> np.ndarray:
@@ -112,12 +127,12 @@ def rarity(counters: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, s, n, pos, bits0, bits1): the rarest words of each set, as far as a similar set must share one; words of one line only are passed over."""
+    """(word, s, n, pos, bits0, bits1, drained): the rarest words of each set, as far as a similar set must share one; words of one line only are passed over. ``docs`` (doc, text, done): done are the lines whose sets are known to go."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for x in line_sets(batches, shared.value):
+        for x, done in flagged(batches, shared.value):
             if not len(x.s):
                 continue
             _, once = np.unique(x.s, return_index=True)
@@ -134,21 +149,22 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
             side = (x.h >> np.uint64(6) & np.uint64(1)).astype(bool)
             bits = [np.bitwise_xor.reduceat(np.where(side == b, bit, np.uint64(0)), x.first).view(np.int64) for b in (False, True)]
             of = of[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(x.s[of]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(bits[0][of]), pa.array(bits[1][of])], names=["word", "s", "n", "pos", "bits0", "bits1"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(x.s[of]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(bits[0][of]), pa.array(bits[1][of]), pa.array(done[of])], names=["word", "s", "n", "pos", "bits0", "bits1", "drained"])
 
-    return docs.mapInArrow(run, "word bigint, s bigint, n int, pos int, bits0 bigint, bits1 bigint")
+    return docs.mapInArrow(run, "word bigint, s bigint, n int, pos int, bits0 bigint, bits1 bigint, drained boolean")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(s1, s2) of sets that may be similar: the smaller shares one of its shortest prefix with the prefix of the larger."""
     rows = rows.repartition("word").distinct()
-    left = rows.select("word", *[F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "bits0", "bits1")])
-    right = rows.select("word", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "pos", "bits0", "bits1")])
+    left = rows.select("word", *[F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "bits0", "bits1", "drained")])
+    right = rows.select("word", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "pos", "bits0", "bits1", "drained")])
     both = F.col("n1") + F.col("n2")
     overlap = F.floor((4 * both + 8) / 9)
     # part of the join's condition, so that both sides are one exchange and read the texts once
     short = F.col("pos1") + F.least("n2", F.lit(0)) <= F.col("n1") - F.floor((8 * F.col("n1") + 8) / 9)
     near = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
+    near &= ~(F.col("drained1") & F.col("drained2"))
     near &= 5 * F.col("n1") >= 4 * F.col("n2")
     near &= 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 >= overlap
     near &= F.bit_count(F.col("bits01").bitwiseXOR(F.col("bits02"))) + F.bit_count(F.col("bits11").bitwiseXOR(F.col("bits12"))) <= both - 2 * overlap
@@ -173,21 +189,47 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "s bigint, words array<bigint>")
 
 
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (s1, s2) whose sets are similar."""
+    pairs = pairs.join(sets.select(F.col("s").alias("a"), F.col("words").alias("words1")), F.col("s1") == F.col("a"))
+    pairs = pairs.join(sets.select(F.col("s").alias("b"), F.col("words").alias("words2")), F.col("s2") == F.col("b"))
+    return pairs.withColumn("o", F.size(F.array_intersect("words1", "words2"))).filter(9 * F.col("o") >= 4 * (F.size("words1") + F.size("words2"))).select("s1", "s2")
+
+
+def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(s): sets of crowds that are similar to their crowd's earliest, and so go, whatever else they are similar to.
+
+    A crowd is more than ``CROWD`` sets with the same smallest word under one of the hashes. A near
+    copy shares each with a probability of its similarity at least. The join need not pair two of these.
+    """
+    keyed = kinds.select("s", "first", F.explode("keys").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select(F.col("key").alias("crowd"))
+    members = written(keyed.join(crowds, F.col("key") == F.col("crowd")).select("crowd", "s", "first"), "members")
+    heads = written(members.groupBy("crowd").agg(F.min(F.struct("first", "s"))["s"].alias("s1")).select(F.col("crowd").alias("of"), "s1"), "heads")
+    pairs = written(members.join(heads, F.col("crowd") == F.col("of")).filter("s <> s1").select("s1", F.col("s").alias("s2")).distinct(), "stars")
+    near = among(docs.select("text", "doc"), members.select("first.doc"))[0].select("doc", "text")
+    sets = written(sets_of(near, members.select("s")).dropDuplicates(["s"]), "crowded")
+    return verified(pairs, sets).select(F.col("s2").alias("s")).distinct()
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines to remove, of documents (doc, text)."""
     docs = docs.select("doc", F.col("text").cast("binary").alias("text"))
     seen = written(counted(docs), "lines")
     lines = seen.filter("line is not null").select(F.col("a").alias("s"), F.col("b").alias("doc"), "line")
-    kinds = written(lines.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first")), "kinds")
-    links = written(candidates(prefixes(docs, rarity(seen.filter("line is null")))), "links")
-    ends = links.select(F.col("s1").alias("s")).union(links.select("s2"))
-    sets = written(sets_of(docs, ends).dropDuplicates(["s"]), "sets")
-    pairs = links.join(sets.select(F.col("s").alias("a"), F.col("words").alias("words1")), F.col("s1") == F.col("a"))
-    pairs = pairs.join(sets.select(F.col("s").alias("b"), F.col("words").alias("words2")), F.col("s2") == F.col("b"))
-    pairs = pairs.withColumn("o", F.size(F.array_intersect("words1", "words2"))).filter(9 * F.col("o") >= 4 * (F.size("words1") + F.size("words2"))).select("s1", "s2")
+    kinds = seen.filter("line is not null").groupBy(F.col("a").alias("s")).agg(F.min(F.struct(F.col("b").alias("doc"), "line")).alias("first"), F.first("keys").alias("keys"))
+    kinds = written(kinds, "kinds")
+    gone = written(drained(docs, kinds), "drained")
+    lists = written(lines.join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g")).groupBy("doc").agg(F.collect_list("line").alias("done")), "done")
+    have, rest = among(docs.select("text", "doc"), lists.select("doc"))
+    have = have.join(lists.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("doc", "text", "done")
+    marked = have.union(rest.select("doc", "text", F.lit(None).cast("array<bigint>")))
+    links = written(candidates(prefixes(marked, rarity(seen.filter("line is null")))), "links")
+    sets = written(sets_of(docs, links.select(F.col("s1").alias("s")).union(links.select("s2"))).dropDuplicates(["s"]), "sets")
+    pairs = verified(links, sets)
     first = lambda k: kinds.select(F.col("s").alias(f"k{k}"), F.col("first").alias(f"first{k}"))
     late = pairs.join(first(1), F.col("s1") == F.col("k1")).join(first(2), F.col("s2") == F.col("k2"))
-    late = late.select(F.when(F.col("first1") < F.col("first2"), F.col("s2")).otherwise(F.col("s1")).alias("late")).distinct()
+    late = late.select(F.when(F.col("first1") < F.col("first2"), F.col("s2")).otherwise(F.col("s1")).alias("late")).union(gone).distinct()
     known = kinds.join(late, F.col("s") == F.col("late"), "left").select(F.col("s").alias("k"), "first", F.col("late").isNotNull().alias("gone"))
     return lines.join(known, F.col("s") == F.col("k")).filter(F.col("gone") | (F.struct("doc", "line") != F.col("first"))).select("doc", "line").distinct()
 
