@@ -21,8 +21,8 @@ from .suffix_dedup import MAP_BITS, among, bit_map, numbered
 
 #: Jaccard similarity 4/5: overlap o of sizes a, b satisfies 9 o >= 4 (a + b).
 COUNTER_BITS = 24
-#: Groups of more sets than this, which share a smallest word hash, are drained before the join.
-CROWD, KEYS = 50, 3
+#: Groups of more sets than this, which share a key, are drained before the join; keys of a set; smallest words in a key.
+CROWD, KEYS, KEY_WORDS = 50, 3, 4
 #: Sets that a task remembers having handed on.
 REMEMBER = 500_000
 
@@ -92,7 +92,7 @@ def flagged(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[tu
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(line, a, b, keys): for every line with a word (hash of its set, document, line) and the smallest of its words under ``KEYS`` hashes; with line null, (counter, number of lines counted into it), once or more for a counter."""
+    """(line, a, b, keys): for every line with a word (hash of its set, document, line) and ``KEYS`` keys, each of the smallest words under ``KEY_WORDS`` hashes; with line null, (counter, number of lines counted into it), once or more for a counter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -102,7 +102,12 @@ def counted(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(n), pa.nulls(len(k), pa.list_(pa.int64()))], names=["line", "a", "b", "keys"])
 
         for x in line_sets(batches):
-            least = [np.minimum.reduceat(mixed(x.h + np.uint64(j)), x.first).view(np.int64) if len(x.s) else x.s for j in range(1, KEYS + 1)]
+            least = []
+            for j in range(KEYS):
+                key = np.full(len(x.s), j, np.uint64)
+                for i in range(KEY_WORDS if len(x.s) else 0):
+                    key = mixed(key ^ np.minimum.reduceat((x.h ^ (x.h >> np.uint64(31))) * np.uint64(2 * (j * KEY_WORDS + i) * 0x9E3779B97F4A7C15 + 1 & 0xFFFFFFFFFFFFFFFF), x.first))
+                least.append(key.view(np.int64))
             keys = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(least, axis=1).ravel()), KEYS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(x.line), pa.array(x.s), pa.array(x.doc), keys], names=["line", "a", "b", "keys"])
             held.append((x.h >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
@@ -199,8 +204,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     """(s): sets of crowds that are similar to their crowd's earliest, and so go, whatever else they are similar to.
 
-    A crowd is more than ``CROWD`` sets with the same smallest word under one of the hashes. A near
-    copy shares each with a probability of its similarity at least. The join need not pair two of these.
+    A crowd is more than ``CROWD`` sets with a key in common. Several smallest words make a key, as
+    frequent words alone would make crowds of unlike lines; several keys make it likely that near
+    copies share one. The join need not pair two drained sets; all other pairs it meets as before.
     """
     keyed = kinds.select("s", "first", F.explode("keys").alias("key"))
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select(F.col("key").alias("crowd"))
