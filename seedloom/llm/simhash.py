@@ -137,9 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     found = components(links(fps.select("fp").distinct()).distinct())
     member = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
-    member = written(member, "members")
-    least = written(member.groupBy("root").agg(F.min("rep").alias("least")), "least")
-    of = written(member.join(least, "root").select(F.col("fp").alias("__fp"), "least"), "of")
+    least = member.groupBy("root").agg(F.min("rep").alias("least"))
+    of = member.join(least, "root").select(F.col("fp").alias("__fp"), "least")
     return fps.join(of, F.col("fp") == F.col("__fp")).select(F.col("id").alias(id_col), "fp", F.col("least").alias("component"))
 
 
