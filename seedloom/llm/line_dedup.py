@@ -24,7 +24,7 @@ COUNTER_BITS = 24
 #: Groups of more sets than this, which share a key, are drained before the join; keys of a set; smallest words in a key.
 CROWD, KEYS, KEY_WORDS = 50, 3, 4
 #: Sets that a task remembers having handed on.
-REMEMBER = 500_000
+REMEMBER = 100_000
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
