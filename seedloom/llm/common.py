@@ -18,6 +18,11 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def text_key(text: Column) -> Column:
+    """A text's name of 128 bits, for joins that go back to rows: ids may repeat or be null. Null texts have one of their own."""
+    return F.coalesce(F.md5(text), F.lit("null"))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

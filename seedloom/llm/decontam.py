@@ -110,20 +110,22 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     Up to ``broadcast_rows`` benchmark fingerprints are broadcast and documents are read once;
     beyond it fingerprints meet in a shuffle join and documents are read again for the extension.
     """
+    per = by_text(docs, bench, id_col, text_col, item_id, item_text, broadcast_rows)
+    return per.select(F.col("id").alias(id_col), F.col("n_words").cast("bigint"), F.col("n_hit").cast("bigint"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def by_text(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_FINGERPRINTS) -> DataFrame:
+    """(id, key, n_words, copies, n_hit, items): a row for each id and text, with the text's hash."""
     fps = benchmark_fingerprints(bench, item_id, item_text)
     spans = sorted({SPAN, *[r[0] for r in fps.select("item_span").distinct().collect()]})
     small = fps.count() <= broadcast_rows
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), word_hashes(F.col(text_col)).alias("words")).withColumn("n", F.size("words"))
     runs = reduce(DataFrame.union, [hits(base, fps, s, small, s == SPAN) for s in spans])
     words = runs.select("id", "key", "n", "i", "item", F.explode(F.when(F.col("i") < 0, F.array(F.lit(-1))).otherwise(F.sequence("a", "b"))).alias("word"))
-    per = words.groupBy("id", "key").agg(F.first("n").alias("n_words"), F.count(F.when(F.col("i") < 0, 1)).alias("copies"), F.size(F.collect_set(F.when(F.col("word") >= 0, F.col("word")))).alias("n_hit"), F.sort_array(F.collect_set(F.when(F.col("i") >= 0, F.col("item").cast("string")))).alias("items"))
-    return per.select(F.col("id").alias(id_col), F.col("n_words").cast("bigint"), F.col("n_hit").cast("bigint"), "items", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
+    return words.groupBy("id", "key").agg(F.first("n").alias("n_words"), F.count(F.when(F.col("i") < 0, 1)).alias("copies"), F.size(F.collect_set(F.when(F.col("word") >= 0, F.col("word")))).alias("n_hit"), F.sort_array(F.collect_set(F.when(F.col("i") >= 0, F.col("item").cast("string")))).alias("items"))
 
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.0) -> DataFrame:
-    """The documents with at most ``max_share`` of their words hit, with their columns.
-
-    A null id keeps its row only where no row without an id is hit.
-    """
-    bad = decontaminate(docs, bench, id_col, text_col).filter(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents with at most ``max_share`` of their words hit, with their columns. Each row is judged by its own text, whatever rows share its id."""
+    bad = by_text(docs, bench, id_col, text_col).filter(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("id").alias("__bad"), F.col("key").alias("__key"))
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")

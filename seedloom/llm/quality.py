@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, text_key, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -42,7 +42,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and what ``FEATURES`` need. Null texts have no words."""
+    """id, key (of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and what ``FEATURES`` need. Null texts have no words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, WORD_GAP), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -52,10 +52,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     dup = let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"), F.size(x).alias("n")))
     out = docs.select(
-        F.col(id_col).alias("id"), let(words, counts).alias("w"), dup.alias("l"),
+        F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), let(words, counts).alias("w"), dup.alias("l"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("n_upper"),
     )
-    return out.select("id", "w.n_words", "w.word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").alias("n_lines"), "n_upper", "w.n_stutter")
+    return out.select("id", "key", "w.n_words", "w.word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").alias("n_lines"), "n_upper", "w.n_stutter")
 
 
 def features(stats: DataFrame) -> DataFrame:
@@ -142,6 +142,14 @@ def verdict(rules: list[list[tuple[str, str, float]]]) -> Column:
     return out
 
 
+def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
+    """The statistics of each document with base_failed and rule (0: none), by rules learned from the labels."""
+    stats = written(features(statistics(docs, id_col, text_col)), "statistics")
+    known = labels.select(F.col(label_id).alias("id"), (F.col(label) == 0).cast("int").alias("bad")).filter("id is not null and bad is not null")
+    rules = learn(stats.join(known, "id").filter(~base_failed()))
+    return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label: str = "quality") -> DataFrame:
     """Per document: id, base counts, base_failed, rule (0: none), kept.
 
@@ -150,14 +158,11 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     base rules reject. Null and empty texts have no words and fail the base. Each row of ``docs``
     gives a row; other columns are not read.
     """
-    stats = written(features(statistics(docs, id_col, text_col)), "statistics")
-    known = labels.select(F.col(label_id).alias("id"), (F.col(label) == 0).cast("int").alias("bad")).filter("id is not null and bad is not null")
-    rules = learn(stats.join(known, "id").filter(~base_failed()))
-    return stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules)).select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", (~F.col("base_failed") & (F.col("rule") == 0)).alias("kept"))
+    rows = judged(docs, labels, id_col, text_col, label_id, label)
+    return rows.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that ``judge`` keeps, with their columns. Rows that share an id all go if one is rejected."""
-    bad = judge(docs, labels, id_col, text_col).filter("not kept").select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+    """The documents that ``judge`` keeps, with their columns. Each row is judged by its own text, whatever rows share its id."""
+    bad = judged(docs, labels, id_col, text_col).filter("not kept").select(F.col("id").alias("__bad"), F.col("key").alias("__key")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & (text_key(docs[text_col]) == F.col("__key")), "left_anti")

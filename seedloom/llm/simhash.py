@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, written
+from .common import LOWER_BYTES, components, text_key, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (lowest bit, bits) of the segments.
@@ -51,16 +51,17 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(id, fp): the fingerprint as a signed 64-bit number; ``more`` columns follow as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([simhash(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names=["id", "fp", *batch.schema.names[2:]])
 
-    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return cols.mapInArrow(run, f"id {cols.schema['id'].dataType.simpleString()}, fp bigint")
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), *more)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in cols.schema.fields]
+    return cols.mapInArrow(run, ", ".join([kinds[0], "fp bigint", *kinds[2:]]))
 
 
 def syndromes(words: np.ndarray) -> np.ndarray:
@@ -125,6 +126,13 @@ def links(distinct: DataFrame) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & near & (F.col("src") < F.col("dst"))).select("src", "dst")
 
 
+def members(fps: DataFrame, rep: Column) -> DataFrame:
+    """(fp, rep, root): distinct fingerprints with ``rep`` over their rows and their component's smallest fingerprint."""
+    classes = fps.groupBy("fp").agg(rep.alias("rep"))
+    found = components(links(fps.select("fp").distinct()).distinct())
+    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, fp (signed), component: the smallest id reachable over fingerprints at most four bits apart.
 
@@ -134,9 +142,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, null if there is none. Repeated rows give a row each; other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    found = components(links(fps.select("fp").distinct()).distinct())
-    member = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    member = members(fps, F.min("id"))
     least = member.groupBy("root").agg(F.min("rep").alias("least"))
     of = member.join(least, "root").select(F.col("fp").alias("__fp"), "least")
     return fps.join(of, F.col("fp") == F.col("__fp")).select(F.col("id").alias(id_col), "fp", F.col("least").alias("component"))
@@ -146,8 +152,20 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with its columns: the row with the smallest id, null last, then the smallest text key; of rows alike in both, the one whose columns hash to the least."""
+    fps = written(fingerprints(docs, id_col, text_col, text_key(F.col(text_col)).alias("key")), "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    keep = members(fps, F.min(first)).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__keep"), F.col("rep.key").alias("__key"))
+    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")) & (text_key(docs[text_col]) == F.col("__key")), "left_semi")
+    order = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    one = kept.groupBy(F.col(id_col).alias("__id"), text_key(F.col(text_col)).alias("__key")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
+    return one.select("__row.*")
+
+
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with its columns: the one with the smallest id, one row of it where ids repeat, and all rows without an id."""
-    keep = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("__keep")).distinct()
-    once = docs.filter(F.col(id_col).isNotNull()).join(keep, docs[id_col] == F.col("__keep"), "left_semi").dropDuplicates([id_col])
-    return once.union(docs.filter(F.col(id_col).isNull()))
+    """``one_of_each``, for tables whose ids name documents: of an id that stays with several texts, the row with the smallest text key."""
+    rows = one_of_each(docs, id_col, text_col)
+    some, none = rows.filter(F.col(id_col).isNotNull()), rows.filter(F.col(id_col).isNull())
+    one = some.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), text_key(F.col(text_col))).alias("__row"))
+    return one.select("__row.*").union(none)

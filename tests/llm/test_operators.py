@@ -196,3 +196,18 @@ def test_pipeline(spark, tmp_path):
         sizes.append(docs.count())
         assert name == corpus_pipeline.STAGES[-1][0] or docs.columns == cols
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0 and len(set(sizes)) >= 4
+
+
+def test_rows_are_judged_not_ids(spark, frame):
+    """Rows that share an id, or have none, go or stay each by its own text."""
+    rnd = random.Random(4)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    a, b, c, d, leak = (text() for _ in range(5))
+    rows = [(None, "short"), (None, a), (None, b), (1, "short"), (1, c), (2, d), (2, leak), (None, leak)]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    ordered = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert ordered(quality.accepted(frame(rows), labels)) == sorted([r for r in rows if r[1] != "short"], key=str)
+    bench = spark.createDataFrame([(1, " ".join(leak.split()[5:20]))], "item_id bigint, text string")
+    assert ordered(decontam.clean(frame(rows), bench)) == sorted([r for r in rows if r[1] != leak], key=str)
+    once = simhash.one_of_each(frame([(None, a), (None, a), (None, b), (1, c), (1, d), (1, d), (7, c), (None, d)]))
+    assert once.columns == frame(rows).columns and ordered(once) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
