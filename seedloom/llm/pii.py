@@ -17,6 +17,8 @@ from .common import let, written
 
 KEY = "seedloom"
 MAX_ATTEMPTS = 30
+#: A name gets one syllable more every so many attempts, so that there are more names than any input has.
+LONGER_EVERY = 3
 
 #: Titles by gender, in the languages of the corpus and two other scripts.
 MALE = "Mr|Mister|Sir|Herr|Señor|Don|Monsieur|господин|г-н|κύριος"
@@ -102,12 +104,16 @@ def luhn(body: Column) -> Column:
     return F.pmod(-F.aggregate(each, F.lit(0), lambda a, x: a + x), F.lit(10)).cast("string")
 
 
-def name(value: Column, gender_: Column, digest: Column) -> Column:
+def name(value: Column, gender_: Column, digest: Column, attempt: Column) -> Column:
+    extra = F.floor(attempt / LONGER_EVERY).cast("int")
+
     def made(of: str) -> Column:
         body, male, female = SYLLABLES[of]
-        syllable = lambda from_, i: F.get(F.array(*map(F.lit, from_)), number(digest, F.lit(i)) % len(from_))
+        at = lambda from_, i: F.get(F.array(*map(F.lit, from_)), number(digest, i) % len(from_))
+        syllable = lambda from_, i: at(from_, F.lit(i))
+        longer = F.when(extra < 1, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: at(body, i * 2 + 9)), ""))
         end = F.when(gender_ == "f", syllable(female, 9)).when(gender_ == "m", syllable(male, 9)).otherwise(syllable(male + female, 9))
-        return F.initcap(F.concat(syllable(body, 0), syllable(body, 3), F.when(number(digest, F.lit(6)) % 2 == 0, syllable(body, 7)).otherwise(""), end))
+        return F.initcap(F.concat(syllable(body, 0), syllable(body, 3), F.when(number(digest, F.lit(6)) % 2 == 0, syllable(body, 7)).otherwise(""), longer, end))
 
     sc = script(value)
     return F.when(sc == "cyrillic", made("cyrillic")).when(sc == "greek", made("greek")).otherwise(made("latin"))
@@ -129,7 +135,7 @@ def surrogate(kind: Column, value: Column, gender_: Column, attempt: Column, key
             .when(kind == "phone", F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(mixed_, F.lit(2))))
             .when(kind == "iban", F.concat(F.substr(value, F.lit(1), F.lit(2)), F.substr(mixed_, F.lit(3))))
             .when(kind == "email", mail)
-            .when(kind.isin("given", "family"), name(value, gender_, d))
+            .when(kind.isin("given", "family"), name(value, gender_, d, attempt))
             .otherwise(mixed_)
         )
 
@@ -139,7 +145,7 @@ def surrogate(kind: Column, value: Column, gender_: Column, attempt: Column, key
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, gender, new): a replacement for each entity (kind, value, gender), different from all others' and from every value in the texts.
 
-    In each round entities without one propose; of those proposing the same the smallest wins if nobody holds it. Values of too few forms (a secret of one digit) may run out; they keep their last proposal, marked by a sign.
+    In each round entities without one propose; of those proposing the same the smallest wins if nobody holds it. Names grow with the rounds and do not run out. Values whose format has too few forms (a secret of one digit) may; they get a hash, marked by a sign.
     """
     values = written(entities.select(F.lower("value").alias("taken")).distinct(), "values")
     open_, held = entities, None

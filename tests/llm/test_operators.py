@@ -211,3 +211,14 @@ def test_rows_are_judged_not_ids(spark, frame):
     assert ordered(decontam.clean(frame(rows), bench)) == sorted([r for r in rows if r[1] != leak], key=str)
     once = simhash.one_of_each(frame([(None, a), (None, a), (None, b), (1, c), (1, d), (1, d), (7, c), (None, d)]))
     assert once.columns == frame(rows).columns and ordered(once) == sorted([(None, a), (None, b), (1, c), (1, d)], key=str)
+
+
+def test_names_do_not_run_out(spark, monkeypatch):
+    """More names than the shortest forms can tell apart still get names, of their script and gender."""
+    monkeypatch.setattr(pii, "SYLLABLES", {k: (body[:4], male[:2], female[:2]) for k, (body, male, female) in pii.SYLLABLES.items()})
+    rows = [(k, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}", g) for i in range(200) for k, g in (("given", "f"), ("given", "m"), ("family", ""))]
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, value string, gender string"), "k").collect()
+    assert len({r.new.lower() for r in got}) == len(rows) == len(got)
+    assert all(r.new.isalpha() and r.new.istitle() for r in got)
+    _, male, female = pii.SYLLABLES["latin"]
+    assert all(r.new.endswith(tuple({"f": female, "m": male}.get(r.gender, male + female))) for r in got)
