@@ -222,3 +222,18 @@ def test_names_do_not_run_out(spark, monkeypatch):
     assert all(r.new.isalpha() and r.new.istitle() for r in got)
     _, male, female = pii.SYLLABLES["latin"]
     assert all(r.new.endswith(tuple({"f": female, "m": male}.get(r.gender, male + female))) for r in got)
+
+
+def test_small_groups_stay_whole_beside_a_hot_one(frame):
+    """A group of a third of all rows takes no other group's chance to be together."""
+    n = 3200
+    rows = [(i, "hot" if i % 3 == 0 else f"pair {i // 6} {i % 3}" if i % 12 < 8 else f"text {i}") for i in range(n)]
+    got = sharding.shard(frame(rows), 16).collect()
+    sizes = [sum(r.shard == s for r in got) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    homes = {}
+    for r in got:
+        homes.setdefault(r.text_group, []).append(r.shard)
+    small = [v for v in homes.values() if 1 < len(v) < 100]
+    assert len(small) > 400 and sum(len(set(v)) > 1 for v in small) <= 2
+    assert max(len(set(v)) for v in homes.values()) <= 8
