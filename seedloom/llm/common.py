@@ -14,8 +14,8 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def lower_az(text: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-cases A-Z only. Where all is ASCII that is plain ``lower``, which needs no table."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def text_key(text: Column) -> Column:
