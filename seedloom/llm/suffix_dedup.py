@@ -5,8 +5,9 @@ by content: of the 24-byte grams inside a 100-byte string the one with the small
 anchor, so equal strings have equal anchors and meet in one shard. Anchors met once end the search
 early, and so do stretches (all strings of one anchor occurrence) that are equal as a whole. What is
 left is sorted: each shard builds the suffix array of its stretches (Larsson-Sadakane refinement),
-Kasai's common prefixes part it into classes of equal strings, and an anchor too frequent for one
-shard is spread over several whose class lists are merged by binary search.
+and Kasai's common prefixes part it into classes of equal strings. An anchor too frequent for one
+shard is spread over several. These hand on their classes as sorted lists of strings, dealt by the
+anchor's place in the string, and lists of one place are merged by binary search over the bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ BLOCK = 1 << 18
 PLACE = np.uint64((1 << 19) - 1)
 #: Stretches of one shard, and of one anchor in a shard: beyond it an anchor is spread.
 SHARD_ROWS, ANCHOR_ROWS = 8_000, 2_000
+#: Strings aimed at in one merge, and in one task that merges.
+MERGE_ROWS, MERGE_TASK = 50_000, 150_000
 #: Bits of the map of documents whose text is needed again; a full map only saves less.
 MAP_BITS = 1 << 24
 
@@ -51,8 +54,8 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(eight[:m] * np.uint64(3) + eight[8 : 8 + m] * np.uint64(0x9E3779B97F4A7C15) + eight[16 : 16 + m])
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, first, last): for each anchor in blocks of the text, its hash and the first and last string start that it anchors. Ties: the leftmost gram."""
+def anchors(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, first, last, place): for each anchor in blocks of the text, its hash, the first and last string start that it anchors, and its own. Ties: the leftmost gram."""
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, len(whole) - LENGTH + 1, BLOCK):
         block = whole[at : at + BLOCK + LENGTH - 1]
@@ -68,11 +71,11 @@ def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         cut = np.flatnonzero(np.diff(place)) + 1
         first = np.concatenate(([0], cut))
         last = np.concatenate((cut, [len(place)])) - 1
-        yield h[place[first]].view(np.int64), first + at, last + at
+        yield h[place[first]].view(np.int64), first + at, last + at, place[first] + at
 
 
 def stretches(docs: DataFrame) -> DataFrame:
-    """(h, c, doc, at): anchor hash, hash of the bytes of all strings it anchors, document, and first start << 8 | starts - 1."""
+    """(h, c, doc, at): anchor hash, hash of the bytes of all strings it anchors, document, and first start << 14 | bytes from there to the anchor << 7 | starts - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -88,11 +91,11 @@ def stretches(docs: DataFrame) -> DataFrame:
                 if len(data) < LENGTH:
                     continue
                 data = data.to_pybytes()
-                for h, first, last in anchors(data):
+                for h, first, last, place in anchors(data):
                     parts[0].append(h)
                     parts[1].append(np.array([digest(data[a:b]) for a, b in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64).view(np.int64))
                     parts[2].append(np.full(len(h), doc, np.int64))
-                    parts[3].append(first << 8 | last - first)
+                    parts[3].append(first << 14 | place - first << 7 | last - first)
                     size += len(h)
                     if size > 200_000:
                         yield out()
@@ -205,12 +208,13 @@ def runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc, text): doc numbers documents in the order of their ids; ids themselves, where no id is null or repeats.
+    """(id, doc, text): doc numbers documents in the order of their ids; ids themselves, where they are whole numbers and none is null or repeats.
 
-    Else rows of one id are told apart by their text (equal rows share a number), and null ids come last.
+    Else, and for ids of any other type that Spark can order, rows of one id are told apart by their text (equal rows share a number), and null ids come last.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    n, known, distinct = own.agg(F.count(F.lit(1)), F.count("id"), F.count_distinct("id")).first()
+    whole = own.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    n, known, distinct = own.agg(F.count(F.lit(1)), F.count("id"), F.count_distinct("id")).first() if whole else (1, 0, 0)
     if n == known == distinct:
         return own.select("id", F.col("id").cast("bigint").alias("doc"), "text")
     own = own.withColumn("m", F.coalesce(F.md5("text"), F.lit("")))
@@ -252,7 +256,7 @@ def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, part, parts, doc, first, n, bytes): the stretches (h, part, parts, doc, at) with their bytes."""
+    """(h, part, parts, doc, first, left, n, bytes): the stretches (h, part, parts, doc, at) with their bytes; left: bytes before the anchor."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "part", "parts", "at")).alias("list"))
     have = among(docs.select("doc", F.col("text").cast("binary").alias("text")), wanted.select("doc"))[0].dropDuplicates(["doc"]).withColumnRenamed("doc", "own")
 
@@ -263,54 +267,95 @@ def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 of = batch.column(1)[r].values
                 h, part, parts, at = (of.field(i) for i in range(4))
                 at = at.to_numpy()
-                first, n = at >> 8, (at & 255) + 1
+                first, left, n = at >> 14, (at >> 7 & 127).astype(np.int32), ((at & 127) + 1).astype(np.int32)
                 for x in range(0, len(at), 20_000):
                     s = slice(x, x + 20_000)
                     bits = [text[a : a + k + LENGTH - 1] for a, k in zip(first[s].tolist(), n[s].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([h[s], part[s], parts[s], pa.array(np.full(len(bits), batch.column(0)[r].as_py(), np.int64)), pa.array(first[s]), pa.array(n[s].astype(np.int32)), pa.array(bits, pa.binary())], names=["h", "part", "parts", "doc", "first", "n", "bytes"])
+                    doc = np.full(len(bits), batch.column(0)[r].as_py(), np.int64)
+                    yield pa.RecordBatch.from_arrays([h[s], part[s], parts[s], *map(pa.array, (doc, first[s], left[s], n[s])), pa.array(bits, pa.binary())], names=["h", "part", "parts", "doc", "first", "left", "n", "bytes"])
 
-    return lists.join(have, lists["doc"] == have["own"]).select("doc", "list", "text").mapInArrow(run, "h bigint, part int, parts int, doc bigint, first bigint, n int, bytes binary")
+    return lists.join(have, lists["doc"] == have["own"]).select("doc", "list", "text").mapInArrow(run, "h bigint, part int, parts int, doc bigint, first bigint, left int, n int, bytes binary")
+
+
+def class_lists(strings: np.ndarray, cls: np.ndarray, h: np.ndarray, left: np.ndarray, parts: np.ndarray, doc: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (h, slot, n, doc, at, strings): classes of spread anchors by anchor and slot, sorted. Equal strings have one slot: the anchor's place in them, and a hash where one place has too many."""
+    buckets = -(-parts * ANCHOR_ROWS // MERGE_ROWS)
+    bucket = np.array([xxhash.xxh64_intdigest(x) % b if b > 1 else 0 for x, b in zip(strings.tolist(), buckets.tolist(), strict=True)], np.int64)
+    slot = bucket << 7 | left
+    order = np.lexsort((cls, slot, h))
+    h, slot, doc, at, strings = h[order], slot[order], doc[order], at[order], strings[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (slot[1:] != slot[:-1]), [True])))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        blobs = [pa.array([x[a:b].tobytes()], pa.binary()) for x in (doc, at, strings)]
+        yield pa.RecordBatch.from_arrays([pa.array(h[a : a + 1]), pa.array(slot[a : a + 1]), pa.array([b - a], pa.int64()), *blobs], names=["h", "slot", "n", "doc", "at", "strings"])
 
 
 def repeats_in_shards(pieces: DataFrame, n_shards: int) -> DataFrame:
-    """(g, doc, a, b): with g null, bytes covered inside a shard; else the first start a of a class of a spread anchor, g the hash of its string."""
+    """(h, slot, n, doc, at, strings): with h null, runs covered inside a shard as blobs of documents, starts and ends; else a class list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        _, parts, doc, first, n = (table.column(c).to_numpy() for c in ("h", "parts", "doc", "first", "n"))
-        bits = [x.as_py() for x in table.column("bytes").combine_chunks()] if table.num_rows else []
+        h, parts, doc, first, left, n = (table.column(c).to_numpy() for c in ("h", "parts", "doc", "first", "left", "n"))
+        bits = [x.as_py() for x in table.column("bytes").combine_chunks()]
         part, offset, cls = classes(bits, n)
         d, at = doc[part], first[part] + offset
         again = later(cls, d, at)
-        rd, ra, rb = runs(d[again], at[again])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(rd), pa.int64()), pa.array(rd), pa.array(ra), pa.array(rb)], names=["g", "doc", "a", "b"])
-        for keep in np.array_split(np.flatnonzero(~again & (parts[part] > 1)), max(1, len(part) // 100_000)):
-            g = np.array([xxhash.xxh64_intdigest(bits[p][o : o + LENGTH]) for p, o in zip(part[keep].tolist(), offset[keep].tolist(), strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(d[keep]), pa.array(at[keep]), pa.array(at[keep])], names=["g", "doc", "a", "b"])
+        blobs = [pa.array([x.tobytes()], pa.binary()) for x in runs(d[again], at[again])]
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([len(d)], pa.int64()), *blobs], names=["h", "slot", "n", "doc", "at", "strings"])
+        keep = np.flatnonzero(~again & (parts[part] > 1))
+        if len(keep):
+            strings = np.array([bits[p][o : o + LENGTH] for p, o in zip(part[keep].tolist(), offset[keep].tolist(), strict=True)], f"S{LENGTH}")
+            yield from class_lists(strings, cls[keep], h[part[keep]], left[part[keep]] - offset[keep], parts[part[keep]], d[keep], at[keep])
+
+    return pieces.repartition(n_shards, "h", "part").mapInArrow(run, "h bigint, slot bigint, n bigint, doc binary, at binary, strings binary")
+
+
+def found_again(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, at) of strings that have an equal one with an earlier start in another of the sorted lists (strings, doc, at). Each list is looked up in the merge of those before it, by binary search."""
+    strings, doc, at = (x.copy() for x in lists[0])
+    docs, starts = [], []
+    for s, d, a in lists[1:]:
+        place = np.searchsorted(strings, s)
+        met = strings[np.minimum(place, len(strings) - 1)] == s
+        p, d1, a1 = place[met], d[met], a[met]
+        earlier = (d1 < doc[p]) | ((d1 == doc[p]) & (a1 < at[p]))
+        docs.append(np.where(earlier, doc[p], d1))
+        starts.append(np.where(earlier, at[p], a1))
+        doc[p], at[p] = np.where(earlier, d1, doc[p]), np.where(earlier, a1, at[p])
+        strings, doc, at = (np.insert(x, place[~met], y[~met]) for x, y in ((strings, s), (doc, d), (at, a)))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *docs]), np.concatenate([none, *starts])
+
+
+def merged(lists: DataFrame) -> DataFrame:
+    """(doc, a, b): of the class lists of spread anchors, what another shard has earlier."""
+    n = lists.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                doc, at, strings = (np.frombuffer(batch.column(c)[r].as_buffer(), kind).copy() for c, kind in ((3, np.int64), (4, np.int64), (5, f"S{LENGTH}")))
+                held.setdefault((batch.column(0)[r].as_py(), batch.column(1)[r].as_py()), []).append((strings, doc, at))
+        for key in list(held):
+            d, a, b = runs(*found_again(held.pop(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], names=["doc", "a", "b"])
 
-    return pieces.repartition(n_shards, "h", "part").mapInArrow(run, "g bigint, doc bigint, a bigint, b bigint")
+    return lists.repartition(max(1, -(-n // MERGE_TASK)), "h", "slot").mapInArrow(run, "doc bigint, a bigint, b bigint")
 
 
-def merged(lists: DataFrame, n_shards: int) -> DataFrame:
-    """(doc, a, b): of the class lists of spread anchors, sorted, the starts whose string another shard has earlier. Each string looks its class up by binary search."""
+def unpacked(rows: DataFrame) -> DataFrame:
+    """(doc, a, b) of runs kept as blobs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        g, doc, at = (table.column(c).to_numpy() for c in ("g", "doc", "a"))
-        order = np.lexsort((at, doc, g))
-        firsts = order[np.concatenate(([True], np.diff(g[order]) != 0))]
-        first = firsts[np.searchsorted(g[firsts], g)]
-        again = (doc != doc[first]) | (at != at[first])
-        d, a, b = runs(doc[again], at[again])
-        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(a), pa.array(b)], names=["doc", "a", "b"])
+        for batch in batches:
+            for r in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(batch.column(c)[r].as_buffer(), np.int64)) for c in range(3)], names=["doc", "a", "b"])
 
-    return lists.select("g", "doc", "a").repartition(n_shards, "g").mapInArrow(run, "doc bigint, a bigint, b bigint")
+    return rows.select("doc", "at", "strings").mapInArrow(run, "doc bigint, a bigint, b bigint")
 
 
 def cover(docs: DataFrame) -> DataFrame:
@@ -322,15 +367,14 @@ def cover(docs: DataFrame) -> DataFrame:
     # stretches equal as a whole: all but the first are covered, and the first stands for them
     head = kinds.filter("n > 1").select(F.col("h").alias("kh"), F.col("c").alias("kc"), "first")
     whole = again.join(head, (F.col("h") == F.col("kh")) & (F.col("c") == F.col("kc"))).filter(F.struct("doc", "at") != F.col("first"))
-    first = F.shiftright("at", 8)
-    whole = whole.select("doc", first.alias("a"), (first + F.col("at").bitwiseAND(255) + LENGTH).alias("b"))
+    first = F.shiftright("at", 14)
+    whole = whole.select("doc", first.alias("a"), (first + F.col("at").bitwiseAND(127) + LENGTH).alias("b"))
     sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     parts = F.ceil(F.col("k") / ANCHOR_ROWS).cast("int")
     wanted = written(kinds.join(sizes, "h").select("h", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), parts.alias("parts"), "first.doc", "first.at"), "wanted")
     shards = max(1, -(-wanted.count() // SHARD_ROWS))
     inside = written(repeats_in_shards(cut(docs, wanted), shards), "repeats")
-    across = merged(inside.filter("g is not null"), shards)
-    return whole.union(inside.filter("g is null").select("doc", "a", "b")).union(across)
+    return whole.union(unpacked(inside.filter("h is null"))).union(merged(inside.filter("h is not null")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -338,7 +382,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if it lies in a string of LENGTH bytes that also starts earlier: in a document of
     smaller id, or earlier in its own. Strings are judged on the input and do not cross documents.
-    Null texts are empty; shorter texts stay whole. Documents with a null id count as last. Rows
+    Null texts are empty; shorter texts stay whole. Ids may be of any type with an order. Documents with a null id count as last. Rows
     with one id and different texts are ordered by the text's MD5; rows equal in both are one
     document and give equal rows. Other columns are not read.
     """

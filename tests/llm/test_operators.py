@@ -100,13 +100,30 @@ def test_sharding(frame, n, share):
     assert sum(spread) <= 2
 
 
-@pytest.mark.parametrize("limits", [(8000, 2000), (7, 3)])
+REPEATS = ("SHARD_ROWS", "ANCHOR_ROWS", "MERGE_ROWS", "MERGE_TASK")
+
+
+def repeats_of(df):
+    return sorted(((r.doc_id, r.n_bytes, sum(x.b - x.a for x in r.spans), len(r.spans), brute.sha(bytes(r.kept))) for r in suffix_dedup.remove_repeats(df).collect()), key=str)
+
+
+@pytest.mark.parametrize("limits", [(8000, 2000, 50_000, 150_000), (7, 3, 50, 90)])
 def test_repeats(frame, odd_docs, monkeypatch, limits):
-    monkeypatch.setattr(suffix_dedup, "SHARD_ROWS", limits[0])
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_ROWS", limits[1])
-    got = suffix_dedup.remove_repeats(frame(odd_docs)).collect()
-    mine = sorted(((r.doc_id, r.n_bytes, sum(x.b - x.a for x in r.spans), len(r.spans), brute.sha(bytes(r.kept))) for r in got), key=str)
-    assert mine == brute.repeats(odd_docs)
+    """The second limits spread most anchors over several shards, so that their class lists are merged."""
+    for k, v in zip(REPEATS, limits, strict=True):
+        monkeypatch.setattr(suffix_dedup, k, v)
+    rnd = random.Random(3)
+    passage = "".join(rnd.choice("aé\x00ü zß") for _ in range(150))
+    rows = odd_docs + [(400 + i, f"{rnd.random()} {passage[i % 5 :]} {rnd.random()}") for i in range(40)]
+    assert repeats_of(frame(rows)) == brute.repeats(rows)
+
+
+def test_repeats_over_blocks(frame):
+    """A text longer than a block of anchors, which repeats itself across its blocks."""
+    rnd = random.Random(5)
+    some = "".join(rnd.choice("abcdefgh ") for _ in range(140_000))
+    rows = [(1, some + "x" + some), (2, some[100_000:101_000] + "y"), (3, "z")]
+    assert repeats_of(frame(rows)) == brute.repeats(rows)
 
 
 def test_lines(frame, odd_docs):
