@@ -41,14 +41,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Shuffle files of a finished query go; without it they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and not lost with an executor."""
+    """``df`` as a Parquet table in the shared folder: computed once, and not lost with an executor. Its shuffle files go with its query."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    try:
+        spark.conf.set(CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and no later plan reads."""
+    for t in tables:
+        spark = t.sparkSession
+        for file in t.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ranked(df: DataFrame, keys: list[str], order: Column, ties: list, n_rows: int, rank: str = "rank", weight: Column | None = None, rows_per_task: int = 4000) -> DataFrame:
     """Row number from 0 within ``keys``, in an order of the 64-bit hash ``order`` taken as unsigned.
 

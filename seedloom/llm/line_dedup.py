@@ -4,6 +4,8 @@ Lines are sets of words. Each set's words are ordered by rarity; two sets of Jac
 or more share a word among the rarest few of each. Rarity comes from a fixed number of counters
 that all lines are counted into, so the order is the same everywhere and its table bounded. Joined
 pairs pass the length and positional filters and a filter by parity bits, and then are verified.
+Only sets' sizes, bits and prefixes are shuffled; whole sets are read again from the texts, for
+those in a candidate pair.
 """
 
 from __future__ import annotations
@@ -12,19 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, if_small, written
 from .kneser_ney import END, mixed, pieces, tokens
 from .suffix_dedup import MAP_BITS, among, bit_map, numbered
 
 #: Jaccard similarity 4/5: overlap o of sizes a, b satisfies 9 o >= 4 (a + b).
-COUNTER_BITS = 24
-#: Groups of more sets than this, which share a key, are drained before the join; keys of a set; smallest words in a key.
-CROWD, KEYS, KEY_WORDS = 50, 3, 4
-#: Sets that a task remembers having handed on.
-REMEMBER = 100_000
+COUNTER_BITS, RANGE_BITS = 24, 16
+#: A word that more sets have in their prefixes makes a crowd, which is held against its earliest set before the join.
+CROWD = 256
+#: Words of crowds up to which they are broadcast.
+BROADCAST_WORDS = 200_000
+#: Sets that a task remembers having handed on; tokens it counts before it hands on their counters.
+REMEMBER, TALLY = 100_000, 4_000_000
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -80,64 +84,57 @@ def line_sets(batches: Iterator[pa.RecordBatch], table: np.ndarray | None = None
         yield Lines(rows.column(0).to_numpy(), data, offsets, table)
 
 
-def flagged(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[tuple[Lines, np.ndarray]]:
-    """Lines of batches of (doc, text, done), and which of them are in their document's list."""
-    for rows, data, offsets in pieces(batches, 1, raw=True):
-        x = Lines(rows.column(0).to_numpy(), data, offsets, table)
-        flag = np.zeros(len(x.s), bool)
-        for doc, done in zip(rows.column(0).to_pylist(), rows.column(2), strict=True):
-            if done.is_valid:
-                flag |= (x.doc == doc) & np.isin(x.line, done.values.to_numpy())
-        yield x, flag
-
+def rarity(docs: DataFrame) -> np.ndarray:
+    """By counter: 0 if at most one line's word counted into it, else 1 to 255 growing with the count's logarithm. 2^24 bytes, whatever the input.
 
-def counted(docs: DataFrame) -> DataFrame:
-    """(line, a, b, keys): for every line with a word (hash of its set, document, line) and ``KEYS`` keys, each of the smallest words under ``KEY_WORDS`` hashes; with line null, (counter, number of lines counted into it), once or more for a counter."""
+    Every line counts each of its words. Tasks hand on the counters of a range as one row; ranges are summed apart.
+    """
+    span = 1 << RANGE_BITS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            k, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.int64()), pa.array(k.astype(np.int64)), pa.array(n), pa.nulls(len(k), pa.list_(pa.int64()))], names=["line", "a", "b", "keys"])
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            ranges, first = np.unique(at >> RANGE_BITS, return_index=True)
+            cut = [*first.tolist(), len(at)]
+            blobs = [pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()) for x in ((at & span - 1).astype(np.uint16), n.astype(np.uint32))]
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), *blobs], names=["range", "at", "n"])
 
         for x in line_sets(batches):
-            least = []
-            for j in range(KEYS):
-                key = np.full(len(x.s), j, np.uint64)
-                for i in range(KEY_WORDS if len(x.s) else 0):
-                    key = mixed(key ^ np.minimum.reduceat((x.h ^ (x.h >> np.uint64(31))) * np.uint64(2 * (j * KEY_WORDS + i) * 0x9E3779B97F4A7C15 + 1 & 0xFFFFFFFFFFFFFFFF), x.first))
-                least.append(key.view(np.int64))
-            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.stack(least, axis=1).ravel()), KEYS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x.line), pa.array(x.s), pa.array(x.doc), keys], names=["line", "a", "b", "keys"])
             held.append((x.h >> np.uint64(64 - COUNTER_BITS)).astype(np.int32))
             size += len(x.h)
-            if size > 4_000_000:
+            if size > TALLY:
                 yield out()
                 held, size = [], 0
         if size:
             yield out()
 
-    return docs.mapInArrow(run, "line bigint, a bigint, b bigint, keys array<bigint>")
-
-
-def rarity(counters: DataFrame) -> np.ndarray:
-    """By counter: 0 if one line counted into it, else 1 to 255 growing with the count's logarithm. 2^24 bytes, whatever the input."""
-    sums = counters.groupBy(F.col("a").alias("k")).agg(F.sum("b").alias("n"))
-    code = F.least(F.lit(255), F.greatest(F.lit(1), F.floor(F.log2("n") * 8)))
-    got = sums.filter("n > 1").select(F.col("k").cast("int").alias("k"), code.cast("int").alias("code")).toArrow()
-    table = np.zeros(1 << COUNTER_BITS, np.uint8)
-    table[got["k"].to_numpy()] = got["code"].to_numpy()
-    return table
-
-
-def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, s, n, pos, bits0, bits1, drained): the rarest words of each set, as far as a similar set must share one; words of one line only are passed over. ``docs`` (doc, text, done): done are the lines whose sets are known to go."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, at, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                into = sums.setdefault(r, np.zeros(span, np.int64))
+                into[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
+        for r, n in sums.items():
+            code = np.clip(np.floor(np.log2(np.maximum(n, 1)) * 8), 1, 255) * (n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([code.astype(np.uint8).tobytes()], pa.binary())], names=["range", "code"])
+
+    ranges = 1 << COUNTER_BITS - RANGE_BITS
+    sums = docs.mapInArrow(count, "range int, at binary, n binary").repartition(ranges // 4, "range").mapInArrow(add, "range int, code binary")
+    table = np.zeros((ranges, span), np.uint8)
+    for r, code in sums.collect():  # at most 256 rows of 64 KB
+        table[r] = np.frombuffer(bytes(code), np.uint8)
+    return table.ravel()
+
+
+def described(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(s, doc, line, n, bits0, bits1, prefix): a row for every line with a word. s, n: hash and size of its set; prefix: its rarest words, as far as a similar set must share one, null where only one line has the word. A task gives a set's bits and prefix with one of its lines or some."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for x, done in flagged(batches, shared.value):
+        for x in line_sets(batches, shared.value):
             if not len(x.s):
                 continue
             _, once = np.unique(x.s, return_index=True)
@@ -146,34 +143,51 @@ def prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
             if len(seen) > REMEMBER:
                 seen.clear()
             seen.update(x.s[fresh].tolist())
-            of, h, code = x.of, x.h, x.code
-            pos = np.arange(len(of)) - x.first[of]
-            n = x.n[of]
-            keep = fresh[of] & (code > 0) & (pos <= n - least_overlap(n))
+            n = x.n[x.of]
+            keep = fresh[x.of] & (np.arange(len(x.of)) - x.first[x.of] <= n - least_overlap(n))
             bit = np.uint64(1) << (x.h & np.uint64(63))
             side = (x.h >> np.uint64(6) & np.uint64(1)).astype(bool)
-            bits = [np.bitwise_xor.reduceat(np.where(side == b, bit, np.uint64(0)), x.first).view(np.int64) for b in (False, True)]
-            of = of[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(x.s[of]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(bits[0][of]), pa.array(bits[1][of]), pa.array(done[of])], names=["word", "s", "n", "pos", "bits0", "bits1", "drained"])
+            bits = [pa.array(np.bitwise_xor.reduceat(np.where(side == b, bit, np.uint64(0)), x.first).view(np.int64), mask=~fresh) for b in (False, True)]
+            ends = np.cumsum(np.bincount(x.of[keep], minlength=len(x.s)))
+            words = pa.array(x.h[keep].view(np.int64), mask=x.code[keep] == 0)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), words, mask=pa.array(~fresh))
+            yield pa.RecordBatch.from_arrays([pa.array(x.s), pa.array(x.doc), pa.array(x.line), pa.array(x.n.astype(np.int32)), *bits, prefix], names=["s", "doc", "line", "n", "bits0", "bits1", "prefix"])
 
-    return docs.mapInArrow(run, "word bigint, s bigint, n int, pos int, bits0 bigint, bits1 bigint, drained boolean")
+    return docs.mapInArrow(run, "s bigint, doc bigint, line bigint, n int, bits0 bigint, bits1 bigint, prefix array<bigint>")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(s1, s2) of sets that may be similar: the smaller shares one of its shortest prefix with the prefix of the larger."""
-    rows = rows.repartition("word").distinct()
-    left = rows.select("word", *[F.col(c).alias(f"{c}1") for c in ("s", "n", "pos", "bits0", "bits1", "drained")])
-    right = rows.select("word", *[F.col(c).alias(f"{c}2") for c in ("s", "n", "pos", "bits0", "bits1", "drained")])
+ROW = ("s", "doc", "line", "n", "bits0", "bits1", "pos")
+
+
+def prefix_rows(kinds: DataFrame, *more: str) -> DataFrame:
+    """A row for each word of each set's prefix."""
+    cols = [c for c in ROW if c != "pos"]
+    return kinds.select(*cols, *more, F.posexplode("prefix").alias("pos", "word")).filter("word is not null")
+
+
+def side(rows: DataFrame, k: int) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}{k}" if c != "word" else c) for c in rows.columns])
+
+
+def may_be_similar() -> Column:
+    """Length, positional and parity filters on two sides that share a word: their sizes' ratio, the words at and behind the shared one, and the bits that differ leave room for the overlap."""
     both = F.col("n1") + F.col("n2")
     overlap = F.floor((4 * both + 8) / 9)
-    # part of the join's condition, so that both sides are one exchange and read the texts once
+    near = 5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2")
+    near &= F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= overlap
+    return near & (F.bit_count(F.col("bits01").bitwiseXOR(F.col("bits02"))) + F.bit_count(F.col("bits11").bitwiseXOR(F.col("bits12"))) <= both - 2 * overlap)
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """(s1, s2) of sets that may be similar, s1 the earlier: the smaller shares a word of its shortest prefix with the prefix of the larger. Pairs whose later set is drained are left out."""
+    # the filters are all part of the join's condition, so that both sides are one exchange
+    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
     short = F.col("pos1") + F.least("n2", F.lit(0)) <= F.col("n1") - F.floor((8 * F.col("n1") + 8) / 9)
-    near = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
-    near &= ~(F.col("drained1") & F.col("drained2"))
-    near &= 5 * F.col("n1") >= 4 * F.col("n2")
-    near &= 1 + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) - 1 >= overlap
-    near &= F.bit_count(F.col("bits01").bitwiseXOR(F.col("bits02"))) + F.bit_count(F.col("bits11").bitwiseXOR(F.col("bits12"))) <= both - 2 * overlap
-    return left.join(right, (left["word"] == right["word"]) & short & near).select("s1", "s2").distinct()
+    first = (F.col("doc1") < F.col("doc2")) | ((F.col("doc1") == F.col("doc2")) & (F.col("line1") < F.col("line2")))
+    open_ = F.when(first, ~F.col("drained2")).otherwise(~F.col("drained1"))
+    left, right = side(rows, 1), side(rows, 2).withColumnRenamed("word", "word2")
+    met = left.join(right, (F.col("word") == F.col("word2")) & smaller & short & open_ & may_be_similar())
+    return met.select(F.when(first, F.col("s1")).otherwise(F.col("s2")).alias("s1"), F.when(first, F.col("s2")).otherwise(F.col("s1")).alias("s2")).distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,43 +215,47 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.withColumn("o", F.size(F.array_intersect("words1", "words2"))).filter(9 * F.col("o") >= 4 * (F.size("words1") + F.size("words2"))).select("s1", "s2")
 
 
-def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(s): sets of crowds that are similar to their crowd's earliest, and so go, whatever else they are similar to.
+def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame | None:
+    """(s): sets of crowds that are similar to the earliest set of their crowd, and so go, whatever else they are similar to. None if there is no crowd.
 
-    A crowd is more than ``CROWD`` sets with a key in common. Several smallest words make a key, as
-    frequent words alone would make crowds of unlike lines; several keys make it likely that near
-    copies share one. The join need not pair two drained sets; all other pairs it meets as before.
+    Near copies of one line share its rare words, so that the earliest set with such a word is most
+    often the line's first copy. The join need not pair what only a drained set could lose by; all
+    other pairs it meets as before.
     """
-    keyed = kinds.select("s", "first", F.explode("keys").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select(F.col("key").alias("crowd"))
-    members = written(keyed.join(crowds, F.col("key") == F.col("crowd")).select("crowd", "s", "first"), "members")
-    heads = written(members.groupBy("crowd").agg(F.min(F.struct("first", "s"))["s"].alias("s1")).select(F.col("crowd").alias("of"), "s1"), "heads")
-    pairs = written(members.join(heads, F.col("crowd") == F.col("of")).filter("s <> s1").select("s1", F.col("s").alias("s2")).distinct(), "stars")
-    near = among(docs.select("text", "doc"), members.select("first.doc"))[0].select("doc", "text")
-    sets = written(sets_of(near, members.select("s")).dropDuplicates(["s"]), "crowded")
-    return verified(pairs, sets).select(F.col("s2").alias("s")).distinct()
+    heavy = written(kinds.select(F.explode("prefix").alias("heavy")).filter("heavy is not null").groupBy("heavy").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("heavy"), "heavy")
+    if heavy.isEmpty():
+        return None
+    rows = prefix_rows(kinds)
+    members = written(rows.join(if_small(heavy, BROADCAST_WORDS), F.col("word") == F.col("heavy")).drop("heavy"), "members")
+    heads = written(members.groupBy("word").agg(F.min(F.struct("doc", "line", *[c for c in ROW if c not in ("doc", "line")])).alias("head")).select("word", "head.*"), "heads")
+    met = side(members, 2).withColumnRenamed("word", "word2").join(side(heads, 1), F.col("word") == F.col("word2"))
+    pairs = written(met.filter((F.col("s1") != F.col("s2")) & may_be_similar()).select("s1", "s2").distinct(), "stars")
+    near = among(docs.select("text", "doc"), kinds.join(pairs.select(F.col("s1").alias("w")).union(pairs.select("s2")).distinct(), F.col("s") == F.col("w"), "left_semi").select("doc"))[0].select("doc", "text")
+    sets = written(sets_of(near, pairs.select(F.col("s1").alias("s")).union(pairs.select("s2"))).dropDuplicates(["s"]), "crowded")
+    gone = written(verified(pairs, sets).select(F.col("s2").alias("s")).distinct(), "drained")
+    dropped(heavy, members, heads, pairs, sets)
+    return gone
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines to remove, of documents (doc, text)."""
     docs = docs.select("doc", F.col("text").cast("binary").alias("text"))
-    seen = written(counted(docs), "lines")
-    lines = seen.filter("line is not null").select(F.col("a").alias("s"), F.col("b").alias("doc"), "line")
-    kinds = seen.filter("line is not null").groupBy(F.col("a").alias("s")).agg(F.min(F.struct(F.col("b").alias("doc"), "line")).alias("first"), F.first("keys").alias("keys"))
-    kinds = written(kinds, "kinds")
-    gone = written(drained(docs, kinds), "drained")
-    lists = written(lines.join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g")).groupBy("doc").agg(F.collect_list("line").alias("done")), "done")
-    have, rest = among(docs.select("text", "doc"), lists.select("doc"))
-    have = have.join(lists.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("doc", "text", "done")
-    marked = have.union(rest.select("doc", "text", F.lit(None).cast("array<bigint>")))
-    links = written(candidates(prefixes(marked, rarity(seen.filter("line is null")))), "links")
-    sets = written(sets_of(docs, links.select(F.col("s1").alias("s")).union(links.select("s2"))).dropDuplicates(["s"]), "sets")
-    pairs = verified(links, sets)
-    first = lambda k: kinds.select(F.col("s").alias(f"k{k}"), F.col("first").alias(f"first{k}"))
-    late = pairs.join(first(1), F.col("s1") == F.col("k1")).join(first(2), F.col("s2") == F.col("k2"))
-    late = late.select(F.when(F.col("first1") < F.col("first2"), F.col("s2")).otherwise(F.col("s1")).alias("late")).union(gone).distinct()
-    known = kinds.join(late, F.col("s") == F.col("late"), "left").select(F.col("s").alias("k"), "first", F.col("late").isNotNull().alias("gone"))
-    return lines.join(known, F.col("s") == F.col("k")).filter(F.col("gone") | (F.struct("doc", "line") != F.col("first"))).select("doc", "line").distinct()
+    lines = written(described(docs, rarity(docs)), "lines")
+    payload = [F.max(c).alias(c) for c in ("n", "bits0", "bits1")]
+    kinds = lines.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first"), *payload, F.first("prefix", ignorenulls=True).alias("prefix"))
+    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix"), "kinds")
+    gone = drained(docs, kinds)
+    flag = F.lit(False) if gone is None else F.col("g").isNotNull()
+    marked = kinds if gone is None else kinds.join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g"), "left")
+    links = written(candidates(prefix_rows(marked.withColumn("drained", flag), "drained")), "links")
+    wanted = links.select(F.col("s1").alias("s")).union(links.select("s2"))
+    near = among(docs.select("text", "doc"), kinds.join(wanted.select(F.col("s").alias("w")).distinct(), F.col("s") == F.col("w"), "left_semi").select("doc"))[0].select("doc", "text")
+    sets = written(sets_of(near, wanted).dropDuplicates(["s"]), "sets")
+    late = verified(links, sets).select(F.col("s2").alias("late"))
+    late = written((late if gone is None else late.union(gone)).distinct(), "late")
+    dropped(links, sets)
+    known = kinds.join(late, F.col("s") == F.col("late"), "left").select(F.col("s").alias("k"), F.col("doc").alias("d0"), F.col("line").alias("l0"), F.col("late").isNotNull().alias("gone"))
+    return lines.select("s", "doc", "line").join(known, F.col("s") == F.col("k")).filter(F.col("gone") | (F.col("doc") != F.col("d0")) | (F.col("line") != F.col("l0"))).select("doc", "line").distinct()
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,7 +266,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     itself removed or not, has a set of Jaccard similarity 0.8 or more. Lines without words stay.
     Null texts have no lines. Documents with a null id count as last; rows with one id are ordered
     by the text's MD5, and rows equal in both are one document and give equal rows. Sets are told
-    apart by 64-bit hashes. Other columns are not read.
+    apart by 64-bit hashes. Ids may be of any type with an order. Other columns are not read.
     """
     docs = numbered(docs, id_col, text_col)
     gone = repeated_lines(docs.dropDuplicates(["doc"]) if "m" in docs.columns else docs).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))

@@ -15,7 +15,7 @@ split = lambda t: (t or "").encode().translate(LOWER).split()
 
 def documents(rows):
     """Distinct rows in the order of ids, then MD5 of the text; null ids last."""
-    return sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest() if x[1] is not None else ""))
+    return sorted(set(rows), key=lambda x: (x[0] is None, x[0] if x[0] is not None else type(next((y for y, _ in rows if y is not None), 0))(), hashlib.md5(x[1].encode()).hexdigest() if x[1] is not None else ""))
 
 
 def decontaminate(docs, bench, span=10):

@@ -126,9 +126,25 @@ def test_repeats_over_blocks(frame):
     assert repeats_of(frame(rows)) == brute.repeats(rows)
 
 
-def test_lines(frame, odd_docs):
-    got = line_dedup.remove_lines(frame(odd_docs)).collect()
-    assert sorted(((r.doc_id, r.n_lines, list(r.removed), r.kept) for r in got), key=str) == brute.lines(odd_docs)
+def lines_of(df):
+    return sorted(((r.doc_id, r.n_lines, list(r.removed), r.kept) for r in line_dedup.remove_lines(df).collect()), key=str)
+
+
+@pytest.mark.parametrize("crowd,broadcast,remember", [(256, 200_000, 100_000), (2, 200_000, 5), (1, 0, 100_000)])
+def test_lines(frame, odd_docs, monkeypatch, crowd, broadcast, remember):
+    """With small crowds nearly every set is held against a head first."""
+    for k, v in {"CROWD": crowd, "BROADCAST_WORDS": broadcast, "REMEMBER": remember}.items():
+        monkeypatch.setattr(line_dedup, k, v)
+    assert lines_of(frame(odd_docs)) == brute.lines(odd_docs)
+
+
+def test_text_ids(spark):
+    rnd = random.Random(8)
+    text = lambda: "\n".join(" ".join(rnd.choice("abcdefghij") * 3 for _ in range(12)) for _ in range(4))
+    texts = [text() for _ in range(6)]
+    rows = [(f"d{i}", texts[i % 6]) for i in range(9)] + [(None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert lines_of(df) == brute.lines(rows) and repeats_of(df) == brute.repeats(rows)
 
 
 def test_kneser_ney(frame, odd_docs):
