@@ -6,8 +6,6 @@ Texts become bases by a fixed rule (``functions.sequence.bases``); ``documents``
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +19,7 @@ from .operators.minimizers import kmers, minimizers, minimizers_sql
 from .operators.vote import covered, decided, top_records, vote_groups
 from .params import IndexParams, MapParams, preset
 from .plans.mapping import map_reads, paf
+from .shared import shared_path, spread
 from .sources.batches import batches
 from .sources.fasta import from_text, hex_names, read_fasta, to_fasta
 from .streaming.mapping import map_stream
@@ -38,20 +37,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+    return spread(load(spark, sf_dir, name).select(*cols))
+
+
 def targets(spark: SparkSession, sf_dir: str, breaks: str = "") -> DataFrame:
-    return from_text(load(spark, sf_dir, "documents"), "doc_id", "text", "chrom_id", "doc", breaks)
+    return from_text(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "chrom_id", "doc", breaks)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_text(load(spark, sf_dir, "benchmark"), "item_id", "text", "read_id", "item")
+    return from_text(texts(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text", "read_id", "item")
 
 
 def documents_as_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_text(load(spark, sf_dir, "documents"), "doc_id", "text", "read_id", "doc")
+    return from_text(texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", "read_id", "doc")
 
 
 def turns(spark: SparkSession, sf_dir: str, id_name: str = "read_id") -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").withColumn("id", F.expr(TURN))
+    rows = texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("id", F.expr(TURN))
     return from_text(rows, "id", "text", id_name, "turn")
 
 
@@ -60,11 +63,6 @@ def big(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("bigint").alias(c) if t in ("int", "tinyint") else F.col(c) for c, t in df.dtypes])
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
-    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def q_seq_len(spark, d):
     return big(targets(spark, d).select("chrom_id", "name", "len"))
 
@@ -261,7 +259,7 @@ def q_hex_headers(spark, d):
 
 def q_fasta_scan(spark, d):
     """Targets written as FASTA text, read again, and counted."""
-    path = scratch(spark, "fasta")
+    path = shared_path(spark, "fasta")
     lines = targets(spark, d).orderBy("chrom_id").select(F.concat(F.lit(">"), F.col("name"), F.lit(" x\n"), F.regexp_replace("seq", "(.{70})", "$1\n")).alias("value"))
     lines.write.text(path)
     return big(read_fasta(spark, path, "ordinal").select("ordinal", "name", "len", F.md5("seq").alias("seq_md5")))
@@ -269,7 +267,7 @@ def q_fasta_scan(spark, d):
 
 def q_stream_map(spark, d):
     """Benchmark items arrive as files and are mapped batch by batch."""
-    base = scratch(spark, "stream")
+    base = shared_path(spark, "stream")
     own = items(spark, d)
     own.repartition(4, "read_id").write.parquet(f"{base}/in")
     index = build_index(targets(spark, d), DEFAULT)

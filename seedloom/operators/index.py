@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
 from ..params import IndexParams
+from ..shared import written
 from .minimizers import minimizers
 
 
@@ -28,9 +29,9 @@ def rare(keys: DataFrame, max_occ: int) -> DataFrame:
 
 
 def build_index(targets: DataFrame, p: IndexParams) -> SeedIndex:
-    """Index of targets (chrom_id, name, len, seq)."""
-    keys = rare(minimizers(targets.select("chrom_id", "seq"), p, "chrom_id"), p.max_occ)
-    return SeedIndex(keys.select("hash", "chrom_id", "loc", "str"), targets.select("chrom_id", "name", "len"), p)
+    """Index of targets (chrom_id, name, len, seq). Seeds are written to the shared folder first, so that they are made once and counted and filtered from there."""
+    seeds = written(minimizers(targets.select("chrom_id", "seq"), p, "chrom_id"), "seeds")
+    return SeedIndex(rare(seeds, p.max_occ).select("hash", "chrom_id", "loc", "str"), targets.select("chrom_id", "name", "len"), p)
 
 
 def save_index(index: SeedIndex, path: str, partitions: int = 200) -> None:

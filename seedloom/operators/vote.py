@@ -52,32 +52,42 @@ def vote_groups(anchors: DataFrame, p: MapParams) -> DataFrame:
     With ``compat_origin`` a group 0 at the origin exists on both strands of every read with
     anchors; it takes the anchors whose diagonal lies within ``distance`` of zero. first and next
     are the first anchors (T, q, str) of the group and of the one behind it.
+
+    Anchors are dealt by read once; all windows and groups that follow keep to that.
     """
-    rows = positioned(anchors)
+    rows = positioned(anchors).repartition("read_id")
     origin = F.col("T") <= p.distance if p.compat_origin else F.lit(False)
     line = Window.partitionBy("read_id", "str").orderBy("T", "q")
-    gap = F.col("T") - F.lag("T").over(line)
-    rows = rows.filter(~origin).withColumn("cut", F.when(gap.isNull() | (gap > p.distance), 1).otherwise(0))
-    rows = rows.withColumn("stretch", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag("T").over(line)
+    opens = before.isNull() | (F.col("T") - before > p.distance)
+    if p.compat_origin:
+        opens = ~origin & (opens | (before <= p.distance))
+    # anchors at the origin are stretch 0, the others count from 1
+    rows = rows.withColumn("stretch", F.sum(opens.cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     keys = ["read_id", "len", "str", "stretch"]
-    low, high = F.min("T").over(Window.partitionBy(*keys[:1], "str", "stretch")), F.max("T").over(Window.partitionBy(*keys[:1], "str", "stretch"))
-    rows = rows.withColumn("wide", high - low > p.distance)
-    measures = [F.count(F.lit(1)).alias("n"), F.min("q").alias("q_start"), F.max("q").alias("q_end"), F.min("L").alias("t_start"), F.max("L").alias("t_end")]
-    whole = rows.filter(~F.col("wide")).groupBy(*keys).agg(F.min(F.struct("T", "q")).alias("head"), *measures).select(*keys, "head.T", "head.q", "n", "q_start", "q_end", "t_start", "t_end")
-    fold = rows.filter("wide").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("T", "q", "L"))).alias("all"))
-    fold = fold.select(*keys, F.explode(folded(F.col("all"), p.distance)).alias("g")).select(*keys, "g.T", "g.q", "g.n", "g.q_start", "g.q_end", "g.t_start", "g.t_end")
-    groups = whole.union(fold).withColumn("grp", F.row_number().over(line)).drop("stretch")
+    whole = Window.partitionBy("read_id", "str", "stretch")
+    wide = (F.max("T").over(whole) - F.min("T").over(whole) > p.distance) & (F.col("stretch") > 0)
+    rows = rows.withColumn("wide", wide)
+    measures = {"n": F.count(F.lit(1)), "q_start": F.min("q"), "q_end": F.max("q"), "t_start": F.min("L"), "t_end": F.max("L")}
+    groups = rows.groupBy(*keys).agg(F.min(F.struct("T", "q")).alias("head"), *[c.alias(k) for k, c in measures.items()], F.collect_list(F.when(F.col("wide"), F.struct("T", "q", "L"))).alias("all"))
+    zero = F.lit(0).cast("bigint")
+    group = lambda t, q, *rest: F.struct(t.alias("T"), q.alias("q"), *[c.alias(k) for k, c in zip(measures, rest, strict=True)])
+    at_origin = lambda n, q, t: group(F.lit(-1).cast("bigint"), zero, n, zero, q, zero, t)
+    own = F.when(F.col("stretch") == 0, at_origin(F.col("n"), F.greatest("q_end", zero), F.greatest("t_end", zero))).otherwise(group(F.col("head.T"), F.col("head.q"), *[F.col(k) for k in measures]))
+    parts = F.when(F.size("all") > 0, F.transform(folded(F.array_sort("all"), p.distance), lambda g: group(g["T"], g["q"], *[g[k] for k in measures]))).otherwise(F.array(own))
+    tagged = lambda strand, gs: F.transform(gs, lambda g: F.struct(strand.cast("int").alias("str"), g.alias("g")))
+    groups = groups.withColumn("parts", tagged(F.col("str"), parts))
     if p.compat_origin:
-        zero = F.lit(0).cast("bigint")
-        near = positioned(anchors).groupBy("read_id", "len").agg(*[x for s in (0, 1) for x in (
-            F.count(F.when(origin & (F.col("str") == s), 1)).alias(f"n{s}"), F.coalesce(F.max(F.when(origin & (F.col("str") == s), F.col("q"))), zero).alias(f"q{s}"), F.coalesce(F.max(F.when(origin & (F.col("str") == s), F.col("L"))), zero).alias(f"t{s}"))])
-        both = F.array(*[F.struct(F.lit(s).alias("str"), F.col(f"n{s}").alias("n"), F.col(f"q{s}").alias("q_end"), F.col(f"t{s}").alias("t_end")) for s in (0, 1)])
-        near = near.select("read_id", "len", F.explode(both).alias("g")).select(
-            "read_id", "len", "g.str", F.lit(-1).cast("bigint").alias("T"), zero.alias("q"), "g.n", zero.alias("q_start"), "g.q_end", zero.alias("t_start"), "g.t_end", F.lit(0).alias("grp"))
-        groups = groups.unionByName(near)
-    in_order = Window.partitionBy("read_id", "str").orderBy("grp")
+        # a read's first row brings the groups at the origin that have no anchor
+        read = Window.partitionBy("read_id")
+        missing = [F.when(F.max(((F.col("str") == s) & (F.col("stretch") == 0)).cast("int")).over(read) == 0, tagged(F.lit(s), F.array(at_origin(zero, zero, zero)))).otherwise(F.expr("slice(parts, 1, 0)")) for s in (0, 1)]
+        top = F.row_number().over(read.orderBy("str", "stretch")) == 1
+        groups = groups.withColumn("parts", F.when(top, F.concat("parts", *missing)).otherwise(F.col("parts")))
+    groups = groups.select("read_id", "len", F.inline("parts")).select("read_id", "len", "str", "g.*")
+    grp = F.row_number().over(line) - (1 if p.compat_origin else 0)
     first = F.struct("T", "q", "str")
-    groups = groups.withColumn("next", F.coalesce(F.lead(first).over(in_order), F.struct(F.lit(LAST).alias("T"), F.lit(0).cast("bigint").alias("q"), F.col("str").alias("str"))))
+    last = F.struct(F.lit(LAST).alias("T"), zero.alias("q"), F.col("str").alias("str"))
+    groups = groups.withColumn("grp", grp).withColumn("next", F.coalesce(F.lead(first).over(line), last))
     return groups.select("read_id", "len", "str", "grp", F.col("n").alias("vt_score"), "q_start", "q_end", "t_start", "t_end", first.alias("first"), "next")
 
 

@@ -6,6 +6,9 @@ not depend on how files are split into tasks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,9 +61,21 @@ def read_fastq(spark: SparkSession, path: str, id_name: str = "read_id") -> Data
 
 
 def from_text(df: DataFrame, id_col: str, text_col: str, id_name: str, name: str, breaks: str = "") -> DataFrame:
-    """(id, name, len, seq) of a table of texts, their letters taken as bases."""
-    seq = df.select(F.col(id_col).alias(id_name), F.concat(F.lit(name), F.col(id_col).cast("string")).alias("name"), fn.bases(F.coalesce(F.col(text_col), F.lit("")), breaks).alias("seq"))
-    return seq.select(id_name, "name", F.length("seq").alias("len"), "seq")
+    """(id, name, len, seq) of a table of texts, their letters taken as bases as ``functions.sequence.bases`` does, but byte by byte."""
+    table = bytearray(range(256))
+    for i, c in enumerate(fn.ALPHABET.encode()):
+        table[c] = table[c - 32] = b"ACGT"[i % 4]
+    for c in breaks.encode():
+        table[c] = ord("N")
+    rest = bytes(b for b in range(256) if not (chr(b).isascii() and chr(b).isalpha()) and chr(b) not in breaks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = [x.as_buffer().to_pybytes().translate(table, rest) if x.is_valid else b"" for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in seqs], pa.int32()), pa.array(seqs, pa.binary()).cast(pa.string())], names=[id_name, "name", "len", "seq"])
+
+    own = df.select(F.col(id_col).alias(id_name), F.concat(F.lit(name), F.col(id_col).cast("string")).alias("name"), F.col(text_col).cast("binary").alias("text"))
+    return own.mapInArrow(run, f"`{id_name}` {own.schema[id_name].dataType.simpleString()}, name string, len int, seq string")
 
 
 def to_fasta(reads: DataFrame, name: str = "name") -> DataFrame:
