@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, shared_dir, written
+from .common import LOWER_BYTES, shared_path, written
 
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Bytes of text worked on at a time; a longer text is one piece.
@@ -215,7 +215,7 @@ def discounts(n: list[int]) -> list[float]:
 def fitted(train: DataFrame) -> dict:
     """Counts the rows (text) and leaves the model's files in the shared folder; returns their names and the model's few numbers."""
     spark = train.sparkSession
-    folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "kneser-ney")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     folder = folder.replace("file:///", "file:/").replace("file:/", "file:///")
 

@@ -156,38 +156,46 @@ def described(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "s bigint, doc bigint, line bigint, n int, bits0 bigint, bits1 bigint, prefix array<bigint>")
 
 
-ROW = ("s", "doc", "line", "n", "bits0", "bits1", "pos")
-
-
 def prefix_rows(kinds: DataFrame, *more: str) -> DataFrame:
-    """A row for each word of each set's prefix."""
-    cols = [c for c in ROW if c != "pos"]
-    return kinds.select(*cols, *more, F.posexplode("prefix").alias("pos", "word")).filter("word is not null")
+    """(word, s, meta, bits0, bits1): a row for each word of each set's prefix; meta: size << 32 | place of the word << 1 | drained."""
+    rows = kinds.select("s", "n", "drained", "bits0", "bits1", *more, F.posexplode("prefix").alias("pos", "word")).filter("word is not null")
+    meta = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.shiftleft("pos", 1)).bitwiseOR(F.col("drained").cast("int"))
+    return rows.select("word", "s", meta.alias("meta"), "bits0", "bits1", *more)
 
 
 def side(rows: DataFrame, k: int) -> DataFrame:
-    return rows.select(*[F.col(c).alias(f"{c}{k}" if c != "word" else c) for c in rows.columns])
+    return rows.select(*[F.col(c).alias(f"{c}{k}") for c in rows.columns])
+
+
+def size_of(k: int) -> Column:
+    return F.shiftright(f"meta{k}", 32)
+
+
+def pos_of(k: int) -> Column:
+    return F.shiftright(F.col(f"meta{k}").bitwiseAND(0xFFFFFFFF), 1)
+
+
+def is_drained(k: int) -> Column:
+    return F.col(f"meta{k}").bitwiseAND(1) == 1
 
 
 def may_be_similar() -> Column:
     """Length, positional and parity filters on two sides that share a word: their sizes' ratio, the words at and behind the shared one, and the bits that differ leave room for the overlap."""
-    both = F.col("n1") + F.col("n2")
-    overlap = F.floor((4 * both + 8) / 9)
-    near = 5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2")
-    near &= F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= overlap
-    return near & (F.bit_count(F.col("bits01").bitwiseXOR(F.col("bits02"))) + F.bit_count(F.col("bits11").bitwiseXOR(F.col("bits12"))) <= both - 2 * overlap)
+    n1, n2 = size_of(1), size_of(2)
+    overlap = F.floor((4 * (n1 + n2) + 8) / 9)
+    near = 5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)
+    near &= F.least(n1 - pos_of(1), n2 - pos_of(2)) >= overlap
+    return near & (F.bit_count(F.col("bits01").bitwiseXOR(F.col("bits02"))) + F.bit_count(F.col("bits11").bitwiseXOR(F.col("bits12"))) <= n1 + n2 - 2 * overlap)
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(s1, s2) of sets that may be similar, s1 the earlier: the smaller shares a word of its shortest prefix with the prefix of the larger. Pairs whose later set is drained are left out."""
+    """(s1, s2) of sets that may be similar: the smaller shares a word of its shortest prefix with the prefix of the larger. Pairs of drained sets are left out."""
+    n1, n2 = size_of(1), size_of(2)
     # the filters are all part of the join's condition, so that both sides are one exchange
-    smaller = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("s1") < F.col("s2")))
-    short = F.col("pos1") + F.least("n2", F.lit(0)) <= F.col("n1") - F.floor((8 * F.col("n1") + 8) / 9)
-    first = (F.col("doc1") < F.col("doc2")) | ((F.col("doc1") == F.col("doc2")) & (F.col("line1") < F.col("line2")))
-    open_ = F.when(first, ~F.col("drained2")).otherwise(~F.col("drained1"))
-    left, right = side(rows, 1), side(rows, 2).withColumnRenamed("word", "word2")
-    met = left.join(right, (F.col("word") == F.col("word2")) & smaller & short & open_ & may_be_similar())
-    return met.select(F.when(first, F.col("s1")).otherwise(F.col("s2")).alias("s1"), F.when(first, F.col("s2")).otherwise(F.col("s1")).alias("s2")).distinct()
+    smaller = (n1 < n2) | ((n1 == n2) & (F.col("s1") < F.col("s2")))
+    short = pos_of(1) + F.least(n2, F.lit(0)) <= n1 - F.floor((8 * n1 + 8) / 9)
+    met = side(rows, 1).join(side(rows, 2), (F.col("word1") == F.col("word2")) & smaller & short & ~(is_drained(1) & is_drained(2)) & may_be_similar())
+    return met.select("s1", "s2").distinct()
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -225,34 +233,43 @@ def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame | None:
     heavy = written(kinds.select(F.explode("prefix").alias("heavy")).filter("heavy is not null").groupBy("heavy").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("heavy"), "heavy")
     if heavy.isEmpty():
         return None
-    rows = prefix_rows(kinds)
+    rows = prefix_rows(kinds, "doc", "line")
     members = written(rows.join(if_small(heavy, BROADCAST_WORDS), F.col("word") == F.col("heavy")).drop("heavy"), "members")
-    heads = written(members.groupBy("word").agg(F.min(F.struct("doc", "line", *[c for c in ROW if c not in ("doc", "line")])).alias("head")).select("word", "head.*"), "heads")
-    met = side(members, 2).withColumnRenamed("word", "word2").join(side(heads, 1), F.col("word") == F.col("word2"))
+    heads = written(members.groupBy("word").agg(F.min(F.struct("doc", "line", "s", "meta", "bits0", "bits1")).alias("head")).select("word", "head.*"), "heads")
+    met = side(members, 2).join(side(heads, 1), F.col("word1") == F.col("word2"))
     pairs = written(met.filter((F.col("s1") != F.col("s2")) & may_be_similar()).select("s1", "s2").distinct(), "stars")
-    near = among(docs.select("text", "doc"), kinds.join(pairs.select(F.col("s1").alias("w")).union(pairs.select("s2")).distinct(), F.col("s") == F.col("w"), "left_semi").select("doc"))[0].select("doc", "text")
-    sets = written(sets_of(near, pairs.select(F.col("s1").alias("s")).union(pairs.select("s2"))).dropDuplicates(["s"]), "crowded")
+    sets = written(whole_sets(docs, kinds, pairs), "crowded")
     gone = written(verified(pairs, sets).select(F.col("s2").alias("s")).distinct(), "drained")
     dropped(heavy, members, heads, pairs, sets)
     return gone
 
 
+def whole_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(s, words) of the sets in pairs (s1, s2), from the texts of their first lines."""
+    wanted = pairs.select(F.col("s1").alias("w")).union(pairs.select("s2"))
+    at = kinds.join(wanted.distinct(), F.col("s") == F.col("w"), "left_semi").select("doc")
+    return sets_of(among(docs.select("text", "doc"), at)[0].select("doc", "text"), wanted.select(F.col("w").alias("s"))).dropDuplicates(["s"])
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines to remove, of documents (doc, text)."""
     docs = docs.select("doc", F.col("text").cast("binary").alias("text"))
     lines = written(described(docs, rarity(docs)), "lines")
     payload = [F.max(c).alias(c) for c in ("n", "bits0", "bits1")]
     kinds = lines.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first"), *payload, F.first("prefix", ignorenulls=True).alias("prefix"))
-    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix"), "kinds")
+    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix", F.lit(False).alias("drained")), "kinds")
     gone = drained(docs, kinds)
-    flag = F.lit(False) if gone is None else F.col("g").isNotNull()
-    marked = kinds if gone is None else kinds.join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g"), "left")
-    links = written(candidates(prefix_rows(marked.withColumn("drained", flag), "drained")), "links")
-    wanted = links.select(F.col("s1").alias("s")).union(links.select("s2"))
-    near = among(docs.select("text", "doc"), kinds.join(wanted.select(F.col("s").alias("w")).distinct(), F.col("s") == F.col("w"), "left_semi").select("doc"))[0].select("doc", "text")
-    sets = written(sets_of(near, wanted).dropDuplicates(["s"]), "sets")
-    late = verified(links, sets).select(F.col("s2").alias("late"))
-    late = written((late if gone is None else late.union(gone)).distinct(), "late")
+    if gone is not None:
+        marked = kinds.drop("drained").join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g"), "left").withColumn("drained", F.col("g").isNotNull()).drop("g")
+        marked = written(marked, "marked")
+        dropped(kinds, gone)
+        kinds = marked
+    links = written(candidates(prefix_rows(kinds)), "links")
+    sets = written(whole_sets(docs, kinds, links), "sets")
+    first = lambda k: kinds.select(F.col("s").alias(f"k{k}"), F.struct("doc", "line").alias(f"first{k}"))
+    late = verified(links, sets).join(first(1), F.col("s1") == F.col("k1")).join(first(2), F.col("s2") == F.col("k2"))
+    late = late.select(F.when(F.col("first1") < F.col("first2"), F.col("s2")).otherwise(F.col("s1")).alias("late"))
+    late = written(late.union(kinds.filter("drained").select("s")).distinct(), "late")
     dropped(links, sets)
     known = kinds.join(late, F.col("s") == F.col("late"), "left").select(F.col("s").alias("k"), F.col("doc").alias("d0"), F.col("line").alias("l0"), F.col("late").isNotNull().alias("gone"))
     return lines.select("s", "doc", "line").join(known, F.col("s") == F.col("k")).filter(F.col("gone") | (F.col("doc") != F.col("d0")) | (F.col("line") != F.col("l0"))).select("doc", "line").distinct()
