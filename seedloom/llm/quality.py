@@ -14,10 +14,12 @@ SYMBOLS = r"[#*$%&|<>]"
 WINDOW, MAX_REPEAT_PERCENT, MIN_WORDS = 8, 30, 20
 #: Statistics that rules may test, each a share or a mean of the base counts.
 FEATURES = ("word_length", "symbol_share", "stutter_share", "upper_share", "repeat_share", "dup_line_share")
-#: Thresholds a statistic is tested at: these quantiles among rejected and among accepted labelled rows.
-REJECTED_AT, ACCEPTED_AT = (0.05, 0.25, 0.5), (0.02, 0.5, 0.98, 0.998)
-#: A rule must be so precise on the rows held back for pruning, cover so many rows, and test so few statistics.
-MIN_PRECISION, MIN_COVER, MAX_TESTS, MAX_RULES = 0.97, 3, 4, 8
+#: Thresholds a statistic is tested at: these quantiles among rejected and among accepted labelled rows, on a grid.
+REJECTED_AT, ACCEPTED_AT = (0.05, 0.25, 0.5), (0.002, 0.02, 0.5, 0.98, 0.998)
+#: Steps of the grid to one, and its end; values beyond count at the end.
+GRID, GRID_END = 500, 40
+#: A rule must be so precise on the labelled rows, cover so many, and test so few statistics; so many rules are tried.
+MIN_PRECISION, MIN_COVER, MAX_TESTS, MAX_RULES, MAX_TRIES = 0.97, 3, 4, 8, 16
 
 
 def repeated_words(words: Column) -> Column:
@@ -73,13 +75,18 @@ def base_failed() -> Column:
 def learn(labelled: DataFrame) -> list[list[tuple[str, str, float]]]:
     """Rules in order, each a list of (statistic, '<=' or '>', threshold), from rows of ``FEATURES`` and ``bad`` (0/1).
 
-    Every labelled row counts: rows are counted in Spark by the bin of each statistic, and what
-    comes to the driver is at most a count for each combination of bins, for either label and
-    either part of the rows (two thirds grow rules, one third prunes them).
+    Every labelled row counts: values are counted in Spark on a fixed grid, which gives the
+    quantiles that rules may cut at (so they are the same in every run), and then rows by the bin of
+    each statistic. What comes to the driver is bounded: a count for each step of the grid, and one
+    for each combination of bins, for either label and either part of the rows (two thirds grow
+    rules, one third prunes them).
     """
-    at = [F.percentile_approx(F.when(F.col("bad") == bad, F.col(f)), list(qs), 10_000).alias(f"{f}{bad}") for f in FEATURES for bad, qs in ((1, REJECTED_AT), (0, ACCEPTED_AT))]
-    row = labelled.agg(*at).first()
-    cuts = [sorted({*(row[f"{f}1"] or []), *(row[f"{f}0"] or [])}) for f in FEATURES]
+    step = lambda f: F.least(F.floor(F.col(f) * GRID), F.lit(GRID * GRID_END)).cast("int")
+    values = labelled.select("bad", F.posexplode(F.array(*[step(f) for f in FEATURES])).alias("f", "step"))
+    hist: dict[tuple[int, int], list] = {}
+    for f, bad, at, n in sorted(values.groupBy("f", "bad", "step").count().collect()):
+        hist.setdefault((f, bad), []).append((at, n))
+    cuts = [sorted({c for bad, qs in ((1, REJECTED_AT), (0, ACCEPTED_AT)) for c in quantiles(hist.get((f, bad), []), qs)}) for f in range(len(FEATURES))]
     bins = [sum((F.when(F.col(f) > c, 1).otherwise(0) for c in cs), F.lit(0)).alias(f) for f, cs in zip(FEATURES, cuts, strict=True)]
     part = (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).cast("int").alias("part")
     counts = np.zeros((2, 2, *[len(c) + 1 for c in cuts]), dtype=np.int64)
@@ -88,9 +95,17 @@ def learn(labelled: DataFrame) -> list[list[tuple[str, str, float]]]:
     return cover(counts, cuts)
 
 
+def quantiles(hist: list[tuple[int, int]], at: tuple[float, ...]) -> list[float]:
+    """Upper ends of the steps of (step, count), in order, that hold these shares of all counts."""
+    if not hist:
+        return []
+    upto = np.cumsum([n for _, n in hist])
+    return [(hist[int(np.searchsorted(upto, q * upto[-1]))][0] + 1) / GRID for q in at]
+
+
 def cover(counts: np.ndarray, cuts: list[list[float]]) -> list[list[tuple[str, str, float]]]:
-    """Sequential covering over counts by [part, label, bin of each statistic]; part 0 grows, part 1 prunes."""
-    left, rules = counts.copy(), []
+    """Sequential covering over counts by [part, label, bin of each statistic]; part 0 grows, part 1 prunes. What a rule too imprecise to keep would have covered is set aside while others are looked for."""
+    left, seeds, rules = counts.copy(), counts.copy(), []
 
     def box(tests: list) -> tuple:
         bounds = [[0, n] for n in counts.shape[2:]]
@@ -101,33 +116,39 @@ def cover(counts: np.ndarray, cuts: list[list[float]]) -> list[list[tuple[str, s
                 bounds[f][1] = min(bounds[f][1], c + 1)
         return tuple(slice(a, b) for a, b in bounds)
 
-    def covered(part: int, tests: list) -> tuple[int, int]:
-        good, bad = (int(left[(part, label, *box(tests))].sum()) for label in (0, 1))
+    def covered(part: int, tests: list, of: np.ndarray | None = None) -> tuple[int, int]:
+        good, bad = (int((left if of is None else of)[(part, label, *box(tests))].sum()) for label in (0, 1))
         return bad, good
 
     worth = lambda bad, good: (bad - good) / max(1, bad + good)
-    while len(rules) < MAX_RULES:
+    for _ in range(MAX_TRIES):
         tests: list = []
-        bad, good = covered(0, tests)
+        bad, good = covered(0, tests, seeds)
+        if len(rules) == MAX_RULES or bad < MIN_COVER:
+            break
         while good and len(tests) < MAX_TESTS:
             best, gain = None, 0.0
             for f, cs in enumerate(cuts):
                 for c in range(len(cs)):
                     for op in (">", "<="):
-                        b, g = covered(0, [*tests, (f, op, c)])
+                        b, g = covered(0, [*tests, (f, op, c)], seeds)
                         if b and (x := b * (np.log2(b / (b + g)) - np.log2(bad / (bad + good)))) > gain + 1e-9:
                             best, gain = (f, op, c), x
             if best is None:
                 break
             tests.append(best)
-            bad, good = covered(0, tests)
+            bad, good = covered(0, tests, seeds)
         # pruning drops last tests while that does not make the rule worse on rows it was not grown on
         tests = max((tests[:n] for n in range(len(tests), 0, -1)), key=lambda t: worth(*covered(1, t)), default=[])
-        bad, good = (sum(x) for x in zip(covered(0, tests), covered(1, tests), strict=True))
-        if not tests or bad < MIN_COVER or bad < MIN_PRECISION * (bad + good):
+        if not tests:
             break
-        rules.append([(FEATURES[f], op, cuts[f][c]) for f, op, c in tests])
-        left[(slice(None), slice(None), *box(tests))] = 0
+        bad, good = (sum(x) for x in zip(covered(0, tests), covered(1, tests), strict=True))
+        if bad >= MIN_COVER and bad >= MIN_PRECISION * (bad + good):
+            rules.append([(FEATURES[f], op, cuts[f][c]) for f, op, c in tests])
+            left[(slice(None), slice(None), *box(tests))] = 0
+            seeds[(slice(None), slice(None), *box(tests))] = 0
+        else:
+            seeds[(slice(None), 1, *box(tests))] = 0
     return rules
 
 
