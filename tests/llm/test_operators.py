@@ -38,14 +38,17 @@ def test_clean_keeps_columns(spark, frame, odd_docs):
     assert kept.columns == df.columns and 0 < kept.count() < len(odd_docs)
 
 
-def test_simhash(frame, odd_docs):
+@pytest.mark.parametrize("wide_from", [10**9, 0])
+def test_simhash(frame, odd_docs, monkeypatch, wide_from):
+    monkeypatch.setattr(simhash, "WIDE_FROM", wide_from)
     got = simhash.near_duplicates(frame(odd_docs)).collect()
     assert sorted(((r.doc_id, r.fp & (1 << 64) - 1, r.component) for r in got), key=str) == brute.components(odd_docs)
     once = simhash.deduplicated(frame(odd_docs)).filter("doc_id is not null").collect()
     assert {r.doc_id for r in once} == {c for d, _, c in brute.components(odd_docs) if d is not None} and len(once) == len({r.doc_id for r in once})
 
 
-def test_golay_keys_miss_no_link():
+@pytest.mark.parametrize("wide", [False, True])
+def test_golay_keys_miss_no_link(wide):
     counts, table = simhash.error_patterns()
     assert sorted(set(counts.tolist())) == [1, 6]
     rng = np.random.default_rng(3)
@@ -56,7 +59,7 @@ def test_golay_keys_miss_no_link():
             b[i] ^= np.uint64(1 << int(bit))
     left, right = {}, {}
     for fps, out, drop in ((a, left, 1), (b, right, 0)):
-        for row, key, side in zip(*simhash.keys(fps, counts, table), strict=True):
+        for row, key, side in zip(*simhash.keys(fps, counts, table, wide), strict=True):
             if side != drop:
                 out.setdefault(row, set()).add(key)
     assert all(left[i] & right[i] for i in range(len(a)))
