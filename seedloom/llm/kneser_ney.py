@@ -1,22 +1,29 @@
-"""Perplexity under an interpolated modified Kneser-Ney bigram model.
-
-Counts are made in Spark: tasks count what they read, and counts meet by the hash of what they
-count. The model is a folder of sorted arrays in the shared folder, which workers map into memory:
-
-- ``vocab-*``: sorted 64-bit hashes of the training tokens and their counts. A token's id is its
-  place over all of these files.
-- ``pairs-*``: sorted keys (context id << 32 | token id) with counts, dealt by a hash of the key.
-- ``ids-*``: by id, how many distinct tokens come before it, and how many kinds of pair with count
-  1, 2 and more it begins.
-
-p(w | v) = (c(vw) - D) / c(v) + g(v) p(w);  p(w) = (n(w) - D') / n + g / (V + 1), where n(w) is the
-number of distinct contexts of w and V + 1 leaves room for an unknown token. What begins a text is
-a context of its own; each text ends in a token.
+"""Perplexity under an interpolated modified Kneser-Ney trigram model.
+
+Counts are made in Spark. Tasks count the trigrams they read and deal them, packed, by their middle
+token; so the task that gathers them sees whole contexts (u, v) and whole bigrams (v, w), and leaves
+one file. A middle token too frequent for one file is spread over files by the whole trigram, and
+what these have of its contexts and bigrams is summed in a second exchange, dealt by the bigram.
+The model is a folder of sorted hash arrays in the shared folder, which workers map into memory:
+
+- ``vocab-*``: sorted 64-bit hashes of the training tokens, their ids and counts. Ids are smaller
+  for more frequent tokens, which packs them well.
+- ``grams-*`` and ``hot-*``: tables of trigram counts, of contexts (how often they go on, and with
+  how many tokens once, twice and more often) and of bigrams (how many tokens come before them).
+  Keys are the upper 48 bits of a hash; entries counted once have no more than their key.
+- ``uni-*``: by id, how many tokens come before a token, and as a context the sum of its bigrams'
+  numbers and how many of these are 1, 2 and more.
+
+p(w | u v) = (c(uvw) - D) / c(uv) + g(uv) p(w | v);  p(w | v) = (n(vw) - D') / n(v) + g(v) p(w);
+p(w) = (n(w) - D'') / n + g / (V + 1). n(vw) is the number of distinct u before vw, n(v) the sum of
+n(vw), n(w) the number of distinct v; V + 1 leaves room for an unknown token. Before a text stand two
+begins, and bigrams after a begin count as they occur; each text ends in a token. A context that
+training has not seen leaves its share to the next order.
 """
 
 from __future__ import annotations
 
-import tempfile
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -28,16 +35,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, shared_path, written
+from .common import LOWER_BYTES, dropped, shared_path, written
 
 HELD_OUT_MOD, HELD_OUT = 7, 2
 #: Bytes of text worked on at a time; a longer text is one piece.
 PIECE = 2 << 20
-#: Entries a task gathers before it hands them on.
+#: Trigrams a task gathers before it hands them on.
 GATHER = 1_000_000
-#: Pairs aimed at in a file; entries of the vocabulary in a file; share of a file that one context may take before it is spread.
-FILE_PAIRS, FILE_VOCAB, SPREAD = 2_000_000, 1_000_000, 0.1
-END, BEGIN = np.uint64(0x1D8E4E27C47D124F), (1 << 32) - 1
+#: Trigram tokens aimed at in a file; tokens from which on a middle token is spread, by so many to a part; entries of the vocabulary, and ids, in a file.
+FILE_GRAMS, HOT, FILE_VOCAB, FILE_IDS = 2_000_000, 1_000_000, 1_000_000, 250_000
+#: Files that a worker keeps open.
+OPEN = 4_000
+END = np.uint64(0x1D8E4E27C47D124F)
 LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
 SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 LONG_WORD = 64
@@ -96,112 +105,193 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int, raw: bool = False) -
                 yield rows, *((data, offsets) if raw else tokens(data, offsets))
 
 
-class Tally:
-    """Counts by 64-bit key, gathered until there are many."""
+def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys in order, with the sums of the columns."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in columns)
+
+
+def kinds_of(group: np.ndarray, n: int, counts: np.ndarray) -> list[np.ndarray]:
+    """For each of ``n`` groups how many counts are 1, 2 and more."""
+    return [np.bincount(group[np.minimum(counts, 3) == i], minlength=n).astype(np.int64) for i in (1, 2, 3)]
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        self.parts.append(summed(keys, counts))
-        self.size += len(self.parts[-1][0])
-        if self.size > 2 * GATHER:
-            self.take()
+def fours(counts: np.ndarray) -> np.ndarray:
+    """How many counts are 1, 2, 3, 4, and 3 or more."""
+    return np.array([*[(counts == i).sum() for i in (1, 2, 3, 4)], (counts >= 3).sum()], np.int64)
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = summed(np.concatenate([k for k, _ in self.parts] or [np.zeros(0, np.uint64)]), np.concatenate([c for _, c in self.parts] or [np.zeros(0, np.int64)]))
-        self.parts, self.size = [(keys, counts)], len(keys)
-        return keys, counts
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers, the first column in order, as compressed byte planes."""
+    n, parts, widths = len(columns[0]), [], []
+    for i, x in enumerate(columns):
+        x = x.astype(np.uint64)
+        x = np.diff(x, prepend=np.uint64(0)) if i == 0 else x
+        widths.append(max(1, (int(x.max(initial=0)).bit_length() + 7) // 8))
+        parts.append(np.ascontiguousarray(x).view(np.uint8).reshape(n, 8)[:, : widths[-1]].T.tobytes())
+    raw = b"".join(parts)
+    return struct.pack(f"<QB{len(widths)}B", n, len(widths), *widths) + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
-def summed(keys: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their counts (1 each if None)."""
-    if counts is None:
-        return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    head = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[head], np.add.reduceat(counts, head) if len(head) else counts
 
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    n, k = struct.unpack_from("<QB", blob)
+    widths = struct.unpack_from(f"<{k}B", blob, 9)
+    raw = pa.decompress(blob[9 + k :], n * sum(widths), "zstd", asbytes=True) if n else b""
+    out, at = [], 0
+    for i, width in enumerate(widths):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        at += n * width
+        x = x.reshape(-1).view(np.uint64)
+        out.append(np.cumsum(x, dtype=np.uint64) if i == 0 else x)
+    return out
 
-def save(folder: str, name: str, **arrays: np.ndarray) -> None:
-    """Arrays as ``folder/name.array``; a file appears whole, so that a task may run twice."""
+
+def save(folder: str, name: str, arrays: list[np.ndarray]) -> None:
+    """Arrays as one file; it appears whole, so that a task may run twice."""
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path)
-    for k, x in arrays.items():
-        part = f"{path}/.{name}.{k}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(part) as out:
-            out.write(np.ascontiguousarray(x).tobytes())
-        fs.move(part, f"{path}/{name}.{k}")
+    part = f"{path}/.{name}.{uuid.uuid4().hex}"
+    sizes = [x.nbytes for x in arrays]
+    with fs.open_output_stream(part) as out:
+        out.write(np.array([len(sizes), *sizes], np.int64).tobytes())
+        for x in arrays:
+            out.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 8))
+    fs.move(part, f"{path}/{name}")
 
 
-def load(folder: str, file: str, dtype: type) -> np.ndarray:
-    """The array of a file, mapped into memory."""
+def load(folder: str, name: str) -> list[np.ndarray]:
+    """The arrays of a file, as bytes: mapped into memory where the shared folder is mounted, else read."""
     fs, path = pafs.FileSystem.from_uri(folder)
-    path = f"{path}/{file}"
-    if fs.get_file_info(path).size == 0:
-        return np.zeros(0, dtype)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r")
-    with tempfile.NamedTemporaryFile() as copy:  # gone once mapped; pages stay until unmapped
-        with fs.open_input_stream(path) as data:
-            while block := data.read(1 << 24):
-                copy.write(block)
-        copy.flush()
-        return np.memmap(copy.name, dtype, "r")
+        data = np.memmap(f"{path}/{name}", np.uint8, "r")
+    else:
+        with fs.open_input_stream(f"{path}/{name}") as file:
+            data = np.frombuffer(file.read(), np.uint8)
+    n = int(data[:8].view(np.int64)[0])
+    at, out = 8 * (n + 1), []
+    for size in data[8:at].view(np.int64).tolist():
+        out.append(data[at : at + size])
+        at += size + -size % 8
+    return out
+
+
+class Files:
+    """Open files of a folder, the last ``OPEN`` of them."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self.held = folder, {}
+
+    def __getitem__(self, name: str) -> list[np.ndarray]:
+        if name not in self.held:
+            if len(self.held) >= OPEN:
+                self.held.pop(next(iter(self.held)))
+            self.held[name] = load(self.folder, name)
+        return self.held[name]
+
+
+def column(x: np.ndarray) -> list[np.ndarray]:
+    """Numbers as a byte each; those of 255 and more beside it."""
+    big = np.flatnonzero(x >= 255)
+    return [np.minimum(x, 255).astype(np.uint8), big.astype(np.uint32), x[big].astype(np.int64)]
+
+
+def values(parts: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+    small, big, more = parts[0], parts[1].view(np.uint32), parts[2].view(np.int64)
+    out = small[at].astype(np.int64)
+    over = np.flatnonzero(out == 255)
+    if len(over):
+        out[over] = more[np.searchsorted(big, at[over])]
+    return out
+
+
+def halves(keys: np.ndarray) -> list[np.ndarray]:
+    return [(keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(16)).astype(np.uint16)]
+
+
+def found(hi: np.ndarray, lo: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in sorted halves, -1 where they are not."""
+    hi, lo = hi.view(np.uint32), lo.view(np.uint16)
+    out = np.full(len(keys), -1, np.int64)
+    if len(hi):
+        high, low = halves(keys)
+        at, open_ = np.searchsorted(hi, high), np.arange(len(keys))
+        while len(open_):
+            here = np.minimum(at[open_], len(hi) - 1)
+            same = (at[open_] < len(hi)) & (hi[here] == high[open_])
+            met = same & (lo[here] == low[open_])
+            out[open_[met]] = here[met]
+            open_ = open_[same & ~met]
+            at[open_] += 1
+    return out
+
+
+#: Columns of a table: trigrams (count), contexts (count and three kinds), bigrams (number). Arrays of one: keys counted once, other keys, columns.
+TABLES = {"trigrams": 1, "contexts": 4, "bigrams": 1}
+WIDTH = {t: 4 + 3 * k for t, k in TABLES.items()}
+BEGINS = {"trigrams": 0, "contexts": WIDTH["trigrams"], "bigrams": WIDTH["trigrams"] + WIDTH["contexts"]}
+
+
+def table(keys: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Arrays of a table with sorted keys. A first column of 1 stands for 1 and one kind of count 1."""
+    one = columns[0] == 1
+    return [*halves(keys[one]), *halves(keys[~one]), *[x for c in columns for x in column(c[~one])]]
+
+
+def look_up(file: list[np.ndarray], of: str, keys: np.ndarray) -> np.ndarray:
+    """Columns of a table for keys, zeros where it has none."""
+    k, arrays = TABLES[of], file[BEGINS[of] : BEGINS[of] + WIDTH[of]]
+    out = np.zeros((k, len(keys)), np.int64)
+    out[:2, found(arrays[0], arrays[1], keys) >= 0] = 1
+    at = found(arrays[2], arrays[3], keys)
+    more = np.flatnonzero(at >= 0)
+    for i in range(k):
+        out[i, more] = values(arrays[4 + 3 * i : 7 + 3 * i], at[more])
+    return out
+
+
+def pair_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mixed(mixed(x + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0x9E3779B97F4A7C15) + y)
+
+
+def file_of(v: np.ndarray, key: np.ndarray, spread: np.ndarray, n: int) -> np.ndarray:
+    """File of a trigram: by its middle token, and for a frequent one by the trigram's key too."""
+    return (mixed(v * np.uint64(0xD6E8FEB86659FD93) + key % spread.astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def grams(ids: np.ndarray, counts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v): the two tokens before each token of the texts."""
+    first = np.cumsum(counts) - counts
+    v = np.concatenate((ids[:1], ids[:-1]))
+    v[first] = begin
+    u = np.concatenate((v[:1], v[:-1]))
+    u[first] = begin
+    return u, v
 
 
 class Vocabulary:
-    """Ids and counts of tokens, from the ``vocab-*`` files."""
-
-    def __init__(self, folder: str, files: list[tuple[int, int]]) -> None:
-        self.folder, self.sizes = folder, [n for _, n in files]
-        self.lows = np.array([low for low, _ in files], np.uint64)
-        self.begin = np.concatenate(([0], np.cumsum(self.sizes))).astype(np.int64)
-        self.size = int(self.begin[-1])
-        self.keys = [load(folder, f"vocab-{i:06}.keys", np.uint64) for i in range(len(files))]
-
-    def ids(self, sorted_hashes: np.ndarray) -> np.ndarray:
-        """-1 for unknown tokens."""
-        out = np.full(len(sorted_hashes), -1, np.int64)
-        cuts = np.concatenate((np.searchsorted(sorted_hashes, self.lows[1:]), [len(sorted_hashes)])) if len(self.keys) else np.zeros(0, np.int64)
-        at = 0
-        for i, end in enumerate(cuts.tolist()):
-            if end > at:
-                q, keys = sorted_hashes[at:end], self.keys[i]
-                place = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-                out[at:end] = np.where(keys[place] == q, place + self.begin[i], -1)
-            at = end
-        return out
+    """Ids and counts of tokens, from the ``vocab-*`` files: (least hash, entries) of each."""
 
-    def column(self, name: str, dtype: type) -> list[np.ndarray]:
-        return [load(self.folder, f"{name}-{i:06}.{k}", dtype) for i in range(len(self.sizes)) for k in ["data"]]
+    def __init__(self, files: Files, parts: list[tuple[int, int]]) -> None:
+        self.files, self.lows, self.n = files, np.array([low for low, _ in parts], np.uint64), len(parts)
 
-    def of(self, column: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
-        """Values of sorted ids from a column kept in files like the vocabulary's."""
-        out = np.zeros(len(ids), column[0].dtype if column else np.int64)
-        cuts = np.searchsorted(ids, self.begin[1:])
+    def look_up(self, sorted_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, count); -1 and 0 for unknown tokens."""
+        ids, counts = np.full(len(sorted_hashes), -1, np.int64), np.zeros(len(sorted_hashes), np.int64)
+        cuts = np.concatenate((np.searchsorted(sorted_hashes, self.lows[1:]), [len(sorted_hashes)])) if self.n else np.zeros(0, np.int64)
         at = 0
         for i, end in enumerate(cuts.tolist()):
             if end > at:
-                out[at:end] = column[i][ids[at:end] - self.begin[i]]
+                keys, own, *count = self.files[f"vocab-{i:06}"]
+                keys, q = keys.view(np.uint64), sorted_hashes[at:end]
+                place = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+                hit = np.flatnonzero(keys[place] == q)
+                ids[at + hit] = own.view(np.uint64 if len(own) == 8 * len(keys) else np.uint32)[place[hit]].astype(np.int64)
+                counts[at + hit] = values(count, place[hit])
             at = end
-        return out
-
-
-def bucket(pairs: np.ndarray, spread: np.ndarray, n: int) -> np.ndarray:
-    """File of each pair: by its context, and for a frequent context (spread over so many parts) by its token too."""
-    v, w = pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)
-    return (mixed(v + (mixed(w) % spread.astype(np.uint64) << np.uint64(32))) % np.uint64(n)).astype(np.int64)
-
-
-def pairs_of(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Keys of the pairs of each text, the first with BEGIN as its context; ids are 32-bit and known."""
-    before = np.empty(len(ids), np.uint64)
-    before[1:] = ids[:-1]
-    before[np.cumsum(counts) - counts] = BEGIN
-    return before << np.uint64(32) | ids.astype(np.uint64)
+        return ids, counts
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -212,6 +302,67 @@ def discounts(n: list[int]) -> list[float]:
     return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) for i in range(3)]
 
 
+def blob_rows(kind: str, parts: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, part, blob) of columns dealt into parts; the first column is in order."""
+    order = np.argsort(parts, kind="stable")
+    parts = parts[order]
+    cuts = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1], [True]))) if len(parts) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([int(parts[a])], pa.int32()), pa.array([packed(*[c[order[a:b]] for c in columns])], pa.binary())], names=["kind", "part", "blob"])
+
+
+ROWS = "kind string, part int, blob binary"
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, str], list]:
+    """Blobs of the rows of a task, by part and kind."""
+    held: dict[tuple[int, str], list] = {}
+    for batch in batches:
+        for kind, part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            held.setdefault((part, kind), []).append(bytes(blob.as_buffer()))
+    return held
+
+
+def joined(blobs: list[bytes], k: int) -> list[np.ndarray]:
+    parts = [unpacked(b) for b in blobs]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.uint64) for i in range(k)]
+
+
+def saved_words(words: DataFrame, folder: str, size: int) -> list[tuple[int, int]]:
+    """Writes the ``vocab-*`` files; returns their least hashes and sizes. Ids go by the count's logarithm, the greatest first, then by hash."""
+    n_ranges = max(1, -(-size // FILE_VOCAB))
+    # ranges of the hash's upper 31 bits, in their unsigned order
+    part = F.shiftright(F.shiftrightunsigned("h", 33) * F.lit(n_ranges), 31).cast("int")
+    ranged = words.select(part.alias("part"), "h", "n", F.floor(F.log2("n")).cast("int").alias("level"))
+    sizes = {(r[0], r[1]): r[2] for r in ranged.groupBy("level", "part").count().collect()}
+    begins, at = {}, 0
+    for level, p in sorted(sizes, key=lambda x: (-x[0], x[1])):
+        begins[p, level] = at
+        at += sizes[level, p]
+    places = {p: i for i, p in enumerate(sorted({p for p, _ in begins}))}
+    kind = np.uint32 if size < (1 << 32) - 1 else np.uint64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held)
+            parts, keys, counts, levels = (t.column(c).to_numpy() for c in ("part", "h", "n", "level"))
+            for p in np.unique(parts).tolist():
+                here = parts == p
+                k, c, level = keys[here].view(np.uint64), counts[here], levels[here]
+                order = np.argsort(k)
+                k, c, level = k[order], c[order], level[order]
+                ids = np.zeros(len(k), kind)
+                for x in np.unique(level).tolist():
+                    of = np.flatnonzero(level == x)
+                    ids[of] = begins[p, x] + np.arange(len(of))
+                save(folder, f"vocab-{places[p]:06}", [k, ids, *column(c)])
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([len(k)], pa.int64())], names=["part", "n"])
+
+    made = sorted((r[0], r[1]) for r in ranged.repartition(n_ranges, "part").mapInArrow(run, "part int, n bigint").collect())
+    return [(-(-(p << 31) // n_ranges) << 33, n) for p, n in made]
+
+
 def fitted(train: DataFrame) -> dict:
     """Counts the rows (text) and leaves the model's files in the shared folder; returns their names and the model's few numbers."""
     spark = train.sparkSession
@@ -220,203 +371,233 @@ def fitted(train: DataFrame) -> dict:
     folder = folder.replace("file:///", "file:/").replace("file:/", "file:///")
 
     def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
-        out = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["h", "n"])
         for _, hashes, _ in pieces(batches, 0):
-            tally.add(hashes)
-            if tally.size > GATHER:
-                yield out(*tally.take())
-                tally = Tally()
-        if tally.size:
-            yield out(*tally.take())
+            k, c = np.unique(hashes, return_counts=True)
+            keys, counts = summed(np.concatenate((keys, k)), np.concatenate((counts, c)))
+            if len(keys) > GATHER:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+        if len(keys):
+            yield out()
 
     words = written(train.mapInArrow(count_tokens, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
-    size, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_ranges = max(1, -(-size // FILE_VOCAB))
-
-    def save_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            t = pa.Table.from_batches(held)
-            part, keys, counts = t.column("part").to_numpy(), t.column("h").to_numpy().view(np.uint64), t.column("n").to_numpy()
-            for p in np.unique(part):
-                k, c = keys[part == p], counts[part == p]
-                order = np.argsort(k)
-                save(folder, f"vocab-raw-{p:06}", keys=k[order], data=c[order].astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([len(k)], pa.int64())], names=["part", "n"])
-
-    # ranges of the hash's upper 31 bits, in their unsigned order
-    ranged = words.withColumn("part", F.shiftright(F.shiftrightunsigned("h", 33) * F.lit(n_ranges), 31).cast("int"))
-    made = sorted((r[0], r[1]) for r in ranged.select("part", "h", "n").repartition(n_ranges, "part").mapInArrow(save_words, "part int, n bigint").collect())
-    fs, path = pafs.FileSystem.from_uri(folder)
-    for i, (p, _) in enumerate(made):
-        for k in ("keys", "data"):
-            fs.move(f"{path}/vocab-raw-{p:06}.{k}", f"{path}/{'vocab' if k == 'keys' else 'count'}-{i:06}.{k}")
-    files = [(-(-(p << 31) // n_ranges) << 33, n) for p, n in made]
-    texts = train.count()
-    n_files, share = max(1, -(-total // FILE_PAIRS)), FILE_PAIRS * SPREAD
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, tally = Vocabulary(folder, files), Tally()
-        counts_of = vocab.column("count", np.int64)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, counts = tally.take()
-            if not len(keys):
-                return
-            heads, place = np.unique(keys >> np.uint64(32), return_inverse=True)
-            known = heads != BEGIN
-            mass = np.full(len(heads), texts, np.int64)
-            mass[known] = vocab.of(counts_of, heads[known].astype(np.int64))
-            spread = np.maximum(1, np.ceil(mass / share)).astype(np.int64)
-            of = bucket(keys, spread[place], n_files)
-            order = np.argsort(of, kind="stable")
-            keys, counts, of = keys[order], np.minimum(counts[order], (1 << 32) - 1).astype(np.uint32), of[order]
-            cuts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1], [True])))
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([int(of[a])], pa.int32()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([counts[a:b].tobytes()], pa.binary())], names=["file", "keys", "counts"])
+    size, total = (int(x) for x in words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first())
+    parts = saved_words(words, folder, size)
+    dropped(words)
+    texts, begin = train.count(), size
+    n_files, n_ids, hot = max(1, -(-total // FILE_GRAMS)), max(1, -(-(size + 1) // FILE_IDS)), HOT
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, held, gathered_ = Vocabulary(Files(folder), parts), [], 0
+
+        def tally() -> list[np.ndarray]:
+            u, v, w, s, n = (np.concatenate([h[i] for h in held]) for i in range(5))
+            key = pair_key(pair_key(u, v), w)
+            order = np.argsort(key)
+            at = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+            one = order[at]
+            return [u[one], v[one], w[one], s[one], np.add.reduceat(n[order], at)]
+
+        def out(u: np.ndarray, v: np.ndarray, w: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            order = np.lexsort((w, u, v))
+            u, v, w, s, n = (x[order] for x in (u, v, w, s, n))
+            yield from blob_rows("grams", file_of(v, pair_key(pair_key(u, v), w), s, n_files), v, u, w, s > 1, n)
 
         for _, hashes, counts in pieces(batches, 0):
             distinct, at = np.unique(hashes, return_inverse=True)
-            tally.add(pairs_of(vocab.ids(distinct)[at], counts))
-            if tally.size > GATHER:
-                yield from out()
-                tally = Tally()
-        yield from out()
-
-    def save_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[int, tuple[list, list]] = {}
-        for batch in batches:
-            for f, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                keys, counts = rows.setdefault(f, ([], []))
-                keys.append(np.frombuffer(k.as_buffer(), np.uint64).copy())
-                counts.append(np.frombuffer(c.as_buffer(), np.uint32).copy())
-        for f in list(rows):
-            k, c = rows.pop(f)
-            keys, counts = summed(np.concatenate(k), np.concatenate(c).astype(np.int64))
-            save(folder, f"pairs-{f:06}", keys=keys, counts=counts.astype(np.uint32))
-            v, w = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
-            # by id range: distinct contexts of its tokens, and kinds of pairs of its contexts
-            after, n = np.unique(w, return_counts=True)
-            heads, at = np.unique(v, return_inverse=True)
-            kinds = np.bincount(at * 3 + np.minimum(counts, 3) - 1, minlength=3 * len(heads)).reshape(-1, 3)
-            of_four = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([*of_four, len(keys)], np.int64).tobytes()]), pa.array([b""]), pa.array([b""]), pa.array([b""])], names=["part", "after", "n", "heads", "kinds"])
-            begin = heads == BEGIN
-            if begin.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-2], pa.int32()), pa.array([kinds[begin].astype(np.int64).tobytes()]), pa.array([b""]), pa.array([b""]), pa.array([b""])], names=["part", "after", "n", "heads", "kinds"])
-            bounds = np.concatenate(([0], np.cumsum([n_ for _, n_ in files]))).astype(np.int64)
-            for i in range(len(files)):
-                x = slice(*np.searchsorted(after, bounds[i : i + 2]).tolist())
-                y = slice(*np.searchsorted(heads, bounds[i : i + 2]).tolist())
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([after[x].astype(np.uint32).tobytes()]), pa.array([n[x].astype(np.uint32).tobytes()]), pa.array([heads[y].astype(np.uint32).tobytes()]), pa.array([kinds[y].astype(np.uint32).tobytes()])], names=["part", "after", "n", "heads", "kinds"])
-
-    counted = written(train.mapInArrow(count_pairs, "file int, keys binary, counts binary").repartition(n_files, "file").mapInArrow(save_pairs, "part int, after binary, n binary, heads binary, kinds binary"), "kinds")
-    fours, begins = np.zeros(5, np.int64), np.zeros(3, np.int64)
-    for r in counted.filter("part < 0").select("part", "after").collect():
-        x = np.frombuffer(bytes(r[1]), np.int64)
-        if r[0] == -1:
-            fours += x
-        else:
-            begins += x.reshape(-1, 3).sum(axis=0)
+            ids, often = vocab.look_up(distinct)
+            w = ids[at].astype(np.uint64)
+            u, v = grams(w, counts, begin)
+            spread = np.maximum(1, -(-often // hot))[at]
+            s = np.concatenate((spread[:1], spread[:-1]))
+            s[np.cumsum(counts) - counts] = max(1, -(-texts // hot))
+            held.append([u, v, w, s, np.ones(len(w), np.int64)])
+            gathered_ += len(w)
+            if gathered_ > GATHER:
+                held = [tally()]
+                gathered_ = len(held[0][0])
+                if gathered_ > GATHER // 2:
+                    yield from out(*held[0])
+                    held, gathered_ = [], 0
+        if held:
+            yield from out(*tally())
+
+    def uni(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What bigrams add to their tokens: to the second that one more token comes before it, to the first the number and its kind."""
+        vs, at = np.unique(v, return_inverse=True)
+        mass = np.bincount(at, n.astype(np.float64), len(vs)).astype(np.int64)
+        ws, before = np.unique(w, return_counts=True)
+        ids = np.union1d(vs, ws)
+        cols = np.zeros((5, len(ids)), np.int64)
+        cols[0, np.searchsorted(ids, ws)] = before
+        cols[1:, np.searchsorted(ids, vs)] = [mass, *kinds_of(at, len(vs), n)]
+        yield from blob_rows("uni", (ids % np.uint64(n_ids)).astype(np.int64), ids, *cols)
+
+    def note(kind: str, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([-1], pa.int32()), pa.array([fours(counts).tobytes()], pa.binary())], names=["kind", "part", "blob"])
+
+    def made(f: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(["made"]), pa.array([f], pa.int32()), pa.array([b""], pa.binary())], names=["kind", "part", "blob"])
+
+    def bigrams(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(key, v, w, n) of distinct bigrams in the order of keys, from parts of their numbers."""
+        key = pair_key(v, w)
+        order = np.argsort(key)
+        at = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0))) if len(key) else np.zeros(0, np.int64)
+        one = order[at]
+        return key[one], v[one], w[one], np.add.reduceat(n[order], at) if len(at) else n
+
+    def save_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = gathered(batches)
+        for f, kind in list(held):
+            v, u, w, s, n = joined(held.pop((f, kind)), 5)
+            n, context = n.astype(np.int64), pair_key(u, v)
+            key = pair_key(context, w)
+            order = np.argsort(key)
+            at = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+            one, n = order[at], np.add.reduceat(n[order], at)
+            key, context, v, w, s = key[one], context[one], v[one], w[one], s[one] > 0
+            yield note("three", n)
+            heads, of = np.unique(context, return_inverse=True)
+            columns = [np.bincount(of, n.astype(np.float64), len(heads)).astype(np.int64), *kinds_of(of, len(heads), n)]
+            spread = np.zeros(len(heads), bool)
+            spread[of] = s
+            before = np.where(v == begin, n, 1)
+            whole = bigrams(v[~s], w[~s], before[~s])
+            save(folder, f"grams-{f:06}", [*table(key, [n]), *table(heads[~spread], [c[~spread] for c in columns]), *table(whole[0], [whole[3]])])
+            yield made(f)
+            yield note("two", whole[3])
+            yield from uni(*whole[1:])
+            if s.any():
+                # of a spread token this file has parts only
+                yield from blob_rows("contexts", (heads[spread] % np.uint64(n_files)).astype(np.int64), heads[spread], *[c[spread] for c in columns])
+                k, v2, w2, n2 = bigrams(v[s], w[s], before[s])
+                order = np.argsort(v2, kind="stable")
+                yield from blob_rows("bigrams", (k[order] % np.uint64(n_files)).astype(np.int64), v2[order], w2[order], n2[order])
+
+    def save_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = gathered(batches)
+        for f in sorted({f for f, _ in held}):
+            heads, *columns = joined(held.pop((f, "contexts"), []), 5)
+            heads, *columns = summed(heads, *[c.astype(np.int64) for c in columns])
+            v, w, n = joined(held.pop((f, "bigrams"), []), 3)
+            key, v, w, n = bigrams(v, w, n.astype(np.int64))
+            save(folder, f"hot-{f:06}", [*table(np.zeros(0, np.uint64), [np.zeros(0, np.int64)]), *table(heads, columns), *table(key, [n])])
+            yield note("two", n)
+            yield made(f)
+            yield from uni(v, w, n)
 
     def save_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds = np.concatenate(([0], np.cumsum([n_ for _, n_ in files]))).astype(np.int64)
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                i = batch.column(0)[r].as_py()
-                if i not in held:
-                    held[i] = np.zeros(files[i][1], np.int64), np.zeros((files[i][1], 3), np.int64)
-                after, n, heads, kinds = (np.frombuffer(batch.column(c)[r].as_buffer(), np.uint32) for c in range(1, 5))
-                held[i][0][after - bounds[i]] += n
-                held[i][1][heads - bounds[i]] += kinds.reshape(-1, 3)
-        for i, (n, kinds) in held.items():
-            save(folder, f"contexts-{i:06}", data=n.astype(np.uint32))
-            save(folder, f"kinds-{i:06}", data=kinds.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays([pa.array([np.array([*[(n == j).sum() for j in (1, 2, 3, 4)], (n >= 3).sum()], np.int64).tobytes()])], names=["fours"])
-
-    lower = np.zeros(5, np.int64)
-    for r in counted.filter("part >= 0").repartition(max(1, len(files)), "part").mapInArrow(save_ids, "fours binary").collect():
-        lower += np.frombuffer(bytes(r[0]), np.int64)
-    return {"folder": folder, "files": files, "n_files": n_files, "share": share, "total": int(total), "size": int(size), "texts": texts, "pairs": int(fours[4]), "d": discounts(fours[:4].tolist()), "d1": discounts(lower[:4].tolist()), "lower": lower.tolist(), "begins": begins.tolist()}
+        held = gathered(batches)
+        for j, kind in list(held):
+            ids, *cols = joined(held.pop((j, kind)), 6)
+            sums = [np.bincount((ids // np.uint64(n_ids)).astype(np.int64), c.astype(np.float64), -(-(begin + 1 - j) // n_ids)).astype(np.int64) for c in cols]
+            save(folder, f"uni-{j:06}", [x for c in sums for x in column(c)])
+            yield note("one", sums[0])
+
+    counted = written(train.mapInArrow(count_grams, ROWS).repartition(n_files, "part").mapInArrow(save_grams, ROWS), "grams")
+    more = written(counted.filter("kind in ('contexts', 'bigrams')").repartition(n_files, "part").mapInArrow(save_hot, ROWS), "hot")
+    single = counted.filter("kind = 'uni'").union(more.filter("kind = 'uni'")).repartition(n_ids, "part").mapInArrow(save_ids, ROWS)
+    single = written(single, "single")
+    n = {k: np.zeros(5, np.int64) for k in ("one", "two", "three")}
+    for rows in (counted, more, single):
+        for r in rows.filter("part = -1").select("kind", "blob").collect():
+            if r[0] in n:
+                n[r[0]] += np.frombuffer(bytes(r[1]), np.int64)
+    have = [[r[0] for r in x.filter("kind = 'made'").select("part").collect()] for x in (counted, more)]
+    dropped(counted, more, single)
+    types = int(n["one"][[0, 1, 4]].sum()), int(n["two"][[0, 1, 4]].sum())
+    return {"folder": folder, "parts": parts, "n_files": n_files, "n_ids": n_ids, "hot": hot, "have": have, "total": total, "size": size, "texts": texts, "bigrams": types[1], "d": [discounts(n[k][:4].tolist()) for k in ("one", "two", "three")], "one": n["one"].tolist()}
 
 
 class Model:
     """Log probabilities from the files of ``fitted``."""
 
     def __init__(self, m: dict) -> None:
-        self.m, self.vocab = m, Vocabulary(m["folder"], m["files"])
-        self.counts, self.contexts, self.kinds = self.vocab.column("count", np.int64), self.vocab.column("contexts", np.uint32), self.vocab.column("kinds", np.uint32)
-        self.kinds = [k.reshape(-1, 3) for k in self.kinds]
-        self.d, self.d1 = np.array([0, *m["d"]]), np.array([0, *m["d1"]])
-        n = m["lower"]
-        self.rest = (self.d1[1] * n[0] + self.d1[2] * n[1] + self.d1[3] * n[4]) / m["pairs"] / (m["size"] + 1) if m["pairs"] else 1 / (m["size"] + 1)
-        self.files: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def pairs(self, f: int) -> tuple[np.ndarray, np.ndarray]:
-        if f not in self.files:
-            self.files[f] = load(self.m["folder"], f"pairs-{f:06}.keys", np.uint64), load(self.m["folder"], f"pairs-{f:06}.counts", np.uint32)
-        return self.files[f]
-
-    def token(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(p(w), count, g(w), spread) of sorted distinct ids, -1 first where unknown."""
-        known = ids >= 0
-        p, count, g = np.full(len(ids), self.rest), np.zeros(len(ids), np.int64), np.ones(len(ids))
-        if known.any():
-            n = self.vocab.of(self.contexts, ids[known]).astype(np.int64)
-            p[known] += (n - self.d1[np.minimum(n, 3)]) / max(1, self.m["pairs"])
-            count[known] = self.vocab.of(self.counts, ids[known])
-            kinds = np.stack([self.vocab.of([k[:, j] for k in self.kinds], ids[known]) for j in range(3)], axis=1)
-            begun = kinds.sum(axis=1) > 0  # the end begins no pair
-            g[known] = np.where(begun, kinds @ self.d[1:] / np.maximum(count[known], 1), 1.0)
-        return p, count, g, np.maximum(1, np.ceil(count / self.m["share"])).astype(np.int64)
-
-    def pair_counts(self, keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
-        """Training counts of sorted distinct pairs."""
-        out = np.zeros(len(keys), np.int64)
-        of = bucket(keys, spread, self.m["n_files"])
-        order = np.argsort(of, kind="stable")
-        cuts = np.flatnonzero(np.concatenate(([True], of[order][1:] != of[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            at = order[a:b]
-            have, counts = self.pairs(int(of[at[0]]))
-            if len(have):
-                place = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-                out[at] = np.where(have[place] == keys[at], counts[place], 0)
+        self.m, self.files = m, Files(m["folder"])
+        self.vocab = Vocabulary(self.files, m["parts"])
+        self.d1, self.d2, self.d3 = (np.array([0, *d]) for d in m["d"])
+        self.have = np.zeros((2, m["n_files"]), bool)
+        for i, files in enumerate(m["have"]):
+            self.have[i, files] = True
+        n = m["one"]
+        self.rest = (self.d1[1] * n[0] + self.d1[2] * n[1] + self.d1[3] * n[4]) / m["bigrams"] / (m["size"] + 1) if m["bigrams"] else 1 / (m["size"] + 1)
+
+    def tokens(self, ids: np.ndarray) -> np.ndarray:
+        """For known ids: tokens before, sum of bigrams, their kinds."""
+        out = np.zeros((5, len(ids)), np.int64)
+        of = ids % self.m["n_ids"]
+        for j, at in by_part(of):
+            file = self.files[f"uni-{j:06}"]
+            for i in range(5):
+                out[i, at] = values(file[3 * i : 3 * i + 3], ids[at] // self.m["n_ids"])
         return out
 
+    def rows(self, of: str, keys: np.ndarray, files: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """Columns of a table for keys, which are in these files, or where ``hot`` in those for spread tokens."""
+        kinds, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        files, hot = files[first], hot[first]
+        where = np.where(hot, (kinds % np.uint64(self.m["n_files"])).astype(np.int64), files)
+        out = np.zeros((TABLES[of], len(kinds)), np.int64)
+        for i, (name, ok) in enumerate((("grams", ~hot), ("hot", hot))):
+            here = np.flatnonzero(ok & self.have[i, where])
+            for f, at in by_part(where[here]):
+                out[:, here[at]] = look_up(self.files[f"{name}-{f:06}"], of, kinds[here[at]])
+        return out[:, back]
+
     def scores(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """(known tokens, base log10, model log10) of each text."""
+        m, begin = self.m, self.m["size"]
         distinct, at = np.unique(hashes, return_inverse=True)
-        ids = self.vocab.ids(distinct)
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        p, count, g, spread = (x[place] for x in self.token(ids[order]))
-        first = np.cumsum(counts) - counts
+        ids, often = self.vocab.look_up(distinct)
+        # one more row for what begins a text
+        ids, often = np.append(ids, begin), np.append(often, m["texts"])
+        known = ids >= 0
+        stats = np.zeros((5, len(ids)), np.int64)
+        if m["total"]:
+            stats[:, known] = self.tokens(ids[known])
+        before, mass = stats[0], stats[1]
+        p1 = self.rest + np.where(known, before - self.d1[np.minimum(before, 3)], 0) / max(1, m["bigrams"])
+        g2 = np.where(mass > 0, self.d2[1:] @ stats[2:] / np.maximum(mass, 1), 1.0)
+        spread = np.maximum(1, -(-often // m["hot"]))
         w = at
-        v = np.concatenate(([0], at[:-1]))
-        begin = np.zeros(len(w), bool)
-        begin[first] = True
-        m = self.m
-        gv, cv, sv = g[v], count[v], spread[v]
-        cb = max(1, m["texts"])
-        gv[begin] = np.dot(self.d[1:], m["begins"]) / cb if m["texts"] else 1.0
-        cv[begin], sv[begin] = m["texts"], max(1, int(np.ceil(m["texts"] / m["share"])))
-        idv, idw = ids[v], ids[w]
-        idv[begin] = BEGIN
-        ask = np.flatnonzero((idv >= 0) & (idw >= 0))
-        keys = idv[ask].astype(np.uint64) << np.uint64(32) | idw[ask].astype(np.uint64)
-        kinds, back = np.unique(keys, return_inverse=True)
-        some = np.zeros(len(kinds), np.int64)
-        some[back] = sv[ask]
-        c = np.zeros(len(w), np.int64)
-        c[ask] = self.pair_counts(kinds, some)[back]
-        prob = (c - self.d[np.minimum(c, 3)]) / np.maximum(cv, 1) + gv * p[w]
-        base = np.log10((count[w] + 1) / (m["total"] + m["size"] + 1))
+        u, v = grams(w, counts, len(ids) - 1)
+        prob = g2[v] * p1[w]
+        if m["total"]:
+            key = lambda *xs: [ids[x].astype(np.uint64) for x in xs]
+            # bigrams
+            ask = np.flatnonzero((mass[v] > 0) & known[w])
+            x, y = key(v[ask], w[ask])
+            n = self.rows("bigrams", pair_key(x, y), file_of(x, x, np.ones(len(x), np.int64), m["n_files"]), spread[v[ask]] > 1)[0]
+            prob[ask] += (n - self.d2[np.minimum(n, 3)]) / mass[v[ask]]
+            # contexts, and trigrams where the context goes on
+            ask = np.flatnonzero(known[u] & known[v])
+            x, y = key(u[ask], v[ask])
+            context = pair_key(x, y)
+            c, *kinds = self.rows("contexts", context, file_of(y, y, np.ones(len(y), np.int64), m["n_files"]), spread[v[ask]] > 1)
+            on = np.flatnonzero(c > 0)
+            ask, context, c, kinds = ask[on], context[on], c[on], np.stack(kinds)[:, on]
+            prob[ask] *= self.d3[1:] @ kinds / c
+            seen = np.flatnonzero(known[w[ask]])
+            ask, context, c = ask[seen], context[seen], c[seen]
+            y, z = key(v[ask], w[ask])
+            three = pair_key(context, z)
+            n = self.rows("trigrams", three, file_of(y, three, spread[v[ask]], m["n_files"]), np.zeros(len(three), bool))[0]
+            prob[ask] += (n - self.d3[np.minimum(n, 3)]) / c
+        base = np.log10((often[w] + 1) / (m["total"] + m["size"] + 1))
+        first = np.cumsum(counts) - counts
         each = lambda x: np.add.reduceat(x, first) if len(first) else x
-        return each((count[w] > 0).astype(np.int64)), each(base), each(np.log10(prob))
+        return each((often[w] > 0).astype(np.int64)), each(base), each(np.log10(prob))
+
+
+def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places of it)."""
+    order = np.argsort(parts, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], parts[order][1:] != parts[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(parts[order[a]]), order[a:b]
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,8 +605,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     The model learns from documents whose crc32(id as text) mod 7 is not 2 (a null id learns too).
     Tokens are words split at ASCII white space after lower-casing A-Z, and one end; null texts are
-    empty and score their end. Without training rows every token has probability one half of one
-    over one (an empty vocabulary and the unknown token). Repeated rows count and score each; other columns are not read.
+    empty and score their end. Without training rows the unknown token has probability one.
+    Repeated rows count and score each; other columns are not read.
+    N-grams are told apart by 48 bits of their hash within a file of some two million.
     """
     out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(HELD_OUT_MOD)) == HELD_OUT, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), out.alias("held_out"), F.col(text_col).cast("binary").alias("text"))

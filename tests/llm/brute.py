@@ -118,30 +118,41 @@ def lines(rows):
 
 def kneser_ney(docs, discounts):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
-    uni, bi = Counter(), Counter()
+    grams = lambda w: zip(["begin", "begin", *w][: len(w)], ["begin", *w[:-1]], w, strict=True)
+    uni, tri = Counter(), Counter()
     for d, t in docs:
         if not held(d):
             w = [*split(t), None]
             uni.update(w)
-            bi.update(zip(["begin", *w[:-1]], w, strict=True))
+            tri.update(grams(w))
     total, size = sum(uni.values()), len(uni)
     fours = lambda c: [sum(1 for x in c.values() if x == i) for i in (1, 2, 3, 4)]
+    bi = Counter()
+    for (_, v, w), c in tri.items():
+        bi[v, w] += c if v == "begin" else 1
     before = Counter(w for _, w in bi)
-    d2, d1 = [0, *discounts(fours(bi))], [0, *discounts(fours(before))]
-    mass, kinds = Counter(), defaultdict(lambda: [0] * 4)
-    for (v, _), c in bi.items():
-        mass[v] += c
-        kinds[v][min(c, 3)] += 1
+    d3, d2, d1 = ([0, *discounts(fours(x))] for x in (tri, bi, before))
+
+    def sums(of):
+        mass, kinds = Counter(), defaultdict(lambda: [0] * 4)
+        for (*v, _), c in of.items():
+            mass[tuple(v)] += c
+            kinds[tuple(v)][min(c, 3)] += 1
+        return mass, kinds
+
+    (mass3, kinds3), (mass2, kinds2) = sums(tri), sums(bi)
     rest = sum(d1[min(c, 3)] for c in before.values()) / len(bi)
 
-    def p(v, w):
+    def p(u, v, w):
         low = (before[w] - d1[min(before[w], 3)]) / len(bi) + rest / (size + 1)
-        if not mass[v]:
-            return low
-        return (bi[v, w] - d2[min(bi[v, w], 3)]) / mass[v] + sum(d2[i] * kinds[v][i] for i in (1, 2, 3)) / mass[v] * low
+        for d, mass, kinds, of, context in ((d2, mass2, kinds2, bi, (v,)), (d3, mass3, kinds3, tri, (u, v))):
+            if mass[context]:
+                c = of[*context, w]
+                low = (c - d[min(c, 3)]) / mass[context] + sum(d[i] * kinds[context][i] for i in (1, 2, 3)) / mass[context] * low
+        return low
 
     out = []
     for d, t in docs:
         w = [*split(t), None]
-        out.append((d, held(d), len(w), sum(1 for x in w if uni[x]), total, sum(math.log10((uni[x] + 1) / (total + size + 1)) for x in w), sum(math.log10(p(v, x)) for v, x in zip(["begin", *w[:-1]], w, strict=True))))
-    return out, [sum(p(v, w) for w in [*uni, "unknown"]) for v in list(mass)[:3]]
+        out.append((d, held(d), len(w), sum(1 for x in w if uni[x]), total, sum(math.log10((uni[x] + 1) / (total + size + 1)) for x in w), sum(math.log10(p(*g)) for g in grams(w))))
+    return out, [sum(p(*v, w) for w in [*uni, "unknown"]) for v in list(mass3)[:3]]

@@ -161,11 +161,23 @@ def test_kneser_ney(frame, odd_docs):
 
 
 def test_kneser_ney_in_many_files(frame, odd_docs, monkeypatch):
-    for k, v in {"FILE_PAIRS": 300, "FILE_VOCAB": 20, "SPREAD": 0.05, "GATHER": 500}.items():
+    for k, v in {"FILE_GRAMS": 300, "FILE_VOCAB": 20, "HOT": 40, "GATHER": 500, "FILE_IDS": 7, "OPEN": 5}.items():
         monkeypatch.setattr(kneser_ney, k, v)
     test_kneser_ney(frame, odd_docs)
 
 
+def test_counts_beyond_32_bits():
+    n = np.array([1, 254, 255, 2**32, 2**40 + 3])
+    assert kneser_ney.values([x.view(np.uint8) for x in kneser_ney.column(n)], np.arange(5)).tolist() == n.tolist()
+    ordered = np.sort(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64))
+    a, b = kneser_ney.unpacked(kneser_ney.packed(ordered, np.resize(n, 50)))
+    assert (a == ordered).all() and (b == np.resize(n, 50).astype(np.uint64)).all()
+    keys = np.array([7 << 32 | 5 << 16, 7 << 32 | 6 << 16, 9 << 32], np.uint64)
+    columns = [np.array([1, 2**33, 300]), np.array([1, 0, 5]), np.array([0, 2, 0]), np.array([0, 2**34, 1])]
+    file = [*kneser_ney.table(keys[:0], [n[:0]]), *kneser_ney.table(keys, columns)]
+    assert kneser_ney.look_up(file, "contexts", np.append(keys, np.uint64(3))).T.tolist() == [*np.stack(columns).T.tolist(), [0] * 4]
+
+
 def test_mixing(spark):
     """A short leaf's share goes to its siblings, a short family's to the other families, and epochs fill what one pass cannot."""
     rows = [(i, "a b c d", "en", "s1") for i in range(2)] + [(10 + i, "a b", "en", "s2") for i in range(100)] + [(200 + i, "a", "de", "s1") for i in range(300)] + [(600, None, None, None), (601, "", "en", "s2")]
