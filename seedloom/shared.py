@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Shuffle files of a finished query go; without it they stay until the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of writes: shuffle files of a finished query go (without it they stay until the driver happens to collect its garbage), and rows with whole texts go to Python in batches of bounded size.
+WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -25,12 +25,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: computed once, and not lost with an executor. Its shuffle files go with its query."""
     spark = df.sparkSession
     path = shared_path(spark, what)
-    before = spark.conf.get(CLEANUP, None)
+    before = {k: spark.conf.get(k, None) for k in WRITES}
     try:
-        spark.conf.set(CLEANUP, "true")
+        for k, v in WRITES.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     return spark.read.schema(df.schema).parquet(path)
 
 
