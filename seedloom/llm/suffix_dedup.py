@@ -239,20 +239,14 @@ def bit_map(rows: DataFrame, bit: Column) -> np.ndarray:
 
 
 def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``docs`` in two: the rows whose doc is in ``ids`` with some others, and rows that are not in it for certain. A bit map of fixed size parts them, so that fewer texts are shuffled by the join that follows."""
+    """``docs`` in two: the rows whose doc is in ``ids`` with some others, and rows that are not in it for certain. A bit map of fixed size, broadcast as a table of its words, parts them, so that fewer texts are shuffled by the join that follows."""
     bit = F.pmod(F.xxhash64("doc"), F.lit(MAP_BITS))
-    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids, bit))
-
-    def part(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(len(batch.columns) - 1).to_numpy()
-                yield batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool) == inside))
-
-        return placed.mapInArrow(run, placed.schema).drop("__bit")
-
-    placed = docs.withColumn("__bit", bit)
-    return part(True), part(False)
+    word = lambda b: F.shiftright(b, 6).cast("int")
+    one = F.expr("shiftleft(1L, cast(bit % 64 as int))")
+    words = written(ids.select(bit.alias("bit")).groupBy(word(F.col("bit")).alias("__word")).agg(F.bit_or(one).alias("__bits")), "bits")
+    placed = docs.join(F.broadcast(words), word(bit) == F.col("__word"), "left")
+    inside = F.getbit(F.coalesce("__bits", F.lit(0).cast("bigint")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+    return placed.filter(inside).select(*docs.columns), placed.filter(~inside).select(*docs.columns)
 
 
 def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
