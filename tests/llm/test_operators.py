@@ -264,7 +264,7 @@ def test_rows_are_judged_not_ids(spark, frame):
 def test_names_do_not_run_out(spark, monkeypatch):
     """More names than the shortest forms can tell apart still get names, of their script and gender."""
     monkeypatch.setattr(pii, "SYLLABLES", {k: (body[:4], male[:2], female[:2]) for k, (body, male, female) in pii.SYLLABLES.items()})
-    rows = [(k, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}", g) for i in range(200) for k, g in (("given", "f"), ("given", "m"), ("family", ""))]
+    rows = [("given", f"{g}{chr(97 + i // 26)}{chr(97 + i % 26)}", g) for i in range(200) for g in "fm"] + [("family", f"z{chr(97 + i // 26)}{chr(97 + i % 26)}", "") for i in range(200)]
     got = pii.assigned(spark.createDataFrame(rows, "kind string, value string, gender string"), "k").collect()
     assert len({r.new.lower() for r in got}) == len(rows) == len(got)
     assert all(r.new.isalpha() and r.new.istitle() for r in got)
@@ -272,6 +272,26 @@ def test_names_do_not_run_out(spark, monkeypatch):
     assert all(r.new.endswith(tuple({"f": female, "m": male}.get(r.gender, male + female))) for r in got)
 
 
+def test_numbers_do_not_run_out(spark, frame):
+    """All secrets of six digits from a small range: those that find no free form of their length get a longer one."""
+    rows = [("secret", f"{i:02}", "") for i in range(100)]
+    got = pii.assigned(spark.createDataFrame(rows, "kind string, value string, gender string"), "k").collect()
+    assert len({r.new for r in got}) == 100 and all(r.new.isdigit() and len(r.new) > 2 for r in got)
+    shapes = spark.createDataFrame([("card", "4041 8949-7460", ["1234567890123456"]), ("card", "40-41", ["9876"])], "kind string, mention string, new array<string>")
+    assert [r[0] for r in shapes.select(pii.shaped(F.col("kind"), F.col("mention"), F.col("new"))).collect()] == ["1234 5678-90123456", "98-76"]
+
+
+def test_names_keep_gender_and_coreference(frame):
+    rows = [(1, "Dr. Anna Smith spoke. Anna Smith left; Annabel Smith stayed."), (2, "Mrs. Anna Smith met Mr. John Smith."), (3, "Anna Smith alone, with Prof. Kim Jones and Mr. Kim Jones and Kim Jones.")]
+    text = {r.doc_id: r for r in pii.pseudonymized(frame(rows)).collect()}
+    given, family = text[1].text.split()[1], text[1].text.split()[2]
+    assert text[1].text == f"Dr. {given} {family} spoke. {given} {family} left; Annabel Smith stayed." and text[1].kinds == ["name"] * 2
+    assert text[2].text.startswith(f"Mrs. {given} {family} met Mr. ") and text[2].text.endswith(f" {family}.") and "Smith" not in text[2].text
+    assert given.endswith(tuple(pii.SYLLABLES["latin"][2])) and text[3].text.startswith("Anna Smith alone")
+    kim = text[3].text.split("Prof. ")[1].split(" and ")[0]
+    assert text[3].text.endswith(f"Prof. {kim} and Mr. {kim} and {kim}.") and kim.split()[0].endswith(tuple(pii.SYLLABLES["latin"][1]))
+
+
 def test_small_groups_stay_whole_beside_a_hot_one(frame):
     """A group of a third of all rows takes no other group's chance to be together."""
     n = 3200

@@ -1,6 +1,7 @@
 """The registered queries over the smallest tables, against brute force."""
 
 import hashlib
+import re
 import zlib
 from pathlib import Path
 
@@ -70,6 +71,17 @@ def test_op9(spark, docs):
 
 
 def test_op10(spark, docs):
+    """Mentions of three types, found by patterns of this test's own: one replacement for a value and one value for a replacement, in the value's format, and none of the values left."""
     got = {r[0]: r for r in result(spark, "op10_pii_surrogates", ["doc_id", "n_entities", "text"])}
     assert len(got) == len(docs) and any(r[1] for r in got.values())
     assert all(got[d][2] == t for d, t in docs if not got[d][1]) and all(got[d][2] != t for d, t in docs if got[d][1])
+    kinds = {"mail": r"[\w.]+@[\w.]+\.\w+", "ip": r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "card": r"\b\d{16}\b"}
+    for kind, pattern in kinds.items():
+        there, back, of = {}, {}, lambda t, p=pattern: re.findall(p, t or "")
+        for d, t in docs:
+            old, new = of(t), of(got[d][2])
+            assert len(old) == len(new), (kind, d)
+            for a, b in zip(map(str.lower, old), new, strict=True):
+                assert there.setdefault(a, b) == b and back.setdefault(b, a) == a
+                assert kind == "ip" or [c.isdigit() for c in a] == [c.isdigit() for c in b]
+        assert not set(there) & set(back) and (there or kind == "card")
