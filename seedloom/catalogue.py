@@ -14,14 +14,16 @@ from .functions import sequence as fn
 from .functions.registry import register
 from .operators import evaluate
 from .operators.anchors import anchors
-from .operators.index import bucket_map, build_index, index_stats
-from .operators.minimizers import kmers, minimizers, minimizers_sql
+from .operators.index import bucket_map, build_index, index_stats, load_index, save_index
+from .operators.minimizers import kmers, minimizers, minimizers_sql, partial
 from .operators.vote import covered, decided, top_records, vote_groups
 from .params import IndexParams, MapParams, preset
 from .plans.mapping import map_reads, paf
-from .shared import shared_path, spread
+from .plans.profile import profiled
+from .shared import shared_path, spread, written
 from .sources.batches import batches
-from .sources.fasta import from_text, hex_names, read_fasta, to_fasta
+from .sources.fasta import from_text, hex_names, ordinals, read_fasta, read_fastq, to_fasta, to_fastq
+from .sources.paf import read_paf, write_paf
 from .streaming.mapping import map_stream
 
 DEFAULT = IndexParams()
@@ -29,7 +31,7 @@ RARE = IndexParams(max_occ=10)
 LOOSE = MapParams(reject_ties=False)
 READS = o.sequences("reads", "benchmark", "item_id", "item")
 SELF = o.sequences("reads", "documents", "doc_id", "doc")
-TURN = "conv_id * 1000 + turn"
+TURN = "conv_id * 1000000 + turn"
 CAPACITY = 10_000
 
 
@@ -105,19 +107,19 @@ def q_index_stats(spark, d):
 
 
 def q_key_pack(spark, d):
-    keys = build_index(targets(spark, d), RARE).keys.filter("chrom_id < 1024")
-    word = fn.pack_key(F.col("loc"), F.col("chrom_id"), F.col("str"), fn.seed_id(F.col("hash"), 30))
-    rows = keys.select("chrom_id", "loc", "str", "hash", word.alias("word"))
+    """A word has room for 1024 targets, so they are dealt into pages of as many."""
+    page, chrom = F.floor(F.col("chrom_id") / 1024), F.pmod("chrom_id", F.lit(1024))
+    rows = build_index(targets(spark, d), RARE).keys.select("chrom_id", "loc", "str", "hash", page.alias("page"), fn.pack_key(F.col("loc"), chrom, F.col("str"), fn.seed_id(F.col("hash"), 30)).alias("word"))
     back = fn.unpack_key(F.col("word"))
-    same = (back["loc"] == F.col("loc")) & (back["chrom_id"] == F.col("chrom_id")) & (back["str"] == F.col("str"))
-    return big(rows.select("chrom_id", "loc", "hash", "word", same.alias("same")))
+    same = (back["loc"] == F.col("loc")) & (F.col("page") * 1024 + back["chrom_id"] == F.col("chrom_id")) & (back["str"] == F.col("str"))
+    return big(rows.select("chrom_id", "page", "loc", "hash", "word", same.alias("same")))
 
 
 def q_anchor_pack(spark, d):
-    rows = anchors_of(items, DEFAULT)(spark, d).filter("chrom_id < 1024")
-    word = fn.pack_anchor(F.col("chrom_id"), F.col("diag"), F.col("q_loc"), F.col("str"))
-    back = fn.unpack_anchor(word)
-    return big(rows.select("read_id", word.alias("word"), back["target"].alias("target"), back["q_loc"].alias("q_loc"), back["str"].alias("str")))
+    page, chrom = F.floor(F.col("chrom_id") / 1024), F.pmod("chrom_id", F.lit(1024))
+    rows = anchors_of(items, DEFAULT)(spark, d).select("read_id", page.alias("page"), fn.pack_anchor(chrom, F.col("diag"), F.col("q_loc"), F.col("str")).alias("word"))
+    back = fn.unpack_anchor(F.col("word"))
+    return big(rows.select("read_id", "page", "word", back["target"].alias("target"), back["q_loc"].alias("q_loc"), back["str"].alias("str")))
 
 
 def anchors_of(reads, p: IndexParams):
@@ -170,6 +172,80 @@ def mapped(reads, p: IndexParams, m: MapParams):
     return run
 
 
+#: The other points of each preset's sweep.
+SWEEPS = {
+    "ont": ({"max_occ": 50, "distance": 750}, {"max_occ": 100, "distance": 700}), "hifi": ({"max_occ": 2, "distance": 4000}, {"max_occ": 5, "distance": 4000}),
+    "illumina": ({"max_occ": 150}, {"max_occ": 450}),
+}
+
+
+def sweep(name: str):
+    def run(spark, d):
+        points = [mapped(items, *preset(name, **at))(spark, d).withColumn("max_occ", F.lit(at["max_occ"]).cast("bigint")) for at in SWEEPS[name]]
+        return points[0].unionByName(points[1])
+
+    return run
+
+
+def q_near_dup_docs(spark, d):
+    """Distinct documents mapped onto distinct documents: equal texts are one, named by their smallest id, so that copies do not use up a seed's occurrences. ``copies``: the documents that a read stands for."""
+    kinds = documents_as_reads(spark, d).filter("len > 0").groupBy(F.md5("seq").alias("key")).agg(F.min(F.struct("read_id", "name", "len", "seq")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    kinds = written(kinds.select("r.*", "copies"), "kinds")
+    own = kinds.drop("copies")
+    index = build_index(own.withColumnRenamed("read_id", "chrom_id"), RARE)
+    return big(paf(map_reads(own, index, LOOSE), own, index).join(kinds.select("read_id", "copies"), "read_id"))
+
+
+def q_doc_copies(spark, d):
+    """The membership beside ``q_near_dup_docs``: each document with bases and the one that stands for it."""
+    rows = documents_as_reads(spark, d).filter("len > 0").select("read_id", F.md5("seq").alias("key"))
+    least = rows.groupBy(F.col("key").alias("of")).agg(F.min("read_id").alias("stands"))
+    return rows.join(least, F.col("key") == F.col("of")).select("read_id", "stands")
+
+
+def q_device_seeds(spark, d):
+    """Seeds of texts whose letters are taken as they are, in the dialect that knows only N as ambiguous."""
+    raw = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    seqs = texts(spark, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("chrom_id"), raw.alias("seq"))
+    return big(minimizers(seqs, IndexParams(dialect="device"), "chrom_id"))
+
+
+def q_minimizers_partial(spark, d):
+    """The first hundred seeds of each target, and where to go on."""
+    seeds = minimizers(targets(spark, d).select("chrom_id", "seq"), DEFAULT, "chrom_id")
+    return big(partial(seeds, DEFAULT, "chrom_id", 100))
+
+
+def q_index_roundtrip(spark, d):
+    """The keys of an index that was saved and loaded, with their place in the saved order."""
+    path = shared_path(spark, "index")
+    save_index(build_index(targets(spark, d), RARE), path)
+    index = load_index(spark, path)
+    keys = index.keys.select("hash", "chrom_id", "loc", "str", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return big(ordinals(keys, ["file", "at"], "n").select("n", "hash", "chrom_id", "loc", "str"))
+
+
+def q_paf_text(spark, d):
+    """PAF lines of the benchmark's items, written as text in read order and read again."""
+    path, index, own = shared_path(spark, "paf"), build_index(targets(spark, d), DEFAULT), items(spark, d)
+    write_paf(paf(map_reads(own, index, LOOSE), own, index), path)
+    return big(read_paf(spark, path))
+
+
+def q_stage_profile(spark, d):
+    """Rows that each stage of a mapping makes, observed in one run."""
+    _, rows, _ = profiled(items(spark, d), build_index(targets(spark, d), DEFAULT), LOOSE)
+    return spark.createDataFrame(list(rows.items()), "stage string, n bigint")
+
+
+def q_time_per_base(spark, d):
+    """Events as timed batches, by the document of their number: milliseconds for each base."""
+    batch = targets(spark, d).select("chrom_id", "len")
+    log = load(spark, d, "events").join(batch, F.col("event_id") == F.col("chrom_id"))
+    rows = evaluate.time_per_base(log, F.col("value"), F.col("len"))
+    return rows.groupBy(F.col("event_type").alias("label")).agg(F.count("ms_per_base").alias("n"), F.round(F.avg("ms_per_base"), 6).alias("ms_per_base"))
+
+
 def q_dialogue_hits(spark, d):
     """Turns of conversations mapped onto turns of conversations."""
     index, own = build_index(turns(spark, d, "chrom_id"), RARE), turns(spark, d)
@@ -265,12 +341,29 @@ def q_fasta_scan(spark, d):
     return big(read_fasta(spark, path, "ordinal").select("ordinal", "name", "len", F.md5("seq").alias("seq_md5")))
 
 
+def q_fasta_reads(spark, d):
+    """Targets written with two records on a line, as reads may have them, and read again."""
+    path = shared_path(spark, "fasta")
+    half = F.floor(F.col("len") / 2).cast("int")
+    lines = targets(spark, d).orderBy("chrom_id").select(F.concat(F.lit(">"), F.col("name"), F.lit(" a>b\n"), F.substr("seq", F.lit(1), half), F.lit(">"), F.col("name"), F.lit("b\n"), F.substr("seq", half + 1)).alias("value"))
+    lines.write.text(path)
+    return big(read_fasta(spark, path, "ordinal", "reads").select("ordinal", "name", "len", F.md5("seq").alias("seq_md5")))
+
+
+def q_fastq_scan(spark, d):
+    """Documents written as FASTQ, read again, and counted."""
+    path = shared_path(spark, "fastq")
+    to_fastq(documents_as_reads(spark, d)).orderBy("read_id").select("value").write.text(path)
+    return big(read_fastq(spark, path, "ordinal").select("ordinal", "name", "len", F.md5("seq").alias("seq_md5")))
+
+
 def q_stream_map(spark, d):
     """Benchmark items arrive as files and are mapped batch by batch."""
     base = shared_path(spark, "stream")
     own = items(spark, d)
     own.repartition(4, "read_id").write.parquet(f"{base}/in")
-    index = build_index(targets(spark, d), DEFAULT)
+    save_index(build_index(targets(spark, d), DEFAULT), f"{base}/index")
+    index = load_index(spark, f"{base}/index")
     reads = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     map_stream(reads, index, LOOSE, f"{base}/out", f"{base}/state").awaitTermination()
     return big(spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/*").drop("batch"))
@@ -278,11 +371,12 @@ def q_stream_map(spark, d):
 
 def queries() -> dict:
     own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_sql_hash64, q_minimizers_table, q_long_reads, q_seeds_per_read, q_speedup, q_mapq, q_mapq_zero,
-           q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map]
+           q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map,
+           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan]
     return {f.__name__: f for f in own} | {
         "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
-        "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE), "q_near_dup_docs": mapped(documents_as_reads, RARE, LOOSE),
-        **{f"q_preset_{n}": mapped(items, *preset(n)) for n in ("ont", "hifi", "illumina")},
+        "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE),
+        **{f"q_preset_{n}": mapped(items, *preset(n)) for n in SWEEPS}, **{f"q_sweep_{n}": sweep(n) for n in SWEEPS},
     }
 
 
@@ -294,8 +388,8 @@ def oracle_sql() -> dict:
     record = "SELECT read_id, CAST(rank AS BIGINT) AS rank, vt_score, q_start, q_end, t_start, t_end, CAST(str AS BIGINT) AS str FROM {}"
     self_map = lambda m: o.mapping(SELF, RARE, m)
     out = lambda reads, p, m: o.query(o.mapping(reads, p, m), "SELECT * FROM paf")
-    word = "loc | (CAST(id AS BIGINT) << 32) | (CAST(str AS BIGINT) << 42) | ((hash >> 30) << 43)"
-    anchor = "(CAST(chrom_id AS BIGINT) << 53) | (CAST(diag AS BIGINT) << 23) | (CAST(q_loc AS BIGINT) << 1) | str"
+    word = "loc | (CAST(id % 1024 AS BIGINT) << 32) | (CAST(str AS BIGINT) << 42) | ((hash >> 30) << 43)"
+    anchor = "(CAST(chrom_id % 1024 AS BIGINT) << 53) | (CAST(diag AS BIGINT) << 23) | (CAST(q_loc AS BIGINT) << 1) | str"
     hashes = {k: f"h{k} AS ({o.hashed('orders', 'CAST(o_orderkey AS BIGINT)', k, 'o_orderkey')})" for k in (15, 19, 21)}
     sim = f"""sim AS (SELECT id, seq, i, substr(seq, i * {SIM_STEP} + 1, {SIM_LEN}) AS piece FROM (SELECT id, seq, unnest(range(0, (len - {SIM_LEN}) // {SIM_STEP} + 1)) AS i FROM targets WHERE len >= {SIM_LEN})),
     noise AS (SELECT *, list_aggregate(list_transform(range(0, {SIM_LEN}), lambda j: CASE WHEN (j * 7 + i) % 40 = 0 THEN translate(substr(piece, j + 1, 1), 'ACGT', 'CGTA') ELSE substr(piece, j + 1, 1) END), 'string_agg', '') AS n FROM sim),
@@ -322,16 +416,27 @@ def oracle_sql() -> dict:
         "q_minimizers": seeds(DEFAULT), "q_minimizers_sql": seeds(DEFAULT), "q_minimizers_n": seeds(DEFAULT, dotted), "q_minimizers_right": seeds(IndexParams(ties="right")), "q_minimizers_even": seeds(IndexParams(w=3, k=4)),
         "q_index_keys": o.query(keys, "SELECT hash, id AS chrom_id, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM keys"),
         "q_index_map": o.query(keys, 'SELECT bucket_id, CAST(sum(n) OVER (ORDER BY bucket_id) AS BIGINT) AS "end" FROM (SELECT hash & 1073741823 AS bucket_id, count(*) AS n FROM keys GROUP BY 1)'),
-        "q_index_stats": o.query(keys, "SELECT (SELECT count(*) FROM targets) AS n_targets, (SELECT CAST(sum(len) AS BIGINT) FROM targets) AS n_bases, (SELECT count(*) FROM target_seeds) AS n_minimizers, (SELECT count(DISTINCT hash) FROM target_seeds) AS n_hashes, (SELECT count(*) FROM keys) AS n_keys, (SELECT count(DISTINCT hash) FROM keys) AS n_kept, (SELECT CAST(ceil(count(*) / 67108864) AS BIGINT) FROM keys) AS key_sections"),
-        "q_key_pack": o.query(keys, f"SELECT id AS chrom_id, CAST(loc AS BIGINT) AS loc, hash, {word} AS word, true AS same FROM keys WHERE id < 1024"),
-        "q_anchor_pack": o.query([docs, READS, *o.anchors(DEFAULT)], f"SELECT read_id, {anchor} AS word, CAST(chrom_id AS BIGINT) * 1073741824 + diag AS target, CAST(q_loc AS BIGINT) AS q_loc, CAST(str AS BIGINT) AS str FROM anchors WHERE chrom_id < 1024"),
+        "q_index_stats": o.query(keys, "SELECT (SELECT count(*) FROM targets) AS n_targets, (SELECT CAST(sum(len) AS BIGINT) FROM targets) AS n_bases, (SELECT count(*) FROM target_seeds) AS n_minimizers, (SELECT count(DISTINCT hash) FROM target_seeds) AS n_hashes, (SELECT count(*) FROM keys) AS n_keys, (SELECT count(DISTINCT hash) FROM keys) AS n_kept, (SELECT CAST(ceil(count(*) / 67108864) AS BIGINT) FROM keys) AS key_sections, CAST(ceil(1073741824 / 134217728) AS BIGINT) AS map_sections"),
+        "q_key_pack": o.query(keys, f"SELECT id AS chrom_id, CAST(id // 1024 AS BIGINT) AS page, CAST(loc AS BIGINT) AS loc, hash, {word} AS word, true AS same FROM keys"),
+        "q_anchor_pack": o.query([docs, READS, *o.anchors(DEFAULT)], f"SELECT read_id, CAST(chrom_id // 1024 AS BIGINT) AS page, {anchor} AS word, CAST(chrom_id % 1024 AS BIGINT) * 1073741824 + diag AS target, CAST(q_loc AS BIGINT) AS q_loc, CAST(str AS BIGINT) AS str FROM anchors"),
         "q_anchors": o.query([docs, READS, *o.anchors(DEFAULT)], "SELECT read_id, chrom_id, CAST(diag AS BIGINT) AS diag, CAST(q_loc AS BIGINT) AS q_loc, CAST(str AS BIGINT) AS str FROM anchors"),
         "q_vote_groups": o.query(self_map(LOOSE), group.format("groups")), "q_vote_groups_no_origin": o.query(self_map(MapParams(compat_origin=False)), group.format("groups")),
         "q_coverage": o.query(self_map(LOOSE), group.format("covered")), "q_topk": o.query(self_map(LOOSE), record.format("top")), "q_fraction": o.query(self_map(LOOSE), record.format("records")), "q_tie_reject": o.query(self_map(MapParams()), record.format("records")),
         "q_mapq": o.query(self_map(LOOSE), "SELECT mapq, count(*) AS n FROM paf WHERE rank = 0 GROUP BY mapq"),
         "q_mapq_zero": o.query(self_map(LOOSE), "SELECT read_id, qname, tname, nmatch FROM paf WHERE rank = 0 AND mapq = 0"),
-        "q_paf": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_near_dup_docs": out(SELF, RARE, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, RARE, LOOSE)[2:]], "SELECT * FROM paf"),
-        **{f"q_preset_{n}": out(READS, *preset(n)) for n in ("ont", "hifi", "illumina")},
+        "q_paf": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, RARE, LOOSE)[2:]], "SELECT * FROM paf"),
+        **{f"q_preset_{n}": out(READS, *preset(n)) for n in SWEEPS},
+        "q_near_dup_docs": o.query([o.sequences("alls", "documents", "doc_id", "doc"), "kinds AS (SELECT md5(seq) AS key, min(id) AS id, count(*) AS copies FROM alls WHERE len > 0 GROUP BY 1)", *["{} AS (SELECT a.* FROM alls a JOIN kinds k ON k.id = a.id)".format(n) for n in ("targets", "reads")], *o.mapping("", RARE, LOOSE)[2:]], "SELECT p.*, k.copies FROM paf p JOIN kinds k ON k.id = p.read_id"),
+        "q_doc_copies": o.query([SELF], "SELECT id AS read_id, min(id) OVER (PARTITION BY seq) AS stands FROM reads WHERE len > 0"),
+        "q_device_seeds": o.query(["targets AS (SELECT id, length(seq) AS len, translate(seq, 'BCDEFGHIJKLMOPQRSTUVWXYZ', 'CCTTGGAACCTTGAACCTTGGAAC') AS seq FROM (SELECT doc_id AS id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents))", *o.seeds("s", "targets", DEFAULT)], "SELECT id AS chrom_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
+        "q_minimizers_partial": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT id AS chrom_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str, CAST(CASE WHEN n = 100 AND more IS NOT NULL THEN loc - 13 END AS BIGINT) AS resume FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loc) AS n, lead(loc) OVER (PARTITION BY id ORDER BY loc) AS more FROM s) WHERE n <= 100"),
+        "q_index_roundtrip": o.query(keys, "SELECT row_number() OVER (ORDER BY hash & 1073741823, hash >> 30, id, loc) - 1 AS n, hash, id AS chrom_id, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM keys"),
+        "q_paf_text": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT row_number() OVER (ORDER BY read_id, rank) - 1 AS n, concat_ws(chr(9), qname, qlen, qstart, qend, strand, tname, tlen, tstart, tend, nmatch, blen, mapq, vt) AS value FROM paf"),
+        "q_stage_profile": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT * FROM (VALUES ('reads', (SELECT count(*) FROM reads)), ('seeds', (SELECT count(*) FROM read_seeds)), ('anchors', (SELECT count(*) FROM anchors)), ('groups', (SELECT count(*) FROM groups)), ('covered', (SELECT count(*) FROM covered)), ('records', (SELECT count(*) FROM records))) AS t(stage, n)"),
+        "q_time_per_base": o.query([docs], "SELECT event_type AS label, count(x) AS n, round(avg(x), 6) AS ms_per_base FROM (SELECT event_type, value / nullif(len, 0) AS x FROM events JOIN targets ON id = event_id) GROUP BY 1"),
+        "q_fasta_reads": o.query([docs], "SELECT row_number() OVER (ORDER BY id, i) - 1 AS ordinal, name || CASE WHEN i = 1 THEN 'b' ELSE '' END AS name, CAST(length(s) AS BIGINT) AS len, md5(s) AS seq_md5 FROM (SELECT id, name, i, CASE WHEN i = 0 THEN substr(seq, 1, len // 2) ELSE substr(seq, len // 2 + 1) END AS s FROM targets, (VALUES (0), (1)) AS v(i))"),
+        "q_fastq_scan": o.query([SELF], "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM reads"),
+        **{f"q_sweep_{n}": " UNION ALL ".join(f"SELECT *, CAST({at['max_occ']} AS BIGINT) AS max_occ FROM ({out(READS, *preset(n, **at))})" for at in SWEEPS[n]) for n in SWEEPS},
         "q_batches": o.query([pack], "SELECT conv_id AS stream, read_id, len, batch FROM pack"),
         "q_hash_diff_hist": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT CAST((d // 1000) * 1000 + 500 AS BIGINT) AS bin, count(*) AS n FROM (SELECT hash - lag(hash) OVER (ORDER BY hash) AS d FROM (SELECT DISTINCT hash FROM s)) WHERE d IS NOT NULL GROUP BY 1"),
         "q_mean_sd": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd FROM (SELECT id, count(*) AS c FROM s GROUP BY id)"),

@@ -35,6 +35,11 @@ def phase_averages(log: DataFrame, label: str, ns: Column) -> DataFrame:
     return log.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"), (F.avg(ns) / 1e6).alias("avg_ms"))
 
 
+def time_per_base(log: DataFrame, ms: Column, bases: Column) -> DataFrame:
+    """``log`` with ms_per_base: the time of a batch over its bases, null for an empty one."""
+    return log.withColumn("ms_per_base", ms / F.nullif(bases, F.lit(0)))
+
+
 def histogram(values: DataFrame, col: str, width: int) -> DataFrame:
     """(bin, n): bins of a width, named by their middle."""
     return values.groupBy((F.floor(F.col(col) / width) * width + width // 2).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
@@ -35,8 +35,10 @@ def build_index(targets: DataFrame, p: IndexParams) -> SeedIndex:
 
 
 def save_index(index: SeedIndex, path: str, partitions: int = 200) -> None:
-    """Keys in ranges of the hash and sorted, so that a reader's filters prune; targets and parameters beside them."""
-    index.keys.repartitionByRange(partitions, "hash").sortWithinPartitions("hash", "chrom_id", "loc").write.mode("overwrite").parquet(f"{path}/keys")
+    """Keys in the order of bucket, seed id, target and place, in ranges, so that a reader's filters prune; targets and parameters beside them."""
+    bits = index.params.bucket_bits
+    order = [fn.bucket_id(F.col("hash"), bits), fn.seed_id(F.col("hash"), bits), F.col("chrom_id"), F.col("loc")]
+    index.keys.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/keys")
     index.targets.write.mode("overwrite").parquet(f"{path}/targets")
     spark = index.keys.sparkSession
     spark.createDataFrame([asdict(index.params)]).coalesce(1).write.mode("overwrite").json(f"{path}/params")
@@ -61,8 +63,17 @@ def bucket_map(index: SeedIndex) -> DataFrame:
     return counts.join(F.broadcast(begin), F.col("slice") == F.col("at")).select("bucket_id", (F.sum("n").over(upto) + F.col("begin")).alias("end"))
 
 
+#: Bits of a memory section's bytes.
+SECTION = 29
+
+
+def sections(n: Column, bits: int) -> Column:
+    """Sections of 2^bits entries that ``n`` entries take."""
+    return F.ceil(n / F.lit(1 << bits)).cast("bigint")
+
+
 def index_stats(targets: DataFrame, p: IndexParams) -> DataFrame:
-    """One row: sequences, bases, minimizers, kept keys and distinct hashes, and memory sections of keys and map."""
+    """One row: sequences, bases, minimizers, kept keys and distinct hashes, and memory sections that the keys (8 bytes each) and the map of buckets (4 bytes each) take."""
     seeds = minimizers(targets.select("chrom_id", "seq"), p, "chrom_id")
     by_hash = seeds.groupBy("hash").count()
     counted = by_hash.agg(
@@ -71,4 +82,4 @@ def index_stats(targets: DataFrame, p: IndexParams) -> DataFrame:
     )
     size = targets.agg(F.count(F.lit(1)).alias("n_targets"), F.coalesce(F.sum("len"), F.lit(0)).cast("bigint").alias("n_bases"))
     # both sides are one row
-    return size.crossJoin(counted).withColumn("key_sections", F.ceil(F.col("n_keys") / (1 << 26)))
+    return size.crossJoin(counted).withColumn("key_sections", sections(F.col("n_keys"), SECTION - 3)).withColumn("map_sections", sections(F.lit(1 << p.bucket_bits), SECTION - 2))

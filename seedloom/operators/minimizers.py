@@ -111,6 +111,13 @@ def minimizers(seqs: DataFrame, p: IndexParams, id_col: str, carry: tuple[str, .
     return cut.mapInArrow(run, f"{head}, hash bigint, loc int, str int")
 
 
+def partial(seeds: DataFrame, p: IndexParams, id_col: str, most: int) -> DataFrame:
+    """(id, hash, loc, str, resume): the first ``most`` seeds of each sequence; resume: where to go on in it (null if there are no more seeds)."""
+    order = Window.partitionBy(id_col).orderBy("loc")
+    rows = seeds.withColumns({"turn": F.row_number().over(order), "next": F.lead("loc").over(order)}).filter(F.col("turn") <= most)
+    return rows.select(id_col, "hash", "loc", "str", F.when((F.col("turn") == most) & F.col("next").isNotNull(), F.col("loc") - p.k + 2).alias("resume"))
+
+
 def kmers(seqs: DataFrame, p: IndexParams, id_col: str, block: int = 256) -> DataFrame:
     """(id, start, lead, i, clear, hash, str): every k-mer of small blocks, in SQL functions only; hash is null for palindromes and unclear k-mers."""
     cut = blocks(seqs, p, block, (id_col,)).withColumn("digits", F.translate("piece", "AaCcTtUuGg", "0011222233"))

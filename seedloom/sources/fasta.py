@@ -28,7 +28,7 @@ def ordinals(rows: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """(file, at, value): pieces of the files between separators, with their order in the file.
+    """(file, block, at, value): pieces of the files between separators, with their order in the file.
 
     A record's place is its block's start and its turn inside the block, as the reader's splits go; one file's pieces keep their order.
     """
@@ -36,24 +36,42 @@ def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
 
 
-def read_fasta(spark: SparkSession, path: str, id_name: str = "chrom_id") -> DataFrame:
-    """(id, name, len, seq): multi-line records; the name ends at a space or the line's end, blank lines are ignored, bytes before the first record are skipped, a carriage return counts as a base that is ambiguous."""
+def with_first(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """Adds (block, at) of each file's first row of ``of``: a minimum for each file, made before the shuffle."""
+    first = of.groupBy("file").agg(F.min(F.struct("block", "at")).alias(name)).withColumnRenamed("file", "__file")
+    return rows.join(first, F.col("file") == F.col("__file")).drop("__file")
+
+
+def read_fasta(spark: SparkSession, path: str, id_name: str = "chrom_id", dialect: str = "targets") -> DataFrame:
+    """(id, name, len, seq): multi-line records; the name ends at a space or the line's end, blank lines are ignored, bytes before the first record are skipped, a carriage return counts as a base that is ambiguous.
+
+    Among targets a record ends where a line begins with ``>``, among reads at any ``>`` behind its header.
+    """
+    if dialect not in ("targets", "reads"):
+        raise ValueError("dialects are targets and reads")
     rows = records(spark, path, RECORD)
-    first = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) == 1
-    rows = rows.withColumn("first", first)
+    rows = with_first(rows, rows, "start").withColumn("first", F.struct("block", "at") == F.col("start"))
     junk = F.regexp_replace("value", r"^[^>]*>", "")
     body = F.when(F.col("first") & F.contains(F.col("value"), F.lit(">")), junk).when(~F.col("first"), F.col("value"))
     rows = rows.withColumn("body", body).filter("body is not null")
-    seq = F.replace(F.substr("body", F.length(F.substring_index("body", "\n", 1)) + 2), F.lit("\n"), F.lit(""))
-    rows = rows.select("file", "block", "at", fn.name_of(F.col("body")).alias("name"), seq.alias("seq"))
-    return ordinals(rows, ["file", "block", "at"], id_name).select(id_name, "name", F.length("seq").alias("len"), "seq")
+    rest = F.substr("body", F.length(F.substring_index("body", "\n", 1)) + 2)
+    part = lambda i: F.regexp_extract_all("body", F.lit(r"([^\n]*)\n([^>]*)"), F.lit(i))
+    one = F.array(F.struct(F.substring_index("body", "\n", 1).alias("head"), rest.alias("seq")))
+    many = F.zip_with(part(1), part(2), lambda head, seq: F.struct(F.regexp_replace(head, F.lit("^>"), F.lit("")).alias("head"), seq.alias("seq")))
+    inner = F.when(F.contains(rest, F.lit(">")), many).otherwise(one) if dialect == "reads" else one
+    rows = rows.select("file", "block", "at", F.posexplode(inner).alias("i", "r"))
+    rows = rows.select("file", "block", "at", "i", fn.name_of(F.col("r.head")).alias("name"), F.replace("r.seq", F.lit("\n"), F.lit("")).alias("seq"))
+    return ordinals(rows, ["file", "block", "at", "i"], id_name).select(id_name, "name", F.length("seq").alias("len"), "seq")
 
 
 def read_fastq(spark: SparkSession, path: str, id_name: str = "read_id") -> DataFrame:
-    """(id, name, len, seq): four-line records; qualities are not read on."""
-    lines = ordinals(records(spark, path, "\n").select("file", "block", "at", "value"), ["file", "block", "at"], "n")
-    start = F.min("n").over(Window.partitionBy("file"))
-    lines = lines.withColumn("n", F.col("n") - start)
+    """(id, name, len, seq): four-line records; bytes before a file's first ``@`` are skipped, qualities are not read on."""
+    rows = records(spark, path, "\n")
+    rows = with_first(rows, rows.filter(F.contains("value", F.lit("@"))), "start").filter(F.struct("block", "at") >= F.col("start"))
+    rows = rows.withColumn("value", F.when(F.struct("block", "at") == F.col("start"), F.regexp_replace("value", "^[^@]*", "")).otherwise(F.col("value")))
+    lines = ordinals(rows.select("file", "block", "at", "value"), ["file", "block", "at"], "n")
+    begin = lines.groupBy("file").agg(F.min("n").alias("n0")).withColumnRenamed("file", "__file")
+    lines = lines.join(begin, F.col("file") == F.col("__file")).withColumn("n", F.col("n") - F.col("n0"))
     part = lines.filter(F.pmod("n", F.lit(4)) < 2).groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(
         F.max(F.when(F.pmod("n", F.lit(4)) == 0, F.col("value"))).alias("head"), F.max(F.when(F.pmod("n", F.lit(4)) == 1, F.col("value"))).alias("seq"))
     part = part.filter(F.startswith("head", F.lit("@")))
@@ -83,6 +101,11 @@ def to_fasta(reads: DataFrame, name: str = "name") -> DataFrame:
     return reads.select("read_id", F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col("seq")).alias("value"))
 
 
+def to_fastq(reads: DataFrame, name: str = "name") -> DataFrame:
+    """FASTQ text of (name, seq), every base of the best quality."""
+    return reads.select("read_id", F.concat(F.lit("@"), F.col(name), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("~"), F.length("seq"))).alias("value"))
+
+
 def hex_names(reads: DataFrame, id_col: str = "read_id") -> DataFrame:
     """Reads named by their ordinal in lower-case hexadecimal."""
     return reads.withColumn("name", F.lower(F.hex(F.col(id_col))))

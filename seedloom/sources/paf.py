@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.mapping import paf_lines
+from .fasta import ordinals, records
 
 
 def write_paf(rows: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -12,3 +13,8 @@ def write_paf(rows: DataFrame, path: str, partitions: int | None = None) -> None
     lines = paf_lines(rows)
     ranged = lines.repartitionByRange(partitions, "read_id", "rank") if partitions else lines.repartitionByRange("read_id", "rank")
     ranged.sortWithinPartitions("read_id", "rank").select("value").write.mode("overwrite").text(path)
+
+
+def read_paf(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): lines of text files in the order of their names."""
+    return ordinals(records(spark, path, "\n"), ["file", "block", "at"], "n").select("n", "value")
