@@ -47,7 +47,7 @@ def rolling(rows: DataFrame) -> DataFrame:
 
 
 def maximal(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(turns of the conversations that stay, (id, n_turns, n_snapshots) of them); n_snapshots: how many were dropped as its copies or as prefixes of no other name than its own first turns."""
+    """(turns of the conversations that stay, (top, n, copies) of them); copies: how many conversations had exactly these turns."""
     rows = written(turns(conversations, id_col, turn_col, role_col, text_col), "turns")
     rolled = written(rolling(rows), "rolling")
     whole = rolled.groupBy("id").agg(F.max(F.struct("place", "h")).alias("last")).select("id", F.col("last.place").alias("n"), F.col("last.h").alias("h"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.md5(text), F.lit("null"))
 
 
+def own_name(what: str) -> str:
+    """A column name that no table has, for joins beside columns of any name."""
+    return f"__{what}_{uuid.uuid4().hex}"
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_az
+from .common import lower_az, own_name
 
 #: Item words in a row that count as a leak; a shorter item is one window.
 SPAN = 10
@@ -133,5 +133,5 @@ def by_text(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
 
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_share: float = 0.0) -> DataFrame:
     """The documents with at most ``max_share`` of their words hit, with their columns. Each row is judged by its own text, whatever rows share its id."""
-    bad = by_text(docs, bench, id_col, text_col).filter(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("id").alias("__bad"), F.col("key").alias("__key"))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    bad = by_text(docs, bench, id_col, text_col).filter(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("id").alias(i := own_name("id")), F.col("key").alias(k := own_name("key")))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[i]) & (F.xxhash64(docs[text_col]) == bad[k]), "left_anti")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, written
+from .common import own_name, ranked, text_key, written
 
 #: Passes that a leaf may make over its documents.
 MAX_EPOCHS = 4
@@ -103,9 +103,11 @@ def document_weights() -> dict[str, Column]:
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: tuple[int, int] = BUDGET) -> DataFrame:
-    """The documents that one pass of ``mix`` takes, with their columns."""
-    chosen = mix(docs, document_levels(), document_weights(), budget, 1, id_col, text_col).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(chosen, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    """The documents that one pass of ``mix`` takes, with their columns. Rows are named by id and text, so that others of an id, or without one, are chosen for themselves; rows alike in both go together."""
+    name = F.concat_ws("-", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), text_key(F.col(text_col)))
+    named = docs.select(name.alias("name"), F.col(text_col).alias("text"), F.col("lang"), F.col("source"))
+    chosen = mix(named, document_levels(), document_weights(), budget, 1, "name", "text").select(F.col("name").alias(k := own_name("name"))).distinct()
+    return docs.join(chosen, name == chosen[k], "left_semi")
 
 
 def oracle() -> str:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, text_key, written
+from .common import let, own_name, text_key, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -185,5 +185,5 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that ``judge`` keeps, with their columns. Each row is judged by its own text, whatever rows share its id."""
-    bad = judged(docs, labels, id_col, text_col).filter("not kept").select(F.col("id").alias("__bad"), F.col("key").alias("__key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")) & (text_key(docs[text_col]) == F.col("__key")), "left_anti")
+    bad = judged(docs, labels, id_col, text_col).filter("not kept").select(F.col("id").alias(i := own_name("id")), F.col("key").alias(k := own_name("key"))).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad[i]) & (text_key(docs[text_col]) == bad[k]), "left_anti")

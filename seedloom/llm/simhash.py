@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, text_key, written
+from .common import LOWER_BYTES, components, own_name, text_key, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (lowest bit, bits) of the segments.
@@ -170,16 +170,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One document of each group, with its columns: the row with the smallest id, null last, then the smallest text key; of rows alike in both, the one whose columns hash to the least."""
     fps = written(fingerprints(docs, id_col, text_col, text_key(F.col(text_col)).alias("key")), "fingerprints")
     first = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    keep = members(fps, F.min(first)).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__keep"), F.col("rep.key").alias("__key"))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("__keep")) & (text_key(docs[text_col]) == F.col("__key")), "left_semi")
+    i, k, row = own_name("id"), own_name("key"), own_name("row")
+    keep = members(fps, F.min(first)).groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias(i), F.col("rep.key").alias(k))
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[i]) & (text_key(docs[text_col]) == keep[k]), "left_semi")
     order = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
-    one = kept.groupBy(F.col(id_col).alias("__id"), text_key(F.col(text_col)).alias("__key")).agg(F.min_by(F.struct(*docs.columns), order).alias("__row"))
-    return one.select("__row.*")
+    one = kept.groupBy(F.col(id_col).alias(i), text_key(F.col(text_col)).alias(k)).agg(F.min_by(F.struct(*docs.columns), order).alias(row))
+    return one.select(f"{row}.*")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``one_of_each``, for tables whose ids name documents: of an id that stays with several texts, the row with the smallest text key."""
     rows = one_of_each(docs, id_col, text_col)
     some, none = rows.filter(F.col(id_col).isNotNull()), rows.filter(F.col(id_col).isNull())
-    one = some.groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct(*docs.columns), text_key(F.col(text_col))).alias("__row"))
-    return one.select("__row.*").union(none)
+    row = own_name("row")
+    one = some.groupBy(F.col(id_col).alias(own_name("id"))).agg(F.min_by(F.struct(*docs.columns), text_key(F.col(text_col))).alias(row))
+    return one.select(f"{row}.*").union(none)

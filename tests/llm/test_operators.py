@@ -305,3 +305,55 @@ def test_small_groups_stay_whole_beside_a_hot_one(frame):
     small = [v for v in homes.values() if 1 < len(v) < 100]
     assert len(small) > 400 and sum(len(set(v)) > 1 for v in small) <= 2
     assert max(len(set(v)) for v in homes.values()) <= 8
+
+
+STAGES = {
+    "accepted": lambda d, s: quality.accepted(d, s.createDataFrame([], "doc_id bigint, quality int")), "clean": lambda d, s: decontam.clean(d, s.createDataFrame([], "item_id bigint, text string")),
+    "mixed": lambda d, s: mixing.mixed(d), "one_of_each": lambda d, s: simhash.one_of_each(d), "deduplicated": lambda d, s: simhash.deduplicated(d),
+}
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_filters_keep_columns_of_any_name(spark, frame, odd_docs, name):
+    clash = {c: F.lit(1) for c in ("__bad", "__key", "__id", "__keep", "__row", "name", "text_key", "i", "h", "words", "root", "rep")}
+    empty = frame([]).withColumns(clash)
+    assert STAGES[name](empty, spark).columns == empty.columns and STAGES[name](empty, spark).count() == 0
+    rows = frame(odd_docs).withColumns(clash)
+    kept = STAGES[name](rows, spark)
+    assert kept.columns == rows.columns and kept.count() <= len(odd_docs)
+
+
+def test_chat_empty_and_clashing(spark):
+    kind = "conv_id bigint, turn int, role string, text string"
+    clash = {c: F.lit(1) for c in ("id", "place", "h", "n", "block", "copies", "said", "top")}
+    assert chat.chat_format(spark.createDataFrame([], kind).withColumns(clash)).count() == 0
+    got = chat.chat_format(spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "user", "a"), (2, 1, None, None)], kind).withColumns(clash)).collect()
+    assert [(r.conv_id, r.n_turns, r.copies) for r in got] == [(2, 2, 1)]
+
+
+def test_texts_longer_than_a_piece(frame):
+    """Beyond 2^16 shingles (fingerprints) and 2 MB (scores, lines), with the constants in use."""
+    rnd = random.Random(6)
+    long = "\n".join(" ".join(rnd.choice(("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta")) for _ in range(9)) for _ in range(50_000))
+    rows = [(1, long), (2, long[: len(long) // 2]), (3, "alpha beta\ngamma")]
+    assert len(long) > kneser_ney.PIECE
+    got = simhash.near_duplicates(frame(rows)).collect()
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in got} == {d: brute.simhash(t) for d, t in rows}
+    want, _ = brute.kneser_ney(rows, kneser_ney.discounts)
+    scored = {r.doc_id: r for r in kneser_ney.score(frame(rows)).collect()}
+    assert all(tuple(scored[w[0]])[:5] == w[:5] and tuple(scored[w[0]])[5:] == pytest.approx(w[5:], rel=1e-9) for w in want)
+    seen, removed = set(), {}
+    for d, t in rows:
+        sets = [frozenset(x.split()) for x in t.split("\n")]
+        removed[d] = []
+        for i, x in enumerate(sets):
+            if x in seen or any(5 * len(x & y) >= 4 * len(x | y) for y in seen if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y))):
+                removed[d].append(i)
+            seen.add(x)
+    assert {r.doc_id: list(r.removed) for r in line_dedup.remove_lines(frame(rows)).collect()} == removed
+
+
+def test_sharding_at_its_round_limit(frame):
+    rows = [(i, f"pair {i // 2}") for i in range(320)]
+    got = sharding.shard(frame(rows), 16, 1).collect()
+    assert sorted(r.doc_id for r in got) == list(range(320)) and {sum(r.shard == s for r in got) for s in range(16)} == {20}
