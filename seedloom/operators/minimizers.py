@@ -19,8 +19,8 @@ from ..functions import sequence as fn
 from ..params import IndexParams
 
 BLOCK = 1 << 18
-#: Bases joined into one array at a time.
-CHUNK = 1 << 21
+#: Bases joined into one array at a time; as many as a core's cache holds.
+CHUNK = 1 << 17
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEPARATOR = ord("N")
 
@@ -53,6 +53,35 @@ def mix(x: np.ndarray, k: int) -> np.ndarray:
     return (x + (x << u(31))) & mask
 
 
+def strings(letters: np.ndarray, k: int, first_low: bool) -> np.ndarray:
+    """Numbers of the k-letter strings at each place, two bits a letter, put together from those of half the length; first_low: the first letter in the lowest bits."""
+    n, out, size, part, span = len(letters) - k + 1, None, 0, letters, 1
+    while True:
+        if k & span:
+            piece = part[size : size + n]
+            if out is None:
+                out = piece
+            elif first_low:
+                out = out | piece << np.uint64(2 * size)
+            else:
+                out = out << np.uint64(2 * span) | piece
+            size += span
+        if size == k:
+            return out
+        low, high = part[:-span], part[span:]
+        part = low | high << np.uint64(2 * span) if first_low else low << np.uint64(2 * span) | high
+        span *= 2
+
+
+def least(key: np.ndarray, w: int) -> np.ndarray:
+    """Minima of windows of ``w``, from those of half the width."""
+    span = 1
+    while span * 2 <= w:
+        key = np.minimum(key[:-span], key[span:])
+        span *= 2
+    return np.minimum(key[: len(key) - (w - span)], key[w - span :]) if span < w else key
+
+
 def picks(codes: np.ndarray, p: IndexParams) -> tuple[np.ndarray, ...]:
     """(window, place, hash, strand) of the windows that pick another k-mer than the window before."""
     n = len(codes) - p.k + 1
@@ -61,23 +90,30 @@ def picks(codes: np.ndarray, p: IndexParams) -> tuple[np.ndarray, ...]:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty.astype(np.uint64), empty
     base = (codes & 3).astype(np.uint64)
-    forward, reverse = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    for j in range(p.k):
-        forward = forward << np.uint64(2) | base[j : j + n]
-        reverse |= (base[j : j + n] ^ np.uint64(2)) << np.uint64(2 * j)
+    forward, reverse = strings(base, p.k, False), strings(base ^ np.uint64(2), p.k, True)
     h = np.where(forward == reverse, NONE, mix(np.minimum(forward, reverse), p.k))
     bad = np.concatenate(([0], np.cumsum(codes >= 4)))
     clear = bad[p.w + p.k - 1 :] == bad[:windows]
-    best, place = h[:windows].copy(), np.arange(windows)
-    for j in range(1, p.w):
-        other = h[j : j + windows]
-        take = other < best if p.ties == "left" else other <= best
-        best[take] = other[take]
-        place[take] = np.flatnonzero(take) + j
-    good = clear & (best != NONE)
+    room = 64 - 2 * p.k
+    if n < 1 << room:
+        # hash and place in one number, so that the least is the pick
+        at = np.arange(n, dtype=np.uint64)
+        key = least(np.where(h == NONE, NONE, h << np.uint64(room) | (at if p.ties == "left" else np.uint64(n - 1) - at)), p.w)
+        good = clear & (key != NONE)
+        place = (key & np.uint64((1 << room) - 1)).astype(np.int64)
+        place = place if p.ties == "left" else n - 1 - place
+    else:
+        best, place = h[:windows].copy(), np.arange(windows)
+        for j in range(1, p.w):
+            other = h[j : j + windows]
+            take = other < best if p.ties == "left" else other <= best
+            best[take] = other[take]
+            place[take] = np.flatnonzero(take) + j
+        good = clear & (best != NONE)
     again = np.concatenate(([False], good[:-1] & (place[1:] == place[:-1])))
     at = np.flatnonzero(good & ~again)
-    return at, place[at], best[at], (forward > reverse)[place[at]].astype(np.int64)
+    chosen = place[at]
+    return at, chosen, h[chosen], (forward > reverse)[chosen].astype(np.int64)
 
 
 def minimizers(seqs: DataFrame, p: IndexParams, id_col: str, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in ``spark.checkpoint.dir``; where that is unset, as in tests, in a folder of this application."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)

@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"q_vote_groups_no_origin", "q_coverage", "q_topk", "q_fraction", "q_mapq", "q_mapq_zero"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,7 @@ def rows(found):
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_oracle(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
