@@ -93,11 +93,12 @@ def propagate(linked: DataFrame, free: list[int], n_shards: int, max_rounds: int
         idle = 0 if any(allowed.values()) else idle + 1
         if idle > 4:  # a cut has been tried and the rest found no way
             break
-        allow = linked.sparkSession.createDataFrame([(*k, v) for k, v in allowed.items()], "at int, to int, quota bigint")
+        # a number for each pair of shards
+        quota = F.element_at(F.create_map(*[F.lit(x) for (a, b), v in allowed.items() for x in (a * n_shards + b, v)]), F.col("at") * n_shards + F.col("to"))
         # whole groups go ahead of groups to be cut; small ones go by group, so that their rows are let in together
         by = F.shiftrightunsigned(F.when(F.col("small"), F.xxhash64(F.lit(n), "grp")).otherwise(F.xxhash64("mover")), 1)
         turn = F.when(F.col("cut"), by.bitwiseOR(F.lit(-(1 << 63)))).otherwise(by)
-        tried = written(ranked(ask, ["at", "to"], turn, ["mover"], n_linked // n_shards + 1).join(F.broadcast(allow), ["at", "to"]).select("mover", "grp", "to", "cut", (F.col("rank") < F.col("quota")).alias("ok")), "tried")
+        tried = written(ranked(ask, ["at", "to"], turn, ["mover"], n_linked // n_shards + 1).select("mover", "grp", "to", "cut", (F.col("rank") < quota).alias("ok")), "tried")
         moves = tried.filter("ok").select("mover", "to")
         linked = written(linked.join(moves, F.col("row") == F.col("mover"), "left").select("row", "grp", F.coalesce("to", "at").alias("at")), "linked")
         # only a shard that had no room for the rest of a group to be cut is done with

@@ -116,6 +116,51 @@ def lines(rows):
     return sorted((found[r] for r in rows), key=str)
 
 
+def features(text):
+    """The statistics that quality rules test, by name."""
+    text = text or ""
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    chars, n = max(1, sum(map(len, w))), max(1, len(w))
+    repeated = statistics([(0, text)])[0][5]
+    return {
+        "word_length": sum(map(len, w)) / n, "symbol_share": len(re.findall(r"[#*$%&|<>]", text)) / chars, "stutter_share": sum(a == b for a, b in zip(w, w[1:], strict=False)) / n,
+        "upper_share": len(re.findall("[A-Z]", text)) / chars, "repeat_share": repeated / n, "dup_line_share": (len(lines) - len(set(lines))) / max(1, len(lines)),
+    }
+
+
+def mixture(docs, weights, budget, seed):
+    """Places of the rows (id, text, *levels) that one pass takes; weights: a function of each level's value."""
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    names = [f"{'null' if d is None else d}-{'null' if t is None else md5(t)}" for d, t, *_ in docs]
+    sizes = [len([x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]) for _, t, *_ in docs]
+
+    def fill(rows, depth, amount):
+        if depth == len(weights):
+            more, run, taken = math.floor(amount), 0, []
+            whole = more == sum(sizes[i] for i in rows) > 0
+            for i in sorted(rows, key=lambda i: (md5(f"{seed}-{int(whole)}-{names[i]}")[:15], names[i], sizes[i])):
+                taken += [i] * (whole or run + sizes[i] <= more)
+                run += sizes[i]
+            return taken
+        by = defaultdict(list)
+        for i in rows:
+            by[docs[i][2 + depth]].append(i)
+        cap = {k: sum(sizes[i] for i in v) for k, v in by.items()}
+        order = sorted(by, key=lambda k: (cap[k] / weights[depth](k), k is not None, k or ""))
+        taken, rest = [], sum(map(weights[depth], by))
+        for n, k in enumerate(order):
+            if cap[k] * rest > amount * weights[depth](k):
+                for x in order[n:]:
+                    taken += fill(by[x], depth + 1, amount * weights[depth](x) / rest)
+                break
+            taken += fill(by[k], depth + 1, cap[k])
+            amount, rest = amount - cap[k], rest - weights[depth](k)
+        return taken
+
+    return set(fill(range(len(docs)), 0, float(sum(sizes) * budget[0] // budget[1])))
+
+
 def kneser_ney(docs, discounts):
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     grams = lambda w: zip(["begin", "begin", *w][: len(w)], ["begin", *w[:-1]], w, strict=True)

@@ -7,8 +7,9 @@ from pathlib import Path
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
-from seedloom.llm import kneser_ney
+from seedloom.llm import kneser_ney, mixing, quality
 from seedloom.llm.queries import queries
 
 DATA = "/root/testdata/sf0.001"
@@ -50,6 +51,65 @@ def test_op6(spark, docs):
     assert [r[:7] for r in got] == want and not any(r[6] and r[7] for r in got)
 
 
+def test_op6_verdicts(spark, docs):
+    """The learned rules, applied to this test's own statistics, give the registered verdicts, and are as precise on the labels as they have to be."""
+    table = lambda n: spark.read.parquet(f"{DATA}/{n}.parquet")
+    stats = quality.features(quality.statistics(table("documents")))
+    labels = {r.doc_id: r.quality for r in table("labels").collect() if r.quality is not None}
+    bad = F.col("quality") == 0
+    rules = quality.learn(stats.join(table("labels").select(F.col("doc_id").alias("id"), bad.cast("int").alias("bad")), "id").filter("bad is not null").filter(~quality.base_failed()))
+    assert rules
+    own = {d: brute.features(t) for d, t in docs}
+    holds = lambda f, tests: all(f[k] > c if op == ">" else f[k] <= c for k, op, c in tests)
+    got = {r[0]: r for r in result(spark, "op6_quality_rules", ["doc_id", "base_failed", "rule", "kept"])}
+    hits = {n: [0, 0] for n in range(1, len(rules) + 1)}
+    for d, f in own.items():
+        rule = next((n for n, tests in enumerate(rules, 1) if holds(f, tests)), 0)
+        assert got[d][2] == rule and got[d][3] == (not got[d][1] and not rule)
+        if rule and d in labels and not got[d][1]:
+            hits[rule][labels[d] == 0] += 1
+    assert all(y >= quality.MIN_COVER and y >= quality.MIN_PRECISION * (x + y) for x, y in hits.values())
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Every stage, on what the one before kept, against plain Python."""
+    import corpus_pipeline
+
+    rows = lambda df: [(r.doc_id, r.text, r.lang, r.source) for r in df.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else "null")
+    bench = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()]
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    before = rows(df)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, df, DATA).write.parquet(f"file://{tmp_path}/{name}")
+        df = spark.read.parquet(f"file://{tmp_path}/{name}")
+        if name == "shards":
+            sizes = [df.filter(df.shard == s).count() for s in range(16)]
+            assert sum(sizes) == len(before) and max(sizes) - min(sizes) <= 1
+            return
+        got = rows(df)
+        if name == "quality_rules":
+            kept = {r[0] for r in result(spark, "op6_quality_rules", ["doc_id", "kept"]) if r[1]}
+            want = [r for r in before if r[0] in kept]
+        elif name == "near_dedup":
+            component = {(d, fp): c for d, fp, c in brute.components([r[:2] for r in before])}
+            of, groups = {d: c for (d, _), c in component.items()}, {}
+            for r in before:
+                groups.setdefault(of[r[0]], []).append(r)
+            want = [min(g, key=key) for g in groups.values()]
+        elif name == "decontamination":
+            hit = {d for d, _, h, _ in brute.decontaminate([r[:2] for r in before], bench) if h}
+            want = [r for r in before if r[0] not in hit]
+        else:
+            number = lambda s: int(m[1]) if (m := re.search(r"([0-9]+)$", s or "")) else 10**6
+            domain = lambda s: "web" if number(s) < 3 else "books" if number(s) < 10 else "code"
+            weights = [{"web": 3, "books": 4, "code": 3}.get, lambda x: {"en": 5, "de": 2, "fr": 2, "es": 1}.get(x, 1), lambda x: 1]
+            taken = brute.mixture([(d, t, domain(s), x, s) for d, t, x, s in before], weights, (3, 4), mixing.SEED)
+            want = [r for i, r in enumerate(before) if i in taken]
+        assert sorted(got, key=str) == sorted(want, key=str) and len(got) < len(before), name
+        before = got
+
+
 def test_op7(spark, docs):
     got = {r[0]: r for r in result(spark, "op7_sharding", ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"])}
     assert all(got[d][1:4] == (len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows") and got[d][6] is None for d, t in docs)
