@@ -53,6 +53,35 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key is frequent with so many rows, or this part of all rows if that is more; so there are at most as many frequent keys as the part says.
+FREQUENT_ROWS, FREQUENT_PART = 10_000, 2_000
+
+
+def joined_evenly(big: DataFrame, small: DataFrame, keys: list[str], value: str, rows: str) -> DataFrame:
+    """``big`` with a column ``value`` of ``small``, inner; no task gets all rows of a frequent key.
+
+    ``small`` is a written table with a row for each key and ``rows``, how often it is in ``big``.
+    Its frequent keys, at most ``FREQUENT_PART``, are broadcast; rows with these are dealt by all
+    their columns into the shuffle join that the others need.
+    """
+    least = max(FREQUENT_ROWS, big.count() // FREQUENT_PART)
+    side = lambda df, k: df.select(*[F.col(x).alias(f"{x}_{k}") for x in keys], F.col(value).alias(f"value_{k}"))
+    often = small.filter(F.col(rows) > least)
+    first, hot = F.col(keys[0]), F.lit(False)
+    if not often.isEmpty():
+        big_ = big.join(F.broadcast(side(often, "hot")), [F.col(x) == F.col(f"{x}_hot") for x in keys], "left")
+        hot = F.col("value_hot").isNotNull()
+        first = F.when(hot, F.xxhash64(*big.columns)).otherwise(first)
+    else:
+        big_ = big.withColumn("value_hot", F.lit(None).cast(small.schema[value].dataType))
+    dealt = big_.withColumn("__deal", first)
+    on = (F.col("__deal") == F.col(f"{keys[0]}_one")) & ~hot
+    for x in keys[1:]:
+        on = on & (F.col(x) == F.col(f"{x}_one"))
+    met = dealt.join(side(small, "one"), on, "left").withColumn(value, F.coalesce("value_hot", "value_one"))
+    return met.filter(F.col(value).isNotNull()).select(*[c for c in big.columns if c != value], value)
+
+
 def ranked(df: DataFrame, keys: list[str], order: Column, ties: list, n_rows: int, rank: str = "rank", weight: Column | None = None, rows_per_task: int = 4000) -> DataFrame:
     """Row number from 0 within ``keys``, in an order of the 64-bit hash ``order`` taken as unsigned.
 

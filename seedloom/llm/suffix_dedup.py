@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, joined_evenly, written
 
 LENGTH, GRAM = 100, 24
 #: Grams inside a string of LENGTH bytes.
@@ -354,18 +354,18 @@ def unpacked(rows: DataFrame) -> DataFrame:
 
 def cover(docs: DataFrame) -> DataFrame:
     """(doc, a, b): bytes a to b of a document lie in strings that also start earlier; runs may overlap."""
-    found = stretches(docs)
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    again = written(found.join(often, "h", "left_semi"), "stretches")
+    found = written(stretches(docs), "found")
+    often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    again = written(joined_evenly(found, often, ["h"], "n", "n").drop("n"), "stretches")
+    dropped(found, often)
     kinds = written(again.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
     # stretches equal as a whole: all but the first are covered, and the first stands for them
-    head = kinds.filter("n > 1").select(F.col("h").alias("kh"), F.col("c").alias("kc"), "first")
-    whole = again.join(head, (F.col("h") == F.col("kh")) & (F.col("c") == F.col("kc"))).filter(F.struct("doc", "at") != F.col("first"))
+    whole = joined_evenly(again, kinds.filter("n > 1"), ["h", "c"], "first", "n").filter(F.struct("doc", "at") != F.col("first"))
     first = F.shiftright("at", 14)
     whole = whole.select("doc", first.alias("a"), (first + F.col("at").bitwiseAND(127) + LENGTH).alias("b"))
-    sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    sizes = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "sizes")
     parts = F.ceil(F.col("k") / ANCHOR_ROWS).cast("int")
-    wanted = written(kinds.join(sizes, "h").select("h", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), parts.alias("parts"), "first.doc", "first.at"), "wanted")
+    wanted = written(joined_evenly(kinds, sizes, ["h"], "k", "k").select("h", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), parts.alias("parts"), "first.doc", "first.at"), "wanted")
     shards = max(1, -(-wanted.count() // SHARD_ROWS))
     inside = written(repeats_in_shards(cut(docs, wanted), shards), "repeats")
     return whole.union(unpacked(inside.filter("h is null"))).union(merged(inside.filter("h is not null")))

@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from seedloom.llm import chat, decontam, kneser_ney, line_dedup, mixing, pii, quality, sharding, simhash, suffix_dedup
+from seedloom.llm import chat, common, decontam, kneser_ney, line_dedup, mixing, pii, quality, sharding, simhash, suffix_dedup
 
 FUNCTIONS = {
     "decontam": lambda d, s: decontam.decontaminate(d, s.createDataFrame([(1, "w1 w2 w3")], "item_id int, text string")), "lm": lambda d, s: kneser_ney.score(d), "simhash": lambda d, s: simhash.near_duplicates(d),
@@ -121,6 +121,19 @@ def test_repeats(frame, odd_docs, monkeypatch, limits):
     assert repeats_of(frame(rows)) == brute.repeats(rows)
 
 
+@pytest.mark.parametrize("least", [0, 3, 10**6])
+def test_frequent_keys(spark, frame, odd_docs, monkeypatch, least):
+    """Joins that deal rows of frequent keys apart give what a plain join gives."""
+    monkeypatch.setattr(common, "FREQUENT_ROWS", least)
+    rnd = random.Random(9)
+    big = [(rnd.randrange(12), rnd.randrange(2), i) for i in range(200)] + [(None, 1, 7)]
+    n = {k: sum(r[:2] == k for r in big) for k in {r[:2] for r in big}}
+    small = spark.createDataFrame([(h, c, v, 100 * h + c) for (h, c), v in n.items() if h is not None and h != 5], "h int, c int, n int, v int")
+    got = common.joined_evenly(spark.createDataFrame(big, "h int, c int, i int"), small, ["h", "c"], "v", "n").collect()
+    assert sorted(map(tuple, got)) == sorted((h, c, i, 100 * h + c) for h, c, i in big if h is not None and h != 5)
+    assert repeats_of(frame(odd_docs)) == brute.repeats(odd_docs)
+
+
 def test_repeats_over_blocks(frame):
     """A text longer than a block of anchors, which repeats itself across its blocks."""
     rnd = random.Random(5)
