@@ -24,7 +24,7 @@ from .suffix_dedup import MAP_BITS, among, bit_map, numbered
 #: Jaccard similarity 4/5: overlap o of sizes a, b satisfies 9 o >= 4 (a + b).
 COUNTER_BITS, RANGE_BITS = 24, 16
 #: A word that more sets have in their prefixes makes a crowd, which is held against its earliest set before the join.
-CROWD = 256
+CROWD = 1000
 #: Words of crowds up to which they are broadcast.
 BROADCAST_WORDS = 200_000
 #: Sets that a task remembers having handed on; tokens it counts before it hands on their counters.
@@ -84,6 +84,10 @@ def line_sets(batches: Iterator[pa.RecordBatch], table: np.ndarray | None = None
         yield Lines(rows.column(0).to_numpy(), data, offsets, table)
 
 
+def rank_of(n: np.ndarray) -> np.ndarray:
+    return (np.clip(np.floor(np.log2(np.maximum(n, 1)) * 8), 1, 255) * (n > 1)).astype(np.uint8)
+
+
 def rarity(docs: DataFrame) -> np.ndarray:
     """By counter: 0 if at most one line's word counted into it, else 1 to 255 growing with the count's logarithm. 2^24 bytes, whatever the input.
 
@@ -117,8 +121,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 into = sums.setdefault(r, np.zeros(span, np.int64))
                 into[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.uint32)
         for r, n in sums.items():
-            code = np.clip(np.floor(np.log2(np.maximum(n, 1)) * 8), 1, 255) * (n > 1)
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([code.astype(np.uint8).tobytes()], pa.binary())], names=["range", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([rank_of(n).tobytes()], pa.binary())], names=["range", "code"])
 
     ranges = 1 << COUNTER_BITS - RANGE_BITS
     sums = docs.mapInArrow(count, "range int, at binary, n binary").repartition(ranges // 4, "range").mapInArrow(add, "range int, code binary")
@@ -129,8 +132,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(s, doc, line, n, bits0, bits1, prefix): a row for every line with a word. s, n: hash and size of its set; prefix: its rarest words, as far as a similar set must share one, null where only one line has the word. A task gives a set's bits and prefix with one of its lines or some."""
+    """(s, doc, line, n, bits0, bits1, prefix, often): a row for every line with a word. s, n: hash and size of its set; prefix: its rarest words, as far as a similar set must share one, null where only one line has the word; often: those that enough lines have for a crowd. A task gives a set's bits and words with one of its lines or some."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    crowd = rank_of(np.array([CROWD + 1]))[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -150,10 +154,13 @@ def described(docs: DataFrame, table: np.ndarray) -> DataFrame:
             bits = [pa.array(np.bitwise_xor.reduceat(np.where(side == b, bit, np.uint64(0)), x.first).view(np.int64), mask=~fresh) for b in (False, True)]
             ends = np.cumsum(np.bincount(x.of[keep], minlength=len(x.s)))
             words = pa.array(x.h[keep].view(np.int64), mask=x.code[keep] == 0)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), words, mask=pa.array(~fresh))
-            yield pa.RecordBatch.from_arrays([pa.array(x.s), pa.array(x.doc), pa.array(x.line), pa.array(x.n.astype(np.int32)), *bits, prefix], names=["s", "doc", "line", "n", "bits0", "bits1", "prefix"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), words, mask=pa.array(~fresh))]
+            keep &= x.code >= crowd
+            ends = np.cumsum(np.bincount(x.of[keep], minlength=len(x.s)))
+            lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(x.h[keep].view(np.int64)), mask=pa.array(~fresh)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.s), pa.array(x.doc), pa.array(x.line), pa.array(x.n.astype(np.int32)), *bits, *lists], names=["s", "doc", "line", "n", "bits0", "bits1", "prefix", "often"])
 
-    return docs.mapInArrow(run, "s bigint, doc bigint, line bigint, n int, bits0 bigint, bits1 bigint, prefix array<bigint>")
+    return docs.mapInArrow(run, "s bigint, doc bigint, line bigint, n int, bits0 bigint, bits1 bigint, prefix array<bigint>, often array<bigint>")
 
 
 def prefix_rows(kinds: DataFrame, *more: str) -> DataFrame:
@@ -230,7 +237,7 @@ def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame | None:
     often the line's first copy. The join need not pair what only a drained set could lose by; all
     other pairs it meets as before.
     """
-    heavy = written(kinds.select(F.explode("prefix").alias("heavy")).filter("heavy is not null").groupBy("heavy").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("heavy"), "heavy")
+    heavy = written(kinds.select(F.explode("often").alias("heavy")).groupBy("heavy").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("heavy"), "heavy")
     if heavy.isEmpty():
         return None
     rows = prefix_rows(kinds, "doc", "line")
@@ -254,10 +261,13 @@ def whole_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc, line) of the lines to remove, of documents (doc, text)."""
     docs = docs.select("doc", F.col("text").cast("binary").alias("text"))
-    lines = written(described(docs, rarity(docs)), "lines")
+    found = written(described(docs, rarity(docs)), "found")
+    lines = written(found.select("s", "doc", "line"), "lines")
     payload = [F.max(c).alias(c) for c in ("n", "bits0", "bits1")]
-    kinds = lines.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first"), *payload, F.first("prefix", ignorenulls=True).alias("prefix"))
-    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix", F.lit(False).alias("drained")), "kinds")
+    lists = [F.first(c, ignorenulls=True).alias(c) for c in ("prefix", "often")]
+    kinds = found.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first"), *payload, *lists)
+    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix", "often", F.lit(False).alias("drained")), "kinds")
+    dropped(found)
     gone = drained(docs, kinds)
     if gone is not None:
         marked = kinds.drop("drained").join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g"), "left").withColumn("drained", F.col("g").isNotNull()).drop("g")
