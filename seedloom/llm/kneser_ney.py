@@ -107,12 +107,23 @@ def pieces(batches: Iterator[pa.RecordBatch], text_at: int, raw: bool = False) -
 
 def summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, with the sums of the columns."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     return key[at], *(np.add.reduceat(c[order], at) if len(at) else c for c in columns)
 
 
+def by_both(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
+    """Order by ``x``, at most ``most``, and then by the upper bits of ``y``, in one sort."""
+    bits = np.uint64(max(1, most.bit_length()))
+    return np.argsort(x << (np.uint64(64) - bits) | y >> bits)
+
+
+def in_turn(parts: np.ndarray) -> np.ndarray:
+    """Stable order of parts; few parts are sorted by counting."""
+    return np.argsort(parts.astype(np.uint16) if parts.max(initial=0) < 1 << 16 else parts, kind="stable")
+
+
 def kinds_of(group: np.ndarray, n: int, counts: np.ndarray) -> list[np.ndarray]:
     """For each of ``n`` groups how many counts are 1, 2 and more."""
     return [np.bincount(group[np.minimum(counts, 3) == i], minlength=n).astype(np.int64) for i in (1, 2, 3)]
@@ -244,11 +255,11 @@ def look_up(file: list[np.ndarray], of: str, keys: np.ndarray) -> np.ndarray:
     """Columns of a table for keys, zeros where it has none."""
     k, arrays = TABLES[of], file[BEGINS[of] : BEGINS[of] + WIDTH[of]]
     out = np.zeros((k, len(keys)), np.int64)
-    out[:2, found(arrays[0], arrays[1], keys) >= 0] = 1
     at = found(arrays[2], arrays[3], keys)
-    more = np.flatnonzero(at >= 0)
+    more, rest = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
     for i in range(k):
         out[i, more] = values(arrays[4 + 3 * i : 7 + 3 * i], at[more])
+    out[:2, rest[found(arrays[0], arrays[1], keys[rest]) >= 0]] = 1
     return out
 
 
@@ -304,7 +315,7 @@ def discounts(n: list[int]) -> list[float]:
 
 def blob_rows(kind: str, parts: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (kind, part, blob) of columns dealt into parts; the first column is in order."""
-    order = np.argsort(parts, kind="stable")
+    order = in_turn(parts)
     parts = parts[order]
     cuts = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1], [True]))) if len(parts) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -401,7 +412,7 @@ def fitted(train: DataFrame) -> dict:
             return [u[one], v[one], w[one], s[one], np.add.reduceat(n[order], at)]
 
         def out(u: np.ndarray, v: np.ndarray, w: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            order = np.lexsort((w, u, v))
+            order = by_both(v, u << np.uint64(64 - begin.bit_length()), begin)
             u, v, w, s, n = (x[order] for x in (u, v, w, s, n))
             yield from blob_rows("grams", file_of(v, pair_key(pair_key(u, v), w), s, n_files), v, u, w, s > 1, n)
 
@@ -537,15 +548,16 @@ class Model:
 
     def rows(self, of: str, keys: np.ndarray, files: np.ndarray, hot: np.ndarray) -> np.ndarray:
         """Columns of a table for keys, which are in these files, or where ``hot`` in those for spread tokens."""
-        kinds, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        files, hot = files[first], hot[first]
-        where = np.where(hot, (kinds % np.uint64(self.m["n_files"])).astype(np.int64), files)
-        out = np.zeros((TABLES[of], len(kinds)), np.int64)
-        for i, (name, ok) in enumerate((("grams", ~hot), ("hot", hot))):
-            here = np.flatnonzero(ok & self.have[i, where])
-            for f, at in by_part(where[here]):
-                out[:, here[at]] = look_up(self.files[f"{name}-{f:06}"], of, kinds[here[at]])
-        return out[:, back]
+        n = self.m["n_files"]
+        where = np.where(hot, (keys % np.uint64(n)).astype(np.int64) + n, files)
+        # by file and there by key, so that one search follows the other through the arrays
+        order = by_both(where.astype(np.uint64), keys, 2 * n)
+        keys, out = keys[order], np.zeros((TABLES[of], len(keys)), np.int64)
+        cuts = np.searchsorted(where[order], np.arange(2 * n + 1))
+        for f in np.flatnonzero((np.diff(cuts) > 0) & self.have.ravel()).tolist():
+            at = slice(cuts[f], cuts[f + 1])
+            out[:, order[at]] = look_up(self.files[f"{'hot' if f >= n else 'grams'}-{f % n:06}"], of, keys[at])
+        return out
 
     def scores(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
         """(known tokens, base log10, model log10) of each text."""
@@ -594,7 +606,7 @@ class Model:
 
 def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(part, places of it)."""
-    order = np.argsort(parts, kind="stable")
+    order = in_turn(parts)
     cuts = np.flatnonzero(np.concatenate(([True], parts[order][1:] != parts[order][:-1], [True]))) if len(order) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield int(parts[order[a]]), order[a:b]
