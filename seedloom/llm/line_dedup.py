@@ -245,17 +245,39 @@ def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame | None:
     heads = written(members.groupBy("word").agg(F.min(F.struct("doc", "line", "s", "meta", "bits0", "bits1")).alias("head")).select("word", "head.*"), "heads")
     met = side(members, 2).join(side(heads, 1), F.col("word1") == F.col("word2"))
     pairs = written(met.filter((F.col("s1") != F.col("s2")) & may_be_similar()).select("s1", "s2").distinct(), "stars")
-    sets = written(whole_sets(docs, kinds, pairs), "crowded")
+    places = written(places_of(kinds, pairs), "places")
+    sets = written(whole_sets(docs, places), "crowded")
     gone = written(verified(pairs, sets).select(F.col("s2").alias("s")).distinct(), "drained")
-    dropped(heavy, members, heads, pairs, sets)
+    dropped(heavy, members, heads, pairs, places, sets)
     return gone
 
 
-def whole_sets(docs: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(s, words) of the sets in pairs (s1, s2), from the texts of their first lines."""
-    wanted = pairs.select(F.col("s1").alias("w")).union(pairs.select("s2"))
-    at = kinds.join(wanted.distinct(), F.col("s") == F.col("w"), "left_semi").select("doc")
-    return sets_of(among(docs.select("text", "doc"), at)[0].select("doc", "text"), wanted.select(F.col("w").alias("s"))).dropDuplicates(["s"])
+def places_of(kinds: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(s, doc, line, drained) of the sets in pairs (s1, s2)."""
+    wanted = pairs.select(F.col("s1").alias("w")).union(pairs.select("s2")).distinct()
+    return kinds.join(wanted, F.col("s") == F.col("w"), "left_semi").select("s", "doc", "line", "drained")
+
+
+def whole_sets(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(s, words) of sets, from the texts of their first lines."""
+    return sets_of(among(docs.select("text", "doc"), places.select("doc"))[0].select("doc", "text"), places.select("s")).dropDuplicates(["s"])
+
+
+def late_sets(pairs: DataFrame, places: DataFrame, sets: DataFrame) -> DataFrame:
+    """(late): sets of the pairs (s1, s2) that are similar to one with an earlier first line. Each is held against the earliest it is paired with; only those not similar to that, against all."""
+    place = lambda k: places.select(F.col("s").alias(f"k{k}"), F.struct("doc", "line").alias(f"at{k}"), F.col("drained").alias(f"gone{k}"))
+    first = F.col("at1") < F.col("at2")
+    pick = lambda x: F.when(first, F.col(f"{x}1")).otherwise(F.col(f"{x}2"))
+    other = lambda x: F.when(first, F.col(f"{x}2")).otherwise(F.col(f"{x}1"))
+    both = pairs.join(place(1), F.col("s1") == F.col("k1")).join(place(2), F.col("s2") == F.col("k2")).filter(~other("gone"))
+    ordered = written(both.select(pick("s").alias("early"), other("s").alias("late"), pick("at").alias("at")), "ordered")
+    named = lambda df: df.select(F.col("early").alias("s1"), F.col("late").alias("s2"))
+    tried = ordered.groupBy("late").agg(F.min(F.struct("at", "early")).alias("first")).select("first.early", "late")
+    once = written(verified(named(tried), sets).select(F.col("s2").alias("late")), "once")
+    rest = ordered.join(once.select(F.col("late").alias("done")), F.col("late") == F.col("done"), "left_anti")
+    late = written(once.union(verified(named(rest), sets).select("s2")).distinct(), "late")
+    dropped(ordered, once)
+    return late
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -275,12 +297,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         dropped(kinds, gone)
         kinds = marked
     links = written(candidates(prefix_rows(kinds)), "links")
-    sets = written(whole_sets(docs, kinds, links), "sets")
-    first = lambda k: kinds.select(F.col("s").alias(f"k{k}"), F.struct("doc", "line").alias(f"first{k}"))
-    late = verified(links, sets).join(first(1), F.col("s1") == F.col("k1")).join(first(2), F.col("s2") == F.col("k2"))
-    late = late.select(F.when(F.col("first1") < F.col("first2"), F.col("s2")).otherwise(F.col("s1")).alias("late"))
-    late = written(late.union(kinds.filter("drained").select("s")).distinct(), "late")
-    dropped(links, sets)
+    places = written(places_of(kinds, links), "places")
+    sets = written(whole_sets(docs, places), "sets")
+    late = late_sets(links, places, sets)
+    dropped(links, places, sets)
+    late = late.union(kinds.filter("drained").select("s"))
     known = kinds.join(late, F.col("s") == F.col("late"), "left").select(F.col("s").alias("k"), F.col("doc").alias("d0"), F.col("line").alias("l0"), F.col("late").isNotNull().alias("gone"))
     return lines.select("s", "doc", "line").join(known, F.col("s") == F.col("k")).filter(F.col("gone") | (F.col("doc") != F.col("d0")) | (F.col("line") != F.col("l0"))).select("doc", "line").distinct()
 
