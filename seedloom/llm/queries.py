@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontam, kneser_ney, line_dedup, mixing, pii, quality, sharding, simhash, suffix_dedup
+from . import chat, decontam, hard_negatives, kneser_ney, line_dedup, manifest, mixing, pii, quality, sharding, simhash, suffix_dedup, token_counts
 from .common import table
 
 
@@ -56,15 +56,30 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.documents_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), own % 50 == 0, F.when(own % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    ops = (op1_decontaminate, op2_mix_sources, op3_chat_format, op4_lm_score, op5_simhash, op6_quality_rules, op7_sharding, op8_suffix_dedup, op9_line_dedup, op10_pii_surrogates, pipeline)
+    ops = (op1_decontaminate, op2_mix_sources, op3_chat_format, op4_lm_score, op5_simhash, op6_quality_rules, op7_sharding, op8_suffix_dedup, op9_line_dedup, op10_pii_surrogates, op11_manifest, op12_token_counts, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict:
     """The others are not to be had in SQL (learned models, components, XXH64, byte strings); tests hold them against brute force."""
-    return {"op2_mix_sources": mixing.oracle(), "op3_chat_format": chat.oracle()}
+    return {"op2_mix_sources": mixing.oracle(), "op3_chat_format": chat.oracle(), "op11_manifest": manifest.oracle(), "op13_hard_negatives": hard_negatives.oracle()}
