@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings of writes: shuffle files of a finished query go (without it they stay until the driver happens to collect its garbage), and rows with whole texts go to Python in batches of bounded size.
 WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -36,6 +37,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (a written table) with a broadcast hint if it has at most so many rows, else itself."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files have fewer splits than that; one row group is one task's work, however many cores there are. Large tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

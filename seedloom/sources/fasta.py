@@ -1,7 +1,6 @@
-"""FASTA and FASTQ, read with Spark's text reader.
+"""FASTA and FASTQ, read with Spark's text reader, and texts taken as bases.
 
-A record's ordinal is its place in path and file order: ids follow (file, offset of the record), so they do
-not depend on how files are split into tasks.
+A record's ordinal is its place in path and file order; it does not depend on how files are split into tasks.
 """
 
 from __future__ import annotations
@@ -9,73 +8,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
+from .places import numbered, records
+from .reads import read_reads
 
 #: What stands between two FASTA records.
 RECORD = "\n>"
 
 
-def ordinals(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds ``name``: places from 0 in the order of the columns. Rows are sorted in ranges; each range counts from where the one before ends."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").count()
-    begin = sizes.select(F.col("__part").alias("__p"), F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__begin"))
-    at = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.join(F.broadcast(begin), F.col("__part") == F.col("__p")).withColumn(name, (at + F.col("__begin")).cast("bigint")).drop("__part", "__p", "__begin")
-
-
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
-    """(file, block, at, value): pieces of the files between separators, with their order in the file.
-
-    A record's place is its block's start and its turn inside the block, as the reader's splits go; one file's pieces keep their order.
-    """
-    rows = spark.read.option("lineSep", sep).text(path)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
-
-
-def with_first(rows: DataFrame, of: DataFrame, name: str) -> DataFrame:
-    """Adds (block, at) of each file's first row of ``of``: a minimum for each file, made before the shuffle."""
-    first = of.groupBy("file").agg(F.min(F.struct("block", "at")).alias(name)).withColumnRenamed("file", "__file")
-    return rows.join(first, F.col("file") == F.col("__file")).drop("__file")
-
-
 def read_fasta(spark: SparkSession, path: str, id_name: str = "chrom_id", dialect: str = "targets") -> DataFrame:
-    """(id, name, len, seq): multi-line records; the name ends at a space or the line's end, blank lines are ignored, bytes before the first record are skipped, a carriage return counts as a base that is ambiguous.
+    """(id, name, len, seq): multi-line records; the name ends at a space or the line's end, blank lines are ignored, what stands before the first record is skipped, a carriage return counts as a base that is ambiguous.
 
-    Among targets a record ends where a line begins with ``>``, among reads at any ``>`` behind its header.
+    Among targets a record begins where a line begins with ``>``; among reads (``read_reads``) at any
+    ``>`` behind a header. Ids follow the order of paths and places. A record is one row of the text
+    reader, so nothing is sorted or moved.
     """
     if dialect not in ("targets", "reads"):
         raise ValueError("dialects are targets and reads")
-    rows = records(spark, path, RECORD)
-    rows = with_first(rows, rows, "start").withColumn("first", F.struct("block", "at") == F.col("start"))
-    junk = F.regexp_replace("value", r"^[^>]*>", "")
-    body = F.when(F.col("first") & F.contains(F.col("value"), F.lit(">")), junk).when(~F.col("first"), F.col("value"))
-    rows = rows.withColumn("body", body).filter("body is not null")
+    if dialect == "reads":
+        return read_reads(spark, path, id_name)
+    rows = numbered(records(spark, path, RECORD), id_name, F.startswith("value", F.lit(">")))
+    body = F.when(F.col("lead"), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    rows = rows.select(id_name, body.alias("body"))
     rest = F.substr("body", F.length(F.substring_index("body", "\n", 1)) + 2)
-    part = lambda i: F.regexp_extract_all("body", F.lit(r"([^\n]*)\n([^>]*)"), F.lit(i))
-    one = F.array(F.struct(F.substring_index("body", "\n", 1).alias("head"), rest.alias("seq")))
-    many = F.zip_with(part(1), part(2), lambda head, seq: F.struct(F.regexp_replace(head, F.lit("^>"), F.lit("")).alias("head"), seq.alias("seq")))
-    inner = F.when(F.contains(rest, F.lit(">")), many).otherwise(one) if dialect == "reads" else one
-    rows = rows.select("file", "block", "at", F.posexplode(inner).alias("i", "r"))
-    rows = rows.select("file", "block", "at", "i", fn.name_of(F.col("r.head")).alias("name"), F.replace("r.seq", F.lit("\n"), F.lit("")).alias("seq"))
-    return ordinals(rows, ["file", "block", "at", "i"], id_name).select(id_name, "name", F.length("seq").alias("len"), "seq")
+    rows = rows.select(id_name, fn.name_of(F.col("body")).alias("name"), F.replace(rest, F.lit("\n"), F.lit("")).alias("seq"))
+    return rows.select(id_name, "name", F.length("seq").alias("len"), "seq")
 
 
 def read_fastq(spark: SparkSession, path: str, id_name: str = "read_id") -> DataFrame:
-    """(id, name, len, seq): four-line records; bytes before a file's first ``@`` are skipped, qualities are not read on."""
-    rows = records(spark, path, "\n")
-    rows = with_first(rows, rows.filter(F.contains("value", F.lit("@"))), "start").filter(F.struct("block", "at") >= F.col("start"))
-    rows = rows.withColumn("value", F.when(F.struct("block", "at") == F.col("start"), F.regexp_replace("value", "^[^@]*", "")).otherwise(F.col("value")))
-    lines = ordinals(rows.select("file", "block", "at", "value"), ["file", "block", "at"], "n")
-    begin = lines.groupBy("file").agg(F.min("n").alias("n0")).withColumnRenamed("file", "__file")
-    lines = lines.join(begin, F.col("file") == F.col("__file")).withColumn("n", F.col("n") - F.col("n0"))
-    part = lines.filter(F.pmod("n", F.lit(4)) < 2).groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(
-        F.max(F.when(F.pmod("n", F.lit(4)) == 0, F.col("value"))).alias("head"), F.max(F.when(F.pmod("n", F.lit(4)) == 1, F.col("value"))).alias("seq"))
-    part = part.filter(F.startswith("head", F.lit("@")))
-    return ordinals(part, ["file", "rec"], id_name).select(id_name, fn.name_of(F.substr("head", F.lit(2))).alias("name"), F.length("seq").alias("len"), "seq")
+    """(id, name, len, seq): ``read_reads``, which takes each record for what it begins with."""
+    return read_reads(spark, path, id_name)
 
 
 def from_text(df: DataFrame, id_col: str, text_col: str, id_name: str, name: str, breaks: str = "") -> DataFrame:

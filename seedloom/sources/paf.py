@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.mapping import paf_lines
-from .fasta import ordinals, records
+from .places import numbered, records
 
 
 def write_paf(rows: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -17,4 +17,4 @@ def write_paf(rows: DataFrame, path: str, partitions: int | None = None) -> None
 
 def read_paf(spark: SparkSession, path: str) -> DataFrame:
     """(n, value): lines of text files in the order of their names."""
-    return ordinals(records(spark, path, "\n"), ["file", "block", "at"], "n").select("n", "value")
+    return numbered(records(spark, path, "\n"), "n").select("n", "value")

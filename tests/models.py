@@ -103,3 +103,30 @@ def paf(name, read, best, targets, k):
         end = te & (1 << 30) - 1
         out.append([name, len(read), (qs - (k - 1)) & u32, qe, "+-"[z], t[0], len(t[1]), start, end, score * k, (end - start) & u32, quality, f"vt:i:{score}"])
     return out
+
+
+def records(text):
+    """(name, bases) of a file of records, byte by byte."""
+    at = min((x for x in (text.find(">"), text.find("@")) if x >= 0), default=len(text))
+    out = []
+    while at < len(text):
+        if text[at] == "\n":
+            at += 1
+            continue
+        fastq = text[at] == "@"
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        name = text[at + 1 : end].split(" ")[0]
+        at = end + 1
+        if fastq:
+            end = text.find("\n", at)
+            end = len(text) if end < 0 else end
+            out.append((name, text[at:end]))
+            plus = text.find("\n", end + 1)
+            at = len(text) if plus < 0 else plus + 1 + (end - at) + 1
+        else:
+            end = text.find(">", at)
+            end = len(text) if end < 0 else end
+            out.append((name, text[at:end].replace("\n", "")))
+            at = end
+    return out

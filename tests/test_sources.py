@@ -1,6 +1,8 @@
+import contextlib
 import random
 
-from models import minimizers
+import pytest
+from models import minimizers, records
 from pyspark.sql import functions as F
 
 from seedloom.operators.index import build_index
@@ -8,7 +10,9 @@ from seedloom.params import IndexParams, MapParams
 from seedloom.plans.mapping import map_reads, paf
 from seedloom.sources.batches import batches
 from seedloom.sources.fasta import from_text, read_fasta, read_fastq, to_fasta
-from seedloom.sources.paf import write_paf
+from seedloom.sources.paf import read_paf, write_paf
+from seedloom.sources.places import numbered
+from seedloom.sources.reads import read_reads
 from seedloom.streaming.mapping import map_stream
 
 
@@ -38,6 +42,84 @@ def test_order_over_splits(spark, tmp_path):
     assert sorted((r.chrom_id, r.name, r.seq) for r in rows) == want
 
 
+@contextlib.contextmanager
+def settings(spark, **conf):
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+SPLITS = {"spark.sql.files.maxPartitionBytes": "700", "spark.sql.files.openCostInBytes": "1"}
+
+
+def mixed(rnd, n):
+    """A file's text: junk, records with a line of bases and a quality, some of which look like headers, then bodies over many lines."""
+    bases = lambda most: "".join(rnd.choice("ACGTNacgt\r") for _ in range(rnd.randint(0, most)))
+    out = [rnd.choice(["", "; junk\n\n# more\n", "x"])]
+    for i in range(n):
+        s = bases(300)
+        quality = "".join(rnd.choice("@>+~I") for _ in s)
+        out.append(f"@f{i} d@>\n{s}\n+{rnd.choice(['', '@x', '>'])}\n{quality}\n{rnd.choice(['', '', chr(10)])}")
+    for i in range(n // 2):
+        body = "\n".join(bases(90) + rnd.choice(["", "", "@", "\n"]) for _ in range(rnd.randint(0, 30)))
+        out.append(f">b{i}{rnd.choice(['', ' >d', chr(9) + 'x'])}\n{body}{rnd.choice([chr(10), chr(10), ''])}")
+    return "".join(out)
+
+
+def test_reads_in_any_block(spark, tmp_path):
+    """Files of both kinds of records give, in blocks of a few lines, what one pass over their bytes gives; with the table of blocks broadcast and joined."""
+    from seedloom.sources import reads
+
+    rnd = random.Random(4)
+    texts = [mixed(rnd, n) for n in (20, 0, 1, 7)] + ["", "only junk\n", "@cut\nACGT\n+\n", "@cut", ">", ">a", "\n\n>a\nAC"]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i:02}.fx").write_text(t, newline="")
+    want = [(n, *r) for n, r in enumerate(r for t in texts for r in records(t))]
+    for least in (reads.BLOCKS, 1):
+        with settings(spark, **SPLITS), pytest.MonkeyPatch.context() as patch:
+            patch.setattr(reads, "BLOCKS", least)
+            got = read_reads(spark, f"file://{tmp_path}/*.fx")
+            assert sorted(map(tuple, got.select("read_id", "name", "seq").collect())) == want and len(want) > 40
+            assert got.filter(F.length("seq") != F.col("len")).isEmpty()
+
+
+def test_reads_refused(spark, tmp_path):
+    """A quality of another length than its bases is an error, within a block and over a block's end."""
+    for n, text in enumerate(("@a\nACGT\n+\n~~~\n@b\nAC\n+\n~~\n", "@a\n" + "A" * 1000 + "\n+\n" + "~" * 999 + "\n@b\nAC\n+\n~~\n")):
+        (tmp_path / f"{n}.fq").write_text(text)
+        with settings(spark, **SPLITS), pytest.raises(Exception, match="quality of another length"):
+            read_fastq(spark, f"file://{tmp_path}/{n}.fq").collect()
+
+
+def test_targets_among_junk(spark, tmp_path):
+    for n, text in enumerate(("a > b\nACGT\n>x\nAC>GT\n>>y z\n\n", "", "junk\n", "\n>z")):
+        (tmp_path / f"{n}.fa").write_text(text)
+    assert sorted(map(tuple, read_fasta(spark, f"file://{tmp_path}/*.fa").collect())) == [(0, "x", 5, "AC>GT"), (1, ">y", 0, ""), (2, "z", 0, "")]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_numbers_of_many_blocks(spark, tmp_path, adaptive):
+    """Rows of a thousand bytes over more than sixteen tasks: every row, every number once, and no row is moved or sorted for it."""
+    n = 6000
+    spark.range(n).repartition(3, "id").sortWithinPartitions("id").select(F.concat(F.col("id"), F.lit(","), F.repeat(F.lit("x"), 1000)).alias("value")).write.text(f"file://{tmp_path}/t")
+    want = [int(x.split(",")[0]) for p in sorted((tmp_path / "t").glob("part-*")) for x in p.read_text().splitlines()]
+    with settings(spark, **SPLITS | {"spark.sql.files.maxPartitionBytes": "200000", "spark.sql.adaptive.enabled": adaptive}):
+        rows = read_paf(spark, f"file://{tmp_path}/t")
+        assert rows.rdd.getNumPartitions() >= 16
+        assert [r.id for r in rows.select("n", F.substring_index("value", ",", 1).cast("int").alias("id")).orderBy("n").collect()] == want
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hash" not in plan and "Exchange range" not in plan and "Sort " not in plan
+        rows.repartition(20).sortWithinPartitions("n").write.parquet(f"file://{tmp_path}/p")
+        own = spark.read.parquet(f"file://{tmp_path}/p").select("n", F.col("_metadata.file_path").alias("file"), F.lit(0).alias("block"), F.col("_metadata.row_index").alias("at"))
+        placed = numbered(own, "place").select("file", "n", "place").collect()
+        assert [r.n for r in sorted(placed, key=lambda r: r.place)] == [r.n for r in sorted(placed, key=lambda r: (r.file, r.n))] and {r.place for r in placed} == set(range(n))
+
+
 def test_batches(spark):
     lens = [3, 4, 1, 20, 2, 2, 5]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(lens)], "read_id int, len int")
