@@ -64,7 +64,7 @@ class Anchors:
 
     def __init__(self, whole: np.ndarray) -> None:
         u = rotated(whole.astype(np.float64))
-        self.whole, self.wide = whole, u.shape[1]
+        self.whole, self.real, self.wide = whole, whole.astype(np.float64), u.shape[1]
         self.length = np.sqrt((u * u).sum(1))
         top = (1 << (PLANES - 1)) - 1
         self.step = np.maximum(np.abs(u).max(1), 1e-9) / top
@@ -88,7 +88,9 @@ class Anchors:
         return align[None] * along, reach + slack
 
     def scored(self, a: np.ndarray, rows: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Whole inner products of pairs."""
+        """Whole inner products of pairs. Where many pairs of a slab are left, one product of matrices has them all; in doubles, which hold whole numbers that small exactly."""
+        if len(a) * 8 > len(self.whole) * len(rows) and int(np.abs(self.whole).max()) * int(np.abs(rows).max()) * rows.shape[1] < 1 << 53:
+            return (self.real @ rows.T.astype(np.float64))[a, r].astype(np.int64)
         out = np.empty(len(a), np.int64)
         for i in range(0, len(a), 1 << 16):
             out[i : i + (1 << 16)] = np.einsum("ij,ij->i", self.whole[a[i : i + (1 << 16)]], rows[r[i : i + (1 << 16)]])
