@@ -23,6 +23,7 @@ from .plans.profile import profiled
 from .shared import shared_path, spread, written
 from .sources.batches import batches
 from .sources.fasta import from_text, hex_names, read_fasta, read_fastq, to_fasta, to_fastq
+from .sources.fastq_source import load_fastq
 from .sources.paf import read_paf, write_paf
 from .sources.places import numbered
 from .sources.reads import read_reads
@@ -359,6 +360,17 @@ def q_fastq_scan(spark, d):
     return big(read_fastq(spark, path, "ordinal").select("ordinal", "name", "len", F.md5("seq").alias("seq_md5")))
 
 
+def q_fastq_source(spark, d):
+    """Documents written as FASTQ and read by the data source, in ranges of bytes."""
+    path = shared_path(spark, "fastq")
+    to_fastq(documents_as_reads(spark, d)).orderBy("read_id").select("value").write.text(path)
+    rows = load_fastq(spark, path, 1 << 18).select("read_id", "name", "len", F.md5("seq").alias("seq_md5"))
+    # a file's records are numbered in the order of their bytes, by ranges of places that are written first
+    placed = written(rows.repartitionByRange("read_id").sortWithinPartitions("read_id"), "fastq")
+    placed = placed.select("name", "len", "seq_md5", F.col("_metadata.file_path").alias("file"), F.lit(0).alias("block"), F.col("_metadata.row_index").alias("at"))
+    return big(numbered(placed, "ordinal").select("ordinal", "name", "len", "seq_md5"))
+
+
 def q_mixed_scan(spark, d):
     """Documents written as records of both kinds behind a comment, with qualities that look like headers, and read again."""
     path = shared_path(spark, "mixed")
@@ -387,7 +399,7 @@ def q_stream_map(spark, d):
 def queries() -> dict:
     own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_sql_hash64, q_minimizers_table, q_long_reads, q_seeds_per_read, q_speedup, q_mapq, q_mapq_zero,
            q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map,
-           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan, q_mixed_scan]
+           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan, q_mixed_scan, q_fastq_source]
     return {f.__name__: f for f in own} | {
         "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
         "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE),
@@ -451,6 +463,7 @@ def oracle_sql() -> dict:
         "q_time_per_base": o.query([docs], "SELECT event_type AS label, count(x) AS n, round(avg(x), 6) AS ms_per_base FROM (SELECT event_type, value / nullif(len, 0) AS x FROM events JOIN targets ON id = event_id) GROUP BY 1"),
         "q_fasta_reads": o.query([docs], "SELECT row_number() OVER (ORDER BY id, i) - 1 AS ordinal, name || CASE WHEN i = 1 THEN 'b' ELSE '' END AS name, CAST(length(s) AS BIGINT) AS len, md5(s) AS seq_md5 FROM (SELECT id, name, i, CASE WHEN i = 0 THEN substr(seq, 1, len // 2) ELSE substr(seq, len // 2 + 1) END AS s FROM targets, (VALUES (0), (1)) AS v(i))"),
         "q_mixed_scan": o.query([SELF], "SELECT row_number() OVER (ORDER BY id % 2, id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM reads"),
+        "q_fastq_source": o.query([SELF], "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM reads"),
         "q_fastq_scan": o.query([SELF], "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM reads"),
         **{f"q_sweep_{n}": " UNION ALL ".join(f"SELECT *, CAST({at['max_occ']} AS BIGINT) AS max_occ FROM ({out(READS, *preset(n, **at))})" for at in SWEEPS[n]) for n in SWEEPS},
         "q_batches": o.query([pack], "SELECT conv_id AS stream, read_id, len, batch FROM pack"),
