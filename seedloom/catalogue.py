@@ -14,7 +14,7 @@ from .functions import sequence as fn
 from .functions.registry import register
 from .operators import evaluate
 from .operators.anchors import anchors
-from .operators.index import bucket_map, build_index, index_stats, load_index, save_index
+from .operators.index import bucket_map, build_index, index_of, index_stats, load_index, save_index, seed_table
 from .operators.minimizers import kmers, minimizers, minimizers_sql, partial
 from .operators.vote import covered, decided, top_records, vote_groups
 from .params import IndexParams, MapParams, preset
@@ -184,8 +184,14 @@ SWEEPS = {
 
 def sweep(name: str):
     def run(spark, d):
-        points = [mapped(items, *preset(name, **at))(spark, d).withColumn("max_occ", F.lit(at["max_occ"]).cast("bigint")) for at in SWEEPS[name]]
-        return points[0].unionByName(points[1])
+        table, own = seed_table(targets(spark, d), preset(name)[0]), items(spark, d)
+
+        def point(at: dict) -> DataFrame:
+            p, m = preset(name, **at)
+            index = index_of(table, p)
+            return big(paf(map_reads(own, index, m), own, index)).withColumn("max_occ", F.lit(at["max_occ"]).cast("bigint"))
+
+        return point(SWEEPS[name][0]).unionByName(point(SWEEPS[name][1]))
 
     return run
 
@@ -222,12 +228,20 @@ def q_minimizers_partial(spark, d):
 def q_index_roundtrip(spark, d):
     """The keys of an index that was saved and loaded, with their place in the saved order."""
     path = shared_path(spark, "index")
-    save_index(build_index(targets(spark, d), RARE), path)
+    save_index(build_index(targets(spark, d), RARE), path, layout="order")
     index = load_index(spark, path)
     keys = index.keys.select("hash", "chrom_id", "loc", "str", F.col("_metadata.file_path").alias("file"), F.lit(0).alias("block"), F.col("_metadata.row_index").alias("at"))
     return big(numbered(keys, "n").select("n", "hash", "chrom_id", "loc", "str"))
 
 
+def q_paf_saved(spark, d):
+    """Benchmark items mapped with an index that was saved in buckets and loaded."""
+    path, own = shared_path(spark, "index"), items(spark, d)
+    save_index(build_index(targets(spark, d), DEFAULT), path, 16)
+    index = load_index(spark, path)
+    return big(paf(map_reads(own, index, LOOSE), own, index))
+
+
 def q_paf_text(spark, d):
     """PAF lines of the benchmark's items, written as text in read order and read again."""
     path, index, own = shared_path(spark, "paf"), build_index(targets(spark, d), DEFAULT), items(spark, d)
@@ -389,7 +403,7 @@ def q_stream_map(spark, d):
     base = shared_path(spark, "stream")
     own = items(spark, d)
     own.repartition(4, "read_id").write.parquet(f"{base}/in")
-    save_index(build_index(targets(spark, d), DEFAULT), f"{base}/index")
+    save_index(build_index(targets(spark, d), DEFAULT), f"{base}/index", 16)
     index = load_index(spark, f"{base}/index")
     reads = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     map_stream(reads, index, LOOSE, f"{base}/out", f"{base}/state").awaitTermination()
@@ -399,7 +413,7 @@ def q_stream_map(spark, d):
 def queries() -> dict:
     own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_sql_hash64, q_minimizers_table, q_long_reads, q_seeds_per_read, q_speedup, q_mapq, q_mapq_zero,
            q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map,
-           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan, q_mixed_scan, q_fastq_source]
+           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan, q_mixed_scan, q_fastq_source, q_paf_saved]
     return {f.__name__: f for f in own} | {
         "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
         "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE),
@@ -451,7 +465,7 @@ def oracle_sql() -> dict:
         "q_coverage": o.query(self_map(LOOSE), group.format("covered")), "q_topk": o.query(self_map(LOOSE), record.format("top")), "q_fraction": o.query(self_map(LOOSE), record.format("records")), "q_tie_reject": o.query(self_map(MapParams()), record.format("records")),
         "q_mapq": o.query(self_map(LOOSE), "SELECT mapq, count(*) AS n FROM paf WHERE rank = 0 GROUP BY mapq"),
         "q_mapq_zero": o.query(self_map(LOOSE), "SELECT read_id, qname, tname, nmatch FROM paf WHERE rank = 0 AND mapq = 0"),
-        "q_paf": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, RARE, LOOSE)[2:]], "SELECT * FROM paf"),
+        "q_paf": out(READS, DEFAULT, LOOSE), "q_paf_saved": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, RARE, LOOSE)[2:]], "SELECT * FROM paf"),
         **{f"q_preset_{n}": out(READS, *preset(n)) for n in SWEEPS},
         "q_near_dup_docs": o.query([o.sequences("alls", "documents", "doc_id", "doc"), "kinds AS (SELECT md5(seq) AS key, min(id) AS id, count(*) AS copies FROM alls WHERE len > 0 GROUP BY 1)", *["{} AS (SELECT a.* FROM alls a JOIN kinds k ON k.id = a.id)".format(n) for n in ("targets", "reads")], *o.mapping("", RARE, LOOSE)[2:]], "SELECT p.*, k.copies FROM paf p JOIN kinds k ON k.id = p.read_id"),
         "q_doc_copies": o.query([SELF], "SELECT id AS read_id, min(id) OVER (PARTITION BY seq) AS stands FROM reads WHERE len > 0"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +13,17 @@ from ..functions import sequence as fn
 from ..params import IndexParams
 from ..shared import written
 from .minimizers import minimizers
+from .presence import bit_words, presence, size_for
 
 
 @dataclass(frozen=True)
 class SeedIndex:
-    """keys (hash, chrom_id, loc, str); targets (chrom_id, name, len)."""
+    """keys (hash, chrom_id, loc, str); targets (chrom_id, name, len); within: the filter of the keys' hashes, where the index has one (``operators.presence``)."""
 
     keys: DataFrame
     targets: DataFrame
     params: IndexParams
+    within: np.ndarray | None = None
 
 
 def rare(keys: DataFrame, max_occ: int) -> DataFrame:
@@ -28,25 +32,60 @@ def rare(keys: DataFrame, max_occ: int) -> DataFrame:
     return keys.join(frequent, "hash", "left_anti")
 
 
+def seed_table(targets: DataFrame, p: IndexParams) -> DataFrame:
+    """Seeds of targets (chrom_id, name, len, seq) in the shared folder, and in rows without a hash the targets' names and lengths: targets are read once for both, however many indexes are made of it."""
+    return written(minimizers(targets.select("chrom_id", "name", "len", "seq"), p, "chrom_id", ("name", "len"), marks=True), "seeds")
+
+
+def index_of(table: DataFrame, p: IndexParams) -> SeedIndex:
+    """Index of a ``seed_table`` of the same w, k, ties and dialect."""
+    keys = rare(table.filter("hash is not null").select("hash", "chrom_id", "loc", "str"), p.max_occ)
+    return SeedIndex(keys, table.filter("hash is null").select("chrom_id", "name", "len"), p)
+
+
 def build_index(targets: DataFrame, p: IndexParams) -> SeedIndex:
-    """Index of targets (chrom_id, name, len, seq). Seeds are written to the shared folder first, so that they are made once and counted and filtered from there."""
-    seeds = written(minimizers(targets.select("chrom_id", "seq"), p, "chrom_id"), "seeds")
-    return SeedIndex(rare(seeds, p.max_occ).select("hash", "chrom_id", "loc", "str"), targets.select("chrom_id", "name", "len"), p)
+    """Index of targets (chrom_id, name, len, seq)."""
+    return index_of(seed_table(targets, p), p)
 
 
-def save_index(index: SeedIndex, path: str, partitions: int = 200) -> None:
-    """Keys in the order of bucket, seed id, target and place, in ranges, so that a reader's filters prune; targets and parameters beside them."""
-    bits = index.params.bucket_bits
-    order = [fn.bucket_id(F.col("hash"), bits), fn.seed_id(F.col("hash"), bits), F.col("chrom_id"), F.col("loc")]
-    index.keys.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/keys")
+def save_index(index: SeedIndex, path: str, partitions: int = 200, layout: str = "buckets") -> None:
+    """Keys, targets, parameters and the filter of the keys' hashes.
+
+    Layout ``buckets``: keys are dealt by hash, a file for each bucket and sorted in it, so that a join
+    by hash moves the seeds alone, however often the index is used. Layout ``order``: keys in the
+    order of bucket id, seed id, target and place, in ranges, so that a reader's filters prune.
+    """
+    if layout not in ("buckets", "order"):
+        raise ValueError("layouts are buckets and order")
+    bits, spark = index.params.bucket_bits, index.keys.sparkSession
+    if layout == "order":
+        order = [fn.bucket_id(F.col("hash"), bits), fn.seed_id(F.col("hash"), bits), F.col("chrom_id"), F.col("loc")]
+        index.keys.repartitionByRange(partitions, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/keys")
+    else:
+        name = f"seedloom_save_{uuid.uuid4().hex}"
+        index.keys.repartition(partitions, "hash").write.bucketBy(partitions, "hash").sortBy("hash").format("parquet").option("path", f"{path}/keys").saveAsTable(name)
+        # the table names the files to the writer; they stay
+        spark.sql(f"DROP TABLE {name}")
+    keys = spark.read.parquet(f"{path}/keys")
+    size = size_for(keys.count(), 2 * index.params.k)
+    presence(keys, size, 2 * index.params.k).write.mode("overwrite").parquet(f"{path}/filter")
     index.targets.write.mode("overwrite").parquet(f"{path}/targets")
-    spark = index.keys.sparkSession
-    spark.createDataFrame([asdict(index.params)]).coalesce(1).write.mode("overwrite").json(f"{path}/params")
+    about = asdict(index.params) | {"buckets": partitions if layout == "buckets" else 0, "filter_bits": size}
+    spark.createDataFrame([about]).coalesce(1).write.mode("overwrite").json(f"{path}/params")
 
 
 def load_index(spark: SparkSession, path: str) -> SeedIndex:
+    """A saved index; one in buckets as a table that says so."""
     row = spark.read.json(f"{path}/params").first().asDict()
-    return SeedIndex(spark.read.parquet(f"{path}/keys"), spark.read.parquet(f"{path}/targets"), IndexParams(**row))
+    buckets, size = row.pop("buckets"), row.pop("filter_bits")
+    params = IndexParams(**row)
+    if buckets:
+        name = f"seedloom_keys_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {name} (hash BIGINT, chrom_id {spark.read.parquet(f'{path}/keys').schema['chrom_id'].dataType.simpleString()}, loc INT, str INT) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{path}/keys'")
+        keys = spark.table(name)
+    else:
+        keys = spark.read.parquet(f"{path}/keys")
+    return SeedIndex(keys, spark.read.parquet(f"{path}/targets"), params, bit_words(spark.read.parquet(f"{path}/filter"), size))
 
 
 def bucket_map(index: SeedIndex) -> DataFrame:
@@ -73,13 +112,13 @@ def sections(n: Column, bits: int) -> Column:
 
 
 def index_stats(targets: DataFrame, p: IndexParams) -> DataFrame:
-    """One row: sequences, bases, minimizers, kept keys and distinct hashes, and memory sections that the keys (8 bytes each) and the map of buckets (4 bytes each) take."""
-    seeds = minimizers(targets.select("chrom_id", "seq"), p, "chrom_id")
-    by_hash = seeds.groupBy("hash").count()
+    """One row: sequences, bases, minimizers, kept keys and distinct hashes, and memory sections that the keys (8 bytes each) and the map of buckets (4 bytes each) take. Targets are read once: their lengths are counted with the seeds, under no hash."""
+    seeds = minimizers(targets.select("chrom_id", "len", "seq"), p, "chrom_id", ("len",), marks=True)
+    by_hash = seeds.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bases"))
+    own, n = F.col("hash").isNotNull(), F.col("n")
+    total = lambda which, what: F.coalesce(F.sum(F.when(which, what)), F.lit(0)).cast("bigint")
     counted = by_hash.agg(
-        F.coalesce(F.sum("count"), F.lit(0)).alias("n_minimizers"), F.count(F.lit(1)).alias("n_hashes"),
-        F.coalesce(F.sum(F.when(F.col("count") <= p.max_occ, F.col("count"))), F.lit(0)).alias("n_keys"), F.count(F.when(F.col("count") <= p.max_occ, 1)).alias("n_kept"),
+        total(~own, n).alias("n_targets"), total(~own, F.col("bases")).alias("n_bases"), total(own, n).alias("n_minimizers"), F.count(F.when(own, 1)).alias("n_hashes"),
+        total(own & (n <= p.max_occ), n).alias("n_keys"), F.count(F.when(own & (n <= p.max_occ), 1)).alias("n_kept"),
     )
-    size = targets.agg(F.count(F.lit(1)).alias("n_targets"), F.coalesce(F.sum("len"), F.lit(0)).cast("bigint").alias("n_bases"))
-    # both sides are one row
-    return size.crossJoin(counted).withColumn("key_sections", sections(F.col("n_keys"), SECTION - 3)).withColumn("map_sections", sections(F.lit(1 << p.bucket_bits), SECTION - 2))
+    return counted.withColumn("key_sections", sections(F.col("n_keys"), SECTION - 3)).withColumn("map_sections", sections(F.lit(1 << p.bucket_bits), SECTION - 2))

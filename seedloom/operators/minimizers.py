@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
 from ..params import IndexParams
+from .presence import may_hold
 
 BLOCK = 1 << 18
 #: Bases joined into one array at a time; as many as a core's cache holds.
@@ -25,9 +26,11 @@ NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEPARATOR = ord("N")
 
 
-def blocks(seqs: DataFrame, p: IndexParams, size: int, carry: tuple[str, ...]) -> DataFrame:
-    """(carry, start, lead, piece): windows from ``start`` on, ``size`` to a block; lead: the first is the last of the block before."""
+def blocks(seqs: DataFrame, p: IndexParams, size: int, carry: tuple[str, ...], every: bool = False) -> DataFrame:
+    """(carry, start, lead, piece): windows from ``start`` on, ``size`` to a block; lead: the first is the last of the block before. every: sequences without a window have a block as well."""
     n = F.length("seq") - F.lit(p.w + p.k - 2)
+    if every:
+        seqs, n = seqs.withColumn("seq", F.coalesce("seq", F.lit(""))), F.greatest(n, F.lit(1))
     cut = seqs.filter(n > 0).select(*carry, "seq", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("b"))
     start = F.greatest(F.col("b") * size - 1, F.lit(0))
     lead = (F.col("b") > 0).cast("int")
@@ -116,10 +119,13 @@ def picks(codes: np.ndarray, p: IndexParams) -> tuple[np.ndarray, ...]:
     return at, chosen, h[chosen], (forward > reverse)[chosen].astype(np.int64)
 
 
-def minimizers(seqs: DataFrame, p: IndexParams, id_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+def minimizers(seqs: DataFrame, p: IndexParams, id_col: str, carry: tuple[str, ...] = (), within: np.ndarray | None = None, marks: bool = False) -> DataFrame:
     """(id, carry, hash, loc, str) of sequences (id, seq): loc is the place of the k-mer's last base from 0, str 1 if its reverse complement is the smaller.
 
-    Windows with an ambiguous base give nothing, palindromes are never picked; null and short sequences have no seeds.
+    Windows with an ambiguous base give nothing, palindromes are never picked; null and short sequences
+    have no seeds. ``within`` is a filter of hashes (``operators.presence``): seeds of others are left out
+    where they are made. With ``marks``, ``carry`` is null beside seeds, and each sequence has a row of its
+    own with it and no hash: so one pass over sequences leaves both.
     """
     table = codes_table(p.dialect)
     cols = (id_col, *carry)
@@ -137,12 +143,21 @@ def minimizers(seqs: DataFrame, p: IndexParams, id_col: str, carry: tuple[str, .
                 begin = np.cumsum(sizes[a:b]) - sizes[a:b]
                 of = np.searchsorted(begin, window, side="right") - 1
                 keep = (window > begin[of]) | (rows.column("lead").to_numpy()[of] == 0)
+                if within is not None:
+                    keep &= may_hold(within, h, 2 * p.k)
                 of, place, h, strand = of[keep], place[keep], h[keep], strand[keep]
-                loc = place - begin[of] + rows.column("start").to_numpy()[of] + p.k - 1
-                taken = [rows.column(c).take(pa.array(of)) for c in cols]
-                yield pa.RecordBatch.from_arrays([*taken, pa.array(h.view(np.int64)), pa.array(loc.astype(np.int32)), pa.array(strand.astype(np.int32))], names=[*cols, "hash", "loc", "str"])
-
-    cut = blocks(seqs, p, BLOCK, cols)
+                start = rows.column("start").to_numpy()
+                loc = place - begin[of] + start[of] + p.k - 1
+                taken = [rows.column(c).take(pa.array(of)) for c in (cols[:1] if marks else cols)]
+                found = [pa.array(h.view(np.int64)), pa.array(loc.astype(np.int32)), pa.array(strand.astype(np.int32))]
+                if marks:
+                    first = pa.array(np.flatnonzero(start == 0))
+                    own = [rows.column(c).take(first) for c in cols]
+                    taken = [pa.concat_arrays([x, pa.nulls(len(of), x.type) if i else taken[0]]) for i, x in enumerate(own)]
+                    found = [pa.concat_arrays([pa.nulls(len(first), x.type), x]) for x in found]
+                yield pa.RecordBatch.from_arrays([*taken, *found], names=[*cols, "hash", "loc", "str"])
+
+    cut = blocks(seqs, p, BLOCK, cols, marks)
     head = ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in cols)
     return cut.mapInArrow(run, f"{head}, hash bigint, loc int, str int")
 

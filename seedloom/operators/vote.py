@@ -2,17 +2,23 @@
 
 Along one strand, in order of target and diagonal, an anchor joins the group before it while it lies
 within ``distance`` of the group's reference, which moves only to an anchor of smaller query
-position. Most of that needs no fold: a gap wider than the distance always parts groups, and a
-stretch no longer than it never does. Only stretches in between are folded, one by one.
+position. ``operators.fold`` finds all groups of a line at once; the form in SQL functions folds the
+stretches that are wider than the distance anchor by anchor, and is what the other is held against.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as fn
 from ..params import MapParams
+from . import fold
 
 #: Order of the groups that are still open when a read's anchors end.
 LAST = (1 << 62)
@@ -46,7 +52,78 @@ def folded(stretch: Column, distance: int) -> Column:
     return F.aggregate(stretch, start, step, lambda acc: F.concat(acc["closed"], F.array(acc["open"])))
 
 
+def grouped(anchors: pa.RecordBatch, p: MapParams) -> pa.RecordBatch:
+    """Groups of whole reads' anchors (read_id, len, str, T, q, L), in order of (read_id, str, T, q)."""
+    ids, length = anchors.column(0), anchors.column(1)
+    strand, T, q, L = (anchors.column(c).to_numpy() for c in range(2, 6))
+    n = len(T)
+    # reads by number: ids are of any type, and equal ones stand together
+    read = np.concatenate(([0], np.cumsum(pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False))))
+    heads = np.flatnonzero(np.concatenate(([True], read[1:] != read[:-1])))
+    origin = T <= p.distance if p.compat_origin else np.zeros(n, bool)
+    rest = np.flatnonzero(~origin)
+    begin = rest[fold.starts(T[rest], q[rest], 2 * read[rest] + strand[rest], p.distance)]
+    # anchors at the origin stand before the others of their line, so groups are runs of all anchors
+    near = np.flatnonzero(origin & np.concatenate(([True], ~origin[:-1] | (read[1:] != read[:-1]) | (strand[1:] != strand[:-1]))))
+    cut = np.sort(np.concatenate((begin, near)))
+    least, most = (lambda x: np.minimum.reduceat(x, cut)), (lambda x: np.maximum.reduceat(x, cut))
+    size = np.diff(np.concatenate((cut, [n])))
+    zero = origin[cut]
+    row = {"read": read[cut], "str": strand[cut], "vt_score": size, "q_start": np.where(zero, 0, least(q)), "q_end": np.where(zero, np.maximum(most(q), 0), most(q)), "t_start": np.where(zero, 0, least(L)), "t_end": np.where(zero, np.maximum(most(L), 0), most(L)), "T": np.where(zero, -1, T[cut]), "q": np.where(zero, 0, q[cut])}
+    if p.compat_origin:
+        # groups at the origin that have no anchor
+        have = np.zeros(2 * len(heads), bool)
+        have[2 * row["read"][zero] + row["str"][zero]] = True
+        none = np.flatnonzero(~have)
+        empty = {k: np.zeros(len(none), np.int64) for k in row} | {"read": none // 2, "str": none % 2, "T": np.full(len(none), -1)}
+        row = {k: np.concatenate((v, empty[k])) for k, v in row.items()}
+        order = np.lexsort((row["q"], row["T"], row["str"], row["read"]))
+        row = {k: v[order] for k, v in row.items()}
+    line = 2 * row["read"] + row["str"]
+    top = np.concatenate(([True], line[1:] != line[:-1]))
+    at = np.arange(len(line))
+    grp = at - np.maximum.accumulate(np.where(top, at, 0)) + (0 if p.compat_origin else 1)
+    ends = np.concatenate((top[1:], [True]))
+    after = {k: np.where(ends, last, np.concatenate((row[k][1:], [0]))) for k, last in (("T", LAST), ("q", 0))}
+    point = lambda t, x: pa.StructArray.from_arrays([pa.array(t, pa.int64()), pa.array(x, pa.int64()), pa.array(row["str"], pa.int32())], ["T", "q", "str"])
+    own = pa.array(heads[row["read"]])
+    numbers = [pa.array(row[k], pa.int64()) for k in ("vt_score", "q_start", "q_end", "t_start", "t_end")]
+    return pa.RecordBatch.from_arrays([ids.take(own), length.take(own), pa.array(row["str"], pa.int32()), pa.array(grp, pa.int32()), *numbers, point(row["T"], row["q"]), point(after["T"], after["q"])], names=GROUPS)
+
+
+GROUPS = ["read_id", "len", "str", "grp", "vt_score", "q_start", "q_end", "t_start", "t_end", "first", "next"]
+
+
 def vote_groups(anchors: DataFrame, p: MapParams) -> DataFrame:
+    """``vote_groups_sql``, by a kernel over sorted anchors. Anchors are dealt by read and sorted once; a task holds those of a batch, and of one read that goes on."""
+    rows = positioned(anchors).select("read_id", "len", "str", "T", "q", "L").repartition("read_id").sortWithinPartitions("read_id", "str", "T", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0)
+            same = pc.equal(ids, ids[batch.num_rows - 1]).to_numpy(zero_copy_only=False)
+            cut = int(np.argmax(same))  # the last read may go on
+            if cut == 0 and kept and kept[-1].column(0)[kept[-1].num_rows - 1] == ids[0]:
+                kept.append(batch)
+                continue
+            yield from done([*kept, batch.slice(0, cut)])
+            kept = [batch.slice(cut)]
+        yield from done(kept)
+
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches([x for x in parts if x.num_rows]).combine_chunks().to_batches() if any(x.num_rows for x in parts) else []
+        for part in whole:
+            yield grouped(part, p)
+
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    point = "struct<T: bigint, q: bigint, str: int>"
+    return rows.mapInArrow(run, f"read_id {kind('read_id')}, len {kind('len')}, str int, grp int, vt_score bigint, q_start bigint, q_end bigint, t_start bigint, t_end bigint, first {point}, next {point}")
+
+
+def vote_groups_sql(anchors: DataFrame, p: MapParams) -> DataFrame:
     """(read_id, len, str, grp, vt_score, q_start, q_end, t_start, t_end, first, next): groups in order from 1, on each strand of each read.
 
     With ``compat_origin`` a group 0 at the origin exists on both strands of every read with
@@ -100,7 +177,8 @@ def top_records(groups: DataFrame, p: MapParams) -> DataFrame:
     """The best groups of each read, with rank from 0: by score, then by likeness of the spans, then by which was closed first."""
     diff = fn.span_difference(F.col("q_start"), F.col("q_end"), F.col("t_start"), F.col("t_end"))
     order = Window.partitionBy("read_id").orderBy(F.desc("vt_score"), diff, "next")
-    return groups.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < p.top)
+    # the filter stands on the number itself, so that tasks keep no more groups of a read before the exchange
+    return groups.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= p.top).withColumn("rank", F.col("rank") - 1)
 
 
 def decided(records: DataFrame, p: MapParams) -> DataFrame:

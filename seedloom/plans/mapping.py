@@ -14,8 +14,8 @@ from ..params import MapParams
 
 
 def map_reads(reads: DataFrame, index: SeedIndex, p: MapParams) -> DataFrame:
-    """(read_id, rank, vt_score, q_start, q_end, chrom_id, t_start, t_end, str, best, second) of reads (read_id, len, seq)."""
-    seeds = minimizers(reads.select("read_id", "len", "seq"), index.params, "read_id", ("len",))
+    """(read_id, rank, vt_score, q_start, q_end, chrom_id, t_start, t_end, str, best, second) of reads (read_id, len, seq). Where the index has a filter of its hashes, seeds that meet no key are left out before any is shuffled."""
+    seeds = minimizers(reads.select("read_id", "len", "seq"), index.params, "read_id", ("len",), index.within)
     records = decided(top_records(covered(vote_groups(anchors(seeds, index.keys), p), p), p), p)
     return records.select("read_id", "rank", "vt_score", "q_start", "q_end", fn.chrom_of(F.col("t_start")).cast("int").alias("chrom_id"), fn.position_of(F.col("t_start")).alias("t_start"), fn.position_of(F.col("t_end")).alias("t_end"), "str", "best", "second")
 
