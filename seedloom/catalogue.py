@@ -6,6 +6,8 @@ Texts become bases by a fixed rule (``functions.sequence.bases``); ``documents``
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .functions.registry import register
 from .operators import evaluate
 from .operators.anchors import anchors
 from .operators.index import bucket_map, build_index, index_of, index_stats, load_index, save_index, seed_table
-from .operators.minimizers import kmers, minimizers, minimizers_sql, partial
+from .operators.minimizers import extract, kmers, minimizers, minimizers_sql
 from .operators.vote import covered, decided, top_records, vote_groups
 from .params import IndexParams, MapParams, preset
 from .plans.mapping import map_reads, paf
@@ -23,11 +25,11 @@ from .plans.profile import profiled
 from .shared import shared_path, spread, written
 from .sources.batches import batches
 from .sources.fasta import from_text, hex_names, read_fasta, read_fastq, to_fasta, to_fastq
-from .sources.fastq_source import load_fastq
+from .sources.fastq_source import load_fastq, plan_batches, stream_fastq
 from .sources.paf import read_paf, write_paf
 from .sources.places import numbered
 from .sources.reads import read_reads
-from .streaming.mapping import map_stream
+from .streaming.mapping import map_stream, read_stream_text, stream_text
 
 DEFAULT = IndexParams()
 RARE = IndexParams(max_occ=10)
@@ -221,8 +223,19 @@ def q_device_seeds(spark, d):
 
 def q_minimizers_partial(spark, d):
     """The first hundred seeds of each target, and where to go on."""
-    seeds = minimizers(targets(spark, d).select("chrom_id", "seq"), DEFAULT, "chrom_id")
-    return big(partial(seeds, DEFAULT, "chrom_id", 100))
+    return big(extract(targets(spark, d).select("chrom_id", "seq"), DEFAULT, "chrom_id", 100))
+
+
+def q_minimizers_chained(spark, d):
+    """All seeds of the benchmark items, in calls of ten that go on where the one before stopped."""
+    seqs, parts = items(spark, d).select("read_id", "seq"), []
+    while True:
+        got = written(extract(seqs, DEFAULT, "read_id", 10), "part")
+        parts.append(got.drop("resume"))
+        left = got.filter("resume is not null").select(F.col("read_id").alias("of"), F.col("resume").alias("begin"))
+        if left.isEmpty():
+            return big(functools.reduce(DataFrame.unionByName, parts))
+        seqs = items(spark, d).select("read_id", "seq").join(left, F.col("read_id") == F.col("of")).select("read_id", "seq", "begin")
 
 
 def q_index_roundtrip(spark, d):
@@ -281,6 +294,13 @@ def q_minimizers_table(spark, d):
     return big(spark.sql("SELECT read_id, m.hash, m.loc, m.str FROM seedloom_items, LATERAL minimizers(seq, 10, 15) m"))
 
 
+def q_seeds_table(spark, d):
+    """The table function over whole documents, a batch of sequences at a time."""
+    register(spark)
+    targets(spark, d).select(F.col("chrom_id").alias("id"), "seq").createOrReplaceTempView("seedloom_targets")
+    return big(spark.sql("SELECT id AS chrom_id, hash, loc, str FROM seeds(TABLE(seedloom_targets), 10, 15)"))
+
+
 def q_long_reads(spark, d):
     return big(documents_as_reads(spark, d).filter("len >= 1000").select("read_id", "name", "len"))
 
@@ -410,10 +430,24 @@ def q_stream_map(spark, d):
     return big(spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/*").drop("batch"))
 
 
+def q_stream_text(spark, d):
+    """Benchmark items as FASTQ, in micro-batches by capacity of bases, mapped with a saved index into ordered PAF text, which is read again."""
+    base = shared_path(spark, "stream")
+    to_fastq(items(spark, d)).orderBy("read_id").select("value").write.text(f"{base}/in")
+    plan_batches(spark, f"{base}/in", CAPACITY, f"{base}/batches")
+    save_index(build_index(targets(spark, d), DEFAULT), f"{base}/index", 16)
+    query = stream_text(stream_fastq(spark, f"{base}/in", f"{base}/batches"), load_index(spark, f"{base}/index"), LOOSE, f"{base}/out", f"{base}/state")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return big(read_stream_text(spark, f"{base}/out"))
+
+
 def queries() -> dict:
     own = [q_seq_len, q_encode, q_kmers, q_hash64, q_bucket_split, q_index_keys, q_index_map, q_index_stats, q_key_pack, q_anchor_pack, q_vote_groups, q_vote_groups_no_origin, q_coverage, q_topk, q_fraction, q_tie_reject, q_dialogue_hits, q_sql_hash64, q_minimizers_table, q_long_reads, q_seeds_per_read, q_speedup, q_mapq, q_mapq_zero,
            q_batches, q_hash_diff_hist, q_mean_sd, q_simulated_reads, q_accuracy_curve, q_profile_avg, q_fastq_to_fasta, q_hex_headers, q_fasta_scan, q_stream_map,
-           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan, q_mixed_scan, q_fastq_source, q_paf_saved]
+           q_near_dup_docs, q_doc_copies, q_device_seeds, q_minimizers_partial, q_index_roundtrip, q_paf_text, q_stage_profile, q_time_per_base, q_fasta_reads, q_fastq_scan, q_mixed_scan, q_fastq_source, q_paf_saved, q_minimizers_chained, q_seeds_table, q_stream_text]
     return {f.__name__: f for f in own} | {
         "q_minimizers": seeds_of(DEFAULT), "q_minimizers_n": seeds_of(DEFAULT, "."), "q_minimizers_right": seeds_of(IndexParams(ties="right")), "q_minimizers_even": seeds_of(IndexParams(w=3, k=4)), "q_minimizers_sql": seeds_of(DEFAULT, "", minimizers_sql),
         "q_anchors": anchors_of(items, DEFAULT), "q_paf": mapped(items, DEFAULT, LOOSE),
@@ -470,8 +504,11 @@ def oracle_sql() -> dict:
         "q_near_dup_docs": o.query([o.sequences("alls", "documents", "doc_id", "doc"), "kinds AS (SELECT md5(seq) AS key, min(id) AS id, count(*) AS copies FROM alls WHERE len > 0 GROUP BY 1)", *["{} AS (SELECT a.* FROM alls a JOIN kinds k ON k.id = a.id)".format(n) for n in ("targets", "reads")], *o.mapping("", RARE, LOOSE)[2:]], "SELECT p.*, k.copies FROM paf p JOIN kinds k ON k.id = p.read_id"),
         "q_doc_copies": o.query([SELF], "SELECT id AS read_id, min(id) OVER (PARTITION BY seq) AS stands FROM reads WHERE len > 0"),
         "q_device_seeds": o.query(["targets AS (SELECT id, length(seq) AS len, translate(seq, 'BCDEFGHIJKLMOPQRSTUVWXYZ', 'CCTTGGAACCTTGAACCTTGGAAC') AS seq FROM (SELECT doc_id AS id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents))", *o.seeds("s", "targets", DEFAULT)], "SELECT id AS chrom_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
+        "q_minimizers_chained": o.query([READS, *o.seeds("s", "reads", DEFAULT)], "SELECT id AS read_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
+        "q_seeds_table": seeds(DEFAULT),
         "q_minimizers_partial": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT id AS chrom_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str, CAST(CASE WHEN n = 100 AND more IS NOT NULL THEN loc - 13 END AS BIGINT) AS resume FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loc) AS n, lead(loc) OVER (PARTITION BY id ORDER BY loc) AS more FROM s) WHERE n <= 100"),
         "q_index_roundtrip": o.query(keys, "SELECT row_number() OVER (ORDER BY hash & 1073741823, hash >> 30, id, loc) - 1 AS n, hash, id AS chrom_id, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM keys"),
+        "q_stream_text": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT row_number() OVER (ORDER BY read_id, rank) - 1 AS n, concat_ws(chr(9), qname, qlen, qstart, qend, strand, tname, tlen, tstart, tend, nmatch, blen, mapq, vt) AS value FROM paf"),
         "q_paf_text": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT row_number() OVER (ORDER BY read_id, rank) - 1 AS n, concat_ws(chr(9), qname, qlen, qstart, qend, strand, tname, tlen, tstart, tend, nmatch, blen, mapq, vt) AS value FROM paf"),
         "q_stage_profile": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT * FROM (VALUES ('reads', (SELECT count(*) FROM reads)), ('seeds', (SELECT count(*) FROM read_seeds)), ('anchors', (SELECT count(*) FROM anchors)), ('groups', (SELECT count(*) FROM groups)), ('covered', (SELECT count(*) FROM covered)), ('records', (SELECT count(*) FROM records))) AS t(stage, n)"),
         "q_time_per_base": o.query([docs], "SELECT event_type AS label, count(x) AS n, round(avg(x), 6) AS ms_per_base FROM (SELECT event_type, value / nullif(len, 0) AS x FROM events JOIN targets ON id = event_id) GROUP BY 1"),

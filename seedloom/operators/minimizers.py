@@ -162,11 +162,63 @@ def minimizers(seqs: DataFrame, p: IndexParams, id_col: str, carry: tuple[str, .
     return cut.mapInArrow(run, f"{head}, hash bigint, loc int, str int")
 
 
-def partial(seeds: DataFrame, p: IndexParams, id_col: str, most: int) -> DataFrame:
-    """(id, hash, loc, str, resume): the first ``most`` seeds of each sequence; resume: where to go on in it (null if there are no more seeds)."""
-    order = Window.partitionBy(id_col).orderBy("loc")
-    rows = seeds.withColumns({"turn": F.row_number().over(order), "next": F.lead("loc").over(order)}).filter(F.col("turn") <= most)
-    return rows.select(id_col, "hash", "loc", "str", F.when((F.col("turn") == most) & F.col("next").isNotNull(), F.col("loc") - p.k + 2).alias("resume"))
+def first_picks(seq: np.ndarray, begin: int, most: int, p: IndexParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(place, hash, strand, more) of the next ``most`` seeds of codes whose k-mer starts at ``begin`` or later, as all windows of the sequence pick them; more: there are others behind. Looks no further than the seed behind the last."""
+    # places never go down from window to window, so the windows that reach over the begin leave nothing out
+    at, step = max(0, begin - p.w), max(256, 2 * most * (p.w + 1))
+    found, n, last = [], 0, begin - 1
+    while n <= most and at + p.w + p.k - 1 <= len(seq):
+        _, place, h, strand = picks(seq[at : at + step + p.w + p.k - 2], p)
+        place = place + at
+        new = place > last
+        if new.any():
+            found.append((place[new], h[new], strand[new]))
+            n += int(new.sum())
+            last = int(place[-1])
+        at += step
+    parts = [np.concatenate(x) if found else np.zeros(0, kind) for x, kind in zip(zip(*found, strict=True) if found else ((), (), ()), (np.int64, np.uint64, np.int64), strict=True)]
+    return *(x[:most] for x in parts), n > most
+
+
+def extract(seqs: DataFrame, p: IndexParams, id_col: str, most: int) -> DataFrame:
+    """(id, hash, loc, str, resume): the next ``most`` seeds of each sequence (id, seq, and optionally begin); resume, beside the last of them: the begin of a call that goes on (null if there are no more seeds).
+
+    A sequence is one row, of which no more is looked at than the seeds need; calls that go on
+    give, together, the seeds of ``minimizers``. Null and short sequences have none.
+    """
+    table = codes_table(p.dialect)
+    begin = F.coalesce(F.col("begin").cast("int"), F.lit(0)) if "begin" in seqs.columns else F.lit(0)
+    rows = seqs.filter("seq is not null").select(id_col, F.col("seq").cast("binary").alias("seq"), begin.alias("begin"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, of = [], []
+            for i, (seq, start) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+                place, h, strand, more = first_picks(Codes(table, np.frombuffer(seq.as_buffer(), np.uint8)), start, most, p)
+                on = np.full(len(place), -1)
+                if more:
+                    on[-1] = place[-1] + 1
+                out.append((h.view(np.int64), place + p.k - 1, strand, on))
+                of.append(np.full(len(place), i))
+            if out:
+                h, loc, strand, on = (np.concatenate(x) for x in zip(*out, strict=True))
+                ids = batch.column(0).take(pa.array(np.concatenate(of)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(h), pa.array(loc.astype(np.int32)), pa.array(strand.astype(np.int32)), pa.array(on.astype(np.int32), mask=on < 0)], names=[id_col, "hash", "loc", "str", "resume"])
+
+    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, hash bigint, loc int, str int, resume int")
+
+
+class Codes:
+    """Base codes of a sequence, made where they are looked at."""
+
+    def __init__(self, table: np.ndarray, data: np.ndarray) -> None:
+        self.table, self.data = table, data
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        return self.table[self.data[part]]
 
 
 def kmers(seqs: DataFrame, p: IndexParams, id_col: str, block: int = 256) -> DataFrame:

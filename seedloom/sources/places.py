@@ -16,7 +16,7 @@ from ..shared import if_small, written
 BLOCKS = 200_000
 
 
-def records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def records(spark: SparkSession, path: str | list[str], sep: str) -> DataFrame:
     """(file, block, at, value): pieces of the files between separators. A block starts at a byte of its file; ``at`` grows within it."""
     rows = spark.read.option("lineSep", sep).text(path)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
