@@ -136,8 +136,8 @@ def anchors_of(reads, p: IndexParams):
 
 
 def groups_of(spark, d, m: MapParams):
-    seeds = minimizers(documents_as_reads(spark, d).select("read_id", "len", "seq"), RARE, "read_id", ("len",))
-    return vote_groups(anchors(seeds, build_index(targets(spark, d), RARE).keys), m)
+    seeds = minimizers(documents_as_reads(spark, d).select("read_id", "len", "seq"), DEFAULT, "read_id", ("len",))
+    return vote_groups(anchors(seeds, build_index(targets(spark, d), DEFAULT).keys), m)
 
 
 GROUP = ["read_id", "str", "grp", "vt_score", "q_start", "q_end", "t_start", "t_end"]
@@ -200,10 +200,12 @@ def sweep(name: str):
 
 def q_near_dup_docs(spark, d):
     """Distinct documents mapped onto distinct documents: equal texts are one, named by their smallest id, so that copies do not use up a seed's occurrences. ``copies``: the documents that a read stands for."""
-    kinds = documents_as_reads(spark, d).filter("len > 0").groupBy(F.md5("seq").alias("key")).agg(F.min(F.struct("read_id", "name", "len", "seq")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    kinds = written(kinds.select("r.*", "copies"), "kinds")
-    own = kinds.drop("copies")
-    index = build_index(own.withColumnRenamed("read_id", "chrom_id"), RARE)
+    docs = documents_as_reads(spark, d).filter("len > 0")
+    # no sequence goes through the grouping: the smallest id does, and brings its sequence afterwards
+    kinds = docs.groupBy(F.md5("seq").alias("key")).agg(F.min("read_id").alias("read_id"), F.count(F.lit(1)).alias("copies"))
+    kinds = written(kinds.select("read_id", "copies"), "kinds")
+    own = written(docs.join(kinds.select("read_id"), "read_id"), "distinct")
+    index = build_index(own.withColumnRenamed("read_id", "chrom_id"), DEFAULT)
     return big(paf(map_reads(own, index, LOOSE), own, index).join(kinds.select("read_id", "copies"), "read_id"))
 
 
@@ -269,16 +271,17 @@ def q_stage_profile(spark, d):
 
 
 def q_time_per_base(spark, d):
-    """Events as timed batches, by the document of their number: milliseconds for each base."""
+    """Events as timed batches: each event is dealt to a document by the remainder of its number, so every event counts."""
     batch = targets(spark, d).select("chrom_id", "len")
-    log = load(spark, d, "events").join(batch, F.col("event_id") == F.col("chrom_id"))
-    rows = evaluate.time_per_base(log, F.col("value"), F.col("len"))
+    n = batch.count()
+    log = load(spark, d, "events").withColumn("of", F.pmod("event_id", F.lit(n)))
+    rows = evaluate.time_per_base(log.join(batch, F.col("of") == F.col("chrom_id")), F.col("value"), F.col("len"))
     return rows.groupBy(F.col("event_type").alias("label")).agg(F.count("ms_per_base").alias("n"), F.round(F.avg("ms_per_base"), 6).alias("ms_per_base"))
 
 
 def q_dialogue_hits(spark, d):
     """Turns of conversations mapped onto turns of conversations."""
-    index, own = build_index(turns(spark, d, "chrom_id"), RARE), turns(spark, d)
+    index, own = build_index(turns(spark, d, "chrom_id"), DEFAULT), turns(spark, d)
     return big(paf(map_reads(own, index, LOOSE), own, index))
 
 
@@ -307,7 +310,7 @@ def q_long_reads(spark, d):
 
 def q_seeds_per_read(spark, d):
     """Query positions of each read that meet the index."""
-    return anchors_of(documents_as_reads, RARE)(spark, d).groupBy("read_id").agg(F.count_distinct("q_loc").alias("n_seeds"))
+    return anchors_of(documents_as_reads, DEFAULT)(spark, d).groupBy("read_id").agg(F.count_distinct("q_loc").alias("n_seeds"))
 
 
 def q_speedup(spark, d):
@@ -319,12 +322,12 @@ def q_speedup(spark, d):
 
 
 def q_mapq(spark, d):
-    rows = mapped(documents_as_reads, RARE, LOOSE)(spark, d)
+    rows = mapped(documents_as_reads, DEFAULT, LOOSE)(spark, d)
     return rows.filter("rank = 0").groupBy("mapq").agg(F.count(F.lit(1)).alias("n"))
 
 
 def q_mapq_zero(spark, d):
-    return evaluate.mapq_zero(mapped(documents_as_reads, RARE, LOOSE)(spark, d)).select("read_id", "qname", "tname", "nmatch")
+    return evaluate.mapq_zero(mapped(documents_as_reads, DEFAULT, LOOSE)(spark, d)).select("read_id", "qname", "tname", "nmatch")
 
 
 def q_batches(spark, d):
@@ -343,7 +346,7 @@ def q_mean_sd(spark, d):
     return evaluate.mean_sd(per, "n_seeds").select("n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
-SIM_LEN, SIM_STEP = 400, 5_000
+SIM_LEN, SIM_STEP, PIECE = 400, 400, 400
 
 
 def q_simulated_reads(spark, d):
@@ -351,10 +354,11 @@ def q_simulated_reads(spark, d):
 
 
 def q_accuracy_curve(spark, d):
-    reads = evaluate.simulated(targets(spark, d), SIM_LEN, SIM_STEP)
+    """Documents cut into pieces and mapped back: every base is in a piece whose origin is known."""
+    reads = evaluate.pieces(targets(spark, d).select("chrom_id", "seq"), PIECE)
     index = build_index(targets(spark, d), DEFAULT)
-    primary = map_reads(reads, index, LOOSE).filter("rank = 0").join(reads.select("read_id", "origin", "start"), "read_id")
-    wrong = (F.col("chrom_id") != F.col("origin")) | (F.col("t_start") > F.col("start") + SIM_LEN) | (F.col("t_end") < F.col("start"))
+    primary = map_reads(reads, index, LOOSE).filter("rank = 0").join(reads.select("read_id", "len", "origin", "start"), "read_id")
+    wrong = (F.col("chrom_id") != F.col("origin")) | (F.col("t_start") > F.col("start") + F.col("len")) | (F.col("t_end") < F.col("start"))
     return evaluate.accuracy_curve(primary.select(fn.mapq(F.col("best"), F.col("second")).alias("mapq"), wrong.alias("wrong")), reads.count())
 
 
@@ -461,7 +465,7 @@ def oracle_sql() -> dict:
     keys = [docs, *o.seeds("target_seeds", "targets", RARE), o.index("keys", "target_seeds", RARE.max_occ)]
     group = "SELECT read_id, CAST(str AS BIGINT) AS str, grp, vt_score, q_start, q_end, t_start, t_end FROM {}"
     record = "SELECT read_id, CAST(rank AS BIGINT) AS rank, vt_score, q_start, q_end, t_start, t_end, CAST(str AS BIGINT) AS str FROM {}"
-    self_map = lambda m: o.mapping(SELF, RARE, m)
+    self_map = lambda m: o.mapping(SELF, DEFAULT, m)
     out = lambda reads, p, m: o.query(o.mapping(reads, p, m), "SELECT * FROM paf")
     word = "loc | (CAST(id % 1024 AS BIGINT) << 32) | (CAST(str AS BIGINT) << 42) | ((hash >> 30) << 43)"
     anchor = "(CAST(chrom_id % 1024 AS BIGINT) << 53) | (CAST(diag AS BIGINT) << 23) | (CAST(q_loc AS BIGINT) << 1) | str"
@@ -469,9 +473,10 @@ def oracle_sql() -> dict:
     sim = f"""sim AS (SELECT id, seq, i, substr(seq, i * {SIM_STEP} + 1, {SIM_LEN}) AS piece FROM (SELECT id, seq, unnest(range(0, (len - {SIM_LEN}) // {SIM_STEP} + 1)) AS i FROM targets WHERE len >= {SIM_LEN})),
     noise AS (SELECT *, list_aggregate(list_transform(range(0, {SIM_LEN}), lambda j: CASE WHEN (j * 7 + i) % 40 = 0 THEN translate(substr(piece, j + 1, 1), 'ACGT', 'CGTA') ELSE substr(piece, j + 1, 1) END), 'string_agg', '') AS n FROM sim),
     simulated AS (SELECT id * 1000000 + i AS id, 'sim' || (id * 1000000 + i) AS name, CAST({SIM_LEN} AS BIGINT) AS len, CASE WHEN i % 2 = 1 THEN reverse(translate(n, 'ACGT', 'TGCA')) ELSE n END AS seq, id AS origin, i * {SIM_STEP} AS start FROM noise)"""
-    primary = [docs, sim, "reads AS (SELECT id, name, len, seq FROM simulated)", *o.anchors(DEFAULT), *o.groups(LOOSE), *o.records(LOOSE), *o.paf(DEFAULT.k)]
-    wrong = f"(t_start >> 30) <> s.origin OR (t_start & 1073741823) > s.start + {SIM_LEN} OR (t_end & 1073741823) < s.start"
-    by = f"""quality AS (SELECT p.mapq, CAST({wrong} AS BIGINT) AS wrong FROM records r JOIN paf p ON p.read_id = r.read_id AND p.rank = r.rank JOIN simulated s ON s.id = r.read_id WHERE r.rank = 0),
+    cut = f"pieces AS (SELECT id * 1000000 + i AS id, 'piece' || (id * 1000000 + i) AS name, length(substr(seq, i * {PIECE} + 1, {PIECE})) AS len, substr(seq, i * {PIECE} + 1, {PIECE}) AS seq, id AS origin, i * {PIECE} AS start FROM (SELECT id, seq, unnest(range(0, (len - 1) // {PIECE} + 1)) AS i FROM targets WHERE len > 0))"
+    primary = [docs, cut, "reads AS (SELECT id, name, len, seq FROM pieces)", *o.anchors(DEFAULT), *o.groups(LOOSE), *o.records(LOOSE), *o.paf(DEFAULT.k)]
+    wrong = "(t_start >> 30) <> s.origin OR (t_start & 1073741823) > s.start + s.len OR (t_end & 1073741823) < s.start"
+    by = f"""quality AS (SELECT p.mapq, CAST({wrong} AS BIGINT) AS wrong FROM records r JOIN paf p ON p.read_id = r.read_id AND p.rank = r.rank JOIN pieces s ON s.id = r.read_id WHERE r.rank = 0),
     curve AS (SELECT mapq, count(*) AS n_mapped, CAST(sum(wrong) AS BIGINT) AS n_wrong FROM quality GROUP BY mapq),
     down AS (SELECT *, CAST(sum(n_mapped) OVER (ORDER BY mapq DESC) AS BIGINT) AS cum_mapped, CAST(sum(n_wrong) OVER (ORDER BY mapq DESC) AS BIGINT) AS cum_wrong FROM curve)"""
     pack = f"""turns AS (SELECT conv_id, turn, length(text) AS len, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS n FROM conversations),
@@ -485,7 +490,7 @@ def oracle_sql() -> dict:
         "q_sql_hash64": o.query(list(hashes.values()), "SELECT h15.o_orderkey, h15.h AS h15, h19.h AS h19, h21.h AS h21 FROM h15 JOIN h19 USING (o_orderkey) JOIN h21 USING (o_orderkey)"),
         "q_minimizers_table": o.query([READS, *o.seeds("s", "reads", DEFAULT)], "SELECT id AS read_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
         "q_long_reads": o.query([SELF], "SELECT id AS read_id, name, CAST(len AS BIGINT) AS len FROM reads WHERE len >= 1000"),
-        "q_seeds_per_read": o.query([docs, SELF, *o.anchors(RARE)], "SELECT read_id, count(DISTINCT q_loc) AS n_seeds FROM anchors GROUP BY read_id"),
+        "q_seeds_per_read": o.query([docs, SELF, *o.anchors(DEFAULT)], "SELECT read_id, count(DISTINCT q_loc) AS n_seeds FROM anchors GROUP BY read_id"),
         "q_speedup": "WITH a AS (SELECT event_type AS label, avg(CAST(round(value * 1000000) AS BIGINT)) / 1000000 AS ms FROM events GROUP BY event_type) SELECT label, round((SELECT ms FROM a WHERE label = 'view') / ms, 6) AS speedup FROM a",
         "q_bucket_split": o.query([f"s AS ({o.hashed('lineitem', 'CAST(l_orderkey AS BIGINT)', 21, 'l_orderkey')})"], "SELECT DISTINCT h AS hash, h & 1073741823 AS bucket_id, h >> 30 AS seed_id FROM s"),
         "q_minimizers": seeds(DEFAULT), "q_minimizers_sql": seeds(DEFAULT), "q_minimizers_n": seeds(DEFAULT, dotted), "q_minimizers_right": seeds(IndexParams(ties="right")), "q_minimizers_even": seeds(IndexParams(w=3, k=4)),
@@ -499,9 +504,9 @@ def oracle_sql() -> dict:
         "q_coverage": o.query(self_map(LOOSE), group.format("covered")), "q_topk": o.query(self_map(LOOSE), record.format("top")), "q_fraction": o.query(self_map(LOOSE), record.format("records")), "q_tie_reject": o.query(self_map(MapParams()), record.format("records")),
         "q_mapq": o.query(self_map(LOOSE), "SELECT mapq, count(*) AS n FROM paf WHERE rank = 0 GROUP BY mapq"),
         "q_mapq_zero": o.query(self_map(LOOSE), "SELECT read_id, qname, tname, nmatch FROM paf WHERE rank = 0 AND mapq = 0"),
-        "q_paf": out(READS, DEFAULT, LOOSE), "q_paf_saved": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, RARE, LOOSE)[2:]], "SELECT * FROM paf"),
+        "q_paf": out(READS, DEFAULT, LOOSE), "q_paf_saved": out(READS, DEFAULT, LOOSE), "q_stream_map": out(READS, DEFAULT, LOOSE), "q_dialogue_hits": o.query([o.sequences("targets", "conversations", TURN, "turn"), o.sequences("reads", "conversations", TURN, "turn"), *o.mapping(SELF, DEFAULT, LOOSE)[2:]], "SELECT * FROM paf"),
         **{f"q_preset_{n}": out(READS, *preset(n)) for n in SWEEPS},
-        "q_near_dup_docs": o.query([o.sequences("alls", "documents", "doc_id", "doc"), "kinds AS (SELECT md5(seq) AS key, min(id) AS id, count(*) AS copies FROM alls WHERE len > 0 GROUP BY 1)", *["{} AS (SELECT a.* FROM alls a JOIN kinds k ON k.id = a.id)".format(n) for n in ("targets", "reads")], *o.mapping("", RARE, LOOSE)[2:]], "SELECT p.*, k.copies FROM paf p JOIN kinds k ON k.id = p.read_id"),
+        "q_near_dup_docs": o.query([o.sequences("alls", "documents", "doc_id", "doc"), "kinds AS (SELECT md5(seq) AS key, min(id) AS id, count(*) AS copies FROM alls WHERE len > 0 GROUP BY 1)", *["{} AS (SELECT a.* FROM alls a JOIN kinds k ON k.id = a.id)".format(n) for n in ("targets", "reads")], *o.mapping("", DEFAULT, LOOSE)[2:]], "SELECT p.*, k.copies FROM paf p JOIN kinds k ON k.id = p.read_id"),
         "q_doc_copies": o.query([SELF], "SELECT id AS read_id, min(id) OVER (PARTITION BY seq) AS stands FROM reads WHERE len > 0"),
         "q_device_seeds": o.query(["targets AS (SELECT id, length(seq) AS len, translate(seq, 'BCDEFGHIJKLMOPQRSTUVWXYZ', 'CCTTGGAACCTTGAACCTTGGAAC') AS seq FROM (SELECT doc_id AS id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS seq FROM documents))", *o.seeds("s", "targets", DEFAULT)], "SELECT id AS chrom_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
         "q_minimizers_chained": o.query([READS, *o.seeds("s", "reads", DEFAULT)], "SELECT id AS read_id, hash, CAST(loc AS BIGINT) AS loc, CAST(str AS BIGINT) AS str FROM s"),
@@ -511,7 +516,7 @@ def oracle_sql() -> dict:
         "q_stream_text": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT row_number() OVER (ORDER BY read_id, rank) - 1 AS n, concat_ws(chr(9), qname, qlen, qstart, qend, strand, tname, tlen, tstart, tend, nmatch, blen, mapq, vt) AS value FROM paf"),
         "q_paf_text": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT row_number() OVER (ORDER BY read_id, rank) - 1 AS n, concat_ws(chr(9), qname, qlen, qstart, qend, strand, tname, tlen, tstart, tend, nmatch, blen, mapq, vt) AS value FROM paf"),
         "q_stage_profile": o.query(o.mapping(READS, DEFAULT, LOOSE), "SELECT * FROM (VALUES ('reads', (SELECT count(*) FROM reads)), ('seeds', (SELECT count(*) FROM read_seeds)), ('anchors', (SELECT count(*) FROM anchors)), ('groups', (SELECT count(*) FROM groups)), ('covered', (SELECT count(*) FROM covered)), ('records', (SELECT count(*) FROM records))) AS t(stage, n)"),
-        "q_time_per_base": o.query([docs], "SELECT event_type AS label, count(x) AS n, round(avg(x), 6) AS ms_per_base FROM (SELECT event_type, value / nullif(len, 0) AS x FROM events JOIN targets ON id = event_id) GROUP BY 1"),
+        "q_time_per_base": o.query([docs], "SELECT event_type AS label, count(x) AS n, round(avg(x), 6) AS ms_per_base FROM (SELECT event_type, value / nullif(len, 0) AS x FROM events JOIN targets ON id = event_id % (SELECT count(*) FROM targets)) GROUP BY 1"),
         "q_fasta_reads": o.query([docs], "SELECT row_number() OVER (ORDER BY id, i) - 1 AS ordinal, name || CASE WHEN i = 1 THEN 'b' ELSE '' END AS name, CAST(length(s) AS BIGINT) AS len, md5(s) AS seq_md5 FROM (SELECT id, name, i, CASE WHEN i = 0 THEN substr(seq, 1, len // 2) ELSE substr(seq, len // 2 + 1) END AS s FROM targets, (VALUES (0), (1)) AS v(i))"),
         "q_mixed_scan": o.query([SELF], "SELECT row_number() OVER (ORDER BY id % 2, id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM reads"),
         "q_fastq_source": o.query([SELF], "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, name, CAST(len AS BIGINT) AS len, md5(seq) AS seq_md5 FROM reads"),
@@ -521,7 +526,7 @@ def oracle_sql() -> dict:
         "q_hash_diff_hist": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT CAST((d // 1000) * 1000 + 500 AS BIGINT) AS bin, count(*) AS n FROM (SELECT hash - lag(hash) OVER (ORDER BY hash) AS d FROM (SELECT DISTINCT hash FROM s)) WHERE d IS NOT NULL GROUP BY 1"),
         "q_mean_sd": o.query([docs, *o.seeds("s", "targets", DEFAULT)], "SELECT count(*) AS n, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS sd FROM (SELECT id, count(*) AS c FROM s GROUP BY id)"),
         "q_simulated_reads": o.query([docs, sim], "SELECT id AS read_id, name, len, seq, origin, CAST(start AS BIGINT) AS start FROM simulated"),
-        "q_accuracy_curve": o.query([*primary, by], "SELECT mapq, n_mapped, n_wrong, cum_mapped, cum_wrong / cum_mapped AS cum_err, cum_mapped / (SELECT count(*) FROM simulated) AS mapped_share FROM down"),
+        "q_accuracy_curve": o.query([*primary, by], "SELECT mapq, n_mapped, n_wrong, cum_mapped, cum_wrong / cum_mapped AS cum_err, cum_mapped / (SELECT count(*) FROM pieces) AS mapped_share FROM down"),
         "q_profile_avg": "SELECT event_type AS label, count(*) AS n, round(avg(CAST(round(value * 1000000) AS BIGINT)) / 1000000, 6) AS avg_ms FROM events GROUP BY event_type",
         "q_fastq_to_fasta": o.query([SELF], "SELECT id AS read_id, '>' || name || chr(10) || seq AS value FROM reads"),
         "q_hex_headers": "SELECT doc_id AS read_id, lower(to_hex(doc_id)) AS name FROM documents",

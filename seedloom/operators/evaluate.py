@@ -16,6 +16,14 @@ def simulated(targets: DataFrame, length: int, every: int, id_name: str = "read_
     return cut.select(rid.alias(id_name), F.concat(F.lit("sim"), rid.cast("string")).alias("name"), F.lit(length).alias("len"), seq.alias("seq"), F.col("chrom_id").alias("origin"), (F.col("i") * every).alias("start"))
 
 
+def pieces(targets: DataFrame, length: int, id_name: str = "read_id") -> DataFrame:
+    """(id, name, len, seq, origin, start): targets (chrom_id, seq) cut into reads whose origin is known; every base is in one of them, and the last of a target may be short."""
+    cut = targets.filter(F.length("seq") > 0).select("chrom_id", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / length).cast("int"))).alias("i"))
+    rid = F.col("chrom_id").cast("bigint") * 1_000_000 + F.col("i")
+    rows = cut.select(rid.alias(id_name), F.concat(F.lit("piece"), rid.cast("string")).alias("name"), F.substr("seq", F.col("i") * length + 1, F.lit(length)).alias("seq"), F.col("chrom_id").alias("origin"), (F.col("i") * length).alias("start"))
+    return rows.select(id_name, "name", F.length("seq").alias("len"), "seq", "origin", "start")
+
+
 def accuracy_curve(primary: DataFrame, total: int) -> DataFrame:
     """(mapq, n_mapped, n_wrong, cum_mapped, cum_err, mapped_share) of primary records (mapq, wrong), from the highest quality down."""
     by = primary.groupBy("mapq").agg(F.count(F.lit(1)).alias("n_mapped"), F.sum(F.col("wrong").cast("bigint")).alias("n_wrong"))
