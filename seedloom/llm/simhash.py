@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, components, own_name, text_key, written
+from .common import LOWER_BYTES, components, joined_evenly, own_name, text_key, written
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: (lowest bit, bits) of the segments.
@@ -141,10 +141,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def members(fps: DataFrame, rep: Column) -> DataFrame:
-    """(fp, rep, root): distinct fingerprints with ``rep`` over their rows and their component's smallest fingerprint."""
-    classes = fps.groupBy("fp").agg(rep.alias("rep"))
+    """(fp, n, rep, root): distinct fingerprints with the number of their rows, ``rep`` over these, and their component's smallest fingerprint."""
+    classes = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), rep.alias("rep"))
     found = components(links(fps.select("fp").distinct()).distinct())
-    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "n", "rep", F.coalesce("component", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,10 +156,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id, null if there is none. Repeated rows give a row each; other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    member = members(fps, F.min("id"))
-    least = member.groupBy("root").agg(F.min("rep").alias("least"))
-    of = member.join(least, "root").select(F.col("fp").alias("__fp"), "least")
-    return fps.join(of, F.col("fp") == F.col("__fp")).select(F.col("id").alias(id_col), "fp", F.col("least").alias("component"))
+    member = written(members(fps, F.min("id")), "members")
+    # a component may hold most fingerprints, and a fingerprint most rows: neither is one task's work
+    least = written(member.groupBy("root").agg(F.struct(F.min("rep").alias("id")).alias("least"), F.count(F.lit(1)).alias("size")), "least")
+    of = written(joined_evenly(member.select("fp", "n", "root"), least, ["root"], "least", "size").select("fp", "n", "least"), "of")
+    return joined_evenly(fps.select("id", "fp"), of, ["fp"], "least", "n").select(F.col("id").alias(id_col), "fp", F.col("least.id").alias("component"))
 
 
 def hex16(fp: Column) -> Column:
