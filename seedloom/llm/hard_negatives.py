@@ -89,7 +89,7 @@ class Anchors:
 
     def scored(self, a: np.ndarray, rows: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Whole inner products of pairs. Where many pairs of a slab are left, one product of matrices has them all; in doubles, which hold whole numbers that small exactly."""
-        if len(a) * 8 > len(self.whole) * len(rows) and int(np.abs(self.whole).max()) * int(np.abs(rows).max()) * rows.shape[1] < 1 << 53:
+        if len(a) * 32 > len(self.whole) * len(rows) and int(np.abs(self.whole).max()) * int(np.abs(rows).max()) * rows.shape[1] < 1 << 53:
             return (self.real @ rows.T.astype(np.float64))[a, r].astype(np.int64)
         out = np.empty(len(a), np.int64)
         for i in range(0, len(a), 1 << 16):
