@@ -3,8 +3,8 @@
 Bytes inside a 100-byte string that also starts earlier are removed. Suffixes are dealt into shards
 by content: of the 24-byte grams inside a 100-byte string the one with the smallest hash is its
 anchor, so equal strings have equal anchors and meet in one shard. Anchors met once end the search
-early, and so do stretches (all strings of one anchor occurrence) that are equal as a whole. What is
-left is sorted: each shard builds the suffix array of its stretches (Larsson-Sadakane refinement),
+early. Stretches (all strings of one anchor occurrence) that seem equal as a whole are held against
+the first of them, byte for byte, and only that one goes on. What is left is sorted: each shard builds the suffix array of its stretches (Larsson-Sadakane refinement),
 and Kasai's common prefixes part it into classes of equal strings. An anchor too frequent for one
 shard is spread over several. These hand on their classes as sorted lists of strings, dealt by the
 anchor's place in the string, and lists of one place are merged by binary search over the bytes.
@@ -352,17 +352,51 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "at", "strings").mapInArrow(run, "doc bigint, a bigint, b bigint")
 
 
+def copies_compared(pieces: DataFrame, n_shards: int) -> DataFrame:
+    """(doc, at, a, b, proven) of stretches (h, part, parts, doc, first, left, n, bytes): those that are, byte for byte, a stretch of the same group and part that starts earlier, and without proof those that are none. The stretch that stands for its group, marked by negative parts, is in each of its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen = None, {}
+        for batch in batches:
+            h, part, parts, doc, first, left, n = (batch.column(i).to_numpy() for i in range(7))
+            proven, keep = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            for r, (a, b, start, bits) in enumerate(zip(h.tolist(), part.tolist(), zip(doc.tolist(), first.tolist(), strict=True), batch.column(7), strict=True)):
+                if (a, b) != key:
+                    key, seen = (a, b), {}
+                # stretches come in the order of their starts; a document may come more than once
+                proven[r] = seen.setdefault(bits.as_buffer().to_pybytes(), start) != start
+                keep[r] = proven[r] or parts[r] > 0
+            at = first << 14 | left.astype(np.int64) << 7 | (n - 1)
+            out = [x[keep] for x in (doc, at, first, first + n + LENGTH - 1, proven)]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names=["doc", "at", "a", "b", "proven"])
+
+    return pieces.repartition(n_shards, "h", "part").sortWithinPartitions("h", "part", "doc", "first").mapInArrow(run, "doc bigint, at bigint, a bigint, b bigint, proven boolean")
+
+
 def cover(docs: DataFrame) -> DataFrame:
-    """(doc, a, b): bytes a to b of a document lie in strings that also start earlier; runs may overlap."""
+    """(doc, a, b): bytes a to b of a document lie in strings that also start earlier; runs may overlap.
+
+    Hashes only say what to compare: every run comes from equal bytes, of whole stretches, in a
+    suffix array, or in a merge.
+    """
     found = written(stretches(docs), "found")
     often = written(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
     again = written(joined_evenly(found, often, ["h"], "n", "n").drop("n"), "stretches")
     dropped(found, often)
     kinds = written(again.groupBy("h", "c").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")), "kinds")
-    # stretches equal as a whole: all but the first are covered, and the first stands for them
-    whole = joined_evenly(again, kinds.filter("n > 1"), ["h", "c"], "first", "n").filter(F.struct("doc", "at") != F.col("first"))
-    first = F.shiftright("at", 14)
-    whole = whole.select("doc", first.alias("a"), (first + F.col("at").bitwiseAND(127) + LENGTH).alias("b"))
+    # stretches whose bytes hash alike: the first stands for them, and the others are held against its bytes
+    alike = joined_evenly(again, written(kinds.filter("n > 1").select("h", "c", F.struct("first", "n").alias("of"), "n"), "alike"), ["h", "c"], "of", "n")
+    parts = F.ceil(F.col("of.n") / ANCHOR_ROWS).cast("int")
+    leads = F.struct("doc", "at") == F.col("of.first")
+    dealt = alike.select(F.xxhash64("h", "c").alias("h"), "doc", "at", F.when(leads, -parts).otherwise(parts).alias("parts"), F.explode(F.when(leads, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "at"), parts).cast("int")))).alias("part"))
+    dealt = written(dealt.select("h", "part", "parts", "doc", "at"), "copies")
+    compared = written(copies_compared(cut(docs, dealt), max(1, -(-dealt.count() // SHARD_ROWS))), "compared")
+    whole = compared.filter("proven").select("doc", "a", "b")
+    odd = compared.filter("not proven").select(F.col("doc").alias("doc_"), F.col("at").alias("at_"))
+    if not odd.isEmpty():
+        # alike by hash alone: kinds of their own
+        own = again.join(odd, (F.col("doc") == F.col("doc_")) & (F.col("at") == F.col("at_"))).select("h", F.xxhash64("c", "doc", "at").alias("c"), F.struct("doc", "at").alias("first"), F.lit(1).cast("bigint").alias("n"))
+        kinds = written(kinds.union(own), "kinds")
     sizes = written(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "sizes")
     parts = F.ceil(F.col("k") / ANCHOR_ROWS).cast("int")
     wanted = written(joined_evenly(kinds, sizes, ["h"], "k", "k").select("h", F.pmod(F.xxhash64("c"), parts).cast("int").alias("part"), parts.alias("parts"), "first.doc", "first.at"), "wanted")

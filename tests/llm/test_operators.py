@@ -134,6 +134,15 @@ def test_frequent_keys(spark, frame, odd_docs, monkeypatch, least):
     assert repeats_of(frame(odd_docs)) == brute.repeats(odd_docs)
 
 
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_repeats_are_compared_by_bytes(frame, odd_docs, monkeypatch, kinds):
+    """Hashes of stretches that say little (all alike, or three values) change nothing: what they name is compared."""
+    found = suffix_dedup.stretches
+    monkeypatch.setattr(suffix_dedup, "stretches", lambda docs: found(docs).withColumn("c", F.pmod("c", F.lit(kinds))))
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_ROWS", 5)
+    assert repeats_of(frame(odd_docs)) == brute.repeats(odd_docs)
+
+
 def test_repeats_over_blocks(frame):
     """A text longer than a block of anchors, which repeats itself across its blocks."""
     rnd = random.Random(5)
