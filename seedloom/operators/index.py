@@ -14,6 +14,7 @@ from ..params import IndexParams
 from ..shared import written
 from .minimizers import minimizers
 from .presence import bit_words, presence, size_for
+from .sketch import row_bits, suspected
 
 
 @dataclass(frozen=True)
@@ -26,9 +27,15 @@ class SeedIndex:
     within: np.ndarray | None = None
 
 
-def rare(keys: DataFrame, max_occ: int) -> DataFrame:
-    """Keys whose hash occurs at most ``max_occ`` times. Counts are made before the shuffle, and only the frequent hashes, few as they are, meet the keys."""
-    frequent = keys.groupBy("hash").count().filter(F.col("count") > max_occ).select("hash")
+def rare(keys: DataFrame, max_occ: int, hash_bits: int | None = None) -> DataFrame:
+    """Keys whose hash occurs at most ``max_occ`` times. Counts are made before the shuffle, and only the frequent hashes, few as they are, meet the keys.
+
+    ``hash_bits``, of keys in a written table, has a sketch say first which hashes may be frequent, so
+    that no others are counted and shuffled; where no sketch of bounded size could say, all are.
+    """
+    bits = row_bits(keys.count(), max_occ, hash_bits) if hash_bits else None
+    counted = keys if bits is None else suspected(keys, max_occ, bits, hash_bits)
+    frequent = counted.groupBy("hash").count().filter(F.col("count") > max_occ).select("hash")
     return keys.join(frequent, "hash", "left_anti")
 
 
@@ -39,7 +46,7 @@ def seed_table(targets: DataFrame, p: IndexParams) -> DataFrame:
 
 def index_of(table: DataFrame, p: IndexParams) -> SeedIndex:
     """Index of a ``seed_table`` of the same w, k, ties and dialect."""
-    keys = rare(table.filter("hash is not null").select("hash", "chrom_id", "loc", "str"), p.max_occ)
+    keys = rare(table.filter("hash is not null").select("hash", "chrom_id", "loc", "str"), p.max_occ, 2 * p.k)
     return SeedIndex(keys, table.filter("hash is null").select("chrom_id", "name", "len"), p)
 
 

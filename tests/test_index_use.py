@@ -2,15 +2,17 @@
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from seedloom.operators import fold
 from seedloom.operators.anchors import anchors
-from seedloom.operators.index import build_index, load_index, save_index
+from seedloom.operators.index import build_index, load_index, rare, save_index
 from seedloom.operators.minimizers import minimizers
 from seedloom.operators.presence import bit_words, may_hold, presence, size_for
+from seedloom.operators.sketch import row_bits, suspected
 from seedloom.operators.vote import covered, top_records, vote_groups, vote_groups_sql
 from seedloom.params import IndexParams, MapParams
 from seedloom.plans.mapping import map_reads, paf
@@ -80,6 +82,21 @@ def test_filters_merge(spark):
     assert size_for(10**12, 50) == 27 and size_for(0, 8) == 8
 
 
+def test_only_suspected_hashes_are_counted(spark):
+    """Keys are those of counting every hash; what is counted falls with the share of frequent hashes."""
+    rnd = random.Random(6)
+    rows = [rnd.randrange(1 << 30) for _ in range(20_000)] + [h for h in (rnd.randrange(1 << 30) for _ in range(12)) for _ in range(rnd.choice([49, 50, 51, 400]))]
+    keys = spark.createDataFrame([(h, i) for i, h in enumerate(rows)], "hash bigint, loc int").repartition(5)
+    for limit in (1, 10, 50, 10**6):
+        want = sorted(map(tuple, rare(keys, limit).collect()))
+        assert sorted(map(tuple, rare(keys, limit, 30).collect())) == want
+    bits = row_bits(len(rows), 50, 30)
+    over = {h for h, n in Counter(rows).items() if n > 50}
+    got = [r.hash for r in suspected(keys, 50, bits, 30).collect()]
+    assert over <= set(got) and len(got) < 0.15 * len(rows)
+    assert row_bits(10**12, 10, 42) is None and row_bits(10**8, 500, 42) == 21
+
+
 def one_by_one(T, q, line, reach):
     out, state = [], None
     for i, (t, x, z) in enumerate(zip(T.tolist(), q.tolist(), line.tolist(), strict=True)):
