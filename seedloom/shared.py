@@ -45,4 +45,4 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its files have fewer splits than that; one row group is one task's work, however many cores there are. Large tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)

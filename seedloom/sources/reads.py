@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import sequence as fn
 from ..shared import if_small, written
 from .places import BLOCKS, begins, records
 
