@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a stripe, anchors of a group, and words of codes that a task compares at a time.
+#: Rows of a stripe and anchors of a group, if they have no more than 64 components (of longer ones as many less), and words of codes that a task compares at a time.
 STRIPE, GROUP, SLAB = 8192, 2048, 1 << 20
 #: Bits of an anchor's coordinates; rounds of the rotation; its seed.
 PLANES, ROUNDS, SEED = 8, 3, 20
@@ -181,7 +181,8 @@ def hard_negatives(vectors: DataFrame, anchors: Column | None = None, label: Col
     rows = code_rows(vectors, id_col, vector_col, label if label is not None else F.col("label"), anchors if anchors is not None else F.lit(True), scale)
     chosen = rows.filter("anchor").select("id", "label", "dim", "whole", F.xxhash64("label", "whole").alias("key"))
     chosen = written(chosen.distinct(), "anchors")
-    groups, stripes = max(1, -(-chosen.count() // group)), max(1, -(-rows.count() // stripe))
+    weight = F.coalesce(F.sum(F.greatest("dim", F.lit(64)).cast("bigint")), F.lit(0))
+    groups, stripes = (max(1, -(-x.agg(weight).first()[0] // (64 * most))) for x, most in ((chosen, group), (rows, stripe)))
     asked = chosen.withColumn("grp", F.pmod(F.xxhash64("id", "key", F.lit(1)), F.lit(groups)).cast("int"))
 
     def near(table: pa.Table, others: pa.Table) -> pa.Table:
