@@ -31,6 +31,8 @@ BLOCK = 1 << 18
 PLACE = np.uint64((1 << 19) - 1)
 #: Stretches of one shard, and of one anchor in a shard: beyond it an anchor is spread.
 SHARD_ROWS, ANCHOR_ROWS = 8_000, 2_000
+#: Stretches that are dealt to one task to be compared.
+COMPARE_ROWS = 60_000
 #: Strings aimed at in one merge, and in one task that merges.
 MERGE_ROWS, MERGE_TASK = 50_000, 150_000
 #: Bits of the map of documents whose text is needed again; a full map only saves less.
@@ -249,8 +251,26 @@ def among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed.filter(inside).select(*docs.columns), placed.filter(~inside).select(*docs.columns)
 
 
-def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, part, parts, doc, first, left, n, bytes): the stretches (h, part, parts, doc, at) with their bytes; left: bytes before the anchor."""
+def needed(first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of the runs [first, end) are enough to cover what all of them cover; ends go up with starts."""
+    order = np.argsort(first, kind="stable")
+    keep, reach, best, far = [], -1, -1, -1
+    for i, a, b in zip(order.tolist(), first[order].tolist(), end[order].tolist(), strict=True):
+        if a > reach:
+            if far > reach:
+                keep.append(best)
+                reach = far
+            if a > reach:
+                reach = a
+        if b > far:
+            best, far = i, b
+    if far > reach:
+        keep.append(best)
+    return np.array(sorted(keep), np.int64)
+
+
+def cut(docs: DataFrame, wanted: DataFrame, sparse: bool = False) -> DataFrame:
+    """(h, part, parts, doc, first, left, n, bytes): the stretches (h, part, parts, doc, at) with their bytes; left: bytes before the anchor. sparse: of those with positive parts, no more than cover what they all cover."""
     lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("h", "part", "parts", "at")).alias("list"))
     have = among(docs.select("doc", F.col("text").cast("binary").alias("text")), wanted.select("doc"))[0].dropDuplicates(["doc"]).withColumnRenamed("doc", "own")
 
@@ -262,6 +282,11 @@ def cut(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 h, part, parts, at = (of.field(i) for i in range(4))
                 at = at.to_numpy()
                 first, left, n = at >> 14, (at >> 7 & 127).astype(np.int32), ((at & 127) + 1).astype(np.int32)
+                if sparse:
+                    follow = np.flatnonzero(parts.to_numpy() > 0)
+                    some = np.sort(np.concatenate((np.flatnonzero(parts.to_numpy() < 0), follow[needed(first[follow], first[follow] + n[follow] + LENGTH - 1)])))
+                    h, part, parts = (c.take(pa.array(some)) for c in (h, part, parts))
+                    at, first, left, n = at[some], first[some], left[some], n[some]
                 for x in range(0, len(at), 20_000):
                     s = slice(x, x + 20_000)
                     bits = [text[a : a + k + LENGTH - 1] for a, k in zip(first[s].tolist(), n[s].tolist(), strict=True)]
@@ -390,10 +415,15 @@ def cover(docs: DataFrame) -> DataFrame:
     leads = F.struct("doc", "at") == F.col("of.first")
     dealt = alike.select(F.xxhash64("h", "c").alias("h"), "doc", "at", F.when(leads, -parts).otherwise(parts).alias("parts"), F.explode(F.when(leads, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc", "at"), parts).cast("int")))).alias("part"))
     dealt = written(dealt.select("h", "part", "parts", "doc", "at"), "copies")
-    compared = written(copies_compared(cut(docs, dealt), max(1, -(-dealt.count() // SHARD_ROWS))), "compared")
+    tasks = max(1, -(-dealt.count() // COMPARE_ROWS))
+    # stretches overlap; as many are compared as cover them all, and all of them if one is not what its hash says
+    compared = written(copies_compared(cut(docs, dealt, True), tasks), "compared")
+    exact = compared.filter("not proven").isEmpty()
+    if not exact:
+        compared = written(copies_compared(cut(docs, dealt), tasks), "compared")
     whole = compared.filter("proven").select("doc", "a", "b")
-    odd = compared.filter("not proven").select(F.col("doc").alias("doc_"), F.col("at").alias("at_"))
-    if not odd.isEmpty():
+    if not exact:
+        odd = compared.filter("not proven").select(F.col("doc").alias("doc_"), F.col("at").alias("at_"))
         # alike by hash alone: kinds of their own
         own = again.join(odd, (F.col("doc") == F.col("doc_")) & (F.col("at") == F.col("at_"))).select("h", F.xxhash64("c", "doc", "at").alias("c"), F.struct("doc", "at").alias("first"), F.lit(1).cast("bigint").alias("n"))
         kinds = written(kinds.union(own), "kinds")

@@ -134,6 +134,19 @@ def test_frequent_keys(spark, frame, odd_docs, monkeypatch, least):
     assert repeats_of(frame(odd_docs)) == brute.repeats(odd_docs)
 
 
+def test_needed_runs():
+    """Runs that are taken cover what all cover."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        first = np.sort(rng.choice(2000, rng.integers(0, 40), replace=False))
+        end = np.maximum.accumulate(first + rng.integers(1, 150, len(first)) + np.arange(len(first)))
+        shuffled = rng.permutation(len(first))
+        first, end = first[shuffled], end[shuffled]
+        cover = lambda of: set().union(*(range(first[i], end[i]) for i in of))  # noqa: B023, E731
+        got = suffix_dedup.needed(first, end).tolist()
+        assert cover(got) == cover(range(len(first))) and len(got) <= len(first)
+
+
 @pytest.mark.parametrize("kinds", [1, 3])
 def test_repeats_are_compared_by_bytes(frame, odd_docs, monkeypatch, kinds):
     """Hashes of stretches that say little (all alike, or three values) change nothing: what they name is compared."""
