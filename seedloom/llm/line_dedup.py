@@ -25,10 +25,14 @@ from .suffix_dedup import MAP_BITS, among, bit_map, numbered
 COUNTER_BITS, RANGE_BITS = 24, 16
 #: A word that more sets have in their prefixes makes a crowd, which is held against its earliest set before the join.
 CROWD = 1000
-#: Words of crowds up to which they are broadcast.
-BROADCAST_WORDS = 200_000
+#: More sets than these with the same least and greatest hashes of words make a crowd, too.
+NEAR = 8
+#: Words of crowds, sets that go in advance and documents that lose lines, up to which they are broadcast.
+BROADCAST_WORDS, BROADCAST_SETS, BROADCAST_DOCS = 200_000, 200_000, 200_000
 #: Sets that a task remembers having handed on; tokens it counts before it hands on their counters.
 REMEMBER, TALLY = 100_000, 4_000_000
+#: An odd number: hashes times this are in another order.
+SECOND = np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -132,7 +136,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(s, doc, line, n, bits0, bits1, prefix, often): a row for every line with a word. s, n: hash and size of its set; prefix: its rarest words, as far as a similar set must share one, null where only one line has the word; often: those that enough lines have for a crowd. A task gives a set's bits and words with one of its lines or some."""
+    """(s, doc, line, n, bits0, bits1, prefix, often, near): a row for every line with a word. s, n: hash and size of its set; prefix: its rarest words, as far as a similar set must share one, null where only one line has the word; often: those that enough lines have for a crowd; near: two keys of the set's least and greatest hashes, null for sets too small for another similar one. A task gives a set's bits and words with one of its lines or some."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
     crowd = rank_of(np.array([CROWD + 1]))[0]
 
@@ -158,9 +162,13 @@ def described(docs: DataFrame, table: np.ndarray) -> DataFrame:
             keep &= x.code >= crowd
             ends = np.cumsum(np.bincount(x.of[keep], minlength=len(x.s)))
             lists.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(x.h[keep].view(np.int64)), mask=pa.array(~fresh)))
-            yield pa.RecordBatch.from_arrays([pa.array(x.s), pa.array(x.doc), pa.array(x.line), pa.array(x.n.astype(np.int32)), *bits, *lists], names=["s", "doc", "line", "n", "bits0", "bits1", "prefix", "often"])
+            keys = np.stack([mixed(np.minimum.reduceat(h, x.first) ^ mixed(np.maximum.reduceat(h, x.first) + np.uint64(i))) for i, h in enumerate((x.h, x.h * SECOND))], 1)
+            large = fresh & (x.n >= 4)
+            ends = np.concatenate(([0], np.cumsum(2 * large))).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[large].ravel().view(np.int64)), mask=pa.array(~large)))
+            yield pa.RecordBatch.from_arrays([pa.array(x.s), pa.array(x.doc), pa.array(x.line), pa.array(x.n.astype(np.int32)), *bits, *lists], names=["s", "doc", "line", "n", "bits0", "bits1", "prefix", "often", "near"])
 
-    return docs.mapInArrow(run, "s bigint, doc bigint, line bigint, n int, bits0 bigint, bits1 bigint, prefix array<bigint>, often array<bigint>")
+    return docs.mapInArrow(run, "s bigint, doc bigint, line bigint, n int, bits0 bigint, bits1 bigint, prefix array<bigint>, often array<bigint>, near array<bigint>")
 
 
 def prefix_rows(kinds: DataFrame, *more: str) -> DataFrame:
@@ -230,21 +238,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.withColumn("o", F.size(F.array_intersect("words1", "words2"))).filter(9 * F.col("o") >= 4 * (F.size("words1") + F.size("words2"))).select("s1", "s2")
 
 
-def drained(docs: DataFrame, kinds: DataFrame) -> DataFrame | None:
+def near_rows(kinds: DataFrame, *more: str) -> DataFrame:
+    """Like ``prefix_rows``, for keys of near copies: they say nothing of places in a prefix."""
+    meta = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseOR(F.col("drained").cast("int"))
+    return kinds.select(F.explode("near").alias("word"), "s", meta.alias("meta"), "bits0", "bits1", *more)
+
+
+def drained(docs: DataFrame, kinds: DataFrame, keys: str, crowd: int) -> DataFrame | None:
     """(s): sets of crowds that are similar to the earliest set of their crowd, and so go, whatever else they are similar to. None if there is no crowd.
 
-    Near copies of one line share its rare words, so that the earliest set with such a word is most
-    often the line's first copy. The join need not pair what only a drained set could lose by; all
-    other pairs it meets as before.
+    keys: the column whose values make crowds. Near copies of one line share ``near`` and the rare
+    words in ``often``, so that the earliest set with such a key is most often the line's first
+    copy. A crowd of g sets gives g pairs here. The join need not pair what only a drained set
+    could lose by; all other pairs it meets as before.
     """
-    heavy = written(kinds.select(F.explode("often").alias("heavy")).groupBy("heavy").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > CROWD).select("heavy"), "heavy")
+    heavy = written(kinds.select(F.explode(keys).alias("heavy")).groupBy("heavy").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowd).select("heavy"), "heavy")
     if heavy.isEmpty():
         return None
-    rows = prefix_rows(kinds, "doc", "line")
+    rows = (near_rows if keys == "near" else prefix_rows)(kinds, "doc", "line")
     members = written(rows.join(if_small(heavy, BROADCAST_WORDS), F.col("word") == F.col("heavy")).drop("heavy"), "members")
     heads = written(members.groupBy("word").agg(F.min(F.struct("doc", "line", "s", "meta", "bits0", "bits1")).alias("head")).select("word", "head.*"), "heads")
     met = side(members, 2).join(side(heads, 1), F.col("word1") == F.col("word2"))
-    pairs = written(met.filter((F.col("s1") != F.col("s2")) & may_be_similar()).select("s1", "s2").distinct(), "stars")
+    pairs = written(met.filter((F.col("s1") != F.col("s2")) & ~is_drained(2) & may_be_similar()).select("s1", "s2").distinct(), "stars")
     places = written(places_of(kinds, pairs), "places")
     sets = written(whole_sets(docs, places), "crowded")
     gone = written(verified(pairs, sets).select(F.col("s2").alias("s")).distinct(), "drained")
@@ -286,16 +301,21 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     found = written(described(docs, rarity(docs)), "found")
     lines = written(found.select("s", "doc", "line"), "lines")
     payload = [F.max(c).alias(c) for c in ("n", "bits0", "bits1")]
-    lists = [F.first(c, ignorenulls=True).alias(c) for c in ("prefix", "often")]
+    lists = [F.first(c, ignorenulls=True).alias(c) for c in ("prefix", "often", "near")]
     kinds = found.groupBy("s").agg(F.min(F.struct("doc", "line")).alias("first"), *payload, *lists)
-    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix", "often", F.lit(False).alias("drained")), "kinds")
+    kinds = written(kinds.select("s", "first.doc", "first.line", "n", "bits0", "bits1", "prefix", "often", "near", F.lit(False).alias("drained")), "kinds")
     dropped(found)
-    gone = drained(docs, kinds)
-    if gone is not None:
-        marked = kinds.drop("drained").join(gone.select(F.col("s").alias("g")), F.col("s") == F.col("g"), "left").withColumn("drained", F.col("g").isNotNull()).drop("g")
-        marked = written(marked, "marked")
-        dropped(kinds, gone)
-        kinds = marked
+    unmarked, gone, few = kinds, None, False
+    for keys, crowd in (("near", NEAR), ("often", CROWD)):
+        more = drained(docs, kinds, keys, crowd)
+        if more is not None:
+            gone = more if gone is None else written(gone.union(more), "gone")
+            known = if_small(gone, BROADCAST_SETS)
+            few = known is not gone
+            kinds = unmarked.drop("drained").join(known.select(F.col("s").alias("g")), F.col("s") == F.col("g"), "left").withColumn("drained", F.col("g").isNotNull()).drop("g")
+    if gone is not None and not few:
+        kinds = written(kinds, "marked")
+        dropped(unmarked, gone)
     links = written(candidates(prefix_rows(kinds)), "links")
     places = written(places_of(kinds, links), "places")
     sets = written(whole_sets(docs, places), "sets")
@@ -318,8 +338,9 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = numbered(docs, id_col, text_col)
     gone = repeated_lines(docs.dropDuplicates(["doc"]) if "m" in docs.columns else docs).groupBy("doc").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    gone = written(gone, "gone").withColumnRenamed("doc", "own")
-    have, same = among(docs.select("id", "text", "doc"), gone.select(F.col("own").alias("doc")))
+    gone = written(gone, "gone")
+    lost = if_small(gone, BROADCAST_DOCS).withColumnRenamed("doc", "own")
+    have, same = among(docs.select("id", "text", "doc"), gone.select("doc"))
     lines = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     n = F.size(lines).cast("bigint").alias("n_lines")
     none = F.array().cast("array<bigint>")
@@ -333,5 +354,5 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(kept, pa.string())], names=["id", "n_lines", "removed", "kept"])
 
     kind = f"id {docs.schema['id'].dataType.simpleString()}, n_lines bigint, removed array<bigint>, kept string"
-    changed = have.join(gone, have["doc"] == gone["own"], "left").select("id", "text", n, F.coalesce("removed", none).alias("removed")).mapInArrow(cut, kind)
+    changed = have.join(lost, have["doc"] == F.col("own"), "left").select("id", "text", n, F.coalesce("removed", none).alias("removed")).mapInArrow(cut, kind)
     return changed.union(same.select("id", n, none, "text")).withColumnRenamed("id", id_col)

@@ -176,6 +176,26 @@ def test_lines(frame, odd_docs, monkeypatch, crowd, broadcast, remember):
     assert lines_of(frame(odd_docs)) == brute.lines(odd_docs)
 
 
+def test_near_copies_are_not_paired_with_each_other(frame, monkeypatch):
+    """Groups of 40 and 160 near copies: pairs to compare grow with the copies, not with their square."""
+    met, found = [], line_dedup.candidates
+    monkeypatch.setattr(line_dedup, "candidates", lambda rows: met.append(found(rows)) or met[-1])
+    for n in (40, 160):
+        rnd = random.Random(n)
+        line = [f"v{i}" for i in range(60)]
+        rows = [(i, " ".join([*line[: (k := rnd.randrange(60))], f"new{i}", *line[k + 1 :]])) for i in range(n)] + [(n, "other words"), (n + 1, None)]
+        assert lines_of(frame(rows)) == brute.lines(rows)
+        assert met[-1].count() <= 12 * n
+
+
+@pytest.mark.parametrize("sets,docs", [(0, 0), (10, 200_000)])
+def test_lines_without_broadcasts(frame, odd_docs, monkeypatch, sets, docs):
+    """Near copies in small crowds, and more sets and documents than are broadcast."""
+    for k, v in {"NEAR": 1, "CROWD": 3, "BROADCAST_SETS": sets, "BROADCAST_DOCS": docs}.items():
+        monkeypatch.setattr(line_dedup, k, v)
+    assert lines_of(frame(odd_docs)) == brute.lines(odd_docs)
+
+
 def test_text_ids(spark):
     rnd = random.Random(8)
     text = lambda: "\n".join(" ".join(rnd.choice("abcdefghij") * 3 for _ in range(12)) for _ in range(4))
