@@ -137,7 +137,8 @@ def links(distinct: DataFrame) -> DataFrame:
     left = keyed.filter("side <> 1").select("key", F.col("fp").alias("src"))
     right = keyed.filter("side <> 0").select("key", F.col("fp").alias("dst"))
     near = F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= MAX_BITS
-    return left.join(right, (left["key"] == right["key"]) & near & (F.col("src") < F.col("dst"))).select("src", "dst")
+    # Spark takes the keys for as many rows as the fingerprints, of which each has dozens: by that size it would broadcast them
+    return left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & near & (F.col("src") < F.col("dst"))).select("src", "dst")
 
 
 def members(fps: DataFrame, rep: Column) -> DataFrame:

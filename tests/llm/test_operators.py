@@ -1,4 +1,5 @@
 import random
+import re
 
 import brute
 import numpy as np
@@ -47,6 +48,16 @@ def test_simhash(frame, odd_docs, monkeypatch, wide_from):
     assert {r.doc_id for r in once} == {c for d, _, c in brute.components(odd_docs) if d is not None} and len(once) == len({r.doc_id for r in once})
 
 
+def joins(df):
+    return set(re.findall(r"\w+Join\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark, frame, odd_docs):
+    """Spark's size of the keys is that of the fingerprints, so that a small table of them would put dozens of rows for each into the driver."""
+    fps = common.written(simhash.fingerprints(frame(odd_docs), "doc_id", "text"), "fingerprints")
+    assert joins(simhash.links(fps.select("fp").distinct())) == {"SortMergeJoin"}
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_golay_keys_miss_no_link(wide):
     counts, table = simhash.error_patterns()
