@@ -60,6 +60,38 @@ def test_blocks(spark, monkeypatch):
     assert got == [(loc, h, z) for h, loc, z in minimizers(s, 10, 15)]
 
 
+def test_windows_in_sql_shuffle_nothing(spark, tmp_path):
+    """Blocks of long and unclear sequences as the kernel has them, and no exchange, sort or window in the plan."""
+    rnd = random.Random(11)
+    rows = [(i, "".join("N" if i % 2 and rnd.random() < 0.02 else rnd.choice("ACGT") for _ in range(n))) for i, n in enumerate([256, 270, 279, 280, 281, 282, 1100, 1500])]
+    spark.createDataFrame(rows, "id int, seq string").write.parquet(f"{tmp_path}/seqs")
+    df = spark.read.parquet(f"{tmp_path}/seqs")
+    for p in (IndexParams(), IndexParams(ties="right"), IndexParams(256, 25), IndexParams(4, 3)):
+        got = minimizers_sql(df, p, "id")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark_minimizers(df, p, "id").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Sort|Window", plan)
+
+
+def test_kmer_sums(spark, monkeypatch):
+    """Sums of blocks against a loop over all k-mers; no row for each k-mer is in the plan."""
+    from seedloom.operators import minimizers as m
+
+    rnd = random.Random(12)
+    rows = [(i, "".join("N" if i % 2 and rnd.random() < 0.02 else rnd.choice("ACGT") for _ in range(n))) for i, n in enumerate([0, 5, 6, 63, 64, 65, 69, 70, 71, 300, 1000])] + [(20, "N" * 90), (21, "ACGT" * 9), (22, None)]
+    monkeypatch.setattr(m, "BLOCK", 64)
+    monkeypatch.setattr(m, "CHUNK", 500)
+    got = m.kmer_sums(spark.createDataFrame(rows, "id int, seq string"), IndexParams(k=6), "id")
+    want = {}
+    for i, s in rows:
+        found = [(h, z) for h, _, z in minimizers(s or "", 1, 6)]
+        if found:
+            hs = [h for h, _ in found]
+            want[i] = (len(hs), sum(z for _, z in found), min(hs), max(hs), sum(hs))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
+    assert "Generate explode(sequence(0, (length(digits" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def rows_of(spark, index_params, map_params):
     index = build_index(seqs(spark, TARGETS, "chrom_id"), index_params)
     reads = seqs(spark, READS, "read_id")
