@@ -89,8 +89,9 @@ def hits(base: DataFrame, fps: DataFrame, span: int, small: bool, with_docs: boo
         # the row at -1 stands for the document itself and passes without a partner
         met = found.filter("i < 0 or h is not null").join(F.broadcast(fps), "h", "left").filter("i < 0 or item is not null")
     else:
-        cand = found.filter("h is not null").select(F.col("id").alias("cid"), F.col("key").alias("ckey"), "i", "h").distinct().join(fps, "h")
-        met = cand.join(base.dropDuplicates(["id", "key"]), F.col("id").eqNullSafe(F.col("cid")) & (F.col("key") == F.col("ckey")))
+        # no size that Spark has for rows behind an explode is near theirs, so neither side is left to be broadcast by it
+        cand = found.filter("h is not null").select(F.col("id").alias("cid"), F.col("key").alias("ckey"), "i", "h").distinct().hint("merge").join(fps.hint("merge"), "h")
+        met = cand.hint("merge").join(base.dropDuplicates(["id", "key"]), F.col("id").eqNullSafe(F.col("cid")) & (F.col("key") == F.col("ckey")))
     # inline() keeps the filters below it from being moved above and repeating what they test for every word
     once = lambda df, rest, **cols: df.select(*rest, F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
     own = ["id", "key", "n", "i", "item"]

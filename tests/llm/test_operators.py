@@ -58,6 +58,13 @@ def test_keys_of_fingerprints_are_not_broadcast(spark, frame, odd_docs):
     assert joins(simhash.links(fps.select("fp").distinct())) == {"SortMergeJoin"}
 
 
+def test_exploded_words_are_not_broadcast(spark, frame, odd_docs):
+    """With many fingerprints of the benchmark neither these nor the documents' words are broadcast by a size taken from before the explode."""
+    docs, bench = (common.written(df, "texts") for df in (frame(odd_docs), spark.createDataFrame([(1, odd_docs[3][1])], "item_id bigint, text string")))
+    per = decontam.by_text(docs, bench, "doc_id", "text", "item_id", "text", 0)
+    assert joins(per) == {"SortMergeJoin"}
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_golay_keys_miss_no_link(wide):
     counts, table = simhash.error_patterns()
